@@ -82,7 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 SUBSTRING_SQL = r"""
-WITH split AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+WITH split AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 spots AS (SELECT r, doc_id, unnest(range(1, len(w) - 48)) AS i FROM split WHERE len(w) >= 50),
 win AS (SELECT spots.r, spots.doc_id, spots.i, md5(array_to_string(list_slice(w, spots.i, spots.i + 49), ' ')) AS k FROM spots JOIN split USING (r)),
 gone AS (SELECT DISTINCT r, unnest(range(i, i + 50)) AS p FROM (SELECT r, i, doc_id, min(doc_id) OVER (PARTITION BY k) AS m FROM win) WHERE m < doc_id),
