@@ -117,7 +117,7 @@ def lag_in_years(rows: DataFrame, days: str) -> DataFrame:
 
 def trailing_mean(rows: DataFrame, order: str, value: str, width: int = 3) -> DataFrame:
     """The mean of the last few points of a bounded series."""
-    return rows.withColumn("trailing", F.avg(value).over(Window.orderBy(order).rowsBetween(1 - width, 0)))
+    return rows.withColumn("trailing_mean", F.avg(value).over(Window.orderBy(order).rowsBetween(1 - width, 0)))
 
 
 def added_genres(rows: DataFrame, own: str, other: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from ..functions.listening import DEVICES
-from ..functions.text import BRACKETS, VERSION
+from ..functions.text import BRACKETS, SPELLED, VERSION
 from ..sources.driver import TABLES
 from .warehouse import used
 
@@ -25,7 +25,7 @@ def whole(x: str, unit: str = "60000.0") -> str:
 
 
 HEARD = "coalesce(ms_played, estimated_ms)"
-PLAIN = "lower(strip_accents(coalesce({}, '')))"
+PLAIN = "lower(strip_accents(" + "replace(" * len(SPELLED) + "coalesce({}, '')" + "".join(f", '{a}', '{b}')" for a, b in SPELLED.items()) + "))"
 
 
 def title(x: str) -> str:
@@ -107,9 +107,9 @@ VIEWS = {
     "wanted_codes": "SELECT id AS canonical_track_id, isrc, plays FROM {wanted} WHERE isrc IS NOT NULL",
     "wanted_artists": "SELECT artist_id, sum(plays) AS plays FROM {wanted} w JOIN {canonical_track_artists} a ON a.canonical_track_id = w.id GROUP BY 1",
     "wanted_albums": "SELECT primary_album_id AS album_id, sum(plays) AS plays FROM {wanted} WHERE primary_album_id IS NOT NULL GROUP BY 1",
-    "artist_names": "SELECT canonical_track_id, string_agg(artist_id || ':' || name, ',' ORDER BY position) AS artists FROM {canonical_track_artists} c JOIN {artists} a ON a.id = c.artist_id WHERE on_representative GROUP BY 1",
-    "track_credit_names": "SELECT track_id, string_agg(artist_id || ':' || name, ',' ORDER BY position) AS artists, min_by(name, position) AS artist FROM {track_artists} c JOIN {artists} a ON a.id = c.artist_id GROUP BY 1",
-    "album_credit_names": "SELECT album_id, string_agg(artist_id || ':' || name, ',' ORDER BY position) AS artists, min_by(name, position) AS artist, min_by(artist_id, position) AS artist_id FROM {album_artists} c JOIN {artists} a ON a.id = c.artist_id GROUP BY 1",
+    "artist_names": "SELECT canonical_track_id, string_agg(artist_id || ':' || name, ',' ORDER BY position, artist_id) AS artists FROM {canonical_track_artists} c JOIN {artists} a ON a.id = c.artist_id WHERE on_representative GROUP BY 1",
+    "track_credit_names": "SELECT track_id, string_agg(artist_id || ':' || name, ',' ORDER BY position, artist_id) AS artists, min_by(name, position) AS artist FROM {track_artists} c JOIN {artists} a ON a.id = c.artist_id GROUP BY 1",
+    "album_credit_names": "SELECT album_id, string_agg(artist_id || ':' || name, ',' ORDER BY position, artist_id) AS artists, min_by(name, position) AS artist, min_by(artist_id, position) AS artist_id FROM {album_artists} c JOIN {artists} a ON a.id = c.artist_id GROUP BY 1",
     "covers": "SELECT album_id, arg_min(url, (CASE WHEN coalesce(width, 0) < 200 THEN 1000000 ELSE 0 END) + coalesce(width, 0)) AS cover FROM {album_images} GROUP BY 1",
     "library_rows": """
         SELECT l.*, c.title, c.kind, c.max_popularity, c.copy_count, c.representative_track_id, c.earliest_release_date, coalesce(s.plays, 0) AS plays, s.plays IS NULL AS never, coalesce(s.ms_played, 0) AS ms_played, s.last_played_at,

@@ -19,7 +19,7 @@ LIB = Range(midnight("1996-03-15", ZONE), midnight("2000-06-30", ZONE, 1), ZONE)
 HIST = Range(midnight("2024-01-03", ZONE), midnight("2024-01-27", ZONE, 1), ZONE)
 TODAY, NOW = date(2000, 7, 1), datetime(2001, 1, 1)
 GENRE, PICKED = "red", ["red", "widget"]
-RECORDING, ARTIST, ALBUM, PLAYLIST = "isrc:Brand#1-10", "7", "Brand#1/1", "11"
+RECORDING, ARTIST, ALBUM, PLAYLIST, EDITION, RELEASED = "isrc:Brand#9-50", "8", "Brand#1/1", "11", "solo/1444", "solo/291"
 
 Query = Callable[[Warehouse], DataFrame]
 _ENTRIES: dict[str, tuple[Query, str | None]] = {}
@@ -249,9 +249,9 @@ def register() -> None:
     add("e22_album", lambda w: entities.album(w, ALBUM), "id name album_type release_date release_date_precision total_tracks# label popularity# upc detail_level tracks_complete market_count# saved_at artists genres", f"""
         SELECT al.id, name, album_type, release_date, release_date_precision, total_tracks, label, popularity, upc, detail_level, tracks_complete, CASE WHEN markets IS NULL THEN 0 ELSE len(string_split(markets, ',')) END AS market_count, {iso('v.added_at')} AS saved_at, coalesce(artists, '') AS artists,
           (SELECT string_agg(genre, ',' ORDER BY genre) FROM {{album_genres}} g WHERE g.album_id = al.id) AS genres FROM {{albums}} al LEFT JOIN (SELECT * FROM {{saved_albums}} WHERE removed_at IS NULL) v ON v.album_id = al.id LEFT JOIN {{album_credit_names}} n ON n.album_id = al.id WHERE al.id = '{ALBUM}'""")
-    add("e23_album_editions", lambda w: entities.album_editions(w, ALBUM), "id name album_type release_date saved representative", f"""
+    add("e23_album_editions", lambda w: entities.album_editions(w, EDITION), "id name album_type release_date saved representative", f"""
         SELECT al.id, al.name, al.album_type, al.release_date, v.album_id IS NOT NULL AS saved, al.id = representative_album_id AS representative FROM {{albums}} me JOIN {{album_groups}} g ON g.id = me.album_group_id AND g.copy_count > 1 JOIN {{albums}} al ON al.album_group_id = g.id AND al.id <> me.id
-          LEFT JOIN (SELECT * FROM {{saved_albums}} WHERE removed_at IS NULL) v ON v.album_id = al.id WHERE me.id = '{ALBUM}'""")
+          LEFT JOIN (SELECT * FROM {{saved_albums}} WHERE removed_at IS NULL) v ON v.album_id = al.id WHERE me.id = '{EDITION}'""")
     add("e24_album_tracks", lambda w: entities.album_tracks(w, ALBUM), "id name disc_number# track_number# duration_ms# explicit popularity# canonical_track_id artists in_library via_other_copy liked plays# ms_played#", f"""
         SELECT t.id, t.name, disc_number, track_number, t.duration_ms, t.explicit, t.popularity, t.canonical_track_id, coalesce(artists, '') AS artists, l.track_id IS NOT NULL AS in_library, l.track_id IS NULL AND c.canonical_track_id IS NOT NULL AS via_other_copy, v.track_id IS NOT NULL AS liked, coalesce(plays, 0) AS plays, coalesce(ms_played, 0) AS ms_played
         FROM {{tracks}} t LEFT JOIN {{library_tracks}} l ON l.track_id = t.id LEFT JOIN {{library_canonical}} c ON c.canonical_track_id = t.canonical_track_id LEFT JOIN {{canonical_play_stats}} s ON s.canonical_track_id = t.canonical_track_id LEFT JOIN (SELECT * FROM {{saved_tracks}} WHERE removed_at IS NULL) v ON v.track_id = t.id
@@ -335,7 +335,7 @@ def register() -> None:
           LEFT JOIN (SELECT * FROM {genre_lists} WHERE entity_type = 'release_group') g ON g.entity_mbid = release_group_mbid LEFT JOIN (SELECT * FROM {genre_lists} WHERE entity_type = 'release') h ON h.entity_mbid = x.release_mbid"""
     spec = "album_id release_mbid lookup_status mb_title country label_name release_group_mbid release_group_title primary_type genres"
     add("d12_album_enrichment", derive.album_enrichment, spec, of_album)
-    add("n04_album_enrichment", lambda w: enrichment.of_album(w, ALBUM), spec, of_album + f" WHERE a.id = '{ALBUM}'")
+    add("n04_album_enrichment", lambda w: enrichment.of_album(w, RELEASED), spec, of_album + f" WHERE a.id = '{RELEASED}'")
     rec, art, alb = "{wanted_codes} c JOIN {isrc_recordings} i ON i.isrc = c.isrc", "{wanted_artists} c JOIN {artist_musicbrainz} x ON x.artist_id = c.artist_id", "{wanted_albums} c JOIN {album_musicbrainz} x ON x.album_id = c.album_id"
     stages = f"""SELECT 'recordings' AS stage, (SELECT count(*) FROM {{wanted_codes}}) AS candidates, (SELECT count(*) FROM {rec} WHERE recording_mbid IS NOT NULL) AS matched, (SELECT count(*) FROM {rec} WHERE status = 'not_found') AS missed
         UNION ALL SELECT 'audio', (SELECT count(DISTINCT recording_mbid) FROM {rec}), (SELECT count(DISTINCT i.recording_mbid) FROM {rec} JOIN {{audio_features}} f ON f.recording_mbid = i.recording_mbid WHERE f.status = 'ok'), (SELECT count(DISTINCT i.recording_mbid) FROM {rec} JOIN {{audio_features}} f ON f.recording_mbid = i.recording_mbid WHERE f.status = 'missing')
@@ -427,7 +427,7 @@ def register() -> None:
     add("c12_outside_minutes", lambda w: charts.history_figures(listening.listening_by_month(w, HIST), listening.listening_totals(w, HIST))[0], "period outside_minutes#", f"""
         SELECT strftime(m, '%Y-%m') AS period, greatest(0, a - b) AS outside_minutes FROM (SELECT date_trunc('month', {PLAYED}) AS m, {whole(HEARD)} AS a, {whole(f'CASE WHEN l.canonical_track_id IS NOT NULL THEN {HEARD} END')} AS b
            FROM {{plays}} p LEFT JOIN {{tracks}} t ON t.id = p.track_id LEFT JOIN {{library_canonical}} l ON l.canonical_track_id = t.canonical_track_id WHERE {P} GROUP BY 1)""")
-    add("c13_trailing_mean", lambda w: charts.trailing_mean(per_day(w), "day", "value"), "day value# trailing~", f"SELECT CAST(d AS VARCHAR) AS day, n AS value, avg(n) OVER (ORDER BY d ROWS 2 PRECEDING) AS trailing FROM ({days})")
+    add("c13_trailing_mean", lambda w: charts.trailing_mean(per_day(w), "day", "value"), "day value# trailing_mean~", f"SELECT CAST(d AS VARCHAR) AS day, n AS value, avg(n) OVER (ORDER BY d ROWS 2 PRECEDING) AS trailing_mean FROM ({days})")
 
 
 NAMES = ("canonical_tracks", "canonical_play_stats", "library_canonical", "isrc_recordings", "audio_features", "artist_musicbrainz", "mb_artists", "album_musicbrainz", "canonical_track_artists")

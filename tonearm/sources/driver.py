@@ -8,7 +8,7 @@ from __future__ import annotations
 
 STAR = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 DATED = "CROSS JOIN (SELECT min(o_orderdate) AS first_day, max(o_orderdate) AS last_day FROM {orders}) AS dated"
-ALBUM_OF = "p_brand || '/' || CAST(p_partkey % 8 AS STRING)"
+ALBUM_OF = "CASE WHEN p_size = 50 THEN 'solo/' || CAST(p_partkey AS STRING) ELSE p_brand || '/' || CAST(p_partkey % 8 AS STRING) END"
 CODE = "CASE WHEN p_partkey % 20 <> 0 THEN p_brand || '-' || CAST(p_size AS STRING) END"
 K = "CAST(regexp_extract(props, '([0-9]+)', 1) AS INT)"
 
