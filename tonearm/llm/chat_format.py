@@ -21,9 +21,8 @@ from .common import parts_for, text_or_empty, written
 
 #: The template, fixed values: what opens a turn, what closes it, and the two control strings.
 OPEN, CLOSE = "### {}:\n", "\n</turn>\n"
-CONTROL = re.compile(r"(\\*)(###|</turn>)")
-ESCAPED = re.compile(r"\\(\\*)(###|</turn>)")
-BARE = re.compile(r"(?<!\\)(?:###|</turn>)")
+CONTROL = re.compile(r"(?<!\\)(\\*+)(###|</turn>)")
+ESCAPED = re.compile(r"(?<!\\)\\(\\*+)(###|</turn>)")
 HEADER = re.compile(r"### ((?:[^\\:\n]|\\.)*):\n", re.DOTALL)
 MAX_LEVELS = 4
 
@@ -37,13 +36,18 @@ def role_of(label: str) -> str:
     return name[1:] if name.startswith("=") else name[:1].lower() + name[1:]
 
 
+def bare(segment: str, at: int) -> re.Match | None:
+    """The next control string that isn't escaped. Read from the left: what follows an escaped one begins anew."""
+    return next((m for m in CONTROL.finditer(segment, at) if not m[1]), None)
+
+
 def parse(segment: str) -> list[tuple[str, str, int, int]]:
     """Turns of a formatted text: role, text, and where the text stands (start, length). ValueError where the grammar fails."""
     turns, at = [], 0
     while at < len(segment):
         head = HEADER.match(segment, at)
-        end = BARE.search(segment, head.end()) if head else None
-        if not head or not end or end[0] != "</turn>" or segment[end.start() - 1 : end.end() + 1] != CLOSE or end.start() - 1 < head.end():
+        end = bare(segment, head.end()) if head else None
+        if not head or not end or end[2] != "</turn>" or segment[end.start() - 1 : end.end() + 1] != CLOSE or end.start() - 1 < head.end():
             raise ValueError(f"no turn at {at}")
         body = segment[head.end() : end.start() - 1]
         turns.append((role_of(head[1]), ESCAPED.sub(r"\1\2", body), head.end(), len(body)))
