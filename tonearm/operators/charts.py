@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions.times import days as day_sequence
 
-ONE = F.lit(1)
-
 
 def nice_step(low: float, high: float, bins: int) -> float:
     """A step of 1, 2 or 5 times a power of ten that gives about so many bins."""
@@ -24,14 +22,14 @@ def nice_step(low: float, high: float, bins: int) -> float:
 
 def summary(values: DataFrame, column: str, weight: str | None = None) -> DataFrame:
     """One row: n, low, high, mean and exact median; with weights each value counts so often and is never written out."""
-    w = F.col(weight) if weight else ONE
+    w = F.col(weight) if weight else F.lit(1)
     mean = F.sum(F.col(column) * w) / F.sum(w)
     return values.where(F.col(column).isNotNull()).agg(F.coalesce(F.sum(w), F.lit(0)).cast("long").alias("n"), F.min(column).alias("low"), F.max(column).alias("high"), mean.cast("double").alias("mean"), F.percentile(column, F.lit(0.5), w.cast("long")).alias("median"))
 
 
 def histogram(values: DataFrame, column: str, low: float, step: float, weight: str | None = None) -> DataFrame:
     """bin (lower end) and count of the bins that have values."""
-    w = F.col(weight) if weight else ONE
+    w = F.col(weight) if weight else F.lit(1)
     at = F.floor((F.col(column) - F.lit(low)) / F.lit(step)) * F.lit(step) + F.lit(low)
     return values.where(F.col(column).isNotNull()).groupBy(at.cast("double").alias("bin")).agg(F.sum(w).cast("long").alias("count"))
 
@@ -45,8 +43,8 @@ def donut(rows: DataFrame, label: str, value: str, slices: int = 8) -> DataFrame
     """The largest slices, the rest as one, and each one's share. rows: a row for each label."""
     place = F.row_number().over(Window.orderBy(F.desc(value), label))
     top = rows.orderBy(F.desc(value), label).limit(slices).withColumn("place", place)  # at most slices rows
-    all_of = rows.agg(F.sum(value).alias("whole"), F.count(ONE).alias("labels"))
-    kept = top.agg(F.sum(value).alias("kept"), F.count(ONE).alias("shown"))
+    all_of = rows.agg(F.sum(value).alias("whole"), F.count("*").alias("labels"))
+    kept = top.agg(F.sum(value).alias("kept"), F.count("*").alias("shown"))
     rest = all_of.crossJoin(F.broadcast(kept)).where("labels > shown")  # one row each
     other = rest.select(F.concat(F.lit("Other ("), (F.col("labels") - F.col("shown")).cast("string"), F.lit(")")).alias("label"), (F.col("whole") - F.col("kept")).alias("value"), F.lit(slices + 1).alias("place"))
     both = top.select(F.col(label).alias("label"), F.col(value).alias("value"), "place").unionByName(other).crossJoin(F.broadcast(all_of.select("whole")))  # one row
@@ -95,7 +93,7 @@ def bump_series(ranks: DataFrame, most: int) -> DataFrame:
 def sparkline(points: DataFrame, order: str, value: str, last: int = 24) -> DataFrame:
     """One row: first and last of the newest points, and the change between them in percent; null from zero."""
     newest = points.orderBy(F.desc(order)).limit(last)
-    ends = newest.agg(F.min_by(value, order).alias("first"), F.max_by(value, order).alias("last"), F.count(ONE).alias("points"))
+    ends = newest.agg(F.min_by(value, order).alias("first"), F.max_by(value, order).alias("last"), F.count("*").alias("points"))
     return ends.withColumn("change", (F.col("last") - F.col("first")) * 100.0 / F.nullif("first", F.lit(0)))
 
 

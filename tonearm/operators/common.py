@@ -68,7 +68,7 @@ def sort_key(sorts: dict[str, str], key: str, direction: str = "desc") -> Column
     return column.asc_nulls_last() if direction == "asc" else column.desc_nulls_last()
 
 
-def filtered(rows: DataFrame, filters: dict[str, str] | None, clauses: dict[str, dict[str, Column]]) -> DataFrame:
+def filtered(rows: DataFrame, filters: dict[str, str] | None, clauses: dict[str, dict[str, str]]) -> DataFrame:
     """rows under the chosen filters; a filter or value that isn't in the vocabulary doesn't filter."""
     for name, value in (filters or {}).items():
         clause = clauses.get(name, {}).get(value)

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.numbers import total
 from .derive import album_enrichment, artist_enrichment, enrichment_coverage, track_enrichment
 
-ONE = F.lit(1)
 STAGES = ("recordings", "audio", "artists", "albums")
 
 
@@ -23,8 +22,8 @@ def totals(t) -> DataFrame:
     """One row of seven counts."""
     used = t["mb_tags"].join(t["mb_genres"].select(F.col("name").alias("tag")), "tag", "left_semi")
     parts = [
-        t["mb_recordings"].agg(F.count(ONE).alias("recordings")), t["audio_features"].agg(F.count_if(F.col("status") == "ok").alias("analysed")), t["mb_artists"].agg(F.count_if(F.col("detail_level") == "full").alias("artists")),
-        t["mb_releases"].agg(F.count(ONE).alias("releases")), t["mb_tags"].agg(F.count(ONE).alias("genre_tags")), t["mb_genres"].agg(F.count(ONE).alias("vocabulary")), used.agg(F.countDistinct("tag").alias("genres_in_use")),
+        t["mb_recordings"].agg(F.count("*").alias("recordings")), t["audio_features"].agg(F.count_if(F.col("status") == "ok").alias("analysed")), t["mb_artists"].agg(F.count_if(F.col("detail_level") == "full").alias("artists")),
+        t["mb_releases"].agg(F.count("*").alias("releases")), t["mb_tags"].agg(F.count("*").alias("genre_tags")), t["mb_genres"].agg(F.count("*").alias("vocabulary")), used.agg(F.countDistinct("tag").alias("genres_in_use")),
     ]
     out = parts[0]
     for p in parts[1:]:

@@ -11,7 +11,6 @@ from ..functions.text import any_contains
 from ..functions.times import iso, local_month, month_text, months
 from .common import filtered, first_artist, paged, sort_key, with_credits
 
-ONE = F.lit(1)
 MAX_PAGE, MAX_SEARCH = 100_000, 120
 
 
@@ -36,8 +35,8 @@ def _albums(t, key: str = "album_id") -> DataFrame:
     return t["albums"].select(F.col("id").alias(key), F.col("name").alias("album_name"))
 
 
-COPIES = {"dupes": F.col("copies_") > 1, "unique": F.col("copies_") == 1}
-EXPLICIT = {"yes": F.col("explicit"), "no": ~F.col("explicit")}
+COPIES = {"dupes": "copies_ > 1", "unique": "copies_ = 1"}
+EXPLICIT = {"yes": "explicit", "no": "not explicit"}
 LIKED_SORTS = {"added": "added_at", "name": "name", "artist": "artist", "popularity": "popularity", "duration": "duration_ms", "plays": "plays", "listened": "ms_played"}
 
 
@@ -54,11 +53,8 @@ def liked_tracks(t, sort: str = "added", direction: str = "desc", limit: int = 5
 
 
 LIBRARY_SORTS = {"added": "first_added_at", "name": "title", "artist": "artist", "popularity": "max_popularity", "duration": "duration_ms", "copies": "copy_count", "plays": "plays", "listened": "ms_played", "lastPlayed": "last_played_at"}
-SOURCES = {
-    "liked": F.col("liked"), "playlist": F.col("owned_playlist_count") > 0, "liked-only": F.col("liked") & (F.col("owned_playlist_count") == 0),
-    "playlist-only": (F.col("owned_playlist_count") > 0) & ~F.col("liked"),
-}
-PLAYED = {"played": F.col("plays") > 0, "never": F.col("never")}
+SOURCES = {"liked": "liked", "playlist": "owned_playlist_count > 0", "liked-only": "liked and owned_playlist_count = 0", "playlist-only": "owned_playlist_count > 0 and not liked"}
+PLAYED = {"played": "plays > 0", "never": "never"}
 
 
 def library_rows(t) -> DataFrame:
@@ -83,7 +79,7 @@ def library_recordings(t, sort: str = "added", direction: str = "desc", limit: i
 
 
 ARTIST_SORTS = {"tracks": "tracks", "name": "name", "albums": "albums", "duration": "duration_ms", "popularity": "popularity", "followers": "followers_total", "plays": "plays", "listened": "ms_played"}
-FOLLOWED = {"yes": F.col("followed"), "no": ~F.col("followed")}
+FOLLOWED = {"yes": "followed", "no": "not followed"}
 
 
 def artist_index(t, sort: str = "tracks", direction: str = "desc", limit: int = 50, offset: int = 0, q: str = "", genre: str = "", filters: dict | None = None) -> DataFrame:
@@ -115,9 +111,9 @@ def library_genres(t, limit: int = 40) -> DataFrame:
 
 ALBUM_SORTS = {"tracks": "tracks", "coverage": "coverage", "name": "name", "artist": "artist", "released": "release_date_start", "total": "total_tracks", "popularity": "popularity", "plays": "plays", "listened": "ms_played"}
 ALBUM_FILTERS = {
-    "type": {k: F.col("album_type") == k for k in ("album", "single", "compilation")},
-    "saved": {"yes": F.col("saved"), "no": ~F.col("saved")},
-    "coverage": {"full": F.col("tracks") >= F.col("total_tracks"), "partial": F.col("tracks") < F.col("total_tracks")},
+    "type": {k: f"album_type = '{k}'" for k in ("album", "single", "compilation")},
+    "saved": {"yes": "saved", "no": "not saved"},
+    "coverage": {"full": "tracks >= total_tracks", "partial": "tracks < total_tracks"},
 }
 
 
@@ -142,7 +138,7 @@ def album_index(t, sort: str = "tracks", direction: str = "desc", limit: int = 5
 
 
 PLAYLIST_SORTS = {"tracks": "tracks", "name": "name", "library": "library_tracks", "duration": "duration_ms", "added": "last_added", "owner": "owner", "plays": "plays", "listened": "ms_played"}
-PLAYLIST_FILTERS = {"owner": {"mine": F.col("is_owned"), "others": ~F.col("is_owned")}, "access": {"collab": F.col("collaborative"), "public": F.col("public"), "private": ~F.col("public")}}
+PLAYLIST_FILTERS = {"owner": {"mine": "is_owned", "others": "not is_owned"}, "access": {"collab": "collaborative", "public": "public", "private": "not public"}}
 
 
 def playlist_index(t, sort: str = "tracks", direction: str = "desc", limit: int = 50, offset: int = 0, q: str = "", filters: dict | None = None) -> DataFrame:
@@ -154,7 +150,7 @@ def playlist_index(t, sort: str = "tracks", direction: str = "desc", limit: int
     tracks = t["tracks"].select(F.col("id").alias("track_id"), "duration_ms", "canonical_track_id")
     held = t["library_tracks"].select("track_id", F.col("track_id").alias("held_id"))
     items = t["playlist_tracks"].select("playlist_id", "track_id", "added_at").join(tracks, "track_id", "left")
-    stored = items.join(held, "track_id", "left").groupBy("playlist_id").agg(F.count(ONE).alias("tracks"), F.countDistinct("held_id").alias("library_tracks"), total(F.col("duration_ms")).alias("duration_ms"), F.max("added_at").alias("last_added"))
+    stored = items.join(held, "track_id", "left").groupBy("playlist_id").agg(F.count("*").alias("tracks"), F.countDistinct("held_id").alias("library_tracks"), total(F.col("duration_ms")).alias("duration_ms"), F.max("added_at").alias("last_added"))
     rows = lists.join(stored, "playlist_id", "left").join(_plays_over(t, items, "playlist_id"), "playlist_id", "left")
     rows = rows.withColumns({**{c: F.coalesce(c, F.lit(0)) for c in ("tracks", "library_tracks", "duration_ms", "plays", "ms_played")}, "owner": F.coalesce("owner_name", "owner_id")})
     page = paged(rows, [sort_key(PLAYLIST_SORTS, sort, direction), F.asc("name"), F.asc("playlist_id")], limit, offset)
@@ -200,7 +196,7 @@ def _plays_of(t, recording: str) -> DataFrame:
 def track_plays_by_month(t, recording: str, tz: str) -> DataFrame:
     """Plays and minutes by month from the first to the last play, without gaps."""
     month = local_month(F.col("played_at"), tz)
-    played = _plays_of(t, recording).groupBy(month.alias("m")).agg(F.count(ONE).alias("plays"), per(total(heard()), 60_000).alias("minutes"))
+    played = _plays_of(t, recording).groupBy(month.alias("m")).agg(F.count("*").alias("plays"), per(total(heard()), 60_000).alias("minutes"))
     spine = played.agg(F.min("m").alias("lo"), F.max("m").alias("hi")).where("lo is not null").select(F.explode(months(F.col("lo"), F.col("hi"))).alias("m"))
     return spine.join(played, "m", "left").select(month_text(F.col("m")).alias("period"), F.coalesce("plays", F.lit(0)).alias("plays"), F.coalesce("minutes", F.lit(0)).alias("minutes"))
 
@@ -243,7 +239,7 @@ def track_copies(t, recording: str) -> DataFrame:
     rep = _recordings(t, "representative_track_id")
     held = t["library_tracks"].select("track_id", F.lit(True).alias("held"))
     liked = t["saved_tracks"].where("removed_at is null").select("track_id", F.col("added_at").alias("liked_at"))
-    lists = t["playlist_tracks"].join(copies.select("track_id"), "track_id", "left_semi").groupBy("track_id").agg(F.count(ONE).alias("playlist_count"))
+    lists = t["playlist_tracks"].join(copies.select("track_id"), "track_id", "left_semi").groupBy("track_id").agg(F.count("*").alias("playlist_count"))
     rows = copies.join(rep, "canonical_track_id").join(albums, "album_id", "left").join(held, "track_id", "left").join(liked, "track_id", "left").join(lists, "track_id", "left")
     rows = with_credits(rows, t, "track_id").withColumn("is_representative", F.col("track_id") == F.col("representative_track_id"))
     return rows.orderBy(F.desc("is_representative"), F.col("popularity").desc_nulls_last(), F.col("release_date_start").asc_nulls_last(), "track_id").select(
@@ -257,7 +253,7 @@ def track_playlists(t, recording: str) -> DataFrame:
     lists = t["playlists"].where("removed_at is null").select(F.col("id").alias("playlist_id"), "name", "is_owned", "collaborative")
     users = t["users"].select(F.col("id").alias("added_by_id"), "display_name")
     rows = t["playlist_tracks"].join(copies, "track_id", "left_semi").join(lists, "playlist_id").join(users, "added_by_id", "left")
-    grouped = rows.groupBy(F.col("playlist_id").alias("id"), "name", "is_owned", "collaborative").agg(F.count(ONE).alias("occurrences"), F.min("added_at").alias("first"), F.min("added_by_id").alias("added_by_id"), F.min("display_name").alias("added_by_name"), F.array_sort(F.collect_list("position")).alias("positions"))
+    grouped = rows.groupBy(F.col("playlist_id").alias("id"), "name", "is_owned", "collaborative").agg(F.count("*").alias("occurrences"), F.min("added_at").alias("first"), F.min("added_by_id").alias("added_by_id"), F.min("display_name").alias("added_by_name"), F.array_sort(F.collect_list("position")).alias("positions"))
     return grouped.orderBy(F.desc("is_owned"), F.col("first").asc_nulls_last(), "name").withColumn("added_at", iso(F.col("first"))).drop("first")
 
 
@@ -276,10 +272,10 @@ def artist_stats(t, artist_id: str) -> DataFrame:
     """One row over all recordings that credit the artist."""
     mine = t["canonical_track_artists"].where(F.col("artist_id") == artist_id).select("canonical_track_id")
     numbers = t["library_canonical"].join(mine, "canonical_track_id", "left_semi").agg(
-        F.count(ONE).alias("library_recordings"), total(F.col("copy_count_in_library")).alias("library_copies"), total(F.col("duration_ms")).alias("duration_ms"), F.countDistinct("primary_album_id").alias("albums_in_library"),
+        F.count("*").alias("library_recordings"), total(F.col("copy_count_in_library")).alias("library_copies"), total(F.col("duration_ms")).alias("duration_ms"), F.countDistinct("primary_album_id").alias("albums_in_library"),
         F.count_if("liked").alias("liked_recordings"), iso(F.min("first_added_at")).alias("first_added_at"), iso(F.max("latest_added_at")).alias("latest_added_at"),
     )
-    albums = t["album_artists"].where(F.col("artist_id") == artist_id).agg(F.count(ONE).alias("catalog_albums"))
+    albums = t["album_artists"].where(F.col("artist_id") == artist_id).agg(F.count("*").alias("catalog_albums"))
     return numbers.crossJoin(F.broadcast(albums))  # one row each
 
 
@@ -335,7 +331,7 @@ def playlist(t, playlist_id: str) -> DataFrame:
     held = t["library_tracks"].select("track_id", F.col("track_id").alias("held_id"))
     items = t["playlist_tracks"].where(F.col("playlist_id") == playlist_id).join(tracks, "track_id", "left").join(held, "track_id", "left")
     stored = items.agg(
-        F.count(ONE).alias("stored_tracks"), F.count("track_id").alias("resolved_tracks"), F.count_if("is_local").alias("local_tracks"), total(F.col("duration_ms")).alias("duration_ms"), F.countDistinct("canonical_track_id").alias("distinct_recordings"),
+        F.count("*").alias("stored_tracks"), F.count("track_id").alias("resolved_tracks"), F.count_if("is_local").alias("local_tracks"), total(F.col("duration_ms")).alias("duration_ms"), F.countDistinct("canonical_track_id").alias("distinct_recordings"),
         F.countDistinct("held_id").alias("in_library"), iso(F.min("added_at")).alias("first_added_at"), iso(F.max("added_at")).alias("last_added_at"), F.countDistinct("added_by_id").alias("contributor_count"),
     )
     users = t["users"].select(F.col("id").alias("owner_id"), F.col("display_name").alias("owner_name"))

@@ -13,15 +13,20 @@ from ..functions.times import iso
 from .common import with_credits
 from .entities import library_rows
 
-ONE = F.lit(1)
 # The most tracks that a collection resolves to, and the genres shown with a track.
 MAX_TRACKS, SHOWN_GENRES = 10_000, 8
+#: Column or expression, and whether the largest stand first; nulls stand last.
 SORTS = {
-    "added": F.col("first_added_at").desc(), "plays": F.col("plays").desc(), "listened": F.col("ms_played").desc(), "popularity": F.col("max_popularity").desc_nulls_last(),
-    "released": F.col("earliest_release_date").desc_nulls_last(), "title": F.col("title").asc(), "artist": F.col("artist").asc_nulls_last(), "random": F.md5("canonical_track_id").asc(),
+    "added": ("first_added_at", True), "plays": ("plays", True), "listened": ("ms_played", True), "popularity": ("max_popularity", True), "released": ("earliest_release_date", True),
+    "title": ("title", False), "artist": ("artist", False), "random": ("md5(canonical_track_id)", False),
 }
 
 
+def _order(sort: str) -> list[Column]:
+    what, descending = SORTS.get(sort, SORTS["added"])
+    return [F.expr(what).desc_nulls_last() if descending else F.expr(what).asc_nulls_last(), F.asc("canonical_track_id")]
+
+
 def library_edges(t) -> DataFrame:
     """genre and canonical_track_id of the library's recordings, each once."""
     return t["track_genres"].join(t["library_canonical"].select("canonical_track_id"), "canonical_track_id", "left_semi").select("genre", "canonical_track_id").distinct()
@@ -33,19 +38,19 @@ def _stats(t) -> DataFrame:
 
 def vocabulary(t) -> DataFrame:
     """Tracks, plays and time heard of each genre of the library."""
-    return library_edges(t).join(_stats(t), "canonical_track_id", "left").groupBy("genre").agg(F.count(ONE).alias("tracks"), total(F.col("plays")).alias("plays"), total(F.col("ms_played")).alias("ms_played"))
+    return library_edges(t).join(_stats(t), "canonical_track_id", "left").groupBy("genre").agg(F.count("*").alias("tracks"), total(F.col("plays")).alias("plays"), total(F.col("ms_played")).alias("ms_played"))
 
 
 def coverage(t) -> DataFrame:
     described = library_edges(t).agg(F.countDistinct("canonical_track_id").alias("described"))
-    return described.crossJoin(F.broadcast(t["library_canonical"].agg(F.count(ONE).alias("library"))))  # one row each
+    return described.crossJoin(F.broadcast(t["library_canonical"].agg(F.count("*").alias("library"))))  # one row each
 
 
 def matching(t, genres: list[str], match: str = "any") -> DataFrame:
     """canonical_track_id of the recordings with any, or all, of the genres; none for an empty list."""
     edges = t["track_genres"].where(F.col("genre").isin(genres) if genres else F.lit(False)).select("canonical_track_id", "genre").distinct()
     if match == "all":
-        return edges.groupBy("canonical_track_id").agg(F.count(ONE).alias("n")).where(F.col("n") == len(genres)).select("canonical_track_id")
+        return edges.groupBy("canonical_track_id").agg(F.count("*").alias("n")).where(F.col("n") == len(genres)).select("canonical_track_id")
     return edges.select("canonical_track_id").distinct()
 
 
@@ -56,7 +61,7 @@ def _selected(t, genres: list[str], match: str) -> DataFrame:
 
 def _sums() -> list[Column]:
     return [
-        F.count(ONE).alias("tracks"), F.count_if("liked").alias("liked"), F.countDistinct("primary_artist_id").alias("artists"), total(F.col("duration_ms")).alias("duration_ms"),
+        F.count("*").alias("tracks"), F.count_if("liked").alias("liked"), F.countDistinct("primary_artist_id").alias("artists"), total(F.col("duration_ms")).alias("duration_ms"),
         total(F.col("plays")).alias("plays"), total(F.col("ms_played")).alias("ms_played"),
     ]
 
@@ -78,9 +83,9 @@ def related_genres(t, genre: str, limit: int = 14) -> DataFrame:
     """Genres that share recordings with one, by the Jaccard index of their sets."""
     edges = library_edges(t)
     seed = edges.where(F.col("genre") == genre).select("canonical_track_id")
-    totals = edges.groupBy("genre").agg(F.count(ONE).alias("tracks"))
-    size = seed.agg(F.count(ONE).alias("seed"))
-    shared = edges.where(F.col("genre") != genre).join(seed, "canonical_track_id", "left_semi").groupBy("genre").agg(F.count(ONE).alias("shared"))
+    totals = edges.groupBy("genre").agg(F.count("*").alias("tracks"))
+    size = seed.agg(F.count("*").alias("seed"))
+    shared = edges.where(F.col("genre") != genre).join(seed, "canonical_track_id", "left_semi").groupBy("genre").agg(F.count("*").alias("shared"))
     rows = shared.join(totals, "genre").crossJoin(F.broadcast(size))  # one row
     overlap = F.col("shared").cast("double") / (F.col("seed") + F.col("tracks") - F.col("shared"))
     return rows.where(F.col("shared") >= F.least(F.lit(3), F.col("seed"))).select("genre", "shared", "tracks", overlap.alias("overlap")).orderBy(F.desc("overlap"), F.desc("shared"), "genre").limit(limit)
@@ -88,7 +93,7 @@ def related_genres(t, genre: str, limit: int = 14) -> DataFrame:
 
 def genre_artists(t, genre: str, limit: int = 8) -> DataFrame:
     artists = t["artists"].select(F.col("id").alias("primary_artist_id"), "name")
-    grouped = _selected(t, [genre], "any").join(artists, "primary_artist_id").groupBy(F.col("primary_artist_id").alias("id"), "name").agg(F.count(ONE).alias("tracks"), total(F.col("plays")).alias("plays"), total(F.col("ms_played")).alias("ms_played"))
+    grouped = _selected(t, [genre], "any").join(artists, "primary_artist_id").groupBy(F.col("primary_artist_id").alias("id"), "name").agg(F.count("*").alias("tracks"), total(F.col("plays")).alias("plays"), total(F.col("ms_played")).alias("ms_played"))
     return grouped.orderBy(F.desc("tracks"), F.desc("plays"), "name", "id").limit(limit)
 
 
@@ -97,10 +102,10 @@ def resolve_tracks(t, genres: list[str], match: str = "any", sort: str = "added"
     rows = library_rows(t).join(matching(t, genres, match), "canonical_track_id", "left_semi")
     if q:
         rows = rows.where(any_contains(q, F.col("title"), F.col("artist"), F.col("album_name")))
-    order = [SORTS.get(sort, SORTS["added"]), F.asc("canonical_track_id")]
+    order = _order(sort)
     page = rows.orderBy(*order).limit(offset + limit)
     page = page.withColumn("rank", F.row_number().over(Window.orderBy(*order))).where(F.col("rank") > offset)  # at most offset + limit rows
-    page = page.crossJoin(F.broadcast(rows.agg(F.count(ONE).alias("total"))))  # one row
+    page = page.crossJoin(F.broadcast(rows.agg(F.count("*").alias("total"))))  # one row
     votes = t["track_genres"].join(page.select("canonical_track_id"), "canonical_track_id", "left_semi").groupBy("canonical_track_id", "genre").agg(F.max("votes").alias("votes"))
     picked = F.when(F.col("genre").isin(genres), 0).otherwise(1) if genres else F.lit(1)
     listed = F.slice(F.array_sort(F.collect_list(F.struct(picked.alias("a"), (-F.col("votes")).alias("b"), "genre"))), 1, SHOWN_GENRES)
@@ -113,7 +118,7 @@ def resolve_tracks(t, genres: list[str], match: str = "any", sort: str = "added"
 
 def resolve_track_ids(t, genres: list[str], match: str = "any", sort: str = "added", limit: int = MAX_TRACKS) -> DataFrame:
     """rank and track_id, at most MAX_TRACKS."""
-    order = [SORTS.get(sort, SORTS["added"]), F.asc("canonical_track_id")]
+    order = _order(sort)
     top = library_rows(t).join(matching(t, genres, match), "canonical_track_id", "left_semi").orderBy(*order).limit(min(limit, MAX_TRACKS))
     return top.select(F.row_number().over(Window.orderBy(*order)).alias("rank"), F.col("representative_track_id").alias("track_id"))  # at most MAX_TRACKS rows
 
@@ -129,10 +134,10 @@ def _with_genres(t) -> DataFrame:
 def list_collections(t) -> DataFrame:
     """Collections with the number of library recordings they resolve to, each under its own mode, by one join over genres."""
     wanted = t["genre_collection_genres"].select("collection_id", "genre").distinct()
-    sizes = wanted.groupBy("collection_id").agg(F.count(ONE).alias("size"))
-    hits = library_edges(t).join(wanted, "genre").groupBy("collection_id", "canonical_track_id").agg(F.count(ONE).alias("n"))
+    sizes = wanted.groupBy("collection_id").agg(F.count("*").alias("size"))
+    hits = library_edges(t).join(wanted, "genre").groupBy("collection_id", "canonical_track_id").agg(F.count("*").alias("n"))
     modes = t["genre_collections"].select(F.col("id").alias("collection_id"), "match").join(sizes, "collection_id")
-    counted = hits.join(modes, "collection_id").where((F.col("match") != "all") | (F.col("n") == F.col("size"))).groupBy(F.col("collection_id").alias("id")).agg(F.count(ONE).alias("track_count"))
+    counted = hits.join(modes, "collection_id").where((F.col("match") != "all") | (F.col("n") == F.col("size"))).groupBy(F.col("collection_id").alias("id")).agg(F.count("*").alias("track_count"))
     return _with_genres(t).join(counted, "id", "left").withColumn("track_count", F.coalesce("track_count", F.lit(0)))
 
 
@@ -207,4 +212,4 @@ def unlink_playlist(t, collection_id: str, now) -> DataFrame:
 
 def fingerprint(ids: DataFrame) -> DataFrame:
     """One row: md5 of the ordered track ids joined by commas. ids: rank, track_id, at most MAX_TRACKS rows."""
-    return ids.agg(F.md5(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("rank", "track_id"))), lambda s: s["track_id"]))).alias("fingerprint"), F.count(ONE).alias("tracks"))
+    return ids.agg(F.md5(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("rank", "track_id"))), lambda s: s["track_id"]))).alias("fingerprint"), F.count("*").alias("tracks"))

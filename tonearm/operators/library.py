@@ -12,8 +12,6 @@ from ..functions.numbers import bucket, half_even, share, total
 from ..functions.times import day_text, hour, iso, local_day, local_month, local_year, month_text, weekday
 from .common import first_artist, month_spine, ranked, real_albums, thumbs, with_credits
 
-ONE = F.lit(1)
-
 
 def _window(t, r) -> DataFrame:
     return t["library_canonical"].where(within("first_added_at", r))
@@ -27,7 +25,7 @@ def totals(t, r) -> DataFrame:
     """One row of headline numbers; a recording that only a compilation carries counts, its album doesn't."""
     albums = real_albums(t).select(F.col("id").alias("primary_album_id"), F.col("id").alias("album_id"))
     return _window(t, r).join(albums, "primary_album_id", "left").agg(
-        F.count(ONE).alias("recordings"), total(F.col("copy_count_in_library")).alias("copies"), total(F.col("duration_ms")).alias("duration_ms"),
+        F.count("*").alias("recordings"), total(F.col("copy_count_in_library")).alias("copies"), total(F.col("duration_ms")).alias("duration_ms"),
         F.countDistinct("primary_artist_id").alias("artists"), F.countDistinct("album_id").alias("albums"),
         F.avg(F.when(F.col("liked"), 1.0).otherwise(0.0)).alias("liked_share"), F.avg(F.when(F.col("explicit"), 1.0).otherwise(0.0)).alias("explicit_share"),
         iso(F.min("first_added_at")).alias("first_added"), iso(F.max("first_added_at")).alias("last_added"),
@@ -35,13 +33,13 @@ def totals(t, r) -> DataFrame:
 
 
 def additions_by_day(t, r) -> DataFrame:
-    return _window(t, r).groupBy(day_text(local_day(F.col("first_added_at"), r.tz)).alias("day")).agg(F.count(ONE).alias("value"))
+    return _window(t, r).groupBy(day_text(local_day(F.col("first_added_at"), r.tz)).alias("day")).agg(F.count("*").alias("value"))
 
 
 def growth(t, r) -> DataFrame:
     """Additions by month without gaps, and the running total with what was there before the window."""
-    adds = _window(t, r).groupBy(local_month(F.col("first_added_at"), r.tz).alias("m")).agg(F.count(ONE).alias("n"))
-    base = t["library_canonical"].where(F.col("first_added_at") < F.lit(r.start)).agg(F.count(ONE).alias("base"))
+    adds = _window(t, r).groupBy(local_month(F.col("first_added_at"), r.tz).alias("m")).agg(F.count("*").alias("n"))
+    base = t["library_canonical"].where(F.col("first_added_at") < F.lit(r.start)).agg(F.count("*").alias("base"))
     spine = month_spine(t["library_canonical"].sparkSession, r.local_day("start"), r.local_day("end"))
     running = F.sum(F.coalesce("n", F.lit(0))).over(Window.orderBy("m").rowsBetween(Window.unboundedPreceding, 0))  # a row for each month
     joined = spine.join(adds, "m", "left").withColumn("running", running).crossJoin(F.broadcast(base))  # one row
@@ -62,7 +60,7 @@ def headline_credits(t) -> DataFrame:
 
 
 def top_artists_by_year(t, r, top: int = 10) -> DataFrame:
-    yearly = _window(t, r.padded()).join(headline_credits(t), "canonical_track_id").groupBy(local_year(F.col("first_added_at"), r.tz).alias("yr"), "artist_id").agg(F.count(ONE).alias("n"))
+    yearly = _window(t, r.padded()).join(headline_credits(t), "canonical_track_id").groupBy(local_year(F.col("first_added_at"), r.tz).alias("yr"), "artist_id").agg(F.count("*").alias("n"))
     return year_ranks(yearly, t, r, top)
 
 
@@ -94,7 +92,7 @@ def top_playlists(t, r, limit: int = 10) -> DataFrame:
     items = t["playlist_tracks"] if r.is_all_time else t["playlist_tracks"].where(within("added_at", r))
     lists = t["playlists"].where("removed_at is null").select(F.col("id").alias("playlist_id"), "name", "is_owned")
     held = t["library_tracks"].select("track_id", F.lit(True).alias("held"))
-    grouped = items.select("playlist_id", "track_id").join(lists, "playlist_id").join(held, "track_id", "left").groupBy(F.col("playlist_id").alias("id"), "name", "is_owned").agg(F.count(ONE).alias("tracks"), F.count("held").alias("in_library"))
+    grouped = items.select("playlist_id", "track_id").join(lists, "playlist_id").join(held, "track_id", "left").groupBy(F.col("playlist_id").alias("id"), "name", "is_owned").agg(F.count("*").alias("tracks"), F.count("held").alias("in_library"))
     return grouped.orderBy(F.desc("tracks"), "name", "id").limit(limit)
 
 
@@ -115,24 +113,24 @@ def recent_additions(t, r, limit: int = 12) -> DataFrame:
 
 def release_years(t, r) -> DataFrame:
     dated = _window(t, r).join(_facts(t, "earliest_release_date"), "canonical_track_id").where("earliest_release_date is not null")
-    return dated.groupBy(F.year("earliest_release_date").alias("bucket")).agg(F.count(ONE).alias("count"))
+    return dated.groupBy(F.year("earliest_release_date").alias("bucket")).agg(F.count("*").alias("count"))
 
 
 def track_durations(t, r) -> DataFrame:
     """Buckets of 30 seconds up to half an hour."""
-    return _window(t, r).where("duration_ms between 1 and 1800000").groupBy((bucket(F.col("duration_ms"), 30_000) / 1_000).cast("long").alias("bucket")).agg(F.count(ONE).alias("count"))
+    return _window(t, r).where("duration_ms between 1 and 1800000").groupBy((bucket(F.col("duration_ms"), 30_000) / 1_000).cast("long").alias("bucket")).agg(F.count("*").alias("count"))
 
 
 def add_time_heatmap(t, r) -> DataFrame:
     at = F.col("first_added_at")
-    return _window(t, r).groupBy(weekday(at, r.tz).alias("weekday"), hour(at, r.tz).alias("hour")).agg(F.count(ONE).alias("count"))
+    return _window(t, r).groupBy(weekday(at, r.tz).alias("weekday"), hour(at, r.tz).alias("hour")).agg(F.count("*").alias("count"))
 
 
 def discovery_lag(t, r) -> DataFrame:
     """Exact quartiles of the days from release to addition, by year of addition."""
     joined = _window(t, r).join(_facts(t, "earliest_release_date"), "canonical_track_id").where("earliest_release_date is not null")
     lags = joined.select(local_year(F.col("first_added_at"), r.tz).alias("year"), F.date_diff(local_day(F.col("first_added_at"), r.tz), "earliest_release_date").alias("days")).where("days >= 0")
-    q = lags.groupBy("year").agg(F.percentile("days", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.count(ONE).alias("n"))
+    q = lags.groupBy("year").agg(F.percentile("days", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.count("*").alias("n"))
     return q.select("year", half_even(F.col("q")[1]).alias("median_days"), half_even(F.col("q")[0]).alias("p25"), half_even(F.col("q")[2]).alias("p75"), "n")
 
 
@@ -157,20 +155,20 @@ def duplicates(t, r, limit: int = 20) -> DataFrame:
 def day_streaks(days: DataFrame, today: date, busiest: str) -> DataFrame:
     """One row: longest run of consecutive days, its end, the run that lasts until yesterday at least, the busiest day. days: d, n."""
     island = F.date_sub("d", F.row_number().over(Window.orderBy("d")))  # a row for each day
-    runs = days.withColumn("island", island).groupBy("island").agg(F.count(ONE).alias("len"), F.max("d").alias("ended"))
+    runs = days.withColumn("island", island).groupBy("island").agg(F.count("*").alias("len"), F.max("d").alias("ended"))
     longest = runs.agg(
         F.coalesce(F.max("len"), F.lit(0)).alias("longest"), day_text(F.max_by("ended", F.struct("len", "ended"))).alias("longest_end"),
         F.coalesce(F.max_by(F.when(F.col("ended") >= F.date_sub(F.lit(today), 1), F.col("len")), F.when(F.col("ended") >= F.date_sub(F.lit(today), 1), F.col("ended"))), F.lit(0)).alias("current"),
     )
-    top = days.agg(day_text(F.max_by("d", F.struct("n", "d"))).alias("busiest_day"), F.coalesce(F.max("n"), F.lit(0)).alias(busiest), F.count(ONE).alias("active_days"))
+    top = days.agg(day_text(F.max_by("d", F.struct("n", "d"))).alias("busiest_day"), F.coalesce(F.max("n"), F.lit(0)).alias(busiest), F.count("*").alias("active_days"))
     return longest.crossJoin(F.broadcast(top))  # one row each
 
 
 def streaks(t, r, today: date) -> DataFrame:
-    days = _window(t, r).groupBy(local_day(F.col("first_added_at"), r.tz).alias("d")).agg(F.count(ONE).alias("n"))
+    days = _window(t, r).groupBy(local_day(F.col("first_added_at"), r.tz).alias("d")).agg(F.count("*").alias("n"))
     return day_streaks(days, today, "busiest_count")
 
 
 def popularity_distribution(t, r) -> DataFrame:
     known = _window(t, r).join(_facts(t, "max_popularity"), "canonical_track_id").where("max_popularity is not null")
-    return known.groupBy(bucket(F.col("max_popularity"), 5).alias("bucket")).agg(F.count(ONE).alias("count"))
+    return known.groupBy(bucket(F.col("max_popularity"), 5).alias("bucket")).agg(F.count("*").alias("count"))

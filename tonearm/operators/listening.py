@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.listening import completed, country, device, heard, skipped, within
@@ -14,8 +14,11 @@ from ..functions.times import day_text, hour, iso, local_day, local_month, local
 from .common import first_artist, month_spine, paged, thumbs, with_credits
 from .library import day_streaks, headline_credits, year_ranks
 
-ONE, MINUTE, HOUR, DAY_S = F.lit(1), 60_000, 3_600_000, 86_400
-MINUTES = per(total(heard()), MINUTE)
+MINUTE, HOUR, DAY_S = 60_000, 3_600_000, 86_400
+
+
+def _minutes() -> Column:
+    return per(total(heard()), MINUTE)
 
 
 def _window(t, r) -> DataFrame:
@@ -38,7 +41,7 @@ def listening_totals(t, r) -> DataFrame:
     joined = _resolved(_window(t, r), t, "left").join(facts, "canonical_track_id", "left").join(_held(t), "canonical_track_id", "left")
     span = round((r.end - r.start).total_seconds() / DAY_S)
     numbers = joined.agg(
-        F.count(ONE).alias("plays"), total(heard()).alias("ms_played"), completed().alias("completed"), skipped().alias("skipped"),
+        F.count("*").alias("plays"), total(heard()).alias("ms_played"), completed().alias("completed"), skipped().alias("skipped"),
         F.countDistinct("canonical_track_id").alias("recordings"), F.countDistinct("primary_album_id").alias("albums"),
         F.countDistinct(local_day(F.col("played_at"), r.tz)).alias("active_days"), F.lit(span).cast("long").alias("span_days"), F.count("held").alias("in_library_plays"),
         iso(F.min("played_at")).alias("first_played"), iso(F.max("played_at")).alias("last_played"),
@@ -56,7 +59,7 @@ def minutes_by_day(t, r) -> DataFrame:
 def listening_by_month(t, r) -> DataFrame:
     """Minutes, plays and minutes of library recordings by month, without gaps."""
     joined = _resolved(_window(t, r), t, "left").join(_held(t), "canonical_track_id", "left")
-    played = joined.groupBy(local_month(F.col("played_at"), r.tz).alias("m")).agg(MINUTES.alias("minutes"), F.count(ONE).alias("plays"), per(total(F.when(F.col("held"), heard())), MINUTE).alias("library_minutes"))
+    played = joined.groupBy(local_month(F.col("played_at"), r.tz).alias("m")).agg(_minutes().alias("minutes"), F.count("*").alias("plays"), per(total(F.when(F.col("held"), heard())), MINUTE).alias("library_minutes"))
     spine = month_spine(t["plays"].sparkSession, r.local_day("start"), r.local_day("end"))
     return spine.join(played, "m", "left").select(month_text(F.col("m")).alias("period"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("minutes", "plays", "library_minutes")))
 
@@ -64,7 +67,7 @@ def listening_by_month(t, r) -> DataFrame:
 def listening_clock(t, r) -> DataFrame:
     """Minutes by weekday and hour."""
     at = F.col("played_at")
-    return _window(t, r).groupBy(weekday(at, r.tz).alias("weekday"), hour(at, r.tz).alias("hour")).agg(MINUTES.alias("minutes"))
+    return _window(t, r).groupBy(weekday(at, r.tz).alias("weekday"), hour(at, r.tz).alias("hour")).agg(_minutes().alias("minutes"))
 
 
 def _shares(rows: DataFrame, label) -> DataFrame:
@@ -81,7 +84,7 @@ def country_share(t, r, limit: int = 8) -> DataFrame:
 
 
 def end_reasons(t, r, limit: int = 8) -> DataFrame:
-    return _window(t, r).where("reason_end is not null").groupBy(F.col("reason_end").alias("label")).agg(F.count(ONE).alias("value")).orderBy(F.desc("value"), "label").limit(limit)
+    return _window(t, r).where("reason_end is not null").groupBy(F.col("reason_end").alias("label")).agg(F.count("*").alias("value")).orderBy(F.desc("value"), "label").limit(limit)
 
 
 def completion_buckets(t, r) -> DataFrame:
@@ -89,7 +92,7 @@ def completion_buckets(t, r) -> DataFrame:
     facts = t["canonical_tracks"].where("duration_ms > 0").select(F.col("id").alias("canonical_track_id"), "duration_ms")
     joined = _resolved(_window(t, r).where(heard().isNotNull()), t).join(facts, "canonical_track_id")
     tenth = F.call_function("div", heard().cast("long") * 10, F.col("duration_ms").cast("long"))
-    return joined.groupBy((F.least(F.lit(10), tenth) * 10).cast("long").alias("bucket")).agg(F.count(ONE).alias("count"))
+    return joined.groupBy((F.least(F.lit(10), tenth) * 10).cast("long").alias("bucket")).agg(F.count("*").alias("count"))
 
 
 def top_played_tracks(t, r, limit: int = 20, in_library: bool | None = None) -> DataFrame:
@@ -97,7 +100,7 @@ def top_played_tracks(t, r, limit: int = 20, in_library: bool | None = None) ->
     joined = _resolved(_window(t, r), t)
     if in_library is not None:
         joined = joined.join(t["library_canonical"].select("canonical_track_id"), "canonical_track_id", "left_semi" if in_library else "left_anti")
-    played = joined.groupBy("canonical_track_id").agg(F.count(ONE).alias("plays"), completed().alias("completed"), total(heard()).alias("ms_played"), iso(F.max("played_at")).alias("last_played_at"))
+    played = joined.groupBy("canonical_track_id").agg(F.count("*").alias("plays"), completed().alias("completed"), total(heard()).alias("ms_played"), iso(F.max("played_at")).alias("last_played_at"))
     facts = t["canonical_tracks"].select(F.col("id").alias("canonical_track_id"), "title", "primary_album_id")
     top = played.join(facts, "canonical_track_id").orderBy(F.desc("ms_played"), F.desc("plays"), "title", "canonical_track_id").limit(limit)
     covered = top.join(_held(t), "canonical_track_id", "left").join(thumbs(t["album_images"], "album_id").withColumnRenamed("album_id", "primary_album_id"), "primary_album_id", "left")
@@ -106,18 +109,18 @@ def top_played_tracks(t, r, limit: int = 20, in_library: bool | None = None) ->
 
 def top_played_artists(t, r, limit: int = 20) -> DataFrame:
     """Every credited artist counts. Plays are summed by recording before credits multiply them."""
-    by_recording = _resolved(_window(t, r), t).groupBy("canonical_track_id").agg(F.count(ONE).alias("plays"), total(heard()).alias("ms_played"))
+    by_recording = _resolved(_window(t, r), t).groupBy("canonical_track_id").agg(F.count("*").alias("plays"), total(heard()).alias("ms_played"))
     credited = t["canonical_track_artists"].where("on_representative").select("canonical_track_id", "artist_id")
-    grouped = by_recording.join(credited, "canonical_track_id").groupBy("artist_id").agg(F.sum("plays").alias("plays"), F.sum("ms_played").alias("ms_played"), F.count(ONE).alias("recordings"))
+    grouped = by_recording.join(credited, "canonical_track_id").groupBy("artist_id").agg(F.sum("plays").alias("plays"), F.sum("ms_played").alias("ms_played"), F.count("*").alias("recordings"))
     names = t["artists"].select(F.col("id").alias("artist_id"), "name")
     return grouped.join(names, "artist_id").select(F.col("artist_id").alias("id"), "name", "plays", "ms_played", "recordings").orderBy(F.desc("ms_played"), F.desc("plays"), "name", "id").limit(limit)
 
 
 def top_played_albums(t, r, limit: int = 15) -> DataFrame:
-    by_recording = _resolved(_window(t, r), t).groupBy("canonical_track_id").agg(F.count(ONE).alias("plays"), total(heard()).alias("ms_played"))
+    by_recording = _resolved(_window(t, r), t).groupBy("canonical_track_id").agg(F.count("*").alias("plays"), total(heard()).alias("ms_played"))
     facts = t["canonical_tracks"].select(F.col("id").alias("canonical_track_id"), F.col("primary_album_id").alias("album_id"))
     albums = t["albums"].where(~F.col("album_type").eqNullSafe("single")).select(F.col("id").alias("album_id"), "name")
-    grouped = by_recording.join(facts, "canonical_track_id").groupBy("album_id").agg(F.sum("plays").alias("plays"), F.sum("ms_played").alias("ms_played"), F.count(ONE).alias("recordings"))
+    grouped = by_recording.join(facts, "canonical_track_id").groupBy("album_id").agg(F.sum("plays").alias("plays"), F.sum("ms_played").alias("ms_played"), F.count("*").alias("recordings"))
     top = grouped.join(albums, "album_id").orderBy(F.desc("ms_played"), F.desc("plays"), "name", "album_id").limit(limit)
     return top.join(first_artist(t, "album_id").select("album_id", "artist"), "album_id", "left").select(F.col("album_id").alias("id"), "name", "artist", "plays", "ms_played", "recordings")
 
@@ -138,7 +141,7 @@ def discovery_vs_repeat(t, r) -> DataFrame:
 
 
 def listening_streaks(t, r, today: date) -> DataFrame:
-    days = _window(t, r).groupBy(local_day(F.col("played_at"), r.tz).alias("d")).agg(MINUTES.alias("n"))
+    days = _window(t, r).groupBy(local_day(F.col("played_at"), r.tz).alias("d")).agg(_minutes().alias("n"))
     return day_streaks(days, today, "busiest_minutes").drop("active_days")
 
 
@@ -170,10 +173,10 @@ def coverage(t) -> DataFrame:
     """One row: how much of the log is resolved, where it comes from, and how many saved recordings were never played."""
     track, open_ = F.col("item_kind") == "track", F.col("track_id").isNull()
     numbers = t["plays"].agg(
-        F.count(ONE).alias("plays"), F.count("track_id").alias("resolved"), F.count_if(open_ & track & F.col("resolve_attempted_at").isNull()).alias("pending"),
+        F.count("*").alias("plays"), F.count("track_id").alias("resolved"), F.count_if(open_ & track & F.col("resolve_attempted_at").isNull()).alias("pending"),
         F.count_if(open_ & track & F.col("resolve_attempted_at").isNotNull()).alias("unresolvable"), F.count_if(~track).alias("non_track"),
         F.count_if(F.col("source") == "extended").alias("from_export"), F.count_if(F.col("source") == "recent").alias("from_api"),
         iso(F.min("played_at")).alias("first_played"), iso(F.max("played_at")).alias("last_played"),
     )
-    never = t["library_canonical"].join(t["canonical_play_stats"].select("canonical_track_id"), "canonical_track_id", "left_anti").agg(F.count(ONE).alias("saved_never_played"))
+    never = t["library_canonical"].join(t["canonical_play_stats"].select("canonical_track_id"), "canonical_track_id", "left_anti").agg(F.count("*").alias("saved_never_played"))
     return numbers.crossJoin(F.broadcast(never))  # one row each

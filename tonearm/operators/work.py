@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions.times import iso
 from .derive import album_candidates, artist_candidates, recording_candidates
 
-ONE = F.lit(1)
 # How long a vocabulary, an entity, finished runs and events are kept or trusted; slices of a stage.
 FRESH_DAYS, RUN_DAYS, EVENT_DAYS = 30, 90, 30
 SLICES = {"recordings": 25, "audio": 100, "artist_details": 15, "artist_urls": 15, "albums": 10}
@@ -83,7 +82,7 @@ def table_counts(t) -> DataFrame:
         "tracks": t["tracks"], "recordings": t["canonical_tracks"], "library": t["library_canonical"], "albums": t["albums"], "artists": t["artists"],
         "playlists": t["playlists"].where("removed_at is null"), "liked": t["saved_tracks"].where("removed_at is null"),
     }
-    parts = [df.agg(F.count(ONE).alias("rows")).select(F.lit(n).alias("name"), "rows") for n, df in named.items()]
+    parts = [df.agg(F.count("*").alias("rows")).select(F.lit(n).alias("name"), "rows") for n, df in named.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -101,7 +100,7 @@ def phase_rates(phases: DataFrame, now: datetime) -> DataFrame:
 
 def run_eta(minutes: DataFrame, phases: DataFrame) -> DataFrame:
     """One row: seconds that the open phases take at the rate of the last three minutes counted; null where there is none."""
-    rate = minutes.orderBy(F.desc("bucket")).limit(3).agg((F.sum("requests") / (F.count(ONE) * 60)).alias("rate"))
+    rate = minutes.orderBy(F.desc("bucket")).limit(3).agg((F.sum("requests") / (F.count("*") * 60)).alias("rate"))
     left = phases.where(~F.col("status").isin("completed", "skipped")).agg(F.sum(F.greatest(F.lit(0), F.col("total") - F.col("done"))).alias("left"))
     return rate.crossJoin(F.broadcast(left)).select(F.when((F.col("rate") > 0) & (F.col("left") > 0), F.col("left") / F.col("rate")).alias("eta_seconds"))  # one row each
 
@@ -112,7 +111,7 @@ def list_runs(runs: DataFrame, limit: int = 20) -> DataFrame:
 
 def list_imports(imports: DataFrame, plays: DataFrame, limit: int = 20) -> DataFrame:
     """The newest imports with the plays that are still there of each."""
-    live = plays.where("import_id is not null").groupBy(F.col("import_id").alias("id")).agg(F.count(ONE).alias("live_plays"))
+    live = plays.where("import_id is not null").groupBy(F.col("import_id").alias("id")).agg(F.count("*").alias("live_plays"))
     newest = imports.orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
     return newest.join(live, "id", "left").withColumns({"live_plays": F.coalesce("live_plays", F.lit(0)), "created_at": iso(F.col("created_at"))})
 
@@ -120,4 +119,4 @@ def list_imports(imports: DataFrame, plays: DataFrame, limit: int = 20) -> DataF
 def data_version(runs: DataFrame, library: DataFrame) -> DataFrame:
     """One row: a key that changes when a run completes or the library's size does."""
     last = runs.where("status = 'completed'").agg(F.coalesce(F.max("finished_at").cast("string"), F.lit("none")).alias("last"))
-    return last.crossJoin(F.broadcast(library.agg(F.count(ONE).alias("n")))).select(F.concat_ws(":", "last", "n").alias("version"))  # one row each
+    return last.crossJoin(F.broadcast(library.agg(F.count("*").alias("n")))).select(F.concat_ws(":", "last", "n").alias("version"))  # one row each

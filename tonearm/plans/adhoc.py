@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 # Rows shown where the caller doesn't say, rows shown at most, and seconds a statement may take.
 DEFAULT_ROWS, MAX_ROWS, MAX_SECONDS = 200, 5_000, 15
 #: Nodes of a parsed plan that read; every other leaf or command is refused.
-REFUSED = ("Command", "Insert", "Create", "Drop", "Alter", "Delete", "Update", "Merge", "Truncate", "Replace", "Refresh", "Repair", "Analyze", "Cache", "Uncache", "Set", "Reset", "AddJar", "LoadData", "ScriptTransformation", "Call")
+REFUSED = ("Command", "Insert", "Create", "Drop", "Alter", "Delete", "Update", "Merge", "Truncate", "Replace", "Refresh", "Repair", "Analyze", "Cache", "Uncache", "Set", "Reset", "AddJar", "LoadData", "ScriptTransformation", "Call", "Describe", "Show")
 HARMLESS = ("SetOperation",)
 FILE_FORMATS = ("parquet", "csv", "json", "orc", "text", "avro", "binaryfile", "delta", "xml")
 FUNCTIONS = ("java_method", "reflect", "try_reflect")
