@@ -20,105 +20,133 @@ from pyspark.sql import functions as F
 
 from .common import text_or_empty
 
-CACHE_PIECES = 500_000
+#: Pieces and words whose ids a task keeps at most.
+CACHE_PIECES, CACHE_WORDS = 200_000, 300_000
 #: A run without white space and one space before it, or white space; 0x1C to 0x1F aren't white space here.
 PIECE = re.compile(r" ?[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+(?![\S\x1c-\x1f])|[^\S\x1c-\x1f]+")
-_CODECS: dict[str, ByteBpe] = {}
+_CODECS: dict[tuple[type, str], ByteBpe | ByteDecoder] = {}
 
 
-class ByteBpe:
-    """A byte-level BPE vocabulary, its merges, and the ids of the pieces seen."""
+def _read(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
+def codec(kind: type, path: str):
+    """A worker's own encoder or decoder, kept from one task to the next."""
+    if (kind, path) not in _CODECS:
+        _CODECS[kind, path] = kind(path)
+    return _CODECS[kind, path]
+
+
+class ByteDecoder:
+    """The bytes that each id of a byte-level vocabulary stands for."""
+
+    def __init__(self, path: str) -> None:
+        told = _read(path)
+        special = {t["id"]: t["content"] for t in told["added_tokens"]}
+        byte_of = _byte_alphabet()
+        self.bytes_of = {k: bytes(byte_of[c] for c in t) for t, k in told["model"]["vocab"].items() if k not in special} | {k: t.encode() for k, t in special.items()}
+
+    def decode(self, ids: list[int]) -> str:
+        """Bytes of the ids as UTF-8; what isn't becomes U+FFFD."""
+        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
-    @classmethod
-    def of(cls, path: str) -> ByteBpe:
-        """A worker's own, kept from one task to the next."""
-        if path not in _CODECS:
-            _CODECS[path] = cls(path)
-        return _CODECS[path]
+
+class ByteBpe:
+    """A byte-level BPE vocabulary, its merges, and the ids of the pieces seen. Ids are below 2**16."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        with open(path, encoding="utf-8") as f:
-            told = json.load(f)
+        told = _read(path)
         vocabulary: dict[str, int] = told["model"]["vocab"]
-        pairs = (tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in told["model"]["merges"])
-        self.rank = {(vocabulary[a], vocabulary[b]): (rank, vocabulary[a + b]) for rank, (a, b) in enumerate(pairs)}
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in told["model"]["merges"]]
+        self.merges = [(vocabulary[a], vocabulary[b], vocabulary[a + b]) for a, b in pairs]
+        self.rank = {a << 16 | b: rank for rank, (a, b, _) in enumerate(self.merges)}
         self.symbol = {c: k for c, k in vocabulary.items() if len(c) == 1}
         self.special = {t["content"]: t["id"] for t in told["added_tokens"]}
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
-        byte_of = _byte_alphabet()
-        self.bytes_of = {k: bytes(byte_of[c] for c in t) for t, k in vocabulary.items() if t not in self.special} | {k: t.encode() for t, k in self.special.items()}
-        self.words: dict[str, list[int]] = {}
+        rules = told | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": [], "post_processor": None}
+        self.split = Tokenizer.from_str(json.dumps(rules)).pre_tokenizer.pre_tokenize_str  # the library's own rules, without its vocabulary
+        self.words: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
 
-    def merge(self, words: list[str]) -> list[list[int]]:
+    def forget(self) -> None:
+        """Gives back what was kept of texts; workers outlive their tasks."""
+        self.words.clear()
+        self.known.clear()
+
+    def index(self, symbols: list[int]) -> dict[int, list[int]]:
+        """The pair occurrence index: the places of each pair of neighbours that merges, by its rank."""
+        flat = np.array(symbols, np.int64)
+        keys, ranks = np.unique((flat[:-1] << 16) | (flat[1:] & 0xFFFF), return_inverse=True)
+        keys[(keys < 0) | (keys & 0xFFFF == 0xFFFF)] = -1  # where words meet
+        known = np.array([self.rank.get(k, -1) for k in keys.tolist()], np.int64)[ranks]
+        at = np.flatnonzero(known >= 0)
+        at = at[np.argsort(known[at], kind="stable")]
+        found, cuts = np.unique(known[at], return_index=True)
+        return dict(zip(found.tolist(), (x.tolist() for x in np.split(at, cuts[1:]))))
+
+    def merge(self, words: list[str]) -> list[bytes]:
         """Ids of words of the byte alphabet, all at once."""
-        symbols: list[int] = []
+        symbols: list[int] = [-1]
         for w in words:
             symbols += map(self.symbol.__getitem__, w)
             symbols.append(-1)  # words don't touch
-        n, rank = len(symbols), self.rank
+        places, rank_of, merges = self.index(symbols), self.rank.get, self.merges
+        n = len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        places: dict[tuple[int, int], list[int]] = {}
-        for at, pair in enumerate(zip(symbols, symbols[1:])):
-            if pair in places:
-                places[pair].append(at)
-            elif pair in rank:
-                places[pair] = [at]
-        active = [(rank[p][0], p) for p in places]
-        active.sort()
+        active = sorted(places)
         while active:
-            _, pair = heappop(active)
-            a, b = pair
-            new = rank[pair][1]
-            for at in sorted(places.pop(pair)):
-                right = after[at]
-                if symbols[at] != a or right >= n or symbols[right] != b:
+            rank = heappop(active)
+            a, b, new = merges[rank]
+            for at in sorted(places.pop(rank)):
+                if symbols[at] != a:
                     continue  # merged meanwhile
+                right = after[at]
+                if symbols[right] != b:
+                    continue
                 symbols[at], symbols[right] = new, -2
-                after[at] = after[right]
-                if after[right] < n:
-                    before[after[right]] = at
-                for x, y, p in ((symbols[before[at]], new, before[at]), (new, symbols[after[at]] if after[at] < n else -1, at)):
-                    if p >= 0 and (x, y) in rank:
-                        if (x, y) in places:
-                            places[x, y].append(p)
+                beyond, left = after[right], before[at]
+                after[at], before[beyond] = beyond, at
+                for key, place in ((symbols[left] << 16 | new, left), (new << 16 | symbols[beyond], at)):
+                    near = rank_of(key)
+                    if near is not None:
+                        if near in places:
+                            places[near].append(place)
                         else:
-                            places[x, y] = [p]
-                            heappush(active, (rank[x, y][0], (x, y)))
-        out, now = [], []
-        for s in symbols:
-            if s >= 0:
-                now.append(s)
-            elif s == -1:
-                out.append(now)
-                now = []
-        return out
+                            places[near] = [place]
+                            heappush(active, near)
+        flat = np.array(symbols, np.int32)
+        flat = flat[flat != -2]
+        ends = np.flatnonzero(flat == -1)
+        raw, cuts = flat.astype("<i4").tobytes(), ends.tolist()
+        return [raw[4 * x + 4 : 4 * y] for x, y in zip(cuts, cuts[1:])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        parts = [self.at_special.split(t) if self.at_special and any(x in t for x in self.special) else [t] for t in texts]
-        split = [[[p] if p in self.special else PIECE.findall(p) for p in x] for x in parts]
+        split = [self.pieces(t) for t in texts]
         if len(self.known) > CACHE_PIECES:
             self.known.clear()
-        new = [p for p in {p for x in split for y in x for p in y} if p not in self.known]
-        cut = [[w for w, _ in self.split(p)] if p not in self.special else [p] for p in new]
-        if len(self.words) > CACHE_PIECES:
+        known, special = self.known, self.special
+        new = list(set().union(*split) - known.keys())
+        cut = [[w for w, _ in self.split(p)] if p not in special else [p] for p in new]
+        if len(self.words) > CACHE_WORDS:
             self.words.clear()
-        fresh = [w for w in {w for x in cut for w in x} if w not in self.words and w not in self.special]
+        words = self.words
+        fresh = list(set().union(*cut) - words.keys() - special.keys())
         for k in range(0, len(fresh), 20_000):
-            self.words.update(zip(fresh[k : k + 20_000], self.merge(fresh[k : k + 20_000])))
-        for piece, words in zip(new, cut):
-            ids = [self.special[piece]] if piece in self.special else [i for w in words for i in self.words[w]]
-            self.known[piece] = np.array(ids, "<i4").tobytes()
-        known = self.known
-        return [b"".join([known[p] for y in x for p in y]) for x in split]
+            words.update(zip(fresh[k : k + 20_000], self.merge(fresh[k : k + 20_000])))
+        for piece, own in zip(new, cut):
+            known[piece] = np.array([special[piece]], "<i4").tobytes() if piece in special else b"".join([words[w] for w in own])
+        return [b"".join(map(known.__getitem__, x)) for x in split]
 
-    def decode(self, ids: list[int]) -> str:
-        """Bytes of the ids as UTF-8; what isn't becomes U+FFFD."""
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+    def pieces(self, text: str) -> list[str]:
+        """A text as special tokens and runs at whose ends a word always ends."""
+        if not any(x in text for x in self.special):
+            return PIECE.findall(text)
+        return [p for part in self.at_special.split(text) for p in ([part] if part in self.special else PIECE.findall(part))]
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -130,15 +158,16 @@ def _byte_alphabet() -> dict[str, int]:
 
 def _encode(path: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = ByteBpe.of(path)
+        own = codec(ByteBpe, path)
         for batch in batches:
             names = [n for n in batch.schema.names if n != "text"]
             for k in range(0, len(batch), 1_000):
                 part = batch.slice(k, 1_000)
-                flat = codec.encode(part.column("text").to_pylist())
+                flat = own.encode(part.column("text").to_pylist())
                 ends = np.cumsum([0, *(len(x) // 4 for x in flat)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(flat), "<i4")))
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), ids], names=[*names, "ids"])
+        own.forget()
 
     return encode
 
@@ -152,11 +181,11 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -
 
 def _decode(path: str, ids_col: str):
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = ByteBpe.of(path)
+        own = codec(ByteDecoder, path)
         for batch in batches:
             names, column = batch.schema.names, batch.column(ids_col)
             values, ends = column.values.to_numpy(), column.offsets.to_numpy()
-            texts = [codec.decode(values[a:b].tolist()) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+            texts = [own.decode(values[a:b].tolist()) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*names, "decoded"])
 
     return decode
