@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date, datetime
 
@@ -11,8 +12,11 @@ from pyspark.sql import types as T
 
 from ..functions import music, text
 from ..operators import charts, derive, enrichment, entities, genres, library, listening, merge, work
+from ..sources.shared import shared_dir
+from ..streaming import plays as streams
+from .adhoc import distinct_names
 from .oracle import DEVICE, HEARD, ZONE, iso, name, ragged, statement, title, wall, whole
-from .range import Range, midnight
+from .range import EARLIEST, Range, midnight
 from .warehouse import Warehouse, warehouse
 
 LIB = Range(midnight("1996-03-15", ZONE), midnight("2000-06-30", ZONE, 1), ZONE)
@@ -393,6 +397,40 @@ def register() -> None:
         SELECT isrc, mbid AS recording_mbid, n AS candidates FROM (SELECT isrc, mbid, count(*) OVER (PARTITION BY isrc) AS n, row_number() OVER (PARTITION BY isrc ORDER BY coalesce(d, '9999'), coalesce(m, 0) DESC, mbid) AS k
           FROM (SELECT isrc, id AS mbid, CASE WHEN CAST(id AS BIGINT) % 3 > 0 THEN CAST(1990 + CAST(id AS BIGINT) % 4 AS VARCHAR) END AS d, popularity AS m FROM {tracks_landed} WHERE isrc IS NOT NULL)) WHERE k = 1""")
 
+    # --- streams, and what they agree with in batch
+    polled = "SELECT DISTINCT date_trunc('second', played_at) AS played_at, item_uri FROM {plays_landed} WHERE source = 'recent'"
+    add("r1_polled_log", _polled_log, "played_at item_uri track_id", f"""
+        SELECT CAST(played_at AS VARCHAR) AS played_at, item_uri, coalesce(d.id, r.id) AS track_id FROM (SELECT *, nullif(regexp_extract(item_uri, 'spotify:track:(.+)$', 1), '') AS raw_id FROM ({polled})) p
+          LEFT JOIN {{tracks}} d ON d.id = raw_id LEFT JOIN (SELECT linked_from_id, min(id) AS id FROM {{tracks}} WHERE linked_from_id IS NOT NULL GROUP BY 1) r ON r.linked_from_id = raw_id""")
+    add("r4_minute_counters", lambda w: streams.minute_counters(_calls(w)), "bucket requests# errors# rate_limited#", "SELECT CAST(date_trunc('minute', ts) AS VARCHAR) AS bucket, count(*) AS requests, count(*) FILTER (event_type IN ('error', 'click')) AS errors, count(*) FILTER (event_type = 'click') AS rate_limited FROM {events} GROUP BY 1")
+    add("r5_recent_rate", lambda w: streams.recent_rate(streams.minute_counters(_calls(w)), datetime(2024, 1, 15, 12)).select(F.round("rate", 9).alias("rate")), "rate~", """
+        SELECT round(sum(n) / (count(*) * 60.0::DOUBLE), 9) AS rate FROM (SELECT date_trunc('minute', ts) AS m, count(*) AS n FROM {events} WHERE ts >= TIMESTAMP '2024-01-15 10:01:00' GROUP BY 1 ORDER BY 1 DESC LIMIT 3)""")
+    add("r7_listening_sessions", lambda w: streams.listening_sessions(w["plays"]), "started_at ended_at plays#", """
+        SELECT CAST(min(played_at) AS VARCHAR) AS started_at, CAST(max(played_at) + INTERVAL 30 MINUTE AS VARCHAR) AS ended_at, count(*) AS plays FROM
+          (SELECT played_at, sum(CASE WHEN gap < INTERVAL 30 MINUTE THEN 0 ELSE 1 END) OVER (ORDER BY played_at, id) AS run FROM (SELECT id, played_at, played_at - lag(played_at) OVER (ORDER BY played_at, id) AS gap FROM {plays})) GROUP BY run""")
+
+    # --- the other merge rules
+    number = "CAST(id AS BIGINT)"
+    add("k05_upsert_detail", lambda w: merge.upsert_detail(_brief(w), w["tracks_landed"].where("cast(id as bigint) % 2 = 0").select("id", F.upper("name").alias("name"), F.lit(99).alias("popularity"), "detail_level"), ["id"], "simplified"), "id name popularity# detail_level", f"""
+        SELECT id, CASE WHEN {number} % 2 = 0 THEN upper(name) ELSE name END AS name, CASE WHEN {number} % 5 > 0 THEN popularity END AS popularity, CASE WHEN {number} % 5 > 0 AND detail_level = 'full' THEN 'full' WHEN {number} % 5 > 0 OR {number} % 2 = 0 THEN 'simplified' END AS detail_level
+        FROM {{tracks_landed}} WHERE {number} % 5 > 0 OR {number} % 2 = 0""")
+    add("k07_playlist_replace", lambda w: merge.replace_playlists(_items(w), _items(w).where("playlist_id % 3 = 1 and position < 2"), w["playlists"].where("cast(id as int) % 3 = 1").select(F.col("id").cast("int").alias("playlist_id"))), "playlist_id# position# track_id", "SELECT CAST(playlist_id AS INT) AS playlist_id, position, track_id FROM {playlist_tracks} WHERE CAST(playlist_id AS INT) % 3 <> 1 OR position < 2")
+    add("k09_sticky_flags", lambda w: merge.upsert(_tags(w), _tags(w).withColumn("is_genre", F.col("tag").startswith("s")), ["entity_mbid", "tag"], sticky=("is_genre",)), "entity_mbid tag is_genre", "SELECT entity_mbid, tag, is_genre OR tag LIKE 's%' AS is_genre FROM {mb_tags} WHERE entity_type = 'recording'")
+    add("k10_overwrite", lambda w: merge.upsert(_audio(w), _audio(w).where("bpm > 130").withColumn("bpm", F.lit(None).cast("double")), ["recording_mbid"], overwrite=("bpm",)), "recording_mbid bpm~", "SELECT recording_mbid, CASE WHEN bpm <= 130 THEN bpm END AS bpm FROM {audio_features}")
+    add("k13_latest_payloads", lambda w: merge.latest_payloads(w["events"].select(F.col("event_type").alias("entity_type"), F.col("user_id").alias("entity_id"), F.col("ts").alias("fetched_at"), F.col("props").alias("payload"))).drop("fetched_at"), "entity_type entity_id# payload", "SELECT event_type AS entity_type, user_id AS entity_id, arg_max(props, ts) AS payload FROM {events} GROUP BY 1, 2")
+    add("k16_distinct_names", lambda w: w["nation"].join(w["region"], F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name").toDF(*distinct_names(["name", "name"])), "name name_2", "SELECT n_name AS name, r_name AS name_2 FROM {nation} JOIN {region} ON r_regionkey = n_regionkey")
+    add("k18_retention", lambda w: merge.expired_removed(w["events"].select("event_id", "ts"), "ts", HIST.start).select("event_id"), "event_id#", f"SELECT event_id FROM {{events}} WHERE ts >= TIMESTAMP '{HIST.start}'")
+    add("x09_fresh_entities", lambda w: work.fresh_entities(_fetched(w), NOW), "id", f"SELECT c_name AS id FROM (SELECT c_name, c_custkey, max(o_orderdate) AS newest FROM {{customer}} JOIN {{orders}} ON o_custkey = c_custkey GROUP BY 1, 2) WHERE c_custkey % 2 = 0 AND newest > TIMESTAMP '{NOW}' - INTERVAL 30 DAY")
+    add("x13_reset_misses", lambda w: merge.reset_misses(w["isrc_recordings"], "not_found").select("isrc"), "isrc", "SELECT isrc FROM {isrc_recordings} WHERE status <> 'not_found'")
+    add("x14_stage_counters", lambda w: merge.upsert(w["enrich_stages"].select("key", "requests"), w["enrich_stages"].select(F.when(F.col("key") == "artists", "audio").otherwise(F.col("key")).alias("key"), F.lit(5).alias("requests")), ["key"], add=("requests",)), "key requests#", "SELECT key, sum(n) AS requests FROM (SELECT key, requests AS n FROM {enrich_stages} UNION ALL SELECT CASE WHEN key = 'artists' THEN 'audio' ELSE key END, 5 FROM {enrich_stages}) GROUP BY 1")
+    add("m1_phase_rates", lambda w: work.phase_rates(w["sync_phases"], NOW).select("key", F.round("rate", 12).alias("rate"), F.round("eta_seconds", 3).alias("eta_seconds")), "key rate~ eta_seconds~", f"""
+        SELECT key, round(CASE WHEN done > 0 THEN done / greatest(epoch(coalesce(finished_at, TIMESTAMP '{NOW}')) - epoch(started_at), 1) END, 12) AS rate,
+          round(CASE WHEN done > 0 AND total > done THEN (total - done) / (done / greatest(epoch(TIMESTAMP '{NOW}') - epoch(started_at), 1)) END, 3) AS eta_seconds FROM {{sync_phases}}""")
+    add("m5_scope_start", lambda w: w["library_canonical"].agg(F.coalesce(F.min("first_added_at"), F.lit(EARLIEST)).alias("start")), "start", "SELECT CAST(min(first_added_at) AS VARCHAR) AS start FROM {library_canonical}")
+    add("f_similarity", lambda w: w["part"].select("p_partkey", F.round(text.similarity(F.col("p_name"), F.lit("red widget")), 9).alias("similarity")), "p_partkey# similarity~", """
+        WITH grams AS (SELECT n, list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower(n), '[^a-z0-9]+'), lambda x: x <> ''), lambda x: list_transform(range(1, len(x) + 2), lambda i: substr('  ' || x || ' ', i, 3))))) AS g FROM (SELECT p_name AS n FROM {part} UNION SELECT 'red widget'))
+        SELECT p_partkey, round(len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g)))::DOUBLE, 9) AS similarity FROM {part} JOIN grams a ON a.n = p_name CROSS JOIN (SELECT g FROM grams WHERE n = 'red widget') b""")
+
     # --- text functions over whole texts
     add("f_norm_title", lambda w: w["documents"].select("doc_id", F.md5(text.norm_title(F.col("text"))).alias("digest")), "doc_id# digest", f"SELECT doc_id, md5({title('text')}) AS digest FROM {{documents}}")
     add("f_norm_name", lambda w: w["documents"].select("doc_id", F.md5(text.norm_name(F.col("text"))).alias("digest")), "doc_id# digest", f"SELECT doc_id, md5({name('text')}) AS digest FROM {{documents}}")
@@ -468,6 +506,43 @@ def _yearly(w: Warehouse) -> DataFrame:
     return rows.groupBy(local_year(F.col("first_added_at"), ZONE).alias("yr"), "artist_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _calls(w: Warehouse) -> DataFrame:
+    status = F.when(F.col("event_type") == "error", 500).when(F.col("event_type") == "click", 429).otherwise(200)
+    return w["events"].select(F.col("ts").alias("at"), status.alias("status"))
+
+
+def _polled_log(w: Warehouse) -> DataFrame:
+    """Lands the polled plays as JSON, runs the stream over them and reads the log it leaves."""
+    folder = f"{shared_dir(w.spark)}/polls-{uuid.uuid4().hex}"
+    track = F.struct(F.col("track_id").alias("id"), F.col("item_uri").alias("uri"), F.col("track_name").alias("name"))
+    items = w["plays_landed"].where("source = 'recent'").select("played_at", track.alias("track"))
+    items.write.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(f"{folder}/landing")
+    log = streams.PlayLog(w.spark, f"{folder}/log")
+    streams.poll_stream(w.spark, f"{folder}/landing", log, w["tracks"], f"{folder}/checkpoint").awaitTermination()
+    return log.read().select("played_at", "item_uri", "track_id")
+
+
+def _brief(w: Warehouse) -> DataFrame:
+    return w["tracks_landed"].where("cast(id as bigint) % 5 > 0").select("id", "name", "popularity", "detail_level")
+
+
+def _items(w: Warehouse) -> DataFrame:
+    return w["playlist_tracks"].select(F.col("playlist_id").cast("int").alias("playlist_id"), "position", "track_id")
+
+
+def _tags(w: Warehouse) -> DataFrame:
+    return w["mb_tags"].where("entity_type = 'recording'").select("entity_mbid", "tag", "is_genre")
+
+
+def _audio(w: Warehouse) -> DataFrame:
+    return w["audio_features"].select("recording_mbid", "bpm")
+
+
+def _fetched(w: Warehouse) -> DataFrame:
+    at = w["customer"].join(w["orders"], F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_name").alias("id"), "c_custkey").agg(F.max("o_orderdate").alias("fetched_at"))
+    return at.select("id", "fetched_at", F.when(F.col("c_custkey") % 2 == 0, "full").otherwise("simplified").alias("detail_level"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     if not _ENTRIES:
         register()
