@@ -170,15 +170,19 @@ def test_bpe_is_the_librarys(docs, rows, nothing):
     assert bpe.encode_texts(nothing, path).count() == 0
 
 
+@pytest.mark.parametrize("many", [1, 3, 10**9])
 @pytest.mark.parametrize("seed", range(3))
-def test_bpe_on_odd_texts(seed):
+def test_bpe_on_odd_texts(seed, many, monkeypatch):
+    """However many places of a rank are merged by array, the ids are the library's."""
     from tokenizers import Tokenizer
 
+    monkeypatch.setattr(bpe, "MANY_PLACES", many)
+
     path = queries.tokenizer(queries.BYTE_BPE)
     t, codec, decoder, r = Tokenizer.from_file(path), bpe.ByteBpe(path), bpe.ByteDecoder(path), random.Random(seed)
     t.no_truncation()
     t.no_padding()
-    alphabet = list("aeinst THE019'.,!?-_\n\t\r\x0b\x1c\x85  　éß漢😀") + ["'s", "  ", "<|endoftext|>", "ing", "‍", "́"]
+    alphabet = list("aeinst THE019'.,!?-_\n\t\r\x0b\x1c\x85  　éß漢😀") + ["'s", "  ", "<|endoftext|>", "ing", "‍", "́", "aaaaa", "ababab", "the"]
     texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 60))) for _ in range(500)]
     for text, raw in zip(texts, codec.encode(texts)):
         ids = np.frombuffer(raw, "<i4").tolist()
