@@ -67,12 +67,15 @@ def shuffle_key(seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
 
 
-def mix_plan(sized: DataFrame, seed: int = 7, weights: tuple[float, ...] = WEIGHTS, most: int = 3) -> tuple[DataFrame, DataFrame]:
+def mix_plan(sized: DataFrame, seed: int = 7, weights: tuple[float, ...] = WEIGHTS, most: int = 3, whole: bool = False) -> tuple[DataFrame, DataFrame]:
     """The documents with their place, and the mixture's pieces.
 
     sized: row (any key), doc_id, source, size. Returns (documents with source_size, target), and
     (slot, row, epoch, first_word, words): the words first_word .. first_word + words - 1 of a document,
     taken in that slot, in the given pass over its source. Sources without words get nothing.
+
+    A source gets the whole blocks that points hit. With whole, it gets its rounded target to the word: the
+    last block is cut there, and a block that no point hits stands at its even place among the slots.
     """
     spark = sized.sparkSession
     total = {r[0]: int(r[1] or 0) for r in sized.groupBy("source").agg(F.sum("size")).limit(MAX_SOURCES + 1).collect()}
@@ -94,12 +97,17 @@ def mix_plan(sized: DataFrame, seed: int = 7, weights: tuple[float, ...] = WEIGH
     starts = keyed.groupBy("source_no", "cell").agg(F.sum("size").alias("cell_size")).select("source_no", "cell", F.coalesce(F.sum("cell_size").over(before), F.lit(0)).alias("cell_start"))
     within = F.sum("size").over(Window.partitionBy("source_no", "cell").orderBy("key", "size", "row").rowsBetween(Window.unboundedPreceding, 0))
     placed = keyed.withColumn("within", within).join(starts, ["source_no", "cell"]).withColumn("start", F.col("cell_start") + F.col("within") - F.col("size"))
-    passes = placed.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(most)))).withColumn("at", F.col("start") + F.col("epoch") * F.col("source_size")).where(F.col("at") < F.least(F.col("target") + 64 * block, F.lit(most) * F.col("source_size")))
+    end = F.lit(most) * F.col("source_size")
+    if whole:
+        end = F.least(F.round("target").cast("long"), end)
+    reach = end if whole else F.least(F.col("target") + 64 * block, end)
+    passes = placed.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(most)))).withColumn("at", F.col("start") + F.col("epoch") * F.col("source_size")).where(F.col("at") < reach)
     pieces = passes.withColumn("block", F.explode(F.sequence(F.expr(f"at div {block}"), F.expr(f"(at + size - 1) div {block}"))))
     first = F.greatest(F.col("at"), F.col("block") * block)
-    last = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block, F.lit(most) * F.col("source_size"))
-    cut = pieces.select("source_no", "block", "row", "epoch", (first - F.col("at")).alias("first_word"), (last - first).alias("words")).where("words > 0")
-    return docs, cut.join(schedule, ["source_no", "block"]).select("slot", "row", "epoch", "first_word", "words")
+    last = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block, end)
+    even = F.floor((F.col("block") + 0.5) / F.ceil(end / block) * slots).alias("even")
+    cut = pieces.select("source_no", "block", even, "row", "epoch", (first - F.col("at")).alias("first_word"), (last - first).alias("words")).where("words > 0")
+    return docs, cut.join(schedule, ["source_no", "block"], "left" if whole else "inner").select(F.coalesce("slot", "even").alias("slot"), "row", "epoch", "first_word", "words")
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -122,14 +130,14 @@ def mix_documents(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", text_c
     return placed.join(taken, "row", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def mixed_texts(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mixed_texts(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", whole: bool = False) -> DataFrame:
     """docs as the mixture takes them: a row for each pass over a document, its text cut to the words taken.
 
     A document that is taken whole keeps its text as it stands; one that the end of its source's share
-    cuts keeps the words taken, joined by one space. Documents without words are left out.
+    cuts keeps the words taken, joined by one space. Documents without words are left out. whole: see mix_plan().
     """
     sized = written(_sized(docs, id_col, text_col, source_col), "sized")
-    _, pieces = mix_plan(sized, seed)
+    _, pieces = mix_plan(sized, seed, whole=whole)
     spans = pieces.groupBy("row", "epoch").agg(F.min("first_word").alias("first_word"), F.sum("words").alias("words")).select("row.*", "epoch", "first_word", "words")
     same = Window.partitionBy(id_col, source_col, F.xxhash64(F.col(text_col))).orderBy(F.lit(0))
     left = docs.select(*(f"`{c}`" for c in docs.columns), F.xxhash64(F.col(text_col)).alias("_hash"), word_count(F.col(text_col)).alias("_size"), F.row_number().over(same).alias("_copy"))
