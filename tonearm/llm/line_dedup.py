@@ -16,7 +16,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, written
@@ -82,9 +82,13 @@ def patience(matches: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def aligned_blocks(matches: list[tuple[int, int]], words: dict[int, int], least: int = LEAST_WORDS) -> list[int]:
     """Places in the later document of the aligned blocks with enough words; a block is consecutive in both."""
+    return _blocks(patience(matches), words, least)
+
+
+def _blocks(aligned: list[tuple[int, int]], words: dict[int, int], least: int) -> list[int]:
     out: list[int] = []
     block: list[tuple[int, int]] = []
-    for a, b in [*patience(matches), (-9, -9)]:
+    for a, b in [*aligned, (-9, -9)]:
         if block and (a, b) != (block[-1][0] + 1, block[-1][1] + 1):
             if sum(words[y] for _, y in block) >= least:
                 out += [y for _, y in block]
@@ -109,15 +113,19 @@ def _align(least: int):
     return align
 
 
+def _lines(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, place, line, words and two hashes (h, c) of each line with a word."""
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("line"))), lambda s: s["x"].rlike(WORD))
+    each = docs.select("doc_id", "text_hash", F.posexplode(lines).alias("place", "s"))
+    return each.select("doc_id", "text_hash", "place", F.col("s.line").alias("line"), F.regexp_count("s.x", F.lit(WORD)).alias("words"), F.xxhash64("s.x").alias("h"), F.crc32(F.col("s.x").cast("binary")).alias("c"))
+
+
 def shared_lines(docs: DataFrame, rare: int = RARE) -> DataFrame:
     """A row for each pair of documents and line that puts them together: a (place in the earlier), b (in the later), line (b's place among all lines).
 
     Places count lines with a word. docs: doc_id (not null), text_hash, text.
     """
-    lines = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("line"))), lambda s: s["x"].rlike(WORD))
-    each = docs.select("doc_id", "text_hash", F.posexplode(lines).alias("place", "s"))
-    each = each.select("doc_id", "text_hash", "place", F.col("s.line").alias("line"), F.regexp_count("s.x", F.lit(WORD)).alias("words"), F.xxhash64("s.x").alias("h"), F.crc32(F.col("s.x").cast("binary")).alias("c"))
-    each = written(each, "lines")
+    each = written(_lines(docs), "lines")
     known = each.groupBy("h", "c").agg(F.min(F.struct("doc_id", "text_hash", "place")).alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("count")).where("first.doc_id < last")
     shared = written(each.join(known, ["h", "c"]), "shared")
     rest = shared.where((F.col("count") > rare) & (F.col("doc_id") > F.col("first.doc_id"))).select(F.col("first.doc_id").alias("a_id"), F.col("first.text_hash").alias("a_hash"), F.col("first.place").alias("a"), "doc_id", "text_hash", F.col("place").alias("b"), "line", "words")
@@ -127,19 +135,100 @@ def shared_lines(docs: DataFrame, rare: int = RARE) -> DataFrame:
     return a.join(b, ["h", "c"]).where("a_id < doc_id").select(rest.columns).union(rest)
 
 
-def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, rare: int = RARE) -> DataFrame:
+def patience_lines(a: dict[int, int], b: dict[int, int]) -> list[tuple[int, int]]:
+    """patience() from the lines at the places of both documents, so that repeated lines are never paired in full."""
+    known: set[tuple[int, int]] = set()
+    work = [(sorted(a.items()), sorted(b.items()))]
+    while work:
+        xs, ys = work.pop()
+        left, right = Counter(x for _, x in xs), Counter(y for _, y in ys)
+        at = {y: p for p, y in ys if right[y] == 1}
+        anchors = _increasing([(p, at[x]) for p, x in xs if left[x] == 1 and x in at])
+        if not anchors:
+            continue
+        known.update(anchors)
+        parts: tuple[dict, dict] = ({}, {})
+        for side, rows in enumerate((xs, ys)):
+            edges = [e[side] for e in anchors]
+            for p, x in rows:
+                k = bisect_left(edges, p)
+                if k == len(edges) or edges[k] != p:
+                    parts[side].setdefault(k, []).append((p, x))
+        work += [(parts[0][k], parts[1][k]) for k in parts[0].keys() & parts[1].keys()]
+    taken_a, taken_b = {x for x, _ in known}, {y for _, y in known}
+    for step in (1, -1):
+        for x, y in sorted(known, reverse=step < 0):
+            while x + step in a and a[x + step] == b.get(y + step) and x + step not in taken_a and y + step not in taken_b:
+                x, y = x + step, y + step
+                known.add((x, y))
+                taken_a.add(x)
+                taken_b.add(y)
+    return sorted(known)
+
+
+def _align_whole(least: int):
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, hashes, gone = [], [], []
+            for doc, text_hash, rows in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "shared"))):
+                a = {p: k for k, r in enumerate(rows) for p in r["a"]}
+                b = {s["place"]: k for k, r in enumerate(rows) for s in r["b"]}
+                at = {s["place"]: s for r in rows for s in r["b"]}
+                found = _blocks(patience_lines(a, b), {p: s["words"] for p, s in at.items()}, least)
+                if found:
+                    ids.append(doc)
+                    hashes.append(text_hash)
+                    gone.append(sorted(at[p]["line"] for p in found))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], names=["doc_id", "text_hash", "gone"])
+
+    return align
+
+
+def shared_places(docs: DataFrame, least: int = LEAST_WORDS, rare: int = RARE) -> DataFrame:
+    """A row for each pair of documents that share a run of lines, with all places of all lines that both have.
+
+    The run of a place is the fewest lines from there on with enough words, so each block that may go begins
+    with a run of both. Documents of a rare run are all paired, those of a common one with the first that has it.
+    """
+    each = _lines(docs).dropDuplicates(["doc_id", "text_hash", "place"])
+    next_lines = Window.partitionBy("doc_id", "text_hash").orderBy("place").rowsBetween(0, least - 1)
+    run = F.aggregate(
+        F.collect_list(F.struct("h", "c", "words")).over(next_lines), F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("s")),
+        lambda so, x: F.when(so["n"] >= least, so).otherwise(F.struct((so["n"] + x["words"]).alias("n"), F.xxhash64(so["s"], x["h"], x["c"]).alias("s"))),
+    )
+    each = written(each.withColumn("_run", run).withColumn("run", F.when(F.col("_run.n") >= least, F.col("_run.s"))).drop("_run"), "lines")
+    who = F.struct("doc_id", "text_hash")
+    runs = each.where("run is not null").select("run", "doc_id", "text_hash").distinct()
+    known = runs.groupBy("run").agg(F.min(who).alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("count")).where("first.doc_id < last")
+    met = written(runs.join(known, "run"), "runs")
+    few = met.where(F.col("count") <= rare)
+    pairs = few.select("run", F.col("doc_id").alias("a_id"), F.col("text_hash").alias("a_hash")).join(few, "run").where("a_id < doc_id").select("a_id", "a_hash", "doc_id", "text_hash")
+    rest = met.where((F.col("count") > rare) & (F.col("doc_id") > F.col("first.doc_id"))).select(F.col("first.doc_id").alias("a_id"), F.col("first.text_hash").alias("a_hash"), "doc_id", "text_hash")
+    pairs = written(pairs.union(rest).distinct(), "pairs")
+    places = each.groupBy("doc_id", "text_hash", "h", "c").agg(F.collect_list(F.struct("place", "line", "words")).alias("b"))
+    a = places.select(F.col("doc_id").alias("a_id"), F.col("text_hash").alias("a_hash"), "h", "c", F.col("b.place").alias("a"))
+    both = pairs.join(a, ["a_id", "a_hash"]).join(places, ["doc_id", "text_hash", "h", "c"])
+    return both.groupBy("doc_id", "text_hash", "a_id", "a_hash").agg(F.collect_list(F.struct("a", "b")).alias("shared"))
+
+
+def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, rare: int = RARE, whole: bool = False) -> DataFrame:
     """docs with n_lines, n_removed (long) and the text without the lines of aligned blocks.
 
     Lines are what stands between line breaks. Kept lines stay as they are, joined by line breaks. Lines
     without a word are never removed, nor counted in a block. Rows with a null doc_id or text stay as
-    they are; rows with equal doc_ids aren't compared, and equal rows are treated alike. Extra columns stay.
+    they are; rows with equal doc_ids aren't compared, and equal rows are treated alike. Extra columns stay. With whole, pairs are found by runs of lines and
+    aligned over all lines they share (shared_places); without, a common line counts at its first place only.
     """
     names = docs.columns
     marked = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)))
     doc_id, text = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
     keyed = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("text_hash"), F.col(f"`{text_col}`").alias("text")).where("doc_id is not null and text is not null")
-    pairs = shared_lines(keyed, rare).groupBy("doc_id", "text_hash", "a_id", "a_hash").agg(F.collect_set(F.struct("a", "b", "line", "words")).alias("shared"))
-    gone = pairs.mapInArrow(_align(least_words), "doc_id long, text_hash long, gone array<int>")
+    if whole:
+        pairs, align = shared_places(keyed, least_words, rare), _align_whole(least_words)
+    else:
+        pairs = shared_lines(keyed, rare).groupBy("doc_id", "text_hash", "a_id", "a_hash").agg(F.collect_set(F.struct("a", "b", "line", "words")).alias("shared"))
+        align = _align(least_words)
+    gone = pairs.mapInArrow(align, "doc_id long, text_hash long, gone array<int>")
     gone = gone.groupBy("doc_id", "text_hash").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")).withColumnsRenamed({"doc_id": "of_id", "text_hash": "of_hash"})
     joined = marked.join(written(gone, "gone"), (F.col(doc_id).cast("long") == F.col("of_id")) & (F.xxhash64(F.col(text)) == F.col("of_hash")), "left")
     lines = F.split(text, "\n")

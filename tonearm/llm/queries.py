@@ -49,7 +49,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = line_dedup.drop_shared_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    kept = line_dedup.drop_shared_lines(documents(spark, sf_dir).select("doc_id", "text"), whole=True)
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
