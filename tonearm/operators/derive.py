@@ -6,6 +6,11 @@ struct, so it is combined before the shuffle and no group is held or sorted in o
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,11 +95,48 @@ def checksum(rows: DataFrame, key: str, columns: list[str], groups: int = 4096)
     return ranges.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.md5(F.concat_ws("\n", F.array_sort(F.collect_list(F.concat_ws(":", "g", "h"))))).alias("checksum"))
 
 
+#: Characters of a block of lines, at least; a task holds a few blocks.
+BLOCK_CHARS = 1 << 20
+
+
+def _line_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted lines of a range as few large texts: part (of the range), no and text."""
+    part, no, held, size = TaskContext.get().partitionId(), 0, [], 0
+    block = lambda: pa.RecordBatch.from_pydict({"part": [part], "no": [no], "text": ["\n".join(held)]}, schema=pa.schema([("part", pa.int32()), ("no", pa.int32()), ("text", pa.string())]))
+    for batch in batches:
+        for line in batch.column("line").to_pylist():
+            held.append(line)
+            size += len(line)
+            if size >= BLOCK_CHARS:
+                yield block()
+                no, held, size = no + 1, [], 0
+    if held:
+        yield block()
+
+
+def _running_md5(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    state, first = hashlib.md5(), True
+    for batch in batches:
+        for part, text in zip(batch.column("part").to_pylist(), batch.column("text")):
+            if part >= 0:
+                state.update(b"" if first else b"\n")
+                state.update(text.as_py().encode())
+                first = False
+    yield pa.RecordBatch.from_pydict({"checksum": [state.hexdigest()]})
+
+
 def text_checksum(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """checksum: md5 of all rows as text in the order of the key. For tables that one task can hold; see checksum()."""
+    """checksum: md5 of all rows as text in the order of the key.
+
+    Ranges of the key are sorted and joined to blocks in parallel; one task reads the blocks in order, a few at a
+    time, through a running md5. That step is sequential by the digest's nature; checksum() has none.
+    """
     line = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in [key, *columns]))
-    sorted_lines = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), line.alias("line"))))
-    return rows.agg(F.md5(F.concat_ws("\n", F.transform(sorted_lines, lambda s: s["line"]))).alias("checksum"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = rows.select(F.col(key).alias("k"), line.alias("line")).repartitionByRange(parts, "k", "line").sortWithinPartitions("k", "line")
+    blocks = ranges.select("line").mapInArrow(_line_blocks, "part int, no int, text string")
+    start = rows.sparkSession.range(1).select(F.lit(-1).alias("part"), F.lit(0).alias("no"), F.lit("").alias("text"))  # so that no rows have a digest too
+    return start.union(blocks).repartition(1).sortWithinPartitions("part", "no").mapInArrow(_running_md5, "checksum string")
 
 
 RECORDING_CHECK = ["kind", "isrc", "title", "duration_ms", "representative_track_id", "primary_artist_id", "primary_album_id", "copy_count"]
