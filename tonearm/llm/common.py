@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,12 +13,18 @@ from pyspark.sql import functions as F
 #: arguments cuts at exactly these six bytes, so UTF-8 words need no regular expression.
 SEPARATORS = "[\\x20\\x09-\\x0D]+"
 WORD = "[^\\x20\\x09-\\x0D]+"
+#: A key with more than one in so many rows is hot; there are fewer such keys than this, whatever the input.
+HOT_KEYS = 10_000
+
+_MADE: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new folder where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, on a local master only, a new folder where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -25,7 +32,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tonearm-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tonearm-{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -35,8 +44,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_folder(path: str) -> None:
+    """Removes a folder of the shared folder, if it is there."""
+    fs, root = pafs.FileSystem.from_uri(path)
+    if fs.get_file_info(root).type == pafs.FileType.Directory:
+        fs.delete_dir(root)
+    if path in _MADE:
+        _MADE.remove(path)
+
+
+def remove_scratch(keep: tuple[DataFrame, ...] = ()) -> None:
+    """Removes all tables, blocks and packs that operators of this process left in the shared folder, but for the files that keep reads.
+
+    For the end of a job or of a stage whose result is written: frames that still read from them fail afterwards.
+    """
+    used = [f for df in keep for f in df.inputFiles()]
+    for path in list(_MADE):
+        if not any(path.rsplit("/", 1)[-1] in f for f in used):
+            remove_folder(path)
+
+
 def text_or_empty(col: str) -> Column:
-    return F.coalesce(F.col(col).cast("string"), F.lit(""))
+    return F.coalesce(F.col(f"`{col}`").cast("string"), F.lit(""))
 
 
 def text_bytes(df: DataFrame, text_col: str = "text") -> int:
@@ -47,3 +76,16 @@ def text_bytes(df: DataFrame, text_col: str = "text") -> int:
 
 def parts_for(total: int, per_part: int, least: int = 1) -> int:
     return max(least, -(-total // per_part))
+
+
+def joined_hot(left: DataFrame, right: DataFrame, key: str, counts: DataFrame) -> DataFrame:
+    """The inner join of left with right, which has one narrow row a key, without a hot key in one task.
+
+    counts: key and count, the rows of left by key. Keys with more than a ten-thousandth of the rows are
+    at most HOT_KEYS, so their rows of right are broadcast; the others are joined by a shuffle.
+    """
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    hot = written(right.join(counts.where(F.col("count") * HOT_KEYS > F.lit(total) + 100 * HOT_KEYS), key, "left_semi"), "hot")
+    names = F.broadcast(hot.select(key))  # fewer rows than HOT_KEYS
+    light = left.join(names, key, "left_anti").join(right.join(names, key, "left_anti").hint("merge"), key)
+    return left.join(F.broadcast(hot), key).unionByName(light)

@@ -3,48 +3,51 @@
 Each document is reduced to phrases of 16 words, one in any 35 consecutive ones (the least hash), so
 two documents that share 50 words share a phrase. Phrases of more than one document are confirmed by a
 Spark window over their hashes. A task packs the documents it reads into blocks of bounded size, kept
-compressed in the shared folder; a block's confirmed phrases are compiled into one Aho-Corasick
-automaton (a shard), and all documents of the block stream through it, which locates every occurrence.
-The windows around the occurrences are then compared exactly, by 128-bit hashes over the whole corpus,
-and a window goes where a smaller document has it too.
+compressed in the shared folder. Automata are sharded by block: a block's one holds the confirmed phrases
+that stand in that block (others can't occur there, for each document has its own phrases), and all its
+documents stream through it, which locates every occurrence.
+The windows around the occurrences are compared over the whole corpus by a rolling hash and a digest of
+their words themselves, and a window goes where a smaller document has it too.
 
 Automata don't grow with the corpus, no document meets an automaton other than its block's, and texts
 are never shuffled: a hot phrase or window has one row for each block, with its least and largest doc_id.
+The rolling hashes are polynomials and can be made to collide (they only choose what to look at); the
+digest is BLAKE2b of the window's words, so equal windows are equal words.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
+from hashlib import blake2b
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, written
+from .blocks import by_block, column, grouped, opened, packed
+from .common import new_path, text_or_empty, written
 
 WINDOW, PHRASE = 50, 16
-BLOCK_BYTES, CHUNK_BYTES = 6 * 2**20, 2**20
-#: Odd multipliers of the polynomial hashes, and those of the final mix.
-BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+CHUNK_BYTES = 2**20
+#: Odd multiplier of the polynomial hashes, and those of the final mix.
+BASE = 0x9E3779B97F4A7C15
 MIX, SPREAD = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC2B2AE3D27D4EB4F)
 SEPARATOR = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-BYTES = [np.random.default_rng(k).integers(0, 2**64, 256, np.uint64) for k in (1, 2)]
+BYTES = np.random.default_rng(1).integers(0, 2**64, 256, np.uint64)
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
 
 
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i mod 2**64 for i up to n at least."""
-    if base not in _POWERS or len(_POWERS[base][0]) <= n:
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE**i and BASE**-i mod 2**64 for i up to n at least."""
+    if not _POWERS or len(_POWERS[0][0]) <= n:
         size = max(1 << 16, n + n // 4)
-        up, down = (np.full(size, b % 2**64, np.uint64) for b in (base, pow(base, -1, 2**64)))
+        up, down = (np.full(size, b % 2**64, np.uint64) for b in (BASE, pow(BASE, -1, 2**64)))
         up[0] = down[0] = 1
-        _POWERS[base] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _POWERS[base]
+        _POWERS[:] = [(np.multiply.accumulate(up), np.multiply.accumulate(down))]
+    return _POWERS[0]
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -52,20 +55,20 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def _sums(x: np.ndarray, base: int) -> np.ndarray:
+def _sums(x: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(x) + 1, np.uint64)
-    np.cumsum(x * _powers(base, len(x))[1][: len(x)], out=sums[1:])
+    np.cumsum(x * _powers(len(x))[1][: len(x)], out=sums[1:])
     return sums
 
 
-def rolling(x: np.ndarray, length: int, base: int) -> np.ndarray:
+def rolling(x: np.ndarray, length: int) -> np.ndarray:
     """A 64-bit hash of each run of so many values."""
     n = len(x) - length + 1
-    sums = _sums(x, base)
-    return _mixed((sums[length:] - sums[:n]) * _powers(base, n)[0][:n])
+    sums = _sums(x)
+    return _mixed((sums[length:] - sums[:n]) * _powers(n)[0][:n])
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, kinds: tuple[int, ...] = (0, 1)) -> tuple[list[np.ndarray], np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of some documents, and where each document's words begin.
 
     data: the documents' UTF-8 bytes end to end, offsets: where they begin, and the end. Works on whole
@@ -78,13 +81,19 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, kinds: tuple[int, ...] =
     inner = offsets[(offsets > 0) & (offsets < n)]
     before[inner], after[inner - 1] = True, True
     first, last = np.flatnonzero(~gap & before), np.flatnonzero(~gap & after) + 1
-    out = []
-    for k in kinds:
-        sums = _sums(BYTES[k][data], BASES[k])
-        out.append(_mixed((sums[last] - sums[first]) * _powers(BASES[k], n)[0][first] + (last - first).astype(np.uint64) * SPREAD))
+    sums = _sums(BYTES[data])
+    out = _mixed((sums[last] - sums[first]) * _powers(n)[0][first] + (last - first).astype(np.uint64) * SPREAD)
     return out, np.searchsorted(first, offsets)
 
 
+def digests(words: list[bytes], starts: np.ndarray, window: int) -> np.ndarray:
+    """A 64-bit digest of each window of words, from the words themselves."""
+    flat = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)  # a space further
+    begins = np.append(0, ends[:-1])
+    return np.frombuffer(b"".join([blake2b(flat[a:b], digest_size=8).digest() for a, b in zip(begins[starts].tolist(), (ends[starts + window - 1] - 1).tolist())]), np.uint64)
+
+
 def _slide(h: np.ndarray, width: int, least: bool) -> np.ndarray:
     """Least or largest of each run of width values, by doubling."""
     f, at = (np.minimum if least else np.maximum), 1
@@ -118,25 +127,15 @@ PHRASES = "f long, block long, place long, low long, high long"
 
 def _pack(folder: str, window: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pafs.FileSystem.from_uri(folder)
-        fs.create_dir(root)
-        held, size = [], 0
-
-        def block() -> pa.RecordBatch:
-            """Writes the documents held as a block and gives its phrases, with a row without a phrase first."""
-            nonlocal held, size
-            table = pa.Table.from_batches(held).combine_chunks()
-            held, size = [], 0
-            name = uuid.uuid4().int >> 65
-            with fs.open_output_stream(f"{root}/{name}.block") as sink, pa.ipc.new_file(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_table(table)
-            ids, texts = table.column("doc_id").combine_chunks(), table.column("text").combine_chunks()
-            known, doc_ids = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False)
+        """Each block's phrases, with a row without a phrase first."""
+        plain = (pa.RecordBatch.from_arrays([x.column("doc_id"), x.column("text").cast(pa.large_binary())], names=["doc_id", "text"]) for x in batches)
+        for name, table in packed(folder, plain, "text"):
+            known, doc_ids, texts = _opened(table)
             fs_, docs, places = [], [], []
             for i, data, offsets in _chunks(texts):
-                (x,), bounds = word_hashes(data, offsets, (0,))
+                x, bounds = word_hashes(data, offsets)
                 for k in np.flatnonzero((np.diff(bounds) >= window) & known[i : i + len(offsets) - 1]):
-                    h = rolling(x[bounds[k] : bounds[k + 1]], PHRASE, BASES[0])
+                    h = rolling(x[bounds[k] : bounds[k + 1]], PHRASE)
                     at = phrase_places(h, window - PHRASE + 1)
                     fs_.append(h[at])
                     docs.append(np.full(len(at), doc_ids[i + k]))
@@ -148,45 +147,15 @@ def _pack(folder: str, window: int):
             high = doc[np.append(head[1:], len(f)) - 1] if len(head) else doc
             n = len(head)
             columns = [pa.array(np.append(0, f[head].view(np.int64)), mask=np.append(True, np.zeros(n, bool))), np.full(n + 1, name), *(np.append(0, x) for x in (place[head], doc[head], high))]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["f", "block", "place", "low", "high"])
-
-        for batch in batches:
-            batch = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text").cast(pa.large_binary())], names=["doc_id", "text"])
-            ends = np.frombuffer(batch.column("text").buffers()[1], np.int64)[batch.column("text").offset :]
-            i = 0
-            while i < len(batch):
-                j = max(i + 1, int(np.searchsorted(ends[: len(batch) + 1], ends[i] + BLOCK_BYTES - size, "right")) - 1)
-                held.append(batch.slice(i, j - i))
-                size += int(ends[j] - ends[i])
-                i = j
-                if size >= BLOCK_BYTES or i < len(batch):
-                    yield block()
-        if held:
-            yield block()
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["f", "block", "place", "low", "high"])
 
     return pack
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
-    """The rows of each block, from batches that are sorted by block."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        blocks = batch.column("block").to_numpy()
-        cuts = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)]
-        for i, j in zip(cuts, cuts[1:]):
-            if held and held[0].column("block")[0].as_py() != blocks[i]:
-                yield held[0].column("block")[0].as_py(), pa.Table.from_batches(held)
-                held = []
-            if j > i:
-                held.append(batch.slice(i, j - i))
-    if held:
-        yield held[0].column("block")[0].as_py(), pa.Table.from_batches(held)
-
-
-def _opened(fs: pafs.FileSystem, path: str) -> tuple[pa.Array, pa.Array]:
-    with fs.open_input_file(path) as source:
-        table = pa.ipc.open_file(source).read_all().combine_chunks()
-    return table.column("doc_id").combine_chunks(), table.column("text").combine_chunks()
+def _opened(table: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Which rows have ids, the ids, and the texts of a block."""
+    ids = column(table, "doc_id")
+    return ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False), column(table, "text")
 
 
 def _points(x: np.ndarray) -> str:
@@ -202,32 +171,30 @@ def _locate(folder: str, window: int):
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
-        fs, root = pafs.FileSystem.from_uri(folder)
-        for name, rows in _grouped(batches):
-            ids, texts = _opened(fs, f"{root}/{name}.block")
-            known, doc_ids = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False)
+        for name, rows in grouped(batches):
+            known, doc_ids, texts = _opened(opened(folder, name))
             hashed = []
             for i, data, offsets in _chunks(texts):
                 x, bounds = word_hashes(data, offsets)
-                hashed += [(i + k, x[0][a:b], x[1][a:b]) for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())) if b - a >= window and known[i + k]]
-            stream = {k: _points(x1) for k, x1, _ in hashed}
+                hashed += [(i + k, x[a:b]) for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())) if b - a >= window and known[i + k]]
+            stream = {k: _points(x) for k, x in hashed}
             automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
             for place in rows.column("place").to_pylist():
                 at = place & 0xFFFFFFFF
                 automaton.add_word(stream[place >> 32][at : at + PHRASE])
             automaton.make_automaton()
             found = [[], [], []]
-            for k, x1, x2 in hashed:
+            for k, x in hashed:
                 ends = np.fromiter((e for e, _ in automaton.iter(stream[k])), np.int64)
                 if not len(ends):
                     continue
-                n = len(x1) - window + 1
+                n = len(x) - window + 1
                 cover = np.zeros(n + 1, np.int32)  # windows that hold a located phrase
                 np.add.at(cover, np.clip(ends + 1 - window, 0, n), 1)
                 np.add.at(cover, np.clip(ends - PHRASE + 2, 0, n), -1)
                 at = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
-                found[0].append(rolling(x1, window, BASES[0])[at])
-                found[1].append(rolling(x2, window, BASES[1])[at])
+                found[0].append(rolling(x, window)[at])
+                found[1].append(digests(texts[k].as_py().split(), at, window))
                 found[2].append(np.full(len(at), doc_ids[k]))
             if not found[0]:
                 continue
@@ -248,25 +215,29 @@ KEPT = "doc_id long, n_words long, n_removed long, kept_text string"
 
 def _remove(folder: str, window: int):
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pafs.FileSystem.from_uri(folder)
-        for name, rows in _grouped(batches):
-            ids, texts = _opened(fs, f"{root}/{name}.block")
-            known, doc_ids = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False)
+        for name, rows in grouped(batches):
+            table = opened(folder, name)
+            ids, (known, doc_ids, texts) = column(table, "doc_id"), _opened(table)
             rows = rows.filter(pa.compute.is_valid(rows.column("w1")))
             w1, w2, least = (rows.column(c).to_numpy() for c in ("w1", "w2", "least"))
-            key = w1.view(np.uint64) * SPREAD + w2.view(np.uint64)
+            w1, w2 = w1.view(np.uint64), w2.view(np.uint64)
+            order = np.argsort(w1)
+            hashes = w1[order]
+            key = w1 * SPREAD + w2
             order = np.argsort(key)
-            key, w1, least = key[order], w1.view(np.uint64)[order], least[order]
+            key, w1, w2, least = key[order], w1[order], w2[order], least[order]
             for i, data, offsets in _chunks(texts):
-                (x1, x2), bounds = word_hashes(data, offsets)
+                x, bounds = word_hashes(data, offsets)
                 count, removed, kept, raw = [], [], [], data.tobytes()
                 for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
                     words, gone = raw[offsets[k] : offsets[k + 1]].split(), 0
                     if b - a >= window and len(key) and known[i + k]:
-                        h1 = rolling(x1[a:b], window, BASES[0])
-                        h = h1 * SPREAD + rolling(x2[a:b], window, BASES[1])
-                        at = np.minimum(np.searchsorted(key, h), len(key) - 1)
-                        goes = np.flatnonzero((key[at] == h) & (w1[at] == h1) & (least[at] < doc_ids[i + k]))
+                        h = rolling(x[a:b], window)
+                        goes = np.flatnonzero(hashes[np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)] == h)
+                        if len(goes):
+                            h, own = h[goes], digests(words, goes, window)
+                            at = np.minimum(np.searchsorted(key, h * SPREAD + own), len(key) - 1)
+                            goes = goes[(w1[at] == h) & (w2[at] == own) & (least[at] < doc_ids[i + k])]
                         if len(goes):
                             cover = np.zeros(b - a + 1, np.int32)
                             np.add.at(cover, goes, 1)
@@ -292,7 +263,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     """
     spark = docs.sparkSession
     folder = new_path(spark, "blocks")
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    picked = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     phrases = written(picked.mapInArrow(_pack(folder, window), PHRASES), "phrases")
     blocks = phrases.where("f is null").select("block")
     n = max(1, blocks.count())
@@ -302,6 +273,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     windows = confirmed.repartition(n, "block").sortWithinPartitions("block").mapInArrow(_locate(folder, window), WINDOWS)
     least = windows.withColumn("least", F.min("low").over(Window.partitionBy("w1", "w2")))
     judged = least.where("least < high").select("block", "w1", "w2", "least")
-    # Each block has a row without a window, so that one in which nothing repeats is read too.
-    each = judged.unionByName(blocks, allowMissingColumns=True)
-    return each.repartition(n, "block").sortWithinPartitions("block").mapInArrow(_remove(folder, window), KEPT)
+    return by_block(judged, blocks).mapInArrow(_remove(folder, window), KEPT)
