@@ -249,35 +249,6 @@ def test_line_dedup(spark, docs, nothing):
     assert line_dedup.drop_shared_lines(docs).count() == docs.count()
 
 
-def brute_line_dedup(rows, rare=line_dedup.RARE):
-    """Every pair that shares a line which few have, or that of the line's first document."""
-    lines = {k: [(j, x) for j, x in enumerate(t.split("\n")) if words_of(x)] for k, (_, t) in enumerate(rows)}
-    where = defaultdict(list)
-    for k, xs in lines.items():
-        for place, (j, x) in enumerate(xs):
-            where[x].append((rows[k][0], k, place, j))
-    matches = defaultdict(set)
-    for x, at in where.items():
-        first = min(at)
-        for b in at:
-            for a in at if len(at) <= rare else [first]:
-                if a[0] < b[0]:
-                    matches[a[1], b[1]].add((a[2], b[2], b[3], len(words_of(x))))
-    gone = defaultdict(set)
-    for (_, k), found in matches.items():
-        raw = {b: j for _, b, j, _ in found}
-        gone[k] |= {raw[b] for b in line_dedup.aligned_blocks([(a, b) for a, b, _, _ in found], {b: n for _, b, _, n in found})}
-    return ["\n".join(x for j, x in enumerate(t.split("\n")) if j not in gone[k]) for k, (_, t) in enumerate(rows)]
-
-
-def test_line_dedup_is_pairwise_alignment(spark):
-    r = random.Random(5)
-    lines = [" ".join(r.choice("abcdefghij") * 3 for _ in range(r.randint(1, 8))) for _ in range(60)]
-    rows = [(k, "\n".join(r.choice([*lines, ""]) for _ in range(r.randint(0, 25)))) for k in range(80)]
-    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_shared_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert [got[k] for k, _ in rows] == brute_line_dedup(rows)
-
-
 def test_patience_aligns_in_order():
     assert line_dedup.patience([(0, 0), (1, 1), (2, 2), (1, 5), (5, 1)]) == [(0, 0), (1, 1), (2, 2)]
     assert line_dedup.patience([(0, 1), (1, 0)]) in ([(0, 1)], [(1, 0)])

@@ -2,21 +2,24 @@
 
 A task packs its rows into blocks of bounded size and hands on narrow keys (block, row); joins and
 aggregates work on those, and what they find comes back to each block by its number. So texts are never
-shuffled, whatever their size, and the plan is the same at every size. A block has a random number, and
-one that a failed task left behind is named by no row.
+shuffled, whatever their size, and the plan is the same at every size. A block's number tells the attempt
+of the task that wrote it, so a block that a failed attempt left behind is named by no row.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 BLOCK_BYTES = 6 * 2**20
+#: Bits of a row's number in its block, and of a block's number in its task.
+ROW_BITS, TASK_BITS = 16, 15
 
 
 def _ends(column: pa.Array) -> np.ndarray:
@@ -27,17 +30,18 @@ def _ends(column: pa.Array) -> np.ndarray:
 
 
 def packed(folder: str, batches: Iterator[pa.RecordBatch], text: str, most: int = BLOCK_BYTES) -> Iterator[tuple[int, pa.Table]]:
-    """Writes rows as blocks of about so many bytes of text; gives each block's number and rows."""
+    """Writes rows as blocks of about so many bytes of text, under 2**16 rows each; gives each block's number and rows."""
     fs, root = pafs.FileSystem.from_uri(folder)
     fs.create_dir(root)
     held: list[pa.RecordBatch] = []
-    size = 0
+    size = rows = count = 0
 
     def block() -> tuple[int, pa.Table]:
-        nonlocal held, size
+        nonlocal held, size, rows, count
         table = pa.Table.from_batches(held).combine_chunks()
-        held, size = [], 0
-        name = uuid.uuid4().int >> 65
+        held, size, rows = [], 0, 0
+        name = TaskContext.get().taskAttemptId() << TASK_BITS | count
+        count += 1
         with fs.open_output_stream(f"{root}/{name}.block") as sink, pa.ipc.new_file(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
             out.write_table(table)
         return name, table
@@ -47,15 +51,22 @@ def packed(folder: str, batches: Iterator[pa.RecordBatch], text: str, most: int
         i = 0
         while i < len(batch):
             j = max(i + 1, int(np.searchsorted(ends, ends[i] + most - size, "right")) - 1)
+            j = min(j, i + (1 << ROW_BITS) - rows)
             held.append(batch.slice(i, j - i))
             size += int(ends[j] - ends[i])
+            rows += j - i
             i = j
-            if size >= most or i < len(batch):
+            if size >= most or i < len(batch) or rows >> ROW_BITS:
                 yield block()
     if held:
         yield block()
 
 
+def numbered(block: str, row: str) -> Column:
+    """One number for each row of all blocks."""
+    return F.shiftleft(F.col(block), ROW_BITS).bitwiseOR(F.col(row).cast("long"))
+
+
 def opened(folder: str, name: int) -> pa.Table:
     fs, root = pafs.FileSystem.from_uri(folder)
     with fs.open_input_file(f"{root}/{name}.block") as source:

@@ -1,12 +1,14 @@
 """Line dedup by pairwise alignment.
 
-Documents that share a line are found by Spark joins on line hashes: all pairs for a rare line, and for
-a line of many documents each of them with the first one that has it. The shared lines of a pair are
-aligned by patience diff (lines once in both, the longest increasing run of them, then between and
-beside them), and aligned blocks of enough words are deleted from the later document.
-
-A pair's rows are its shared lines only, so no document's whole line list is copied to its partners,
-and the rows that meet in one place are bounded by the later document's lines.
+Documents are paired by runs of lines: a run is the fewest lines from a line on that hold enough words,
+so each block that may go begins with a run of both documents. A run is rarer than its lines, so a line
+that stands everywhere doesn't pair anything by itself. A pair is then aligned in full, over all lines of
+both documents, by patience diff (lines once in both, the longest increasing run of them, then between
+and beside them), and aligned blocks of enough words are deleted from the later document.
+
+Equal texts are paired once: all but the first of them lose every line, and the first stands for them.
+Texts wait in blocks (see blocks.py) and are never shuffled; what is joined are line digests, with hot
+runs and hot documents split over tasks.
 """
 
 from __future__ import annotations
@@ -14,17 +16,23 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .blocks import by_block, column, grouped, numbered, opened, packed
+from .common import HOT_KEYS, joined_hot, new_path, written
 
-#: A line that stands in the corpus at most so often is rare: all its documents are paired.
+#: Documents that share a run are all paired if they are at most so many; beyond it, each with the first that has the run.
 RARE = 8
 #: Aligned blocks with fewer words stay.
 LEAST_WORDS = 10
+DIGEST = 16
+#: Parts that the lines of a document with a hot share of all pairs are copied to.
+SALTS = 64
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -49,101 +57,27 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def patience(matches: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Aligned places (in the earlier, in the later document) from all places of equal lines."""
-    out: list[tuple[int, int]] = []
-    work = [sorted(set(matches))]
-    while work:
-        now = work.pop()
-        left, right = Counter(a for a, _ in now), Counter(b for _, b in now)
-        anchors = _increasing([(a, b) for a, b in now if left[a] == 1 and right[b] == 1])
-        if not anchors:
-            continue
-        out += anchors
-        if len(anchors) == len(now):
-            continue
-        edges = [(-1, -1), *anchors, (1 << 62, 1 << 62)]
-        seconds = [e[0] for e in edges]
-        between: dict[int, list[tuple[int, int]]] = {}
-        for a, b in now:
-            k = bisect_left(seconds, a)
-            if edges[k][0] != a and edges[k - 1][1] < b < edges[k][1]:
-                between.setdefault(k, []).append((a, b))
-        work += between.values()
-    have, known = set(matches), set(out)
-    taken_a, taken_b = {a for a, _ in known}, {b for _, b in known}
-    for step in (1, -1):  # lines that repeat, beside an anchor
-        for a, b in sorted(known, reverse=step < 0):
-            while (a + step, b + step) in have and a + step not in taken_a and b + step not in taken_b:
-                a, b = a + step, b + step
-                known.add((a, b))
-                taken_a.add(a)
-                taken_b.add(b)
-    return sorted(known)
-
-
-def aligned_blocks(matches: list[tuple[int, int]], words: dict[int, int], least: int = LEAST_WORDS) -> list[int]:
-    """Places in the later document of the aligned blocks with enough words; a block is consecutive in both."""
-    return _blocks(patience(matches), words, least)
-
-
-def _blocks(aligned: list[tuple[int, int]], words: dict[int, int], least: int) -> list[int]:
-    out: list[int] = []
-    block: list[tuple[int, int]] = []
-    for a, b in [*aligned, (-9, -9)]:
-        if block and (a, b) != (block[-1][0] + 1, block[-1][1] + 1):
-            if sum(words[y] for _, y in block) >= least:
-                out += [y for _, y in block]
-            block = []
-        block.append((a, b))
-    return out
+    a: dict[int, int] = {}
+    b: dict[int, int] = {}
+    told = set(matches)
+    for x, y in sorted(told):  # places that match are the same line
+        a[x] = b[y] = a.get(x, b.get(y, x))
+    return [m for m in patience_lines(a, b) if m in told]
 
 
-def _align(least: int):
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, hashes, gone = [], [], []
-            for doc, text_hash, rows in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "shared"))):
-                found = aligned_blocks([(r["a"], r["b"]) for r in rows], {r["b"]: r["words"] for r in rows}, least)
-                if found:
-                    raw = {r["b"]: r["line"] for r in rows}
-                    ids.append(doc)
-                    hashes.append(text_hash)
-                    gone.append(sorted({raw[b] for b in found}))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], names=["doc_id", "text_hash", "gone"])
+def patience_lines(a: dict[int, object], b: dict[int, object]) -> list[tuple[int, int]]:
+    """Aligned places from the lines at the places of both documents; repeated lines are never paired in full.
 
-    return align
-
-
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, place, line, words and two hashes (h, c) of each line with a word."""
-    lines = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("line"))), lambda s: s["x"].rlike(WORD))
-    each = docs.select("doc_id", "text_hash", F.posexplode(lines).alias("place", "s"))
-    return each.select("doc_id", "text_hash", "place", F.col("s.line").alias("line"), F.regexp_count("s.x", F.lit(WORD)).alias("words"), F.xxhash64("s.x").alias("h"), F.crc32(F.col("s.x").cast("binary")).alias("c"))
-
-
-def shared_lines(docs: DataFrame, rare: int = RARE) -> DataFrame:
-    """A row for each pair of documents and line that puts them together: a (place in the earlier), b (in the later), line (b's place among all lines).
-
-    Places count lines with a word. docs: doc_id (not null), text_hash, text.
+    A region is split at what stands once on both sides: lines, or, where there are none, runs of 2, 4, ...
+    lines. One without such is split at its common beginning, else at its common end, else it stays
+    unaligned. At last, lines beside an aligned line are aligned if they are equal.
     """
-    each = written(_lines(docs), "lines")
-    known = each.groupBy("h", "c").agg(F.min(F.struct("doc_id", "text_hash", "place")).alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("count")).where("first.doc_id < last")
-    shared = written(each.join(known, ["h", "c"]), "shared")
-    rest = shared.where((F.col("count") > rare) & (F.col("doc_id") > F.col("first.doc_id"))).select(F.col("first.doc_id").alias("a_id"), F.col("first.text_hash").alias("a_hash"), F.col("first.place").alias("a"), "doc_id", "text_hash", F.col("place").alias("b"), "line", "words")
-    few = shared.where(F.col("count") <= rare)
-    a = few.select("h", "c", F.col("doc_id").alias("a_id"), F.col("text_hash").alias("a_hash"), F.col("place").alias("a"))
-    b = few.select("h", "c", "doc_id", "text_hash", F.col("place").alias("b"), "line", "words")
-    return a.join(b, ["h", "c"]).where("a_id < doc_id").select(rest.columns).union(rest)
-
-
-def patience_lines(a: dict[int, int], b: dict[int, int]) -> list[tuple[int, int]]:
-    """patience() from the lines at the places of both documents, so that repeated lines are never paired in full."""
+    common = set(a.values()) & set(b.values())
     known: set[tuple[int, int]] = set()
-    work = [(sorted(a.items()), sorted(b.items()))]
+    work = [tuple([(p, x) for p, x in sorted(side.items()) if x in common] for side in (a, b))]
     while work:
         xs, ys = work.pop()
-        left, right = Counter(x for _, x in xs), Counter(y for _, y in ys)
-        at = {y: p for p, y in ys if right[y] == 1}
-        anchors = _increasing([(p, at[x]) for p, x in xs if left[x] == 1 and x in at])
+        anchors = _anchors(xs, ys) or _edge(xs, ys) or _edge(xs[::-1], ys[::-1])[::-1]
         if not anchors:
             continue
         known.update(anchors)
@@ -166,75 +100,193 @@ def patience_lines(a: dict[int, int], b: dict[int, int]) -> list[tuple[int, int]
     return sorted(known)
 
 
-def _align_whole(least: int):
+def _anchors(xs: list[tuple[int, object]], ys: list[tuple[int, object]]) -> list[tuple[int, int]]:
+    """The longest increasing list of places of what stands once on both sides: lines, else runs of 2, 4, ... lines."""
+    width = 1
+    while xs and ys:
+        left, right = Counter(x for _, x in xs), Counter(y for _, y in ys)
+        if left.keys().isdisjoint(right):
+            return []
+        at = {y: p for p, y in ys if right[y] == 1}
+        anchors = _increasing([(p, at[x]) for p, x in xs if left[x] == 1 and x in at])
+        if anchors:
+            return anchors
+        names: dict[tuple, int] = {}  # of runs twice as wide
+        xs, ys = ([(p, names.setdefault((x, y), len(names))) for (p, x), (q, y) in zip(rows, rows[width:]) if q == p + width] for rows in (xs, ys))
+        xs, ys, width = list(xs), list(ys), 2 * width
+    return []
+
+
+def _edge(xs: list[tuple[int, object]], ys: list[tuple[int, object]]) -> list[tuple[int, int]]:
+    """Places of the lines that both begin with."""
+    out = []
+    for (p, x), (q, y) in zip(xs, ys):
+        if x != y:
+            break
+        out.append((p, q))
+    return out
+
+
+def aligned_blocks(matches: list[tuple[int, int]], words: dict[int, int], least: int = LEAST_WORDS) -> list[int]:
+    """Places in the later document of the aligned blocks with enough words; a block is consecutive in both."""
+    return _blocks(patience(matches), words, least)
+
+
+def _blocks(aligned: list[tuple[int, int]], words: dict[int, int] | np.ndarray, least: int) -> list[int]:
+    out: list[int] = []
+    block: list[tuple[int, int]] = []
+    for a, b in [*aligned, (-9, -9)]:
+        if block and (a, b) != (block[-1][0] + 1, block[-1][1] + 1):
+            if sum(words[y] for _, y in block) >= least:
+                out += [y for _, y in block]
+            block = []
+        block.append((a, b))
+    return out
+
+
+def runs(digests: list[bytes], words: list[int], least: int) -> list[int]:
+    """The distinct runs of a document's lines as 64-bit digests."""
+    out, end, held = set(), 0, 0
+    for start in range(len(words)):
+        while end < len(words) and held < least:
+            held += words[end]
+            end += 1
+        if held < least:
+            break
+        out.add(int.from_bytes(blake2b(b"".join(digests[start:end]), digest_size=8).digest(), "little", signed=True))
+        held -= words[start]
+    return list(out)
+
+
+PACKED = "block long, row int, doc_id long, text_key binary, lines binary, words array<int>, runs array<long>"
+
+
+def _pack(folder: str, id_col: str, text_col: str, least: int):
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each document with an id and a text, after a row for its block."""
+        for name, table in packed(folder, batches, text_col):
+            rows: list[tuple] = [(name, None, None, None, None, None, None)]
+            for row, (doc_id, text) in enumerate(zip(column(table, id_col).to_pylist(), column(table, text_col).cast(pa.large_binary()).to_pylist())):
+                if doc_id is None or text is None:
+                    continue
+                lines = [x for x in text.split(b"\n") if x and not x.isspace()]
+                words = [len(x.split()) for x in lines]
+                digests = [blake2b(x, digest_size=DIGEST).digest() for x in lines]
+                rows.append((name, row, doc_id, blake2b(text, digest_size=DIGEST).digest(), b"".join(digests), words, runs(digests, words, least)))
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=["block", "row", "doc_id", "text_key", "lines", "words", "runs"])
+
+    return pack
+
+
+def _align(least: int):
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hashes, gone = [], [], []
-            for doc, text_hash, rows in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "shared"))):
-                a = {p: k for k, r in enumerate(rows) for p in r["a"]}
-                b = {s["place"]: k for k, r in enumerate(rows) for s in r["b"]}
-                at = {s["place"]: s for r in rows for s in r["b"]}
-                found = _blocks(patience_lines(a, b), {p: s["words"] for p, s in at.items()}, least)
+            docs, gone = [], []
+            for doc, first, second, words in zip(*(batch.column(c).to_pylist() for c in ("doc", "a_lines", "lines", "words"))):
+                a, b = ({k: x[DIGEST * k : DIGEST * (k + 1)] for k in range(len(x) // DIGEST)} for x in (first, second))
+                found = _blocks(patience_lines(a, b), words, least)
                 if found:
-                    ids.append(doc)
-                    hashes.append(text_hash)
-                    gone.append(sorted(at[p]["line"] for p in found))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], names=["doc_id", "text_hash", "gone"])
+                    docs.append(doc)
+                    gone.append(sorted(set(found)))
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], names=["doc", "gone"])
 
     return align
 
 
-def shared_places(docs: DataFrame, least: int = LEAST_WORDS, rare: int = RARE) -> DataFrame:
-    """A row for each pair of documents that share a run of lines, with all places of all lines that both have.
+def document_pairs(firsts: DataFrame, rare: int = RARE) -> DataFrame:
+    """a, doc: two documents, the second with the larger doc_id, that share a run. firsts: doc (its number), doc_id, runs.
 
-    The run of a place is the fewest lines from there on with enough words, so each block that may go begins
-    with a run of both. Documents of a rare run are all paired, those of a common one with the first that has it.
+    The documents of a run are all paired if they are few, and else each with the first that has the run;
+    so a passage of any number of documents is aligned with its first place, and pairs grow with the runs.
     """
-    each = _lines(docs).dropDuplicates(["doc_id", "text_hash", "place"])
-    next_lines = Window.partitionBy("doc_id", "text_hash").orderBy("place").rowsBetween(0, least - 1)
-    run = F.aggregate(
-        F.collect_list(F.struct("h", "c", "words")).over(next_lines), F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("s")),
-        lambda so, x: F.when(so["n"] >= least, so).otherwise(F.struct((so["n"] + x["words"]).alias("n"), F.xxhash64(so["s"], x["h"], x["c"]).alias("s"))),
-    )
-    each = written(each.withColumn("_run", run).withColumn("run", F.when(F.col("_run.n") >= least, F.col("_run.s"))).drop("_run"), "lines")
-    who = F.struct("doc_id", "text_hash")
-    runs = each.where("run is not null").select("run", "doc_id", "text_hash").distinct()
-    known = runs.groupBy("run").agg(F.min(who).alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("count")).where("first.doc_id < last")
-    met = written(runs.join(known, "run"), "runs")
+    held = written(firsts.select("doc", "doc_id", F.explode("runs").alias("run")), "runs")
+    known = held.groupBy("run").agg(F.min(F.struct("doc_id", "doc")).alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("count"))
+    known = written(known.where("first.doc_id < last"), "known")
+    met = written(joined_hot(held, known, "run", known.select("run", "count")), "met")
     few = met.where(F.col("count") <= rare)
-    pairs = few.select("run", F.col("doc_id").alias("a_id"), F.col("text_hash").alias("a_hash")).join(few, "run").where("a_id < doc_id").select("a_id", "a_hash", "doc_id", "text_hash")
-    rest = met.where((F.col("count") > rare) & (F.col("doc_id") > F.col("first.doc_id"))).select(F.col("first.doc_id").alias("a_id"), F.col("first.text_hash").alias("a_hash"), "doc_id", "text_hash")
-    pairs = written(pairs.union(rest).distinct(), "pairs")
-    places = each.groupBy("doc_id", "text_hash", "h", "c").agg(F.collect_list(F.struct("place", "line", "words")).alias("b"))
-    a = places.select(F.col("doc_id").alias("a_id"), F.col("text_hash").alias("a_hash"), "h", "c", F.col("b.place").alias("a"))
-    both = pairs.join(a, ["a_id", "a_hash"]).join(places, ["doc_id", "text_hash", "h", "c"])
-    return both.groupBy("doc_id", "text_hash", "a_id", "a_hash").agg(F.collect_list(F.struct("a", "b")).alias("shared"))
-
-
-def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, rare: int = RARE, whole: bool = False) -> DataFrame:
+    both = few.select("run", F.col("doc").alias("a"), F.col("doc_id").alias("a_id")).join(few, "run").where("a_id < doc_id").select("a", "doc")
+    rest = met.where((F.col("count") > rare) & (F.col("doc_id") > F.col("first.doc_id"))).select(F.col("first.doc").alias("a"), "doc")
+    return both.union(rest).distinct()
+
+
+def _aligned(pairs: DataFrame, firsts: DataFrame, least: int) -> DataFrame:
+    """doc, gone: places among its lines that each pair takes from its later document."""
+    pairs = written(pairs, "pairs")
+    counts = pairs.groupBy("a").count()
+    total = pairs.count()
+    hot = written(counts.where(F.col("count") * HOT_KEYS > total + 100 * HOT_KEYS).select("a", F.lit(SALTS).alias("salts")), "hot")
+    salted = pairs.join(F.broadcast(hot), "a", "left").select("a", "doc", F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("doc"), F.lit(SALTS))).otherwise(0).cast("int").alias("salt"))
+    earlier = firsts.select(F.col("doc").alias("a"), F.col("lines").alias("a_lines")).join(F.broadcast(hot), "a", "left")  # hot: under HOT_KEYS rows
+    earlier = earlier.select("a", "a_lines", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    later = pairs.select("doc").distinct().join(firsts.select("doc", "lines", "words").hint("merge"), "doc")
+    met = salted.join(earlier.hint("merge"), ["a", "salt"]).join(later.hint("merge"), "doc")
+    return met.select("doc", "a_lines", "lines", "words").mapInArrow(_align(least), "doc long, gone array<int>")
+
+
+def _drop(folder: str, text_col: str, names: list[str]):
+    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, found in grouped(batches):
+            table = opened(folder, name)
+            gone = {row: None if every else set(places) for row, every, places in zip(*(found.column(c).to_pylist() for c in ("row", "every", "gone"))) if row is not None}
+            for at in range(0, table.num_rows, 2_000):
+                part = table.slice(at, 2_000)
+                texts, counts, removed = [], [], []
+                for row, text in enumerate(part.column(text_col).to_pylist(), at):
+                    lines = text.split("\n") if text is not None else []
+                    counts.append(len(lines))
+                    if row not in gone:
+                        texts.append(text)
+                        removed.append(0)
+                        continue
+                    kept, place, lost = [], 0, gone[row]
+                    for x in lines:
+                        raw = x.encode()
+                        if raw and not raw.isspace():
+                            place += 1
+                            if lost is None or place - 1 in lost:
+                                continue
+                        kept.append(x)
+                    texts.append("\n".join(kept))
+                    removed.append(len(lines) - len(kept))
+                own = {text_col: pa.array(texts, pa.string()), "n_lines": pa.array(counts, pa.int64()), "n_removed": pa.array(removed, pa.int64())}
+                yield pa.RecordBatch.from_arrays([own[c] if c in own else column(pa.table([part.column(c)], [c]), c) for c in names], names=names)
+
+    return drop
+
+
+def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, rare: int = RARE, whole: bool = True) -> DataFrame:
     """docs with n_lines, n_removed (long) and the text without the lines of aligned blocks.
 
     Lines are what stands between line breaks. Kept lines stay as they are, joined by line breaks. Lines
     without a word are never removed, nor counted in a block. Rows with a null doc_id or text stay as
-    they are; rows with equal doc_ids aren't compared, and equal rows are treated alike. Extra columns stay. With whole, pairs are found by runs of lines and
-    aligned over all lines they share (shared_places); without, a common line counts at its first place only.
+    they are; rows with equal doc_ids aren't compared, and equal rows are treated alike. A text that stands
+    under a smaller doc_id too loses all its lines, if they have enough words. Extra columns stay, but for
+    those named n_lines and n_removed, which the counts replace. No rows give no rows. whole has no effect
+    any more: pairs are always aligned over all their lines.
     """
-    names = docs.columns
-    marked = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)))
-    doc_id, text = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
-    keyed = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("text_hash"), F.col(f"`{text_col}`").alias("text")).where("doc_id is not null and text is not null")
-    if whole:
-        pairs, align = shared_places(keyed, least_words, rare), _align_whole(least_words)
-    else:
-        pairs = shared_lines(keyed, rare).groupBy("doc_id", "text_hash", "a_id", "a_hash").agg(F.collect_set(F.struct("a", "b", "line", "words")).alias("shared"))
-        align = _align(least_words)
-    gone = pairs.mapInArrow(align, "doc_id long, text_hash long, gone array<int>")
-    gone = gone.groupBy("doc_id", "text_hash").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")).withColumnsRenamed({"doc_id": "of_id", "text_hash": "of_hash"})
-    joined = marked.join(written(gone, "gone"), (F.col(doc_id).cast("long") == F.col("of_id")) & (F.xxhash64(F.col(text)) == F.col("of_hash")), "left")
-    lines = F.split(text, "\n")
-    stays = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
-    kept = F.when(F.col("gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(stays, lambda i: F.get(lines, i)), "\n"))
-    return joined.select(
-        *((kept if c == text_col else F.col(f"c{k}")).alias(c) for k, c in enumerate(names)),
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
-    )
+    spark = docs.sparkSession
+    folder = new_path(spark, "blocks")
+    kept = [f for f in docs.schema.fields if f.name not in ("n_lines", "n_removed")]
+    names = [f.name for f in kept] + ["n_lines", "n_removed"]
+    picked = docs.select(*(F.col(f"`{f.name}`").cast("string" if f.name == text_col else "long" if f.name == id_col else f.dataType).alias(f.name) for f in kept))
+    rows = written(picked.mapInArrow(_pack(folder, id_col, text_col, least_words), PACKED), "lines")
+    blocks, told = rows.where("row is null").select("block"), rows.where("row is not null")
+    # One row of each text stands for all: that with the least doc_id.
+    own = F.struct("doc_id", "block", "row")
+    enough = F.aggregate("words", F.lit(0), lambda s, x: s + x) >= least_words
+    texts = written(told.groupBy("text_key").agg(F.min(own).alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("count")), "texts")
+    number = numbered("first.block", "first.row")
+    leads = texts.select(F.col("first.block").alias("block"), F.col("first.row").alias("row"), number.alias("doc"))
+    firsts = written(told.join(leads, ["block", "row"]).select("doc", "block", "row", "doc_id", "lines", "words", "runs"), "firsts")
+    gone = _aligned(document_pairs(firsts, rare), firsts, least_words)
+    gone = written(gone.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")), "gone")
+    # The first row's lines, those of repeated rows with the same doc_id, and all lines of later copies.
+    narrow = told.select("block", "row", "doc_id", "text_key", enough.alias("enough"))
+    many = texts.where("count > 1").select("text_key", "first", number.alias("doc"))
+    copies = written(joined_hot(narrow, many, "text_key", texts.where("count > 1").select("text_key", "count")), "copies")
+    later = copies.where("doc_id > first.doc_id and enough").select("block", "row", F.lit(True).alias("every"), F.lit(None).cast("array<int>").alias("gone"))
+    alone = firsts.join(gone, "doc").select("block", "row", F.lit(False).alias("every"), "gone")
+    repeats = copies.where("doc_id = first.doc_id and struct(block, row) <> struct(first.block, first.row)").join(gone, "doc").select("block", "row", F.lit(False).alias("every"), "gone")
+    schema = ", ".join(f"`{n}` {t}" for n, t in zip(names, [*(picked.schema[f.name].dataType.simpleString() for f in kept), "long", "long"]))
+    return by_block(later.union(alone).union(repeats), blocks).mapInArrow(_drop(folder, text_col, names), schema)
