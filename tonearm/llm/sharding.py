@@ -3,8 +3,9 @@
 Rows with equal texts are one atomic group. Groups stand in the order of a 64-bit hash of the text;
 the smallest capacity with which a greedy pass fits them into the shards is found by binary search,
 and the order is cut there. The search never sees all groups: it works on cells (hash ranges) of
-summed sizes, and only cells that a cut can fall into are split further, 64-fold a round, until the
-bounds from whole cells and from divisible cells meet. The driver holds a few thousand cells.
+summed sizes, and of the cells that a cut can fall into the largest MOST_SPLIT are split, 64-fold a
+round, until the bounds from whole cells and from divisible cells meet. So a round brings the driver at
+most 64 * MOST_SPLIT cells, however many groups there are and whatever their sizes.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import text_or_empty, written
 
-FIRST_BITS, MORE_BITS = 12, 6
+FIRST_BITS, MORE_BITS, MOST_SPLIT = 12, 6, 256
 #: Rows of a slot cell; the window that numbers slots never holds more than about so many.
 CELL_ROWS = 20_000
 
@@ -46,11 +47,21 @@ def _smallest(bounds: list[int], shards: int, whole: list[bool], low: int) -> in
     return low
 
 
-def _cells(groups: DataFrame, bits: int) -> list[tuple[int, int, int, int, int]]:
-    """Summed sizes by the first bits of the hash: first hash, last hash, size, largest group, groups."""
-    key = F.shiftright("g", 64 - bits)
-    rows = groups.groupBy(key.alias("k")).agg(F.min("g"), F.max("g"), F.sum("size"), F.max("size"), F.count(F.lit(1))).collect()
-    return sorted(tuple(int(v) for v in r[1:]) for r in rows)
+def _cells(groups: DataFrame, bits: Column, key: Column) -> list[tuple[int, ...]]:
+    """Summed sizes by the first bits of the hash: first hash, last hash, size, largest group, groups, bits, key."""
+    rows = groups.groupBy(bits.alias("bits"), key.alias("key")).agg(F.min("g"), F.max("g"), F.sum("size"), F.max("size"), F.count(F.lit(1))).collect()
+    return sorted(tuple(int(v) for v in (*r[2:], r["bits"], r["key"])) for r in rows)
+
+
+def _split(groups: DataFrame, cells: list[tuple[int, ...]]) -> list[tuple[int, ...]]:
+    """The cells into which some cells fall when more bits count. The filter is a set of keys for each width, not a chain of ranges."""
+    parts = []
+    for bits in sorted({c[5] for c in cells}):
+        wider = min(64, bits + MORE_BITS)
+        key = F.shiftright("g", 64 - bits)
+        parts.append(F.when(key.isin([c[6] for c in cells if c[5] == bits]), F.struct(F.lit(wider).alias("bits"), F.shiftright("g", 64 - wider).alias("key"))))
+    found = groups.withColumn("cell", F.coalesce(*parts)).where("cell is not null")
+    return _cells(found, F.col("cell.bits"), F.col("cell.key"))
 
 
 def cut_points(groups: DataFrame, shards: int) -> tuple[list[int], list[int]]:
@@ -68,7 +79,7 @@ def cut_points(groups: DataFrame, shards: int) -> tuple[list[int], list[int]]:
         total -= size
     shards -= len(alone)
     rest = groups.where(~F.col("g").isin(alone)) if alone else groups
-    cells, bits = _cells(rest, FIRST_BITS), FIRST_BITS
+    cells = _cells(rest, F.lit(FIRST_BITS), F.shiftright("g", 64 - FIRST_BITS))
     if not cells:
         return alone, []
     largest = max(c[3] for c in cells)
@@ -82,18 +93,9 @@ def cut_points(groups: DataFrame, shards: int) -> tuple[list[int], list[int]]:
             ends = _ends(bounds, high, shards, [True] * len(bounds))
             return alone, [cells[bounds.index(e) - 1][1] for e in ends[:-1] if 0 < e < bounds[-1]]
         coarse, fine = _ends(bounds, low, shards, [True] * len(bounds)), _ends(bounds, high, shards, [*single, True])
-        split = sorted({k for a, b in zip(coarse, fine) for k in range(bisect_right(bounds, a) - 1, min(bisect_right(bounds, b), len(cells))) if not single[k]})
-        bits += MORE_BITS
-        runs: list[list[int]] = []
-        for k in split:
-            if runs and runs[-1][1] == k - 1:
-                runs[-1][1] = k
-            else:
-                runs.append([k, k])
-        inside = F.lit(False)
-        for a, b in runs:
-            inside = inside | F.col("g").between(cells[a][0], cells[b][1])
-        cells = sorted([c for k, c in enumerate(cells) if k not in set(split)] + _cells(rest.where(inside), min(bits, 64)))
+        split = {k for a, b in zip(coarse, fine) for k in range(bisect_right(bounds, a) - 1, min(bisect_right(bounds, b), len(cells))) if not single[k]}
+        split = set(sorted(split, key=lambda k: (-cells[k][2], k))[:MOST_SPLIT])
+        cells = sorted([c for k, c in enumerate(cells) if k not in split] + _split(rest, [cells[k] for k in split]))
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -105,12 +107,13 @@ def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", t
     as one group. Slots follow a hash of the row within the shard, so no task numbers a whole shard.
     """
     text = text_or_empty(text_col)
-    base = written(docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("g")), "sizes")
+    base = written(docs.select(F.col(f"`{id_col}`").alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("g")), "sizes")
     groups = written(base.groupBy("g").agg(F.sum("size").alias("size")), "groups")
     alone, lasts = cut_points(groups, shards)
-    shard: Column = sum(((F.col("g") > last).cast("int") for last in lasts), F.lit(0)) + len(alone)
-    for k, g in enumerate(alone):
-        shard = F.when(F.col("g") == g, k).otherwise(shard)
+    longs = lambda values: F.array(*map(F.lit, values)).cast("array<bigint>")
+    shard = F.size(F.filter(longs(lasts), lambda last: F.col("g") > last)) + len(alone)
+    if alone:
+        shard = F.coalesce(F.nullif(F.array_position(longs(alone), F.col("g")), F.lit(0)) - 1, shard)
     cells = max(1, base.count() // CELL_ROWS * 4)
     placed = base.withColumns({"shard": shard.cast("int"), "cell": F.pmod(F.xxhash64("doc_id", "g"), F.lit(cells)).cast("int")})
     before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
