@@ -425,31 +425,3 @@ def test_outliers_go_and_the_rest_stays(spark):
     junk = [(1000 + k, " ".join(r.choice(words) + " " + "#*$%" * 4 for _ in range(200)), "en", "web") for k in range(20)] + [(1100 + k, " ".join("".join(r.choice("etaoinshr") for _ in range(60)) for _ in range(150)), "en", "web") for k in range(20)]
     kept = {x["doc_id"]: x["kept"] for x in quality.judge(spark.createDataFrame(prose + junk, "doc_id long, text string, lang string, source string")).collect()}
     assert sum(kept[k] for k, *_ in prose) >= 595 and not any(kept[k] for k, *_ in junk)
-
-
-def brute_mcd(x, steps=4):
-    """Concentration from the quartiles' box, as the operator states it, with exact order statistics."""
-    floors = np.square(quality.FLOORS)
-    q = np.quantile(x, [0.25, 0.5, 0.75], axis=0, method="inverted_cdf")
-    centre, inverse = q[1], np.diag(1 / np.maximum(((q[2] - q[0]) / 1.349) ** 2, floors))
-    for _ in range(steps):
-        d = np.einsum("ni,ij,nj->n", x - centre, inverse, x - centre)
-        half = x[d <= np.quantile(d, 0.5, method="inverted_cdf")]
-        cov = half.T @ half / len(half) - np.outer(half.mean(0), half.mean(0))
-        cov[np.diag_indices(5)] = np.maximum(np.diag(cov), floors)
-        centre, inverse = half.mean(0), np.linalg.pinv(cov)
-    d = np.einsum("ni,ij,nj->n", x - centre, inverse, x - centre)
-    return d / max(1.0, np.quantile(d, 0.5, method="inverted_cdf") / quality.CHI2_MEDIAN)
-
-
-def test_distances_are_those_of_the_robust_estimate(spark):
-    r = np.random.default_rng(2)
-    n = 400
-    stats = np.column_stack([r.integers(60, 900, n), r.integers(300, 6000, n), r.integers(0, 30, n), r.integers(0, 5, n), r.integers(0, 25, n)])
-    df = spark.createDataFrame([(int(k), "en", "web", *map(int, s)) for k, s in enumerate(stats)], "doc_id long, lang string, source string, " + ", ".join(f"{s} long" for s in quality.STATS))
-    got = {x["doc_id"]: x for x in quality.robust_outliers(df).collect()}
-    nw = stats[:, 0].astype(float)
-    x = np.column_stack([np.log(nw), stats[:, 1] / nw, stats[:, 2] / nw, stats[:, 3] / np.sqrt(nw), stats[:, 4] / nw])
-    fine = np.array([not got[k]["base_failed"] for k in range(n)])
-    want = brute_mcd(x[fine])
-    assert np.allclose([got[k]["distance"] for k in range(n) if fine[k]], want, rtol=1e-6)

@@ -1,10 +1,17 @@
 """Quality rules: robust multivariate outliers.
 
-A document's statistics become a vector of transformed values. For each language and source a
-minimum-covariance-determinant estimate (centre and scatter of the half of the documents that
-lie closest together) is found by concentration steps, and documents whose Mahalanobis distance
-is too large are rejected. Every step reads all documents: a step is one grouped aggregate over a
-narrow table, so a source with a third of all rows costs map-side sums and not one large task.
+A document's statistics become a vector of five transformed values: log words, log characters a word, log
+share of signs among its characters, log share of distinct words, log words a line. All of them vary among
+ordinary documents, so that the scatter of a language and source, and not a constant, says what is far.
+
+For each language and source the minimum-covariance-determinant estimate is sought: the half of the
+documents whose covariance has the least determinant. Four starts are concentrated (the half nearest to an
+estimate gives the next estimate) until the determinant stands still, and the least determinant wins. The
+estimate is scaled to be consistent for normal vectors, computed once more from the documents within the
+0.975 quantile, and a document whose Mahalanobis distance is beyond CUTOFF is rejected.
+
+Every step reads all documents: it is a grouped aggregate over a narrow table, so a source with a third of
+all rows costs map-side sums and not one large task.
 """
 
 from __future__ import annotations
@@ -14,43 +21,50 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 
 SYMBOLS = "#*$%&|<>"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-DIMS = ("f0", "f1", "f2", "f3", "f4")
-#: Squared Mahalanobis distance beyond which a document is an outlier.
-CUTOFF = 200.0
-#: A group with fewer documents joins the rest of its language, and that the rest of the corpus.
+#: What the vector needs besides: ASCII signs (neither letters, digits nor white space), distinct words, lines with a word.
+MORE_STATS = ("n_signs", "n_distinct", "n_lines")
+DIMS = ("z0", "z1", "z2", "z3", "z4")
+#: The 1 - 1e-9 quantile of a chi-squared variable with 5 degrees of freedom: of a billion ordinary documents one is beyond it.
+CUTOFF = 50.6926
+#: The medians and 0.975 quantiles of chi-squared variables with 1 to 5 degrees: an estimate that isn't of full rank has fewer.
+MEDIANS, INNERS = (0.4549, 1.3863, 2.3660, 3.3567, 4.3515), (5.0239, 7.3778, 9.3484, 11.1433, 12.8325)
+#: A group with fewer documents (about ten for each dimension) is judged by its language, and that by the corpus.
 MIN_GROUP = 60
-#: Standard deviations below which a dimension's scatter isn't taken to go: log words, characters
-#: a word, and the shares of symbols, repeated lines and repeated words.
-FLOORS = (0.5, 0.35, 0.01, 0.05, 0.06)
-#: Above this many groups the estimates are joined by a shuffle, below it they are broadcast.
+#: Only against singular estimates: a dimension's quartiles count as at least so far apart (in units of a
+#: normal's standard deviation), and no direction's variance as less than this share of a unit's.
+LEAST_SCALE, LEAST_VARIANCE = 0.01, 0.01
+STARTS = ("box", "signs", "tanh", "all")
+#: A determinant stands still if its logarithm falls by less. A start takes 2 to 15 steps; MOST_STEPS only guards the loop.
+STILL, MOST_STEPS, ACCURACY = 1e-3, 60, 10_000
+#: Above this many estimates they are joined by a shuffle, below it they are broadcast.
 MAX_BROADCAST_GROUPS = 10_000
-#: Median of a chi-squared variable with as many degrees of freedom as there are dimensions (5).
-CHI2_MEDIAN = 4.3515
+
+SIGN = np.zeros(256, bool)
+SIGN[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+SYMBOLS_B = [c.encode() for c in SYMBOLS]
 
 
-def _repeat_words(words: list[bytes]) -> int:
-    """Words covered by 3-word windows that occur twice or more."""
+def _repeats(words: list[bytes]) -> tuple[int, int]:
+    """Words covered by 3-word windows that occur twice or more, and distinct words."""
     n = len(words)
-    if n < 4:
-        return 0
     code: dict[bytes, int] = {}
     ids = np.fromiter((code.setdefault(w, len(code)) for w in words), np.int64, n)
-    if len(code) == n:
-        return 0
+    if n < 4 or len(code) == n:
+        return 0, len(code)
     _, pair = np.unique(ids[:-1] * len(code) + ids[1:], return_inverse=True)
     _, window, count = np.unique(pair[:-1] * len(code) + ids[2:], return_inverse=True, return_counts=True)
     twice = count[window] > 1
     covered = np.zeros(n, bool)
     for k in range(3):
         covered[k : n - 2 + k] |= twice
-    return int(covered.sum())
+    return int(covered.sum()), len(code)
 
 
 def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,21 +75,24 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = text.split()
             lines = [x for x in text.split(b"\n") if x and not x.isspace()]
             chars = int(np.count_nonzero((np.frombuffer(b"".join(words), np.uint8) & 0xC0) != 0x80))
-            rows.append((len(words), chars, sum(map(text.count, SYMBOLS_B)), len(lines) - len(set(lines)), _repeat_words(words)))
-        stats = np.array(rows, np.int64).reshape(-1, len(STATS))
-        kept = [batch.column(n) for n in batch.schema.names if n != "text"]
+            signs = int(np.count_nonzero(SIGN[np.frombuffer(text, np.uint8)]))
+            repeated, distinct = _repeats(words)
+            rows.append((len(words), chars, sum(map(text.count, SYMBOLS_B)), len(lines) - len(set(lines)), repeated, signs, distinct, len(lines)))
+        own = (*STATS, *MORE_STATS)
+        stats = np.array(rows, np.int64).reshape(-1, len(own))
         names = [n for n in batch.schema.names if n != "text"]
-        yield pa.RecordBatch.from_arrays([*kept, *(pa.array(stats[:, k]) for k in range(len(STATS)))], names=[*names, *STATS])
-
-
-SYMBOLS_B = [c.encode() for c in SYMBOLS]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *(pa.array(stats[:, k]) for k in range(len(own)))], names=[*names, *own])
 
 
 def text_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with the five statistics in place of the text. A null text counts as one without words."""
-    rest = [f for f in docs.schema.fields if f.name != text_col]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), *(f"{s} long" for s in STATS)])
-    return docs.select(*(f"`{f.name}`" for f in rest), F.col(text_col).cast("string").alias("text")).mapInArrow(_stats, schema)
+    """docs with STATS and MORE_STATS in place of the text. A null text counts as one without words.
+
+    Columns of docs that have a statistic's name, or are named text without being the text, are replaced.
+    """
+    own = (*STATS, *MORE_STATS)
+    rest = [f for f in docs.schema.fields if f.name not in (text_col, "text", *own)]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), *(f"{s} long" for s in own)])
+    return docs.select(*(f"`{f.name}`" for f in rest), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(_stats, schema)
 
 
 def base_failed() -> Column:
@@ -83,89 +100,140 @@ def base_failed() -> Column:
 
 
 def _vector() -> list[Column]:
-    n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-    return [F.log(n), F.col("word_chars") / n, F.col("n_symbols") / n, F.col("n_dup_lines") / F.sqrt(n), F.col("n_repeat_words") / n]
+    n, chars = (F.greatest(F.col(c), F.lit(1)).cast("double") for c in ("n_words", "word_chars"))
+    return [F.log(n), F.log(chars / n), F.log((F.col("n_signs") + 0.5) / (chars + 1)), F.log(F.greatest("n_distinct", F.lit(1)) / n), F.log(n / F.greatest("n_lines", F.lit(1)))]
+
+
+def _models(vectors: DataFrame) -> DataFrame:
+    """lang, source, model (the estimate that judges the group's documents) and feeds (all estimates they are part of).
 
+    A group of enough documents has its own. A language with smaller groups has one of all its documents,
+    and if that is too small as well, the corpus has one of all documents.
+    """
+    name = lambda *c: F.to_json(F.struct(*c), {"ignoreNullFields": "false"})
+    own, whole, rest = name("lang", "source"), name("lang"), F.lit("{}")
+    groups = written(vectors.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n")), "groups")
+    langs = groups.groupBy("lang").agg(F.sum("n").alias("lang_n"), (F.min("n") < MIN_GROUP).alias("pooled")).withColumnRenamed("lang", "of")
+    small = langs.where((F.col("lang_n") < MIN_GROUP) & F.col("pooled")).limit(1).count() > 0
+    told = groups.join(langs, F.col("lang").eqNullSafe(F.col("of")))
+    model = F.when(F.col("n") >= MIN_GROUP, own).when(F.col("lang_n") >= MIN_GROUP, whole).otherwise(rest)
+    feeds = F.array_compact(F.array(F.when(F.col("n") >= MIN_GROUP, own), F.when(F.col("pooled") & (F.col("lang_n") >= MIN_GROUP), whole), rest if small else F.lit(None).cast("string")))
+    return told.select("lang", "source", model.alias("model"), feeds.alias("feeds"))
+
+
+MOMENTS = [f"m{i}" for i in range(5)] + [f"m{i}{j}" for i in range(5) for j in range(i, 5)]
+
+
+def _moments(rows: DataFrame, *keys: str) -> DataFrame:
+    """Count and sums of the dimensions and of their products."""
+    d = [F.col(z) for z in DIMS]
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *(F.sum(x).alias(f"m{i}") for i, x in enumerate(d)), *(F.sum(d[i] * d[j]).alias(f"m{i}{j}") for i in range(5) for j in range(i, 5)))
 
-def _grouped(stats: DataFrame) -> DataFrame:
-    """lang, source and model: the estimate that judges a group's documents; rare groups pool by language, then with the rest."""
-    counts = stats.where(~F.col("base_failed")).groupBy("lang", "source").count()
-    rare = F.sum(F.when(F.col("count") < MIN_GROUP, F.col("count"))).over(Window.partitionBy("lang"))  # over a row for each group
-    level = F.when(F.col("count") >= MIN_GROUP, 2).when(rare >= MIN_GROUP, 1).otherwise(0)
-    return counts.select("lang", "source", level.alias("level")).select(
-        "lang", "source",
-        F.to_json(F.struct("level", F.when(F.col("level") > 0, F.col("lang")).alias("lang"), F.when(F.col("level") > 1, F.col("source")).alias("source"))).alias("model"),
-    )
+
+def estimate(n: int, sums: list[float]) -> tuple[list[float], list[float], float, int]:
+    """Centre, inverse covariance, log determinant and rank from moments; a direction whose variance is below the floor has the floor's and doesn't count in the rank."""
+    mean = np.array(sums[:5]) / n
+    cov = np.zeros((5, 5))
+    cov[np.triu_indices(5)] = np.array(sums[5:]) / n
+    cov = cov + np.triu(cov, 1).T - np.outer(mean, mean)
+    values, axes = np.linalg.eigh(cov)
+    rank = max(1, int((values > LEAST_VARIANCE).sum()))
+    values = np.maximum(values, LEAST_VARIANCE)
+    return mean.tolist(), ((axes / values) @ axes.T).ravel().tolist(), float(np.log(values).sum()), rank
 
 
 def _estimates(sums: DataFrame) -> DataFrame:
-    """Centre and inverse scatter of each model, from its sums over the documents of the current half."""
-    p = len(DIMS)
+    """model, start, centre, inverse, logdet and rank, a row for each row of moments."""
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                v, n = row._asdict(), max(row.n, 1)
-                mean = np.array([v[f"s{i}"] / n for i in range(p)])
-                cov = np.array([[v[f"q{min(i, j)}{max(i, j)}"] / n for j in range(p)] for i in range(p)]) - np.outer(mean, mean)
-                cov = cov * row.scale
-                wide = np.maximum(np.diag(cov), np.square(FLOORS))
-                cov[np.diag_indices(p)] = wide
-                out.append((row.model, mean.tolist(), np.linalg.pinv(cov).ravel().tolist()))
-            yield pd.DataFrame(out, columns=["model", "centre", "inverse"])
+            rows = [(m, s, *estimate(n, list(v))) for m, s, n, *v in pdf[["model", "start", "n", *MOMENTS]].itertuples(index=False)]
+            yield pd.DataFrame(rows, columns=["model", "start", "centre", "inverse", "logdet", "rank"])
 
-    return sums.mapInPandas(solve, "model string, centre array<double>, inverse array<double>")
+    return sums.mapInPandas(solve, "model string, start string, centre array<double>, inverse array<double>, logdet double, rank int")
 
 
-def _sums(rows: DataFrame) -> DataFrame:
-    p = len(DIMS)
-    moments = [F.sum(f"f{i}").alias(f"s{i}") for i in range(p)]
-    moments += [F.sum(F.col(f"f{i}") * F.col(f"f{j}")).alias(f"q{i}{j}") for i in range(p) for j in range(i, p)]
-    return rows.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.min("scale").alias("scale"), *moments)
+def _distance() -> Column:
+    d = [F.col(z) - F.col("centre")[i] for i, z in enumerate(DIMS)]
+    return sum((d[i] * d[j] * F.col("inverse")[i * 5 + j] for i in range(5) for j in range(5)), F.lit(0.0))
 
 
-def _distance() -> Column:
-    p = len(DIMS)
-    d = [F.col(f"f{i}") - F.col("centre")[i] for i in range(p)]
-    return sum((d[i] * d[j] * F.col("inverse")[i * p + j] for i in range(p) for j in range(p)), F.lit(0.0))
+def _first_estimates(scaled: DataFrame) -> DataFrame:
+    """The four starts, from vectors scaled by medians and quartiles: their units, the directions of the
+    vectors, the vectors drawn in by tanh, and the plain covariance."""
+    d = [F.col(z) for z in DIMS]
+    norm = F.sqrt(sum((x * x for x in d), F.lit(0.0)))
+    signs = [F.when(norm > 0, x / norm).otherwise(0.0) for x in d]
+    kinds = F.array(*(F.struct(F.lit(k).alias("start"), *(x.alias(z) for x, z in zip(v, DIMS))) for k, v in (("signs", signs), ("tanh", [F.tanh(x) for x in d]), ("all", d))))
+    found = _estimates(_moments(scaled.select("model", F.explode(kinds).alias("v")).select("model", "v.*"), "model", "start"))
+    zero = F.array(*[F.lit(0.0)] * 5)
+    # The first two are about the medians, which are 0 here.
+    drawn = found.select("model", "start", F.when(F.col("start") == "all", F.col("centre")).otherwise(zero).alias("centre"), "inverse")
+    box = found.where("start = 'all'").select("model", F.lit("box").alias("start"), zero.alias("centre"), F.array(*(F.lit(float(i == j)) for i in range(5) for j in range(5))).alias("inverse"))
+    return drawn.union(box).withColumn("logdet", F.lit(None).cast("double"))
 
 
-def robust_outliers(stats: DataFrame, cutoff: float = CUTOFF, steps: int = 4) -> DataFrame:
-    """stats (lang, source and the five counts) with base_failed, distance and kept.
+def concentrated(scaled: DataFrame, side) -> DataFrame:
+    """model, centre, inverse, logdet, rank, start and steps: the best of each model's starts after concentration.
 
-    A document that fails the base rules is rejected and takes no part in the estimates. Groups of
-    under MIN_GROUP documents are pooled by language, then with the rest; a rest under MIN_GROUP is
-    kept unjudged (distance null). Null languages and sources are groups of their own. Rows that
-    repeat are judged alike; no rows give no rows.
+    scaled: model and DIMS, a row for each document. A start is done when its determinant stands still.
+    """
+    now, done = written(_first_estimates(scaled), "starts"), None
+    for step in range(1, MOST_STEPS + 1):
+        near = scaled.join(side(now), "model").select("model", "start", *DIMS, _distance().alias("d"))
+        half = written(near.groupBy("model", "start").agg(F.percentile_approx("d", 0.5, ACCURACY).alias("h")), "halves")
+        inner = near.join(side(half), ["model", "start"]).where(F.col("d") <= F.col("h"))
+        before = now.select("model", "start", F.col("logdet").alias("last"))
+        told = written(_estimates(_moments(inner, "model", "start")).join(before, ["model", "start"]).withColumn("steps", F.lit(step)), "steps")
+        open_ = F.col("last").isNull() | (F.col("last") - F.col("logdet") >= STILL)
+        ended = told.where(~open_ | F.lit(step == MOST_STEPS)).drop("last")
+        done = ended if done is None else done.union(ended)
+        now = told.where(open_).drop("last", "steps")
+        if not now.limit(1).count():
+            break
+    best = F.min(F.struct("logdet", "start", "centre", "inverse", "rank", "steps")).alias("best")
+    return written(done.groupBy("model").agg(best).select("model", "best.*"), "estimates")
+
+
+def robust_outliers(stats: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+    """stats (lang, source and all statistics) with base_failed, distance (squared) and kept.
+
+    A document that fails the base rules is rejected and takes no part in the estimates. Groups of under
+    MIN_GROUP documents are judged by their language's estimate, else by that of the corpus; documents of a
+    corpus of under MIN_GROUP are kept unjudged (distance null). Null languages and sources are groups of
+    their own. Rows that repeat are judged alike; no rows give no rows. Columns of stats named base_failed,
+    distance or kept are replaced.
     """
-    spark = stats.sparkSession
-    names = stats.columns
-    stats = written(stats.withColumn("base_failed", base_failed()).select("*", *(c.alias(f"f{i}") for i, c in enumerate(_vector()))), "quality")
-    groups = written(_grouped(stats), "groups")
-    wide = groups.count() > MAX_BROADCAST_GROUPS
-    side = (lambda df: df) if wide else F.broadcast  # a row for each group: at most MAX_BROADCAST_GROUPS
-    g = side(groups.withColumnsRenamed({"lang": "g_lang", "source": "g_source"}))
-    rows = stats.join(g, stats["lang"].eqNullSafe(g["g_lang"]) & stats["source"].eqNullSafe(g["g_source"]), "left").drop("g_lang", "g_source")
-    judged = rows.where(~F.col("base_failed")).select("model", *DIMS)
-    # The first half: the documents whose values are all near the medians, in units of the quartiles' width.
-    quartiles = judged.groupBy("model").agg(F.count(F.lit(1)).alias("n"), *(F.percentile_approx(f, [0.25, 0.5, 0.75], 2000).alias(f"p_{f}") for f in DIMS))
-    start = written(quartiles.select("model", F.array(*(F.col(f"p_{f}")[1] for f in DIMS)).alias("centre"),
-        F.flatten(F.array(*(F.array(*((1 / F.greatest(F.pow((F.col(f"p_{f}")[2] - F.col(f"p_{f}")[0]) / 1.349, F.lit(2)), F.lit(FLOORS[i] ** 2))) if i == j else F.lit(0.0) for j in range(len(DIMS)))) for i, f in enumerate(DIMS)))).alias("inverse")), "centres")
-    for step in range(steps):
-        near = judged.join(side(start), "model").select("model", *DIMS, _distance().alias("d"))
-        half = written(near.groupBy("model").agg(F.percentile_approx("d", 0.5, 2000).alias("h")), "half")
-        inner = near.join(side(half), "model").where(F.col("d") <= F.col("h"))
-        start = written(_estimates(_sums(inner.withColumn("scale", F.lit(1.0)))), "centres")
-    # The half's scatter is too narrow for the whole: scale it so that the median distance is that of a normal sample.
-    near = judged.join(side(start), "model").select("model", _distance().alias("d"))
-    scale = near.groupBy("model").agg(F.greatest(F.percentile_approx("d", 0.5, 2000) / CHI2_MEDIAN, F.lit(1.0)).alias("scale"), F.count(F.lit(1)).alias("size"))
-    final = written(start.join(scale, "model"), "centres")
-    out = rows.join(side(final), "model", "left").withColumn("distance", F.when((F.col("size") >= MIN_GROUP) & ~F.col("base_failed"), _distance() / F.col("scale")))
-    return out.select(*(f"`{n}`" for n in names), "base_failed", "distance", (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)).alias("kept"))
+    names = [c for c in stats.columns if c not in ("base_failed", "distance", "kept")]
+    x = [f"x{i}" for i in range(5)]
+    held = written(stats.select(F.struct(*(F.col(f"`{n}`") for n in names)).alias("row"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), base_failed().alias("base_failed"), *(c.alias(n) for c, n in zip(_vector(), x))), "quality")
+    models = written(_models(held.where(~F.col("base_failed"))), "models")
+    wide = models.count() > MAX_BROADCAST_GROUPS
+    side = (lambda df: df) if wide else F.broadcast  # a row for each estimate and start: at most 4 * MAX_BROADCAST_GROUPS
+    g = side(models.withColumnsRenamed({"lang": "g_lang", "source": "g_source"}))
+    placed = held.join(g, held["lang"].eqNullSafe(g["g_lang"]) & held["source"].eqNullSafe(g["g_source"]), "left").drop("g_lang", "g_source")
+    fed = placed.where(~F.col("base_failed")).select(F.explode("feeds").alias("model"), *x)
+    # Distances don't change with a dimension's origin and unit: medians and quartiles make them comparable.
+    quartiles = fed.groupBy("model").agg(F.count(F.lit(1)).alias("size"), *(F.percentile_approx(c, [0.25, 0.5, 0.75], ACCURACY).alias(f"p_{c}") for c in x))
+    units = written(quartiles.select("model", "size", *(F.col(f"p_{c}")[1].alias(f"o_{c}") for c in x), *(F.greatest((F.col(f"p_{c}")[2] - F.col(f"p_{c}")[0]) / 1.349, F.lit(LEAST_SCALE)).alias(f"u_{c}") for c in x)), "units")
+    scale = [((F.col(c) - F.col(f"o_{c}")) / F.col(f"u_{c}")).alias(z) for c, z in zip(x, DIMS)]
+    scaled = written(fed.join(side(units), "model").where(F.col("size") >= MIN_GROUP).select("model", *scale), "vectors")
+    best = concentrated(scaled, side)
+    median, inner = (F.get(F.array(*map(F.lit, x)), F.col("rank") - 1) for x in (MEDIANS, INNERS))
+    for turn in range(2):  # the half's estimate, then that of the documents within the inner quantile
+        near = scaled.join(side(best), "model").select("model", *DIMS, _distance().alias("d"))
+        middle = near.groupBy("model").agg(F.percentile_approx("d", 0.5, ACCURACY).alias("middle"))
+        told = written(best.join(middle, "model").withColumn("factor", F.col("middle") / median), "factors")
+        if turn == 0:
+            within = near.join(side(told.select("model", (inner * F.col("factor")).alias("most"))), "model").where(F.col("d") <= F.col("most")).withColumn("start", F.lit("inner"))
+            best = written(_estimates(_moments(within, "model", "start")), "estimates")
+    final = told.select("model", "centre", "inverse", "factor").join(units.drop("size"), "model")
+    out = placed.join(side(final), "model", "left").select("row", "base_failed", "centre", "inverse", "factor", *scale)
+    out = out.withColumn("distance", F.when(~F.col("base_failed"), _distance() / F.greatest("factor", F.lit(1e-12))))
+    return out.select("row.*", "base_failed", "distance", (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)).alias("kept"))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """doc_id, lang, source, the five statistics, base_failed, distance and kept, a row for each row of docs."""
-    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"))
+    """doc_id, lang, source, the statistics, base_failed, distance and kept, a row for each row of docs."""
+    picked = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{source_col}`").cast("string").alias("source"))
     return robust_outliers(text_statistics(picked))
