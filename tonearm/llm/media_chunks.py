@@ -1,30 +1,34 @@
 """Media columns: content-defined chunking of binary payloads.
 
-A payload is cut where a rolling gear hash of its last 32 bytes has twelve leading zeros. Each task
-compresses its chunks into a pack file in the shared folder; a Spark join on the chunk digests then
-picks one stored copy for all equal chunks, and a document is an ordered list of chunk addresses. Only digests and
-addresses are shuffled, never payload bytes. Reading follows the lists, joins the frames and checks
-the payload's digest.
+A payload is cut where a rolling gear hash of its last 32 bytes has twelve leading zeros. Texts wait in
+blocks (see blocks.py) while Spark groups the chunk digests and picks one owner of all equal chunks; only
+the owners' chunks are then compressed, into pack files of the shared folder, so equal chunks are stored
+once in the whole corpus. A Spark join gives every chunk the address of its stored copy, and a document is
+an ordered list of addresses. Only digests and addresses are shuffled, never payload bytes, and a digest
+that a large share of all documents has is joined by broadcast. Reading follows the lists, joins the frames
+and checks the payload's digest.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, text_or_empty, written
+from .blocks import column, grouped, opened, packed
+from .common import joined_hot, new_path, remove_folder, text_or_empty, written
 
 SAMPLE_BYTES = 576
 CUT_BITS, LEAST_CHUNK, MOST_CHUNK = 12, 1_024, 16_384
-PACK_BYTES = 64 * 2**20
+#: Text bytes of a block, and blocks whose chunks share a pack file.
+BLOCK_BYTES, PACK_BLOCKS = 16 * 2**20, 4
 
 
 def _gear_table() -> np.ndarray:
@@ -63,40 +67,49 @@ def padded(text: bytes) -> bytes:
     return text + b"\xff" * (max(1, -(-len(text) // SAMPLE_BYTES)) * SAMPLE_BYTES - len(text))
 
 
-STORED = "doc_id long, n_bytes long, payload_key string, pack long, row long, chunks array<struct<digest: binary, start: long, stored: int, raw: int>>"
+CHUNKED = "block long, row int, doc_id long, n_bytes long, payload_key string, chunks array<struct<digest: binary, start: long, raw: int>>"
 
 
-def _store(folder: str):
+def _chunk(folder: str):
+    def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("digest", pa.binary()), ("start", pa.int64()), ("raw", pa.int32())])))
+        for name, table in packed(folder, batches, "text", BLOCK_BYTES):
+            rows = []
+            for row, (doc_id, text) in enumerate(zip(column(table, "doc_id").to_pylist(), column(table, "text").cast(pa.large_binary()).to_pylist())):
+                payload, chunks, start = padded(text), [], 0
+                for end in gear_cuts(payload):
+                    chunks.append({"digest": hashlib.blake2b(payload[start:end], digest_size=16).digest(), "start": start, "raw": end - start})
+                    start = end
+                rows.append((name, row, doc_id, len(text), hashlib.sha256(payload).hexdigest(), chunks))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=["block", "row", "doc_id", "n_bytes", "payload_key", "chunks"])
+
+    return chunk
+
+
+STORED = "digest binary, pack long, start long, stored int, raw int"
+
+
+def _store(blocks: str, folder: str):
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Compresses the owners' chunks of the task's blocks into one pack; gives their addresses."""
         import zstandard
 
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root)
-        press = zstandard.ZstdCompressor(level=3, write_content_size=True)
-        schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_key", pa.string()), ("pack", pa.int64()), ("row", pa.int64()), ("chunks", pa.list_(pa.struct([("digest", pa.binary()), ("start", pa.int64()), ("stored", pa.int32()), ("raw", pa.int32())])))])
-        out, pack, at, row, known = None, 0, 0, 0, {}
+        press, pack, at, out = zstandard.ZstdCompressor(level=3, write_content_size=True), TaskContext.get().taskAttemptId(), 0, None
+        schema = pa.schema([("digest", pa.binary()), ("pack", pa.int64()), ("start", pa.int64()), ("stored", pa.int32()), ("raw", pa.int32())])
         try:
-            for batch in batches:
-                rows = []
-                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
-                    payload, chunks, start = padded(text), [], 0
-                    if out is None or at > PACK_BYTES:
-                        if out is not None:
-                            out.close()
-                        pack, at, known = uuid.uuid4().int >> 65, 0, {}
+            for name, owned in grouped(batches):
+                texts, last, rows = column(opened(blocks, name), "text").cast(pa.large_binary()), None, []
+                for c in owned.to_pylist():
+                    if c["row"] != last:
+                        last, payload = c["row"], padded(texts[c["row"]].as_py())
+                    frame = press.compress(payload[c["first"] : c["first"] + c["raw"]])
+                    if out is None:
                         out = fs.open_output_stream(f"{root}/{pack}.pack")
-                    for end in gear_cuts(payload):
-                        chunk = payload[start:end]
-                        start = end
-                        digest = hashlib.blake2b(chunk, digest_size=16).digest()
-                        if digest not in known:
-                            frame = press.compress(chunk)
-                            out.write(frame)
-                            known[digest] = (at, len(frame), len(chunk))
-                            at += len(frame)
-                        chunks.append((digest, *known[digest]))
-                    rows.append({"doc_id": doc_id, "n_bytes": len(text), "payload_key": hashlib.sha256(payload).hexdigest(), "pack": pack, "row": row, "chunks": [dict(zip(("digest", "start", "stored", "raw"), c)) for c in chunks]})
-                    row += 1
+                    out.write(frame)
+                    rows.append({"digest": c["digest"], "pack": pack, "start": at, "stored": len(frame), "raw": c["raw"]})
+                    at += len(frame)
                 yield pa.RecordBatch.from_pylist(rows, schema)
         finally:
             if out is not None:
@@ -108,16 +121,22 @@ def _store(folder: str):
 def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
     """Payloads as chunk lists: doc_id, n_bytes, payload_key, chunks (pack, start, stored, raw in order), and the folder of the packs.
 
-    A null text is an empty payload of padding. Every row has its own list, repeated rows too. A task
-    that fails leaves a pack that no list names; lists are kept only from tasks that ended well.
+    A null text is an empty payload of padding. Every row has its own list, repeated rows too; equal chunks
+    are stored once. A task that fails leaves a pack that no list names. No rows give no rows.
     """
-    folder = new_path(docs.sparkSession, "packs")
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    stored = written(picked.mapInArrow(_store(folder), STORED), "chunks")
-    each = stored.select("doc_id", "n_bytes", "payload_key", F.col("pack").alias("of"), "row", F.posexplode("chunks").alias("seq", "c")).select("doc_id", "n_bytes", "payload_key", "of", "row", "seq", F.col("c.digest").alias("digest"), F.struct(F.col("of").alias("pack"), "c.start", "c.stored", "c.raw").alias("address"))
-    chosen = each.groupBy("digest").agg(F.min("address").alias("chosen"))
-    lists = each.drop("address").join(chosen, "digest").groupBy("of", "row", "doc_id", "n_bytes", "payload_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "chosen"))), lambda x: x["chosen"]).alias("chunks"))
-    return lists.select("doc_id", "n_bytes", "payload_key", "chunks"), folder
+    spark = docs.sparkSession
+    blocks, folder = new_path(spark, "blocks"), new_path(spark, "packs")
+    picked = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    told = written(picked.mapInArrow(_chunk(blocks), CHUNKED), "chunks")
+    each = told.select("block", "row", F.posexplode("chunks").alias("seq", "c")).select("block", "row", "seq", F.col("c.digest").alias("digest"), F.col("c.start").alias("first"), F.col("c.raw").alias("raw"))
+    owners = written(each.groupBy("digest").agg(F.min(F.struct("block", "row", "first", "raw")).alias("owner"), F.count(F.lit(1)).alias("count")), "owners")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), told.select("block").distinct().count() // PACK_BLOCKS)
+    owned = owners.select("digest", "owner.*").repartition(parts, "block").sortWithinPartitions("block", "row", "first")
+    stored = written(owned.mapInArrow(_store(blocks, folder), STORED), "addresses")
+    remove_folder(blocks)  # all that is kept of the texts is in the packs
+    addressed = joined_hot(each.select("block", "row", "seq", "digest"), stored, "digest", owners.select("digest", "count"))
+    lists = addressed.groupBy("block", "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.struct("pack", "start", "stored", "raw").alias("c")))), lambda x: x["c"]).alias("chunks"))
+    return told.select("block", "row", "doc_id", "n_bytes", "payload_key").join(lists, ["block", "row"]).select("doc_id", "n_bytes", "payload_key", "chunks"), folder
 
 
 def _features(payload: bytes) -> str:
