@@ -2,9 +2,12 @@
 
 A turn is rendered as `### Role:`, its text and `</turn>`. Each turn is first rendered as it stands
 and parsed again; where the parser doesn't give back the source, the conflicting content is escaped
-(one backslash more before each control string) and parsed again, until it does. Turns are rendered
-row by row; reading back sorts each conversation's segments and streams them through the parser, so
-that no conversation, however long, is held in memory.
+(one backslash more before each control string) and parsed again. Once is enough: no control string of an
+escaped text is bare, so the text ends where it should, and the parser takes one backslash away from each
+of them; a text that still differs is an error. Turns are rendered row by row; reading back sorts each
+conversation's segments and streams them through the parser, so that no conversation, however long, is
+held in memory. The grammar ends a turn by itself, so the turns of a conversation's text are those of its
+segments one after the other.
 """
 
 from __future__ import annotations
@@ -24,7 +27,6 @@ OPEN, CLOSE = "### {}:\n", "\n</turn>\n"
 CONTROL = re.compile(r"(?<!\\)(\\*+)(###|</turn>)")
 ESCAPED = re.compile(r"(?<!\\)\\(\\*+)(###|</turn>)")
 HEADER = re.compile(r"### ((?:[^\\:\n]|\\.)*):\n", re.DOTALL)
-MAX_LEVELS = 4
 
 
 def role_label(role: str) -> str:
@@ -57,15 +59,13 @@ def parse(segment: str) -> list[tuple[str, str, int, int]]:
 
 def render(role: str, text: str) -> tuple[str, int]:
     """A turn's segment and how often its content was escaped before it parsed to the source."""
-    body = text
-    for level in range(MAX_LEVELS):
+    for escapes, body in enumerate((text, CONTROL.sub(r"\\\1\2", text))):
         segment = OPEN.format(role_label(role)) + body + CLOSE
         try:
             if [t[:2] for t in parse(segment)] == [(role, text)]:
-                return segment, level
+                return segment, escapes
         except ValueError:
             pass
-        body = CONTROL.sub(r"\\\1\2", text)
     raise ValueError("a turn doesn't survive the round trip")
 
 
@@ -85,7 +85,7 @@ def format_turns(conversations: DataFrame, id_col: str = "conv_id", turn_col: st
     A conversation's formatted text is its segments in the order of turn, then segment. Null texts and
     roles are empty, a null turn comes first, rows with a null id are one conversation. Repeated rows stay.
     """
-    picked = conversations.select(F.col(id_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), text_or_empty(role_col).alias("role"), text_or_empty(text_col).alias("text"))
+    picked = conversations.select(F.col(f"`{id_col}`").cast("long").alias("conv_id"), F.col(f"`{turn_col}`").cast("long").alias("turn"), text_or_empty(role_col).alias("role"), text_or_empty(text_col).alias("text"))
     return picked.mapInArrow(_render, "conv_id long, turn long, segment string, loss_start long, loss_length long, escapes int")
 
 
