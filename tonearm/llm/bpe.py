@@ -1,9 +1,11 @@
 """BPE encoding and decoding with a pair occurrence index.
 
-The distinct pieces of the texts that a task holds lie end to end in one list of symbols. An index maps
-each pair of neighbours to all its places in that list; the active ranks are applied in ascending order,
-each at all its places at once (frequent ones by array), and the lists of the pairs next to a merge are
-updated. Ids of a text are those of its pieces.
+The distinct words of a partition lie end to end in one list of symbols. An index maps each pair of
+neighbours to all its places in that list; the active ranks are applied in ascending order, each at all
+its places at once (frequent ones by array), and the lists of the pairs next to a merge are updated. Ids
+of a text are those of its pieces. A partition may hold more distinct words than a worker's memory, so
+words are indexed as they first appear, at most BATCH_WORDS at once, and each once for the partition as
+long as the caches hold it; a merge never spans words, so ids don't depend on how they are dealt.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from .common import text_or_empty
 CACHE_PIECES, CACHE_WORDS = 200_000, 300_000
 #: Words that are merged at once, and places from which on a rank is applied to all of them by array.
 BATCH_WORDS, MANY_PLACES = 60_000, 48
+#: Bits of an id in a pair's key.
+ID_BITS = 24
 #: A run without white space and one space before it, or white space; 0x1C to 0x1F aren't white space here.
 PIECE = re.compile(r" ?[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+(?![\S\x1c-\x1f])|[^\S\x1c-\x1f]+")
 _CODECS: dict[tuple[type, str], ByteBpe | ByteDecoder] = {}
@@ -56,16 +60,18 @@ class ByteDecoder:
 
 
 class ByteBpe:
-    """A byte-level BPE vocabulary, its merges, and the ids of the pieces seen. Ids are below 2**16."""
+    """A byte-level BPE vocabulary, its merges, and the ids of the pieces seen. ValueError for ids of more than ID_BITS bits."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         told = _read(path)
         vocabulary: dict[str, int] = told["model"]["vocab"]
+        if max(vocabulary.values(), default=0) >> ID_BITS:
+            raise ValueError(f"a vocabulary with ids of more than {ID_BITS} bits")
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in told["model"]["merges"]]
         self.merges = [(vocabulary[a], vocabulary[b], vocabulary[a + b]) for a, b in pairs]
-        self.rank = {a << 16 | b: rank for rank, (a, b, _) in enumerate(self.merges)}
+        self.rank = {a << ID_BITS | b: rank for rank, (a, b, _) in enumerate(self.merges)}
         self.keys, self.key_ranks = (np.array(x, np.int64) for x in zip(*sorted(self.rank.items())))
         self.symbol = {c: k for c, k in vocabulary.items() if len(c) == 1}
         self.special = {t["content"]: t["id"] for t in told["added_tokens"]}
@@ -82,7 +88,7 @@ class ByteBpe:
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair, -1 for pairs that don't merge; what is below 0 is no symbol."""
-        keys = left.astype(np.int64) << 16 | right
+        keys = left.astype(np.int64) << ID_BITS | right
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where((self.keys[at] == keys) & (left >= 0) & (right >= 0), self.key_ranks[at], -1)
 
@@ -140,7 +146,7 @@ class ByteBpe:
                 symbols[at], symbols[right] = new, -2
                 beyond, left = after[right], before[at]
                 after[at], before[beyond] = beyond, at
-                for key, place in ((symbols[left] << 16 | new, left), (new << 16 | symbols[beyond], at)):
+                for key, place in ((symbols[left] << ID_BITS | new, left), (new << ID_BITS | symbols[beyond], at)):
                     near = rank_of(key)
                     if near is not None:
                         add(near, [place])
@@ -197,8 +203,12 @@ def _encode(path: str):
 
 
 def encode_texts(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataFrame:
-    """docs with ids, the text's token ids, in place of the text. A null or empty text has none; rows and other columns stay."""
-    rest = [f for f in docs.schema.fields if f.name != text_col]
+    """docs with ids, the text's token ids, in place of the text.
+
+    A null or empty text has none; rows and other columns stay, but for one named ids, or text beside the
+    text's own, which is replaced. No rows give no rows.
+    """
+    rest = [f for f in docs.schema.fields if f.name not in (text_col, "text", "ids")]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "ids array<int>"])
     return docs.select(*(f"`{f.name}`" for f in rest), text_or_empty(text_col).alias("text")).mapInArrow(_encode(tokenizer_path), schema)
 
@@ -208,7 +218,7 @@ def _decode(path: str, ids_col: str):
         own = codec(ByteDecoder, path)
         for batch in batches:
             names, column = batch.schema.names, batch.column(ids_col)
-            values, ends = column.values.to_numpy(), column.offsets.to_numpy()
+            values, ends = column.values.to_numpy(), column.offsets.to_numpy()  # no nulls: decode_ids() fills them
             texts = [own.decode(values[a:b].tolist()) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*names, "decoded"])
 
@@ -216,6 +226,8 @@ def _decode(path: str, ids_col: str):
 
 
 def decode_ids(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids") -> DataFrame:
-    """encoded with decoded, the text that the ids stand for. Null ids give an empty text."""
+    """encoded with decoded, the text that the ids stand for. Null ids give an empty text; a column named decoded is replaced."""
+    encoded = encoded.drop("decoded") if ids_col != "decoded" else encoded.withColumnRenamed("decoded", "ids")
+    ids_col = "ids" if ids_col == "decoded" else ids_col
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields), "decoded string"])
-    return encoded.withColumn(ids_col, F.coalesce(ids_col, F.array().cast("array<int>"))).mapInArrow(_decode(tokenizer_path, ids_col), schema)
+    return encoded.withColumn(ids_col, F.coalesce(F.col(f"`{ids_col}`"), F.array().cast("array<int>"))).mapInArrow(_decode(tokenizer_path, ids_col), schema)
