@@ -4,7 +4,8 @@ Slot i of the mixture maps the i-th point of a golden-ratio (Weyl) sequence thro
 cumulative shares, so that every prefix of the schedule is close to the target shares. The documents
 of a source lie end to end in a shuffled order, at most three times over, cut into blocks of equally
 many words; the r-th slot of a source takes its r-th block. All of it is joins and windows over
-bounded cells: no window spans a source.
+bounded cells of documents or slots; the only windows that span a source run over a row for each of its
+cells, to sum what comes before.
 """
 
 from __future__ import annotations
@@ -112,7 +113,7 @@ def mix_plan(sized: DataFrame, seed: int = 7, weights: tuple[float, ...] = WEIGH
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """A row number stands in for the row: rows that repeat are told apart by a count within their equals."""
-    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("text_hash"))
+    picked = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"), F.xxhash64(F.col(f"`{text_col}`")).alias("text_hash"))
     same = Window.partitionBy("doc_id", "source", "text_hash").orderBy("size")
     return picked.withColumn("row", F.struct("doc_id", "source", "text_hash", F.row_number().over(same).alias("copy"))).drop("text_hash")
 
@@ -139,9 +140,13 @@ def mixed_texts(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", text_col
     sized = written(_sized(docs, id_col, text_col, source_col), "sized")
     _, pieces = mix_plan(sized, seed, whole=whole)
     spans = pieces.groupBy("row", "epoch").agg(F.min("first_word").alias("first_word"), F.sum("words").alias("words")).select("row.*", "epoch", "first_word", "words")
-    same = Window.partitionBy(id_col, source_col, F.xxhash64(F.col(text_col))).orderBy(F.lit(0))
-    left = docs.select(*(f"`{c}`" for c in docs.columns), F.xxhash64(F.col(text_col)).alias("_hash"), word_count(F.col(text_col)).alias("_size"), F.row_number().over(same).alias("_copy"))
-    on = left[id_col].eqNullSafe(spans["doc_id"]) & left[source_col].cast("string").eqNullSafe(spans["source"]) & (left["_hash"] == spans["text_hash"]) & (left["_copy"] == spans["copy"])
-    words = F.slice(F.regexp_extract_all(left[text_col], F.lit(f"({WORD})")), (F.col("first_word") + 1).cast("int"), F.col("words").cast("int"))
-    text = F.when(F.col("words") == F.col("_size"), left[text_col]).otherwise(F.array_join(words, " "))
-    return left.join(spans, on).select(*((text.alias(c) if c == text_col else left[c]) for c in docs.columns))
+    names = [f"c{k}" for k in range(len(docs.columns))]  # whatever the columns are named
+    doc_id, text, source = (names[docs.columns.index(c)] for c in (id_col, text_col, source_col))
+    own = docs.toDF(*names)
+    same = Window.partitionBy(doc_id, source, F.xxhash64(text)).orderBy(F.lit(0))
+    left = own.select(*names, F.xxhash64(text).alias("text_hash"), word_count(F.col(text)).alias("size"), F.row_number().over(same).alias("number"))
+    told = spans.withColumnsRenamed({"doc_id": "of_id", "source": "of_source", "text_hash": "of_hash"})
+    on = left[doc_id].eqNullSafe(told["of_id"]) & left[source].cast("string").eqNullSafe(told["of_source"]) & (left["text_hash"] == told["of_hash"]) & (left["number"] == told["copy"])
+    words = F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})")), (F.col("first_word") + 1).cast("int"), F.col("words").cast("int"))
+    cut = F.when(F.col("words") == F.col("size"), F.col(text)).otherwise(F.array_join(words, " "))
+    return left.join(told, on).select(*((cut if n == text else F.col(n)).alias(c) for n, c in zip(names, docs.columns)))
