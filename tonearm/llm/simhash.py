@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import joined_hot, written
 
 SHINGLE, SEED, RANGE = 3, 42, 2
 SEGMENTS = 32
@@ -52,7 +52,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and fp (the fingerprint's 64 bits as a long), a row for each row of docs. A text without words, or null, has 0."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
 def _vector(fp: Column) -> Column:
@@ -88,8 +88,9 @@ def links(prints: DataFrame) -> DataFrame:
     masks = _masks(prints.count())
     vector = _vector(F.col("fp"))
     keys = F.array(*(F.struct(F.lit(k).cast("byte").alias("grid"), vector.bitwiseAND(F.lit(m)).alias("cell")) for k, m in enumerate(masks)))
-    placed = prints.select("fp", F.explode(keys).alias("key")).select("fp", "key.grid", "key.cell")
-    full = written(placed.join(placed.groupBy("grid", "cell").count().where("count > 1"), ["grid", "cell"]), "cells")
+    placed = prints.select("fp", F.explode(keys).alias("key"))
+    counts = written(placed.groupBy("key").count().where("count > 1"), "counts")
+    full = written(joined_hot(placed, counts, "key", counts).select("fp", "key.grid", "key.cell", "count"), "cells")
     few = full.where(F.col("count") <= PAIRED_CELL)
     a, b = few.select("grid", "cell", F.col("fp").alias("u")), few.select("grid", "cell", F.col("fp").alias("v"))
     near = a.join(b, ["grid", "cell"]).where((F.col("u") < F.col("v")) & (_manhattan(_vector(F.col("u")), _vector(F.col("v"))) <= RANGE))
