@@ -3,6 +3,9 @@
 Documents are range-partitioned and sorted by id; a partition is one .bin file of ids, one .idx file
 of its documents' first positions (64-bit, one more than documents) and one .doc file of their ids.
 Where a file's ids start in the whole corpus is the prefix sum of the partitions' lengths.
+
+Files on a file system of the machine (a shared mount) are memory-mapped; those of a store that can't be
+mapped are read whole, one at a time: at most the ids of about FILE_TEXT_BYTES of text, or of one longer text.
 """
 
 from __future__ import annotations
@@ -112,7 +115,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, vocabul
     """
     spark = docs.sparkSession
     folder, kind = new_path(spark, "tokens"), "<u2" if vocabulary <= 2**16 else "<u4"
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    picked = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     parts = parts_for(text_bytes(picked), FILE_TEXT_BYTES, int(spark.conf.get("spark.sql.shuffle.partitions")))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     ranged = picked.repartitionByRange(parts, *order).sortWithinPartitions(*order)
