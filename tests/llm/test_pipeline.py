@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tonearm.llm import bpe, queries, simhash
+from tonearm.llm import bpe, common, queries, simhash
 from tests.llm.test_operators import DOCS, brute_stats, sample, words_of
 
 SF = "/root/testdata/sf0.001"
@@ -83,3 +83,10 @@ def test_kept_digest(spark):
     for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
         if got[r["doc_id"]]["n_removed"] == 0:
             assert got[r["doc_id"]]["kept_sha256"] == hashlib.sha256(" ".join(words_of(r["text"])).encode()).hexdigest()
+
+
+def test_only_the_last_stages_files_stay(spark):
+    before = set(common.made())
+    corpus_pipeline.run(spark, SF).count()
+    left = [p for p in common.made() if p not in before]
+    assert len(left) < 12 and any("-stage-" in p for p in left)

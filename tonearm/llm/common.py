@@ -53,14 +53,19 @@ def remove_folder(path: str) -> None:
         _MADE.remove(path)
 
 
-def remove_scratch(keep: tuple[DataFrame, ...] = ()) -> None:
-    """Removes all tables, blocks and packs that operators of this process left in the shared folder, but for the files that keep reads.
+def made() -> tuple[str, ...]:
+    """The tables, blocks and packs that operators of this process have left in the shared folder so far."""
+    return tuple(_MADE)
 
-    For the end of a job or of a stage whose result is written: frames that still read from them fail afterwards.
+
+def remove_scratch(keep: tuple[DataFrame, ...] = (), before: tuple[str, ...] = ()) -> None:
+    """Removes what operators of this process left in the shared folder, but for what was made() before and the files that keep reads.
+
+    For the end of a stage whose result is written: frames that still read from the rest fail afterwards.
     """
     used = [f for df in keep for f in df.inputFiles()]
-    for path in list(_MADE):
-        if not any(path.rsplit("/", 1)[-1] in f for f in used):
+    for path in made():
+        if path not in before and not any(path.rsplit("/", 1)[-1] in f for f in used):
             remove_folder(path)
 
 
