@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 
 # Rows shown where the caller doesn't say, rows shown at most, and seconds a statement may take.
 DEFAULT_ROWS, MAX_ROWS, MAX_SECONDS = 200, 5_000, 15
-#: Nodes of a parsed plan that read; every other leaf or command is refused.
-REFUSED = ("Command", "Insert", "Create", "Drop", "Alter", "Delete", "Update", "Merge", "Truncate", "Replace", "Refresh", "Repair", "Analyze", "Cache", "Uncache", "Set", "Reset", "AddJar", "LoadData", "ScriptTransformation", "Call", "Describe", "Show")
-HARMLESS = ("SetOperation",)
-FILE_FORMATS = ("parquet", "csv", "json", "orc", "text", "avro", "binaryfile", "delta", "xml")
+#: Nodes that a parsed read is made of; a statement with any other node is refused.
+READS = (
+    "Aggregate", "CTERelationDef", "CTERelationRef", "Deduplicate", "Distinct", "Except", "Expand", "Filter", "Generate", "GlobalLimit", "Intersect", "Join", "LateralJoin", "LocalLimit", "LocalRelation",
+    "Offset", "OneRowRelation", "Pivot", "Project", "ResolvedInlineTable", "Sample", "Sort", "SubqueryAlias", "Union", "UnionLoop", "UnionLoopRef", "UnresolvedHaving", "UnresolvedHint", "UnresolvedInlineTable", "UnresolvedOrdinal",
+    "UnresolvedPivot", "UnresolvedRelation", "UnresolvedSubqueryColumnAliases", "UnresolvedTVFAliases", "UnresolvedTableValuedFunction", "UnresolvedWith", "Unpivot", "Window", "WithWindowDefinition",
+)
+#: Functions that call into the JVM.
 FUNCTIONS = ("java_method", "reflect", "try_reflect")
 
 
@@ -34,19 +37,33 @@ def _nodes(plan) -> Iterable:
                 yield from _nodes(child)
 
 
-def check(spark: SparkSession, statement: str) -> None:
-    """Refuses what isn't a read: any command or insert anywhere in the parsed plan, files named as tables, and calls into the JVM."""
+def _strings(seq) -> list[str]:
+    return [seq.apply(k) for k in range(seq.size())]
+
+
+def check(spark: SparkSession, statement: str, names: Iterable[str]) -> None:
+    """Refuses what isn't a read of the named tables.
+
+    Every node of the parsed plan must be one of READS, and every relation a single name, that of a table
+    or of a WITH of the statement; so neither commands, nor files, nor other catalogs get through.
+    """
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(statement)
-    for node in _nodes(plan):
-        name = node.getClass().getSimpleName()
-        if name.startswith(REFUSED) and not name.startswith(HARMLESS) or name.endswith(("Command", "Statement")):
+    nodes = [(n.getClass().getSimpleName(), n) for n in _nodes(plan)]
+    known = {n.lower() for n in names}
+    for name, node in nodes:
+        if name not in READS:
             raise Refused(f"only reads are allowed, not {name}")
+        if name == "UnresolvedWith":
+            defined = node.cteRelations()
+            known |= {defined.apply(k)._1().lower() for k in range(defined.size())}
+    for name, node in nodes:
+        if name == "UnresolvedRelation":
+            parts = _strings(node.multipartIdentifier())
+            if len(parts) > 1 or parts[0].lower() not in known:
+                raise Refused(f"there is no table {'.'.join(parts)}; tables are read by name, not by path")
     shown = plan.toString().lower()
-    for f in FILE_FORMATS:
-        if f"unresolvedrelation [{f}," in shown:
-            raise Refused("tables are read by name, not by path")
     for f in FUNCTIONS:
-        if f"'{f}(" in shown:
+        if f"'{f}(" in shown or f".{f}(" in shown:
             raise Refused(f"{f} is not allowed")
 
 
@@ -74,7 +91,8 @@ def run(spark: SparkSession, tables: Mapping[str, DataFrame], names: Iterable[st
     is cancelled. Rows come to the driver up to the limit, at most MAX_ROWS and one.
     """
     limit = max(1, min(int(limit), MAX_ROWS))
-    own = spark.newSession()
+    own, names = spark.newSession(), list(names)
+    own.conf.set("spark.sql.runSQLOnFiles", "false")
     for n in names:
         # A view of another session's table: the frame is rebuilt over the same files.
         tables[n].createOrReplaceGlobalTempView(f"adhoc_{n}")
@@ -83,7 +101,7 @@ def run(spark: SparkSession, tables: Mapping[str, DataFrame], names: Iterable[st
     if not parts:
         raise Refused("there is no statement")
     for s in parts:
-        check(own, s)
+        check(own, s, names)
     df = own.sql(parts[-1])
     kinds = [(n, t) for n, t in zip(distinct_names(df.columns), (t for _, t in df.dtypes))]
     job, context = uuid.uuid4().hex, spark.sparkContext
