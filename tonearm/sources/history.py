@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import codecs
 import json
 import zipfile
 from collections.abc import Iterator
 from datetime import datetime
+from itertools import islice
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -39,6 +41,38 @@ def archive_entries(spark: SparkSession, archives: list[str]) -> DataFrame:
     return paths.mapInArrow(_entries, "archive string, entry string, size long")
 
 
+def array_items(stream, size: int = 1 << 20) -> Iterator[object]:
+    """The items of a JSON array, one at a time, from a stream of UTF-8 bytes; only a piece of the text is held."""
+    decoder, text, at, begun = json.JSONDecoder(), codecs.getincrementaldecoder("utf-8-sig")(), 0, False
+    held, ended = "", False
+    while True:
+        while at < len(held) and held[at] in " \t\r\n,":
+            at += 1
+        if at < len(held) and not begun:
+            if held[at] != "[":
+                raise ValueError("a history file holds a JSON array")
+            begun, at = True, at + 1
+            continue
+        if begun and at < len(held):
+            if held[at] == "]":
+                return
+            try:
+                item, end = decoder.raw_decode(held, at)
+            except json.JSONDecodeError:
+                if ended:
+                    raise
+            else:
+                if held[end : end + 64].lstrip()[:1] in {",", "]"}:  # what is cut off may go on
+                    yield item
+                    at = end
+                    continue
+        if ended:
+            raise ValueError("a history file ends within its array")
+        piece = stream.read(size)
+        ended = not piece
+        held, at = held[at:] + text.decode(piece, final=ended), 0
+
+
 def _records(most: int):
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -47,10 +81,10 @@ def _records(most: int):
                     raise ValueError(f"{entry} of {path} has {size} bytes, more than {most}")
                 fs, at = pafs.FileSystem.from_uri(path)
                 with fs.open_input_file(at) as raw, zipfile.ZipFile(raw) as z:
-                    rows = json.loads(z.read(entry))
-                for i in range(0, max(1, len(rows)), 20_000):
-                    part = [json.dumps(r) for r in rows[i : i + 20_000]]
-                    yield pa.RecordBatch.from_pydict({"archive": pa.array([path] * len(part), pa.string()), "entry": pa.array([entry] * len(part), pa.string()), "record": pa.array(part, pa.string())})
+                    with z.open(entry) as stream:
+                        items = array_items(stream)
+                        while part := [json.dumps(r) for r in islice(items, 20_000)]:
+                            yield pa.RecordBatch.from_pydict({"archive": pa.array([path] * len(part), pa.string()), "entry": pa.array([entry] * len(part), pa.string()), "record": pa.array(part, pa.string())})
 
     return records
 
@@ -91,11 +125,11 @@ def import_plays(stored: DataFrame, landed: DataFrame, tracks: DataFrame, import
     """The log after an import, and the rows it adds.
 
     New plays are added, polled plays in the import's span give way to it, then URIs are linked and all
-    polled plays are estimated anew, for an imported one may now stand between two of them.
+    polled plays are estimated anew, for an imported one may now stand between two of them. An id is a hash of
+    the play's key, so it is the same however often the frames are evaluated.
     """
     span = landed.agg(F.min("played_at"), F.max("played_at")).first()
-    last = stored.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    numbered = landed.withColumns({"id": F.lit(last) + 1 + F.monotonically_increasing_id(), "source": F.lit("extended"), "import_id": F.lit(import_id).cast("long")})
+    numbered = landed.withColumns({"id": F.xxhash64("played_at", "item_uri", "ms_played", "entry"), "source": F.lit("extended"), "import_id": F.lit(import_id).cast("long")})
     new = merge.new_plays(stored, numbered)
     kinds = {f.name: f.dataType for f in stored.schema.fields}
     shaped = new.select(*((F.col(c) if c in new.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in stored.columns))

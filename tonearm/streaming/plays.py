@@ -2,8 +2,9 @@
 
 A file-source stream takes the place of the poll's high-water mark. Each micro-batch is merged by
 key, linked, and all polled rows are estimated anew, because an answer may change when a play lands in
-front of one. The log is a chain of versions: a batch writes the next one beside the last and a small
-pointer file names it, so a batch that runs twice after a failure gives the same log.
+front of one. The log is a chain of versions: batch k reads the newest version below k and writes version k,
+which counts once Spark's commit has marked it, so a batch that runs twice after a failure gives the same
+log. The newest KEPT versions stay, for readers of the last ones.
 """
 
 from __future__ import annotations
@@ -24,6 +25,10 @@ PLAYS = (
 )
 
 
+#: Versions of the log that stay.
+KEPT = 3
+
+
 class PlayLog:
     """A log of plays kept as versions in a folder; version k holds what batches up to k gave."""
 
@@ -52,6 +57,9 @@ class PlayLog:
 
     def write(self, rows: DataFrame, version: int) -> None:
         rows.write.mode("overwrite").parquet(f"{self.folder}/v={version}")
+        fs, path = self._fs()
+        for v in [v for v in self.versions() if v <= version][:-KEPT]:
+            fs.delete(path(f"{self.folder}/v={v}"), True)
 
 
 def merged(stored: DataFrame, polled: DataFrame, tracks: DataFrame) -> DataFrame:
