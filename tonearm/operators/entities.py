@@ -48,7 +48,8 @@ def liked_tracks(t, sort: str = "added", direction: str = "desc", limit: int = 5
     if q:
         rows = rows.where(any_contains(q, F.col("name"), F.col("artist"), F.col("album_name")))
     rows = filtered(rows, filters, {"copies": COPIES, "explicit": EXPLICIT})
-    page = with_credits(paged(rows, [sort_key(LIKED_SORTS, sort, direction), F.asc("track_id")], limit, offset), t, "track_id")
+    counted = None if q or filters else saved.join(tracks.select("track_id"), "track_id")
+    page = with_credits(paged(rows, [sort_key(LIKED_SORTS, sort, direction), F.asc("track_id")], limit, offset, counted), t, "track_id")
     return page.select("total", F.col("track_id").alias("id"), "name", "duration_ms", "popularity", "explicit", iso(F.col("added_at")).alias("added_at"), "canonical_track_id", "copy_count", F.when(F.col("album_name").isNotNull(), F.col("album_id")).alias("album_id"), "album_name", "artists", "plays", "ms_played")
 
 
@@ -71,7 +72,8 @@ def library_recordings(t, sort: str = "added", direction: str = "desc", limit: i
     if q:
         rows = rows.where(any_contains(q, F.col("title"), F.col("artist"), F.col("album_name")))
     rows = filtered(rows, filters, {"source": SOURCES, "copies": COPIES, "explicit": EXPLICIT, "played": PLAYED})
-    page = with_credits(paged(rows, [sort_key(LIBRARY_SORTS, sort, direction), F.asc("canonical_track_id")], limit, offset), t)
+    counted = None if q or filters else t["library_canonical"].join(_recordings(t), "canonical_track_id")
+    page = with_credits(paged(rows, [sort_key(LIBRARY_SORTS, sort, direction), F.asc("canonical_track_id")], limit, offset, counted), t)
     return page.select(
         "total", "canonical_track_id", "representative_track_id", "title", "kind", "duration_ms", F.col("max_popularity").alias("popularity"), "explicit", "copy_count", "copy_count_in_library", "liked",
         iso(F.col("first_added_at")).alias("first_added_at"), "owned_playlist_count", F.when(F.col("album_name").isNotNull(), F.col("primary_album_id")).alias("album_id"), "album_name", "artists", "plays", "ms_played", iso(F.col("last_played_at")).alias("last_played_at"),
@@ -98,7 +100,8 @@ def artist_index(t, sort: str = "tracks", direction: str = "desc", limit: int =
     rows = artists.join(counted, "artist_id").join(played, "artist_id", "left").join(genres, "artist_id", "left").join(followed, "artist_id", "left")
     rows = rows.withColumns({"plays": F.coalesce("plays", F.lit(0)), "ms_played": F.coalesce("ms_played", F.lit(0)), "followed": F.coalesce("followed", F.lit(False))})
     rows = filtered(rows, filters, {"followed": FOLLOWED})
-    page = paged(rows, [sort_key(ARTIST_SORTS, sort, direction), F.asc("name"), F.asc("artist_id")], limit, offset)
+    counted = None if filters else artists.join(held.select("artist_id"), "artist_id", "left_semi")
+    page = paged(rows, [sort_key(ARTIST_SORTS, sort, direction), F.asc("name"), F.asc("artist_id")], limit, offset, counted)
     return page.select("total", F.col("artist_id").alias("id"), "name", "popularity", "followers_total", "tracks", "albums", "duration_ms", "genre", "followed", "plays", "ms_played")
 
 
@@ -133,7 +136,8 @@ def album_index(t, sort: str = "tracks", direction: str = "desc", limit: int = 5
     if q:
         rows = rows.where(any_contains(q, F.col("name"), F.col("artist")))
     rows = filtered(rows, filters, ALBUM_FILTERS)
-    page = paged(rows, [sort_key(ALBUM_SORTS, sort, direction), F.asc("name"), F.asc("album_id")], limit, offset)
+    counted = None if q or filters else albums.join(held.select("album_id"), "album_id", "left_semi")
+    page = paged(rows, [sort_key(ALBUM_SORTS, sort, direction), F.asc("name"), F.asc("album_id")], limit, offset, counted)
     return page.select("total", F.col("album_id").alias("id"), "name", "album_type", "release_date", "total_tracks", "popularity", "tracks", "saved", "artist", "artist_id", "plays", "ms_played")
 
 
@@ -153,7 +157,7 @@ def playlist_index(t, sort: str = "tracks", direction: str = "desc", limit: int
     stored = items.join(held, "track_id", "left").groupBy("playlist_id").agg(F.count("*").alias("tracks"), F.countDistinct("held_id").alias("library_tracks"), total(F.col("duration_ms")).alias("duration_ms"), F.max("added_at").alias("last_added"))
     rows = lists.join(stored, "playlist_id", "left").join(_plays_over(t, items, "playlist_id"), "playlist_id", "left")
     rows = rows.withColumns({**{c: F.coalesce(c, F.lit(0)) for c in ("tracks", "library_tracks", "duration_ms", "plays", "ms_played")}, "owner": F.coalesce("owner_name", "owner_id")})
-    page = paged(rows, [sort_key(PLAYLIST_SORTS, sort, direction), F.asc("name"), F.asc("playlist_id")], limit, offset)
+    page = paged(rows, [sort_key(PLAYLIST_SORTS, sort, direction), F.asc("name"), F.asc("playlist_id")], limit, offset, lists)
     return page.select("total", F.col("playlist_id").alias("id"), "name", "description", "owner_id", "owner_name", "is_owned", "collaborative", "public", "tracks", "library_tracks", "duration_ms", iso(F.col("last_added")).alias("last_added_at"), "plays", "ms_played")
 
 

@@ -103,8 +103,8 @@ def resolve_tracks(t, genres: list[str], match: str = "any", sort: str = "added"
     if q:
         rows = rows.where(any_contains(q, F.col("title"), F.col("artist"), F.col("album_name")))
     order = _order(sort)
-    page = rows.orderBy(*order).limit(offset + limit)
-    page = page.withColumn("rank", F.row_number().over(Window.orderBy(*order))).where(F.col("rank") > offset)  # at most offset + limit rows
+    page = rows.orderBy(*order).offset(offset).limit(limit)  # sorted by ranges; the rows before the page are skipped, not numbered
+    page = page.withColumn("rank", F.lit(offset) + F.row_number().over(Window.orderBy(*order)))  # at most limit rows
     page = page.crossJoin(F.broadcast(rows.agg(F.count("*").alias("total"))))  # one row
     votes = t["track_genres"].join(page.select("canonical_track_id"), "canonical_track_id", "left_semi").groupBy("canonical_track_id", "genre").agg(F.max("votes").alias("votes"))
     picked = F.when(F.col("genre").isin(genres), 0).otherwise(1) if genres else F.lit(1)

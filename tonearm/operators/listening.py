@@ -133,8 +133,8 @@ def top_artists_by_year_played(t, r, top: int = 10) -> DataFrame:
 
 
 def discovery_vs_repeat(t, r) -> DataFrame:
-    """Plays by month, of recordings first heard that month and of earlier ones; first plays over the whole log."""
-    firsts = _resolved(t["plays"].select("track_id", "played_at"), t).where("canonical_track_id is not null").groupBy("canonical_track_id").agg(F.min("played_at").alias("first_heard"))
+    """Plays by month, of recordings first heard that month and of earlier ones; first plays are those of the statistics over the whole log."""
+    firsts = t["canonical_play_stats"].select("canonical_track_id", F.col("first_played_at").alias("first_heard"))
     joined = _resolved(_window(t, r).select("track_id", "played_at"), t).join(firsts, "canonical_track_id")
     month, first = local_month(F.col("played_at"), r.tz), local_month(F.col("first_heard"), r.tz)
     return joined.groupBy(month_text(month).alias("period")).agg(F.count_if(month == first).alias("first_time"), F.count_if(month != first).alias("revisited"))

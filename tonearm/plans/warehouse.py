@@ -28,7 +28,9 @@ DERIVED: dict[str, Builder] = {
     "canonical_track_artists": lambda t: derive.canonical_track_artists(t["recording_keys"], t["canonical_tracks"], t["track_artists"]),
     "tracks": lambda t: derive.with_recordings(t["tracks_landed"], t["recording_keys"]),
     "library_canonical": lambda t: derive.library_canonical(t["library_tracks"], t["tracks"], t["canonical_tracks"]),
-    "plays": lambda t: derive.estimate_durations(derive.link_plays(t["plays_landed"], t["tracks"]), t["tracks"]).sortWithinPartitions("played_at"),
+    "plays_estimated": lambda t: derive.estimate_durations(derive.link_plays(t["plays_landed"], t["tracks"]), t["tracks"]),
+    # Each file holds a span of time, so a window reads the files and row groups of that time.
+    "plays": lambda t: t["plays_estimated"].repartitionByRange("played_at").sortWithinPartitions("played_at"),
     "canonical_play_stats": lambda t: derive.play_stats(t["plays"], t["tracks"]),
     "albums_complete": lambda t: derive.album_completeness(t["albums_dated"], t["tracks"]),
     "album_group_keys": lambda t: derive.album_group_keys(t["albums_complete"], t["tracks"]),
