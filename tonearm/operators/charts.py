@@ -103,12 +103,17 @@ def chip_sizes(rows: DataFrame, label: str, weight: str) -> DataFrame:
 
 
 def history_figures(months: DataFrame, totals: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Minutes outside the library by month; hours an active day and the share of resolved plays."""
+    """Minutes outside the library by month; hours an active day."""
     outside = months.select("period", F.greatest(F.lit(0), F.col("minutes") - F.col("library_minutes")).alias("outside_minutes"))
     figures = totals.select((F.col("ms_played") / 3_600_000.0 / F.nullif("active_days", F.lit(0))).alias("hours_a_day"))
     return outside, figures
 
 
+def resolved_share(coverage: DataFrame) -> DataFrame:
+    """The share of all plays that are resolved, from their coverage; null where there are none."""
+    return coverage.select((F.col("resolved") / F.nullif("plays", F.lit(0))).alias("resolved_share"))
+
+
 def lag_in_years(rows: DataFrame, days: str) -> DataFrame:
     return rows.withColumn("years", F.col(days) / 365.25)
 

@@ -51,17 +51,23 @@ def real_albums(t) -> DataFrame:
     return t["albums"].where(~F.col("album_type").eqNullSafe("compilation"))
 
 
-def paged(rows: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
+def paged(rows: DataFrame, order: list[Column], limit: int, offset: int = 0, counted: DataFrame | None = None) -> DataFrame:
     """One page and total, the number of rows on all pages.
 
     The total is an aggregate of its own, not a window over all rows, so that only the page is sorted in
-    full and the rest is cut by top-k.
+    full and the rest is cut by top-k. counted: as many rows as rows has, before joins that only add columns.
     """
-    counted = rows.agg(F.count(F.lit(1)).alias("total"))
+    counted = (rows if counted is None else counted).agg(F.count(F.lit(1)).alias("total"))
     page = rows.orderBy(*order).offset(offset).limit(limit) if offset else rows.orderBy(*order).limit(limit)
     return page.crossJoin(F.broadcast(counted))  # one row
 
 
+def parallel_rows(rows: DataFrame, *arrays: str) -> DataFrame:
+    """A row for each place of the arrays, side by side; shorter arrays end in nulls, rows without items give none."""
+    kept = [c for c in rows.columns if c not in arrays]
+    return rows.select(*kept, F.explode(F.arrays_zip(*arrays)).alias("_item")).select(*kept, *(F.col("_item")[a].alias(a) for a in arrays))
+
+
 def sort_key(sorts: dict[str, str], key: str, direction: str = "desc") -> Column:
     """A whitelisted sort; an unknown key is the first one, nulls stand last."""
     column = F.col(sorts.get(key, next(iter(sorts.values()))))

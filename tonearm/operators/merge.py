@@ -157,6 +157,12 @@ def expired_removed(rows: DataFrame, column: str, before: datetime) -> DataFrame
     return rows.where(F.col(column).isNull() | (F.col(column) >= F.lit(before)))
 
 
+def push_decisions(rows: DataFrame) -> DataFrame:
+    """rows with decision, as push_decision() has it. rows: fingerprint, tracks, synced_fingerprint, synced_snapshot_id, snapshot_id."""
+    equal = F.col("fingerprint").eqNullSafe(F.col("synced_fingerprint")) & F.col("snapshot_id").eqNullSafe(F.col("synced_snapshot_id"))
+    return rows.withColumn("decision", F.when(F.coalesce("tracks", F.lit(0)) == 0, "refuse").when(equal, "skip").otherwise("write"))
+
+
 def push_decision(fingerprint: str, tracks: int, stored_fingerprint: str | None, stored_snapshot: str | None, snapshot: str | None) -> str:
     """What a collection's playlist needs: 'refuse' an empty push, 'skip' an equal one, else 'write'; a snapshot that moved is always written."""
     if not tracks:

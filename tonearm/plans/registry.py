@@ -14,6 +14,7 @@ from ..functions import music, text
 from ..operators import charts, derive, enrichment, entities, genres, library, listening, merge, work
 from ..sources.shared import shared_dir
 from ..streaming import plays as streams
+from . import landing
 from .adhoc import distinct_names
 from .oracle import DEVICE, HEARD, ZONE, iso, name, ragged, statement, title, wall, whole
 from .range import EARLIEST, Range, midnight
@@ -267,8 +268,8 @@ def register() -> None:
     add("e26_playlist_items", lambda w: entities.playlist_items(w, PLAYLIST), "position# track_id name duration_ms# explicit popularity# canonical_track_id copy_count# album_id album_name artists local_artist is_local added_at added_by_id added_by_name in_library liked", f"""
         SELECT i.position, i.track_id, coalesce(t.name, local_name, '(unavailable)') AS name, t.duration_ms, coalesce(t.explicit, FALSE) AS explicit, t.popularity, t.canonical_track_id, copy_count, al.id AS album_id, al.name AS album_name, coalesce(artists, '') AS artists, local_artist, i.is_local, {iso('i.added_at')} AS added_at, added_by_id,
           display_name AS added_by_name, l.track_id IS NOT NULL AS in_library, v.track_id IS NOT NULL AS liked
-        FROM {{playlist_tracks}} i LEFT JOIN {{tracks}} t ON t.id = i.track_id LEFT JOIN {{canonical_tracks}} c ON c.id = t.canonical_track_id LEFT JOIN {{albums}} al ON al.id = t.album_id LEFT JOIN {{users}} u ON u.id = added_by_id LEFT JOIN {{library_tracks}} l ON l.track_id = i.track_id
-          LEFT JOIN (SELECT * FROM {{saved_tracks}} WHERE removed_at IS NULL) v ON v.track_id = i.track_id LEFT JOIN {{track_credit_names}} n ON n.track_id = i.track_id WHERE playlist_id = '{PLAYLIST}'""")
+        FROM (SELECT * FROM {{playlist_tracks}} WHERE playlist_id = '{PLAYLIST}') i LEFT JOIN {{tracks}} t ON t.id = i.track_id LEFT JOIN {{canonical_tracks}} c ON c.id = t.canonical_track_id LEFT JOIN {{albums}} al ON al.id = t.album_id LEFT JOIN {{users}} u ON u.id = added_by_id LEFT JOIN {{library_tracks}} l ON l.track_id = i.track_id
+          LEFT JOIN (SELECT * FROM {{saved_tracks}} WHERE removed_at IS NULL) v ON v.track_id = i.track_id LEFT JOIN {{track_credit_names}} n ON n.track_id = i.track_id""")
 
     # --- genres
     edges = "{library_edges} e LEFT JOIN {canonical_play_stats} s USING (canonical_track_id)"
@@ -316,7 +317,9 @@ def register() -> None:
     lines = "coalesce(isrc, '') || '|' || title || '|' || duration_ms || '|' || representative_track_id || '|' || coalesce(primary_artist_id, '') || '|' || coalesce(primary_album_id, '') || '|' || copy_count"
     add("d08_canonical_checksum", lambda w: derive.text_checksum(w["canonical_tracks"], "id", derive.RECORDING_CHECK), "checksum", f"SELECT md5(string_agg(id || '|' || kind || '|' || {lines}, chr(10) ORDER BY id)) AS checksum FROM {{canonical_tracks}}")
     add("d08_album_group_checksum", lambda w: derive.text_checksum(w["album_groups"], "id", derive.GROUP_CHECK), "checksum", "SELECT md5(string_agg(id || '|' || kind || '|' || title || '|' || representative_album_id || '|' || coalesce(primary_artist_id, '') || '|' || track_count || '|' || copy_count, chr(10) ORDER BY id)) AS checksum FROM {album_groups}")
-    add("d08_ranged_checksum", lambda w: derive.checksum(w["canonical_tracks"], "id", derive.RECORDING_CHECK))
+    add("d08_ranged_checksum", lambda w: derive.checksum(w["canonical_tracks"], "id", derive.RECORDING_CHECK), "rows# checksum", f"""
+        WITH hashed AS (SELECT md5(id || '|' || kind || '|' || {lines}) AS h FROM {{canonical_tracks}}), ranged AS (SELECT CAST('0x' || substr(h, 1, 8) AS BIGINT) % 4096 AS g, count(*) AS n, md5(string_agg(h, chr(10) ORDER BY h)) AS r FROM hashed GROUP BY 1)
+        SELECT sum(n) AS rows, md5(string_agg(g || ':' || r, chr(10) ORDER BY g || ':' || r)) AS checksum FROM ranged""")
     add("d09_match_artists_by_credit", derive.match_artists_by_credit, "artist_id mbid status source", f"""
         SELECT artist_id, artist_mbid AS mbid, 'matched' AS status, 'credit' AS source FROM (SELECT x.artist_id, m.artist_mbid, row_number() OVER (PARTITION BY x.artist_id ORDER BY count(*) DESC, m.artist_mbid) AS k
           FROM {{canonical_tracks}} c JOIN {{isrc_recordings}} i ON i.isrc = c.isrc JOIN {{mb_recording_artists}} m ON m.recording_mbid = i.recording_mbid JOIN {{canonical_track_artists}} x ON x.canonical_track_id = c.id JOIN {{artists}} a ON a.id = x.artist_id JOIN {{mb_artists}} o ON o.mbid = m.artist_mbid
@@ -437,7 +440,9 @@ def register() -> None:
     add("f_plain_text", lambda w: w["pages"].select("page_id", F.md5(text.plain_text(F.col("html"), False)).alias("digest")), "page_id# digest", r"""
         SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]*>', '', 'g'), '&lt;', '<', 'gi'), '&gt;', '>', 'gi'), '&quot;', '"', 'gi'), '&apos;', '''', 'gi'), '&nbsp;', ' ', 'gi'), '&amp;', '&', 'gi'), '\s+', ' ', 'g'))) AS digest FROM {pages}""")
     add("f_plain_text_numeric", lambda w: w["pages"].select("page_id", F.md5(text.plain_text(F.col("html"))).alias("digest")))
-    add("f_link_target", lambda w: w["pages"].select("page_id", text.link_target(F.col("url")).alias("target")).select("page_id", F.col("target.kind").alias("kind"), F.col("target.id").alias("id")))
+    add("f_link_target", lambda w: w["pages"].select("page_id", text.link_target(F.col("url")).alias("target")).select("page_id", F.col("target.kind").alias("kind"), F.col("target.id").alias("id")), "page_id# kind id", r"""
+        SELECT page_id, CASE WHEN regexp_matches(url, u) THEN regexp_extract(url, u, 1) WHEN regexp_matches(url, w) THEN regexp_extract(url, w, 1) END AS kind, CASE WHEN regexp_matches(url, u) THEN regexp_extract(url, u, 2) WHEN regexp_matches(url, w) THEN regexp_extract(url, w, 2) END AS id
+        FROM (SELECT *, '^spotify:(track|album|artist|playlist|user):([A-Za-z0-9]+)$' AS u, 'open\.spotify\.com/(?:intl-[a-z][a-z]/)?(track|album|artist|playlist|user)/([A-Za-z0-9]+)' AS w FROM {pages})""")
     add("f_music_labels", lambda w: w["audio_features"].select("recording_mbid", music.musical_key(F.col("key_key"), F.col("key_scale")).alias("key"), music.camelot(F.col("key_key"), F.col("key_scale")).alias("camelot"), music.tempo_label(F.col("bpm")).alias("tempo")), "recording_mbid key camelot tempo", """
         SELECT recording_mbid, replace(key_key, '#', '♯') || ' ' || key_scale AS key, CASE key_key || ' ' || key_scale WHEN 'C# minor' THEN '12A' WHEN 'C# major' THEN '3B' WHEN 'A minor' THEN '8A' WHEN 'A major' THEN '11B' END AS camelot,
           CASE WHEN bpm < 70 THEN 'slow' WHEN bpm < 100 THEN 'mid-tempo' WHEN bpm < 125 THEN 'upbeat' WHEN bpm < 145 THEN 'fast' ELSE 'very fast' END AS tempo FROM {audio_features}""")
@@ -465,6 +470,7 @@ def register() -> None:
     add("c12_outside_minutes", lambda w: charts.history_figures(listening.listening_by_month(w, HIST), listening.listening_totals(w, HIST))[0], "period outside_minutes#", f"""
         SELECT strftime(m, '%Y-%m') AS period, greatest(0, a - b) AS outside_minutes FROM (SELECT date_trunc('month', {PLAYED}) AS m, {whole(HEARD)} AS a, {whole(f'CASE WHEN l.canonical_track_id IS NOT NULL THEN {HEARD} END')} AS b
            FROM {{plays}} p LEFT JOIN {{tracks}} t ON t.id = p.track_id LEFT JOIN {{library_canonical}} l ON l.canonical_track_id = t.canonical_track_id WHERE {P} GROUP BY 1)""")
+    landing.register(add, window, HIST, NOW)
     add("c13_trailing_mean", lambda w: charts.trailing_mean(per_day(w), "day", "value"), "day value# trailing_mean~", f"SELECT CAST(d AS VARCHAR) AS day, n AS value, avg(n) OVER (ORDER BY d ROWS 2 PRECEDING) AS trailing_mean FROM ({days})")
 
 
