@@ -26,3 +26,13 @@ def test_each_block_has_a_slot(spark):
     _, pieces = mixing.mix_plan(sized, whole=True)
     slots = [r["slot"] for r in pieces.collect()]
     assert slots and None not in slots and min(slots) >= 0
+
+
+def test_taken_is_the_rounded_target(spark):
+    rows = [(k, f"w{k} " * 400, "en", "large", 0) for k in range(60)] + [(100 + k, "x y z", "en", f"host{k % 9}", 0) for k in range(30)] + [(900, None, "en", None, 0)]
+    got, want = Counter(), {}
+    for r in mixing.mix_documents(spark.createDataFrame(rows, DOCS), whole=True).collect():
+        got[r["source"]] += r["taken"]
+        want[r["source"]] = round(r["target"])
+        assert r["taken"] <= 3 * r["size"]
+    assert got == want

@@ -118,15 +118,16 @@ def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Data
     return picked.withColumn("row", F.struct("doc_id", "source", "text_hash", F.row_number().over(same).alias("copy"))).drop("text_hash")
 
 
-def mix_documents(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix_documents(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", whole: bool = False) -> DataFrame:
     """doc_id, source, size (words), source_size, target (of the source) and taken, a row for each row of docs.
 
     A null text has no words, a null source is a source that stands last. Documents without words are
     taken 0 times. No document is taken more than three times. Repeated rows count as documents of
-    their own; no rows give no rows.
+    their own; no rows give no rows. A source takes the whole blocks that points hit: a source of less than
+    a block or two may be far from its target. With whole, each source's words are its rounded target.
     """
     sized = written(_sized(docs, id_col, text_col, source_col), "sized")
-    placed, pieces = mix_plan(sized, seed)
+    placed, pieces = mix_plan(sized, seed, whole=whole)
     taken = pieces.groupBy("row").agg(F.sum("words").alias("taken"))
     return placed.join(taken, "row", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
