@@ -48,7 +48,7 @@ def _export(folder: str, zipped: bool):
     return export
 
 
-def _exported(w: Warehouse, zipped: bool) -> tuple[str, list[str]]:
+def exported(w: Warehouse, zipped: bool) -> tuple[str, list[str]]:
     """The imported plays of the log as export files, four of them."""
     folder = _folder(w, "export")
     names = ["ms_played", "item_kind", "item_uri", "track_name", "artist_name", "platform", "conn_country", "reason_end", "shuffle"]
@@ -57,7 +57,7 @@ def _exported(w: Warehouse, zipped: bool) -> tuple[str, list[str]]:
 
 
 def _archived(w: Warehouse) -> DataFrame:
-    return history.archive_plays(history.archive_entries(w.spark, _exported(w, True)[1]))
+    return history.archive_plays(history.archive_entries(w.spark, exported(w, True)[1]))
 
 
 def _imported(w: Warehouse) -> DataFrame:
@@ -145,9 +145,9 @@ def _catalog(w: Warehouse) -> DataFrame:
 def register(add: Callable, window: Callable, HIST, NOW) -> None:
     linked = """coalesce(d.id, r.id) AS track_id FROM (SELECT *, CASE WHEN item_kind = 'track' THEN nullif(regexp_extract(item_uri, 'spotify:track:(.+)$', 1), '') END AS raw_id FROM {0}) p
           LEFT JOIN {{tracks}} d ON d.id = raw_id LEFT JOIN (SELECT linked_from_id, min(id) AS id FROM {{tracks}} WHERE linked_from_id IS NOT NULL GROUP BY 1) r ON r.linked_from_id = raw_id"""
-    add("s1_archive_entries", lambda w: history.archive_entries(w.spark, _exported(w, True)[1]).groupBy("entry").agg(F.count("*").alias("n"), F.min("size").cast("boolean").alias("filled")), "entry n# filled", "SELECT 'ReadMe.txt' AS entry, 4 AS n, TRUE AS filled UNION ALL SELECT 'My Data/Streaming_History_Audio_' || x || '.json', 1, TRUE FROM range(4) t(x)")
+    add("s1_archive_entries", lambda w: history.archive_entries(w.spark, exported(w, True)[1]).groupBy("entry").agg(F.count("*").alias("n"), F.min("size").cast("boolean").alias("filled")), "entry n# filled", "SELECT 'ReadMe.txt' AS entry, 4 AS n, TRUE AS filled UNION ALL SELECT 'My Data/Streaming_History_Audio_' || x || '.json', 1, TRUE FROM range(4) t(x)")
     shown = "CAST(played_at AS VARCHAR) AS played_at, ms_played, item_kind, item_uri, track_name, platform, shuffle"
-    for name, rows in (("s2_archive_plays", _archived), ("s3_folder_plays", lambda w: history.folder_plays(w.spark, _exported(w, False)[0]))):
+    for name, rows in (("s2_archive_plays", _archived), ("s3_folder_plays", lambda w: history.folder_plays(w.spark, exported(w, False)[0]))):
         add(name, lambda w, rows=rows: rows(w).select("played_at", "ms_played", "item_kind", "item_uri", "track_name", "platform", "shuffle"), "played_at ms_played# item_kind item_uri track_name platform shuffle", f"SELECT {shown} FROM {{plays_landed}} WHERE source = 'extended'")
     add("r3_imported_log", lambda w: _imported(w).select("played_at", "ms_played", "item_uri", "source", "track_id"), "played_at ms_played# item_uri source track_id", f"""
         SELECT CAST(played_at AS VARCHAR) AS played_at, ms_played, item_uri, source, {linked.format("(SELECT DISTINCT played_at, ms_played, item_uri, item_kind, source FROM {plays_landed} WHERE source = 'extended')")}
