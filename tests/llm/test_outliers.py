@@ -16,7 +16,7 @@ def vector(text):
     n, chars = max(1, len(w)), max(1, sum(map(len, w)))
     signs = sum(33 <= ord(c) < 127 and not c.isalnum() for c in text)
     lines = max(1, sum(bool(words_of(x)) for x in text.split("\n")))
-    return [math.log(n), math.log(chars / n), math.log((signs + 0.5) / (chars + 1)), math.log(max(1, len(set(w))) / n), math.log(n / lines)]
+    return [math.log(n), math.log(chars / n), math.log((signs + 5) / (chars + 5)), math.log(max(1, len(set(w))) / n), math.log(n / lines)]
 
 
 def nearest(x, c, s, share):
@@ -86,6 +86,18 @@ def test_concentration_reaches_the_brute_determinant(spark):
     assert got[0]["logdet"] <= least_determinant(x)[0] + 0.02
 
 
+def test_what_most_documents_share_is_no_rule(spark):
+    """Most have one line and no sign; others have more lines, some signs, and stay. What is far off in any direction goes."""
+    r = random.Random(6)
+    words = ["".join(r.choice("etaoinshr") for _ in range(r.randint(2, 9))) for _ in range(2000)]
+    prose = lambda n: [r.choice(words) for _ in range(n)]
+    rows = [(k, " ".join(prose(r.randint(60, 500)))) for k in range(200)] + [(200 + k, "\n".join(" ".join(prose(r.randint(20, 100))) for _ in range(r.randint(2, 4)))) for k in range(80)]
+    rows += [(300 + k, ", ".join([" ".join(prose(r.randint(30, 90)))] * 1 + [" ".join(prose(r.randint(30, 90)))] * 1 + prose(r.randint(0, 4)))) for k in range(40)]
+    rows += [(900, " ".join(w + "#$%&" for w in prose(200)))]
+    kept = {x["doc_id"]: x["kept"] for x in quality.judge(spark.createDataFrame([(k, t, "en", "web") for k, t in rows], "doc_id long, text string, lang string, source string")).collect()}
+    assert sum(kept[k] for k, _ in rows[:-1]) >= 0.98 * (len(rows) - 1) and not kept[900]
+
+
 def test_small_groups_pool_and_odd_rows_pass(spark):
     rows = corpus(5, 200, 0)
     spread = [(k, t, ["en", "de", None][k % 3], f"host{k % 70}" if k % 3 else None) for k, t, *_ in rows] + [(None, None, None, None), (900, "", "xx", "y"), (901, "one word", "xx", "y")] + [(902, rows[0][1], "xx", "alone")] * 2

@@ -8,7 +8,7 @@ of the task that wrote it, so a block that a failed attempt left behind is named
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import new_path, written
+
 BLOCK_BYTES = 6 * 2**20
 #: Bits of a row's number in its block, and of a block's number in its task.
 ROW_BITS, TASK_BITS = 16, 15
@@ -99,3 +101,56 @@ def by_block(rows: DataFrame, blocks: DataFrame) -> DataFrame:
     """rows brought to their blocks, sorted by block. Each block has a row of nulls too, so that one for which nothing was found is read as well."""
     n = max(1, blocks.count())
     return rows.unionByName(blocks, allowMissingColumns=True).repartition(n, "block").sortWithinPartitions("block")
+
+
+class Blocks:
+    """Documents packed into blocks once: narrow marks of each, and the documents that something was found about."""
+
+    def __init__(self, docs: DataFrame, text_col: str, mark: Callable[[list[bytes | None]], list[pa.Array]], schema: str) -> None:
+        """mark gives the columns of schema for some texts. marks: block, row and these columns, and c0, c1, ... for docs' columns but the text."""
+        self.names, self.folder = docs.columns, new_path(docs.sparkSession, "blocks")
+        inner = docs.toDF(*(f"c{k}" for k in range(len(self.names))))
+        self.text = f"c{self.names.index(text_col)}"
+        self.inner = inner.withColumn(self.text, F.col(self.text).cast("string")).schema
+        kept = [f for f in self.inner.fields if f.name != self.text]
+        told = ", ".join(["block long", "row int", *(f"{f.name} {f.dataType.simpleString()}" for f in kept), schema])
+        picked = inner.withColumn(self.text, F.col(self.text).cast("string"))
+        self.marks = written(picked.mapInArrow(_marked(self.folder, self.text, mark, [f.name for f in kept], [c.split()[0] for c in schema.split(", ")]), told), "marks")
+
+    def column(self, name: str) -> str:
+        """What marks call a column of docs."""
+        return f"c{self.names.index(name)}"
+
+    def rows(self, wanted: DataFrame, *extra: str) -> DataFrame:
+        """The documents of the wanted block and row, each as often as it is wanted; extra: columns of wanted that go along."""
+        wanted = written(wanted.select("block", "row", *(F.col(c).alias(f"x{k}") for k, c in enumerate(extra))), "wanted")
+        n = max(1, wanted.select("block").distinct().count())
+        names = [f.name for f in self.inner.fields]
+        more = [f"x{k}" for k in range(len(extra))]
+        schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in self.inner.fields), *(f"{x} {wanted.schema[x].dataType.simpleString()}" for x in more)])
+        found = wanted.repartition(n, "block").sortWithinPartitions("block", "row").mapInArrow(_taken(self.folder, names, more), schema)
+        return found.toDF(*self.names, *extra)
+
+
+def _marked(folder: str, text: str, mark, kept: list[str], own: list[str]):
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, table in packed(folder, batches, text):
+            for at in range(0, table.num_rows, 2_000):
+                part = table.slice(at, 2_000)
+                n = part.num_rows
+                found = mark(part.column(text).combine_chunks().cast(pa.large_binary()).to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, name)), pa.array(np.arange(at, at + n, dtype=np.int32)), *(column(part, c) for c in kept), *found], names=["block", "row", *kept, *own])
+
+    return marked
+
+
+def _taken(folder: str, names: list[str], extra: list[str]):
+    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, rows in grouped(batches):
+            table = opened(folder, name)
+            for at in range(0, rows.num_rows, 2_000):
+                part = rows.slice(at, 2_000)
+                found = table.take(column(part, "row"))
+                yield pa.RecordBatch.from_arrays([*(column(found, c) for c in names), *(column(part, c) for c in extra)], names=[*names, *extra])
+
+    return taken

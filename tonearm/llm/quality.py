@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import Blocks
 from .common import written
 
 SYMBOLS = "#*$%&|<>"
@@ -37,9 +38,13 @@ CUTOFF = 50.6926
 MEDIANS, INNERS = (0.4549, 1.3863, 2.3660, 3.3567, 4.3515), (5.0239, 7.3778, 9.3484, 11.1433, 12.8325)
 #: A group with fewer documents (about ten for each dimension) is judged by its language, and that by the corpus.
 MIN_GROUP = 60
-#: Only against singular estimates: a dimension's quartiles count as at least so far apart (in units of a
-#: normal's standard deviation), and no direction's variance as less than this share of a unit's.
-LEAST_SCALE, LEAST_VARIANCE = 0.01, 0.01
+#: Only for singular estimates. A dimension whose quartiles are closer than the first (in units of a normal's
+#: standard deviation) is measured in the second. A direction with less variance than LEAST_VARIANCE of a unit's
+#: is one in which the half (nearly) agrees, as where most documents have one line: what differs there is common
+#: to many good documents, so it has a unit's variance and doesn't count in the rank.
+LEAST_SCALE, ITS_SCALE, LEAST_VARIANCE = 0.01, 0.1, 0.01
+#: Added to counts of signs, so that a few of them are no surprise where most documents have none.
+SOME_SIGNS = 5
 STARTS = ("box", "signs", "tanh", "all")
 #: A determinant stands still if its logarithm falls by less. A start takes 2 to 15 steps; MOST_STEPS only guards the loop.
 STILL, MOST_STEPS, ACCURACY = 1e-3, 60, 10_000
@@ -67,21 +72,25 @@ def _repeats(words: list[bytes]) -> tuple[int, int]:
     return int(covered.sum()), len(code)
 
 
+def _counted(texts: list[bytes | None]) -> list[pa.Array]:
+    """STATS and MORE_STATS of some texts."""
+    rows = []
+    for text in texts:
+        text = text or b""
+        words = text.split()
+        lines = [x for x in text.split(b"\n") if x and not x.isspace()]
+        chars = int(np.count_nonzero((np.frombuffer(b"".join(words), np.uint8) & 0xC0) != 0x80))
+        signs = int(np.count_nonzero(SIGN[np.frombuffer(text, np.uint8)]))
+        repeated, distinct = _repeats(words)
+        rows.append((len(words), chars, sum(map(text.count, SYMBOLS_B)), len(lines) - len(set(lines)), repeated, signs, distinct, len(lines)))
+    stats = np.array(rows, np.int64).reshape(-1, len(STATS) + len(MORE_STATS))
+    return [pa.array(stats[:, k]) for k in range(stats.shape[1])]
+
+
 def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for text in batch.column("text").cast(pa.binary()).to_pylist():
-            text = text or b""
-            words = text.split()
-            lines = [x for x in text.split(b"\n") if x and not x.isspace()]
-            chars = int(np.count_nonzero((np.frombuffer(b"".join(words), np.uint8) & 0xC0) != 0x80))
-            signs = int(np.count_nonzero(SIGN[np.frombuffer(text, np.uint8)]))
-            repeated, distinct = _repeats(words)
-            rows.append((len(words), chars, sum(map(text.count, SYMBOLS_B)), len(lines) - len(set(lines)), repeated, signs, distinct, len(lines)))
-        own = (*STATS, *MORE_STATS)
-        stats = np.array(rows, np.int64).reshape(-1, len(own))
         names = [n for n in batch.schema.names if n != "text"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *(pa.array(stats[:, k]) for k in range(len(own)))], names=[*names, *own])
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *_counted(batch.column("text").cast(pa.binary()).to_pylist())], names=[*names, *STATS, *MORE_STATS])
 
 
 def text_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -101,7 +110,7 @@ def base_failed() -> Column:
 
 def _vector() -> list[Column]:
     n, chars = (F.greatest(F.col(c), F.lit(1)).cast("double") for c in ("n_words", "word_chars"))
-    return [F.log(n), F.log(chars / n), F.log((F.col("n_signs") + 0.5) / (chars + 1)), F.log(F.greatest("n_distinct", F.lit(1)) / n), F.log(n / F.greatest("n_lines", F.lit(1)))]
+    return [F.log(n), F.log(chars / n), F.log((F.col("n_signs") + SOME_SIGNS) / (chars + SOME_SIGNS)), F.log(F.greatest("n_distinct", F.lit(1)) / n), F.log(n / F.greatest("n_lines", F.lit(1)))]
 
 
 def _models(vectors: DataFrame) -> DataFrame:
@@ -131,15 +140,15 @@ def _moments(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def estimate(n: int, sums: list[float]) -> tuple[list[float], list[float], float, int]:
-    """Centre, inverse covariance, log determinant and rank from moments; a direction whose variance is below the floor has the floor's and doesn't count in the rank."""
+    """Centre, inverse covariance, log determinant and rank from moments; see LEAST_VARIANCE for directions of hardly any variance."""
     mean = np.array(sums[:5]) / n
     cov = np.zeros((5, 5))
     cov[np.triu_indices(5)] = np.array(sums[5:]) / n
     cov = cov + np.triu(cov, 1).T - np.outer(mean, mean)
     values, axes = np.linalg.eigh(cov)
-    rank = max(1, int((values > LEAST_VARIANCE).sum()))
-    values = np.maximum(values, LEAST_VARIANCE)
-    return mean.tolist(), ((axes / values) @ axes.T).ravel().tolist(), float(np.log(values).sum()), rank
+    wide = values > LEAST_VARIANCE
+    logdet = float(np.log(np.maximum(values, LEAST_VARIANCE)).sum())
+    return mean.tolist(), ((axes / np.where(wide, values, 1.0)) @ axes.T).ravel().tolist(), logdet, max(1, int(wide.sum()))
 
 
 def _estimates(sums: DataFrame) -> DataFrame:
@@ -170,25 +179,28 @@ def _first_estimates(scaled: DataFrame) -> DataFrame:
     # The first two are about the medians, which are 0 here.
     drawn = found.select("model", "start", F.when(F.col("start") == "all", F.col("centre")).otherwise(zero).alias("centre"), "inverse")
     box = found.where("start = 'all'").select("model", F.lit("box").alias("start"), zero.alias("centre"), F.array(*(F.lit(float(i == j)) for i in range(5) for j in range(5))).alias("inverse"))
-    return drawn.union(box).withColumn("logdet", F.lit(None).cast("double"))
+    return drawn.union(box).withColumns({"logdet": F.lit(None).cast("double"), "rank": F.lit(5), "steps": F.lit(0)})
 
 
 def concentrated(scaled: DataFrame, side) -> DataFrame:
     """model, centre, inverse, logdet, rank, start and steps: the best of each model's starts after concentration.
 
-    scaled: model and DIMS, a row for each document. A start is done when its determinant stands still.
+    scaled: model and DIMS, a row for each document. A start is done when its determinant stands still, and
+    the best of its steps counts.
     """
     now, done = written(_first_estimates(scaled), "starts"), None
     for step in range(1, MOST_STEPS + 1):
         near = scaled.join(side(now), "model").select("model", "start", *DIMS, _distance().alias("d"))
         half = written(near.groupBy("model", "start").agg(F.percentile_approx("d", 0.5, ACCURACY).alias("h")), "halves")
         inner = near.join(side(half), ["model", "start"]).where(F.col("d") <= F.col("h"))
-        before = now.select("model", "start", F.col("logdet").alias("last"))
-        told = written(_estimates(_moments(inner, "model", "start")).join(before, ["model", "start"]).withColumn("steps", F.lit(step)), "steps")
-        open_ = F.col("last").isNull() | (F.col("last") - F.col("logdet") >= STILL)
-        ended = told.where(~open_ | F.lit(step == MOST_STEPS)).drop("last")
+        told = ("logdet", "centre", "inverse", "rank", "steps")
+        before = now.select("model", "start", F.struct(*told).alias("old"))
+        new = _estimates(_moments(inner, "model", "start")).withColumn("steps", F.lit(step)).select("model", "start", F.struct(*told).alias("new"))
+        met = written(new.join(before, ["model", "start"]), "steps")
+        open_ = F.col("old.logdet").isNull() | (F.col("old.logdet") - F.col("new.logdet") >= STILL)
+        ended = met.where(~open_ | F.lit(step == MOST_STEPS)).select("model", "start", F.when(F.col("old.logdet") < F.col("new.logdet"), F.col("old")).otherwise(F.col("new")).alias("one")).select("model", "start", "one.*")
         done = ended if done is None else done.union(ended)
-        now = told.where(open_).drop("last", "steps")
+        now = met.where(open_).select("model", "start", "new.*")
         if not now.limit(1).count():
             break
     best = F.min(F.struct("logdet", "start", "centre", "inverse", "rank", "steps")).alias("best")
@@ -215,7 +227,8 @@ def robust_outliers(stats: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     fed = placed.where(~F.col("base_failed")).select(F.explode("feeds").alias("model"), *x)
     # Distances don't change with a dimension's origin and unit: medians and quartiles make them comparable.
     quartiles = fed.groupBy("model").agg(F.count(F.lit(1)).alias("size"), *(F.percentile_approx(c, [0.25, 0.5, 0.75], ACCURACY).alias(f"p_{c}") for c in x))
-    units = written(quartiles.select("model", "size", *(F.col(f"p_{c}")[1].alias(f"o_{c}") for c in x), *(F.greatest((F.col(f"p_{c}")[2] - F.col(f"p_{c}")[0]) / 1.349, F.lit(LEAST_SCALE)).alias(f"u_{c}") for c in x)), "units")
+    width = {c: (F.col(f"p_{c}")[2] - F.col(f"p_{c}")[0]) / 1.349 for c in x}
+    units = written(quartiles.select("model", "size", *(F.col(f"p_{c}")[1].alias(f"o_{c}") for c in x), *(F.when(width[c] < LEAST_SCALE, ITS_SCALE).otherwise(width[c]).alias(f"u_{c}") for c in x)), "units")
     scale = [((F.col(c) - F.col(f"o_{c}")) / F.col(f"u_{c}")).alias(z) for c, z in zip(x, DIMS)]
     scaled = written(fed.join(side(units), "model").where(F.col("size") >= MIN_GROUP).select("model", *scale), "vectors")
     best = concentrated(scaled, side)
@@ -237,3 +250,10 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """doc_id, lang, source, the statistics, base_failed, distance and kept, a row for each row of docs."""
     picked = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{source_col}`").cast("string").alias("source"))
     return robust_outliers(text_statistics(picked))
+
+
+def kept_documents(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """The rows of docs that neither the base rules nor the outlier test reject. Texts wait in blocks and are never shuffled."""
+    blocks = Blocks(docs, text_col, _counted, ", ".join(f"{s} long" for s in (*STATS, *MORE_STATS)))
+    stats = blocks.marks.select("block", "row", F.col(blocks.column(lang_col)).alias("lang"), F.col(blocks.column(source_col)).alias("source"), *STATS, *MORE_STATS)
+    return blocks.rows(robust_outliers(stats).where("kept"))
