@@ -31,8 +31,8 @@ def _ends(column: pa.Array) -> np.ndarray:
     return ends - ends[0] if len(ends) else np.zeros(1, np.int64)
 
 
-def packed(folder: str, batches: Iterator[pa.RecordBatch], text: str, most: int = BLOCK_BYTES) -> Iterator[tuple[int, pa.Table]]:
-    """Writes rows as blocks of about so many bytes of text, under 2**16 rows each; gives each block's number and rows."""
+def packed(folder: str, batches: Iterator[pa.RecordBatch], text: str, most: int = BLOCK_BYTES, level: int = 1) -> Iterator[tuple[int, pa.Table]]:
+    """Writes rows as blocks of about so many bytes of text, under 2**16 rows each, by zstd of a level; gives each block's number and rows."""
     fs, root = pafs.FileSystem.from_uri(folder)
     fs.create_dir(root)
     held: list[pa.RecordBatch] = []
@@ -44,7 +44,7 @@ def packed(folder: str, batches: Iterator[pa.RecordBatch], text: str, most: int
         held, size, rows = [], 0, 0
         name = TaskContext.get().taskAttemptId() << TASK_BITS | count
         count += 1
-        with fs.open_output_stream(f"{root}/{name}.block") as sink, pa.ipc.new_file(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        with fs.open_output_stream(f"{root}/{name}.block") as sink, pa.ipc.new_file(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", level))) as out:
             out.write_table(table)
         return name, table
 

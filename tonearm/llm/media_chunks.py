@@ -29,6 +29,8 @@ SAMPLE_BYTES = 576
 CUT_BITS, LEAST_CHUNK, MOST_CHUNK = 12, 1_024, 16_384
 #: Text bytes of a block, and blocks whose chunks share a pack file.
 BLOCK_BYTES, PACK_BLOCKS = 16 * 2**20, 4
+#: Blocks stand beside the packs until these are whole, so they are pressed harder than texts that wait only.
+BLOCK_LEVEL = 6
 
 
 def _gear_table() -> np.ndarray:
@@ -73,7 +75,7 @@ CHUNKED = "block long, row int, doc_id long, n_bytes long, payload_key string, c
 def _chunk(folder: str):
     def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("digest", pa.binary()), ("start", pa.int64()), ("raw", pa.int32())])))
-        for name, table in packed(folder, batches, "text", BLOCK_BYTES):
+        for name, table in packed(folder, batches, "text", BLOCK_BYTES, BLOCK_LEVEL):
             rows = []
             for row, (doc_id, text) in enumerate(zip(column(table, "doc_id").to_pylist(), column(table, "text").cast(pa.large_binary()).to_pylist())):
                 payload, chunks, start = padded(text), [], 0
