@@ -25,7 +25,7 @@ from .common import text_or_empty
 #: Pieces and words whose ids a task keeps at most.
 CACHE_PIECES, CACHE_WORDS = 200_000, 300_000
 #: Words that are merged at once, and places from which on a rank is applied to all of them by array.
-BATCH_WORDS, MANY_PLACES = 60_000, 48
+BATCH_WORDS, MANY_PLACES = 60_000, 128
 #: Bits of an id in a pair's key.
 ID_BITS = 24
 #: A run without white space and one space before it, or white space; 0x1C to 0x1F aren't white space here.
@@ -78,6 +78,9 @@ class ByteBpe:
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         rules = told | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": [], "post_processor": None}
         self.split = Tokenizer.from_str(json.dumps(rules)).pre_tokenizer.pre_tokenize_str  # the library's own rules, without its vocabulary
+        first = told.get("pre_tokenizer") or {}
+        self.plain = first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space") and not told.get("normalizer")
+        self.shown = {b: c for c, b in _byte_alphabet().items()}
         self.words: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
 
@@ -109,7 +112,7 @@ class ByteBpe:
         n = len(told)
         flat, nexts, befores = np.array(told, np.int32), np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         symbols, after, before = memoryview(flat), memoryview(nexts), memoryview(befores)  # the same arrays, for one place at a time
-        rank_of, merges = self.rank.get, self.merges
+        rank_of, merges, bits = self.rank.get, self.merges, ID_BITS
         places = dict(self.indexed(np.arange(n - 1), self.ranks(flat[:-1], flat[1:])))
         active = sorted(places)
 
@@ -146,7 +149,7 @@ class ByteBpe:
                 symbols[at], symbols[right] = new, -2
                 beyond, left = after[right], before[at]
                 after[at], before[beyond] = beyond, at
-                for key, place in ((symbols[left] << ID_BITS | new, left), (new << ID_BITS | symbols[beyond], at)):
+                for key, place in ((symbols[left] << bits | new, left), (new << bits | symbols[beyond], at)):
                     near = rank_of(key)
                     if near is not None:
                         add(near, [place])
@@ -154,6 +157,22 @@ class ByteBpe:
         raw, cuts = flat.astype("<i4").tobytes(), np.flatnonzero(flat == -1).tolist()
         return [raw[4 * x + 4 : 4 * y] for x, y in zip(cuts, cuts[1:])]
 
+    def cut(self, piece: str) -> list[str]:
+        """A piece as words of the byte alphabet. Letters after at most one space are a word by the byte-level rules, a mark after them another; the rest is the library's to cut."""
+        if piece in self.special:
+            return [piece]
+        body = piece[1:] if piece[0] == " " else piece
+        if self.plain and body:
+            if body.isalpha():
+                return [self.spelled(piece)]
+            if body[-1] in ".,;:!?" and body[:-1].isalpha():
+                return [self.spelled(piece[:-1]), body[-1]]
+        return [w for w, _ in self.split(piece)]
+
+    def spelled(self, text: str) -> str:
+        """A text in characters that stand for its bytes."""
+        return text.replace(" ", self.shown[32]) if text.isascii() else text.encode().decode("latin-1").translate(self.shown)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         split = [self.pieces(t) for t in texts]
@@ -161,7 +180,7 @@ class ByteBpe:
             self.known.clear()
         known, special = self.known, self.special
         new = list(set().union(*split) - known.keys())
-        cut = [[w for w, _ in self.split(p)] if p not in special else [p] for p in new]
+        cut = list(map(self.cut, new))
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
         words = self.words
