@@ -7,11 +7,13 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The circle of fifths from its first place, for each mode; flats are spelled as sharps.
-FIFTHS = {"B": ["B", "F#", "C#", "G#", "D#", "A#", "F", "C", "G", "D", "A", "E"], "A": ["G#", "D#", "A#", "F", "C", "G", "D", "A", "E", "B", "F#", "C#"]}
-MODES = {"major": "B", "minor": "A"}
+# The twelve notes upwards, flats spelled as sharps; the letter of each mode and the note of its first place.
+NOTES = ["C", "C#", "D", "D#", "E", "F", "F#", "G", "G#", "A", "A#", "B"]
+MODES = {"major": ("B", "B"), "minor": ("A", "G#")}
+FIFTH = 7
 # Upper ends of the tempo labels.
 TEMPOS = [(70, "slow"), (100, "mid-tempo"), (125, "upbeat"), (145, "fast")]
+# The traits, in the order in which ties are shown.
 TRAITS = ["danceable", "happy", "sad", "party", "relaxed", "aggressive", "acoustic", "electronic", "instrumental", "bright", "tonal"]
 
 
@@ -21,7 +23,8 @@ def musical_key(key: Column, scale: Column) -> Column:
 
 
 def camelot(key: Column, scale: Column) -> Column:
-    places = {f"{name} {mode}": f"{k + 1}{letter}" for mode, letter in MODES.items() for k, name in enumerate(FIFTHS[letter])}
+    """Place of a key on the circle of fifths, 1 to 12, with the letter of its mode."""
+    places = {f"{NOTES[(NOTES.index(first) + FIFTH * k) % 12]} {mode}": f"{k + 1}{letter}" for mode, (letter, first) in MODES.items() for k in range(12)}
     table = F.create_map(*(F.lit(x) for x in chain.from_iterable(places.items())))
     return F.element_at(table, F.concat_ws(" ", key, F.lower(scale)))
 

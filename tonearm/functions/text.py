@@ -26,9 +26,8 @@ ACCENTED, PLAIN = _accents()
 #: Letters that stand for two, or that don't decompose.
 SPELLED = {"ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "đ": "d", "Đ": "D", "þ": "th", "Þ": "TH", "ð": "d", "Ð": "D", "ı": "i"}
 
-# What a title's version marks look like.
-BRACKETS = r"\s*[\(\[][^\)\]]*[\)\]]\s*"
-VERSION = r"\s+-\s+(remaster|remastered|mono|stereo|live|radio edit|single version|album version).*$"
+# What a title's brackets and version marks look like.
+MARKS = r"(?s)\s*[\(\[][^\)\]]*[\)\]]\s*|\s+-\s+(remaster|remastered|mono|stereo|live|radio edit|single version|album version).*$"
 # The threshold of a fallback key's duration buckets, and the length of its digest.
 KEY_BUCKET_MS, KEY_HEX = 5_000, 24
 # Named entities.
@@ -52,7 +51,7 @@ def unaccent(text: Column) -> Column:
 def norm_title(title: Column) -> Column:
     """A title in plain lower-case words, without brackets and version marks. Null is empty."""
     plain = F.lower(unaccent(F.coalesce(title, F.lit(""))))
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, f"(?s){BRACKETS}|{VERSION}", " "), "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, MARKS, " "), "[^a-z0-9]+", " "))
 
 
 def norm_name(name: Column) -> Column:
