@@ -22,6 +22,8 @@ from .common import new_path, written
 BLOCK_BYTES = 6 * 2**20
 #: Bits of a row's number in its block, and of a block's number in its task.
 ROW_BITS, TASK_BITS = 16, 15
+#: Blocks that a task goes through, one after the other, where there are more than the session's shuffle partitions.
+TASK_BLOCKS = 64
 
 
 def _ends(column: pa.Array) -> np.ndarray:
@@ -97,10 +99,15 @@ def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]
         yield held[0].column("block")[0].as_py(), pa.Table.from_batches(held)
 
 
+def tasks_for(blocks: DataFrame) -> int:
+    """How many tasks go through blocks. blocks: a row for each."""
+    n = blocks.count()
+    return max(1, min(n, max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // TASK_BLOCKS))))
+
+
 def by_block(rows: DataFrame, blocks: DataFrame) -> DataFrame:
     """rows brought to their blocks, sorted by block. Each block has a row of nulls too, so that one for which nothing was found is read as well."""
-    n = max(1, blocks.count())
-    return rows.unionByName(blocks, allowMissingColumns=True).repartition(n, "block").sortWithinPartitions("block")
+    return rows.unionByName(blocks, allowMissingColumns=True).repartition(tasks_for(blocks), "block").sortWithinPartitions("block")
 
 
 class Blocks:
@@ -124,7 +131,7 @@ class Blocks:
     def rows(self, wanted: DataFrame, *extra: str) -> DataFrame:
         """The documents of the wanted block and row, each as often as it is wanted; extra: columns of wanted that go along."""
         wanted = written(wanted.select("block", "row", *(F.col(c).alias(f"x{k}") for k, c in enumerate(extra))), "wanted")
-        n = max(1, wanted.select("block").distinct().count())
+        n = tasks_for(wanted.select("block").distinct())
         names = [f.name for f in self.inner.fields]
         more = [f"x{k}" for k in range(len(extra))]
         schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in self.inner.fields), *(f"{x} {wanted.schema[x].dataType.simpleString()}" for x in more)])

@@ -26,6 +26,8 @@ from .common import parts_for, text_or_empty, written
 OPEN, CLOSE = "### {}:\n", "\n</turn>\n"
 CONTROL = re.compile(r"(?<!\\)(\\*+)(###|</turn>)")
 ESCAPED = re.compile(r"(?<!\\)\\(\\*+)(###|</turn>)")
+#: Characters of a task that reads back; it streams sorted segments, so none of them is held.
+PART_CHARS = 64 * 2**20
 HEADER = re.compile(r"### ((?:[^\\:\n]|\\.)*):\n", re.DOTALL)
 
 
@@ -123,7 +125,7 @@ def read_back(segments: DataFrame) -> DataFrame:
     """A row for each conversation, from its formatted segments alone: counts and digests of turns and of the text under the loss mask."""
     spark = segments.sparkSession
     total = segments.agg(F.sum(F.length("segment"))).first()[0] or 0
-    parts = parts_for(int(total), 4 * 2**20, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = parts_for(int(total), PART_CHARS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return segments.repartition(parts, "conv_id").sortWithinPartitions("conv_id", "turn", "segment").mapInArrow(_read, READ)
 
 

@@ -28,7 +28,7 @@ from .common import joined_hot, new_path, remove_folder, text_or_empty, written
 SAMPLE_BYTES = 576
 CUT_BITS, LEAST_CHUNK, MOST_CHUNK = 12, 1_024, 16_384
 #: Text bytes of a block, and blocks whose chunks share a pack file.
-BLOCK_BYTES, PACK_BLOCKS = 16 * 2**20, 4
+BLOCK_BYTES, PACK_BLOCKS = 16 * 2**20, 32
 #: Blocks stand beside the packs until these are whole, so they are pressed harder than texts that wait only.
 BLOCK_LEVEL = 6
 

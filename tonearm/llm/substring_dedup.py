@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import by_block, column, grouped, opened, packed
+from .blocks import by_block, column, grouped, opened, packed, tasks_for
 from .common import new_path, text_or_empty, written
 
 WINDOW, PHRASE, SEED = 50, 16, 50
@@ -268,11 +268,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     picked = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     phrases = written(picked.mapInArrow(_pack(folder, window), PHRASES), "phrases")
     blocks = phrases.where("f is null").select("block")
-    n = max(1, blocks.count())
     by_phrase = Window.partitionBy("f")  # a row for each block
     spread = phrases.where("f is not null").withColumns({"least": F.min("low").over(by_phrase), "most": F.max("high").over(by_phrase)})
     confirmed = spread.where("least < most").select("block", "place")
-    windows = confirmed.repartition(n, "block").sortWithinPartitions("block").mapInArrow(_locate(folder, window), WINDOWS)
+    windows = confirmed.repartition(tasks_for(blocks), "block").sortWithinPartitions("block").mapInArrow(_locate(folder, window), WINDOWS)
     least = windows.withColumn("least", F.min("low").over(Window.partitionBy("w1", "w2")))
     judged = least.where("least < high").select("block", "w1", "w2", "least")
     return by_block(judged, blocks).mapInArrow(_remove(folder, window), KEPT)
