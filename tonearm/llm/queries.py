@@ -8,9 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, line_dedup, media_chunks, mixing, quality, sharding, simhash, substring_dedup, token_files
+from . import bpe, centroids, chat_format, line_dedup, media_chunks, mixing, quality, sharding, simhash, substring_dedup, token_files, turn_repair, window_packing
+from .sql import clustering_sql, repair_sql
 
-BYTE_BPE, WORD_BPE, WORD_BPE_IDS, END_ID = "byte_bpe_50k.json", "word_bpe_49k.json", 49_408, 1
+BYTE_BPE, WORD_BPE, WORD_BPE_IDS, END_ID, PACKED_END_ID = "byte_bpe_50k.json", "word_bpe_49k.json", 49_408, 1, 2
 
 
 def tokenizer(name: str) -> str:
@@ -72,12 +73,24 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.STATS, "base_failed", "kept")
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window_packing.pack(documents(spark, sf_dir), tokenizer(WORD_BPE), PACKED_END_ID)
+
+
+def op12_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repaired(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_substring_dedup, op2_media_columns, op3_chat_formatting, op4_bpe, op5_sharding, op6_line_dedup, op7_token_files, op8_simhash, op9_mixing, op10_quality)
+    ops = (op1_substring_dedup, op2_media_columns, op3_chat_formatting, op4_bpe, op5_sharding, op6_line_dedup, op7_token_files, op8_simhash, op9_mixing, op10_quality, op11_packing, op12_clustering, op13_conversation_repair)
     return {f.__name__: f for f in ops} | {"pipeline": pipeline}
 
 
@@ -131,4 +144,4 @@ FROM laid CROSS JOIN blk LEFT JOIN got ON got.no = laid.no
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": SUBSTRING_SQL, "op3_chat_formatting": CHAT_SQL, "op9_mixing": MIXING_SQL}
+    return {"op1_substring_dedup": SUBSTRING_SQL, "op3_chat_formatting": CHAT_SQL, "op9_mixing": MIXING_SQL, "op12_clustering": clustering_sql(), "op13_conversation_repair": repair_sql()}
