@@ -17,7 +17,7 @@ from ..operators import charts, common, genres, listening, merge
 from ..sources import history, landed
 from ..sources.shared import shared_dir
 from ..streaming import plays as streams
-from . import adhoc
+from . import adhoc, oracle
 from .warehouse import Warehouse
 
 ADHOC = "select n_name as name, r_name as name, n_nationkey, case when n_nationkey > 3 then upper(n_name) end as note from nation join region on r_regionkey = n_regionkey order by n_nationkey"
@@ -137,6 +137,25 @@ def _lines(w: Warehouse) -> DataFrame:
     return w.spark.createDataFrame([(k, line, head, answer.more) for k, line in enumerate(answer.rows)], "place long, line string, head string, more boolean")
 
 
+#: Statements that call the functions which statements have besides Spark's own: tables, statement, columns, DuckDB's SQL.
+STATEMENTS = {
+    "adhoc_norm_title": (["tracks_landed"], "select id, norm_title(name) as plain from tracks_landed", "id plain", f"SELECT id, {oracle.title('name')} AS plain FROM {{tracks_landed}}"),
+    "adhoc_norm_name": (["artists"], "select id, norm_name(name) as plain from artists where norm_name(name) <> ''", "id plain", f"SELECT id, {oracle.name('name')} AS plain FROM {{artists}} WHERE {oracle.name('name')} <> ''"),
+    "adhoc_fallback_key": (
+        ["tracks_landed", "track_artists"],
+        "with listed as (select track_id, array_sort(collect_list(artist_id)) as ids from track_artists group by track_id) select id, fallback_key(name, duration_ms, ids, id) as key from tracks_landed left join listed on track_id = id", "id key",
+        f"""SELECT id, 'fb:' || substr(sha256(CASE WHEN {oracle.title('name')} = '' THEN 'id:' || id ELSE {oracle.title('name')} || '|' || (coalesce(duration_ms, 0) // 5000) || '|' || coalesce(ids, '') END), 1, 24) AS key
+            FROM {{tracks_landed}} LEFT JOIN (SELECT track_id, string_agg(artist_id, ',' ORDER BY artist_id) AS ids FROM {{track_artists}} GROUP BY 1) ON track_id = id""",
+    ),
+    "adhoc_release_date": (["albums_landed"], "select year(parse_release_date(release_date)) as released, count(*) as n from albums_landed group by 1", "released# n#", f"SELECT year({oracle.ragged('release_date')}) AS released, count(*) AS n FROM {{albums_landed}} GROUP BY 1"),
+    "adhoc_completion": (["plays_landed"], "select item_uri, count_if(ms_played >= play_completion_ms()) as completed from plays_landed group by item_uri", "item_uri completed#", "SELECT item_uri, count(*) FILTER (ms_played >= 30000) AS completed FROM {plays_landed} GROUP BY 1"),
+    "adhoc_genre_list": (
+        ["mb_recordings", "mb_tags", "mb_genres"], "select mbid, array_join(mb_genre_list('recording', mbid), ',') as genres from mb_recordings", "mbid genres",
+        """SELECT mbid, genres FROM {mb_recordings} LEFT JOIN (SELECT entity_mbid, string_agg(tag, ',' ORDER BY count DESC, tag) AS genres FROM {mb_tags} WHERE entity_type = 'recording' AND (is_genre OR tag IN (SELECT name FROM {mb_genres})) GROUP BY 1) ON entity_mbid = mbid""",
+    ),
+}
+
+
 def _catalog(w: Warehouse) -> DataFrame:
     told = adhoc.describe(w, ["nation", "customer", "albums_landed"])
     return w.spark.createDataFrame([(x["table"], len(x["columns"]), x["columns"][0]["name"], x["rows"]) for x in told], "name string, columns long, first string, rows long")
@@ -165,6 +184,8 @@ def register(add: Callable, window: Callable, HIST, NOW) -> None:
         SELECT n_nationkey AS place, '{{"name":"' || n_name || '","name_2":"' || r_name || '","n_nationkey":' || n_nationkey || CASE WHEN n_nationkey > 3 THEN ',"note":"' || upper(n_name) || '"' ELSE '' END || '}}' AS line,
           'name string, name_2 string, n_nationkey ' || CASE typeof(n_nationkey) WHEN 'BIGINT' THEN 'bigint' ELSE 'int' END || ', note string' AS head, TRUE AS more
         FROM {nation} JOIN {region} ON r_regionkey = n_regionkey WHERE n_nationkey < 20""")
+    for name, (tables, asked, columns, sql) in STATEMENTS.items():
+        add(name, lambda w, tables=tables, asked=asked: adhoc.frame(w.spark, w, tables, asked), columns, sql)
     add("g12_collection_changes", lambda w: _collections(w, NOW), "id name match touched genres", "SELECT * FROM (VALUES ('some', 'Some', 'any', TRUE, 'red'), ('both', 'All of them', 'any', TRUE, 'red,widget'), ('none', 'None', 'any', FALSE, NULL), ('some-2', 'Some', 'any', TRUE, 'blue,red')) AS v(id, name, match, touched, genres)")
     add("r2_unseen_once", _once, "played_at item_uri", "SELECT DISTINCT CAST(date_trunc('second', played_at) AS VARCHAR) AS played_at, item_uri FROM {plays_landed} WHERE source = 'recent'")
     add("r8_new_since", lambda w: streams.new_since(w["saved_tracks"], HIST.start.replace(year=1998)).select("track_id"), "track_id", f"SELECT track_id FROM {{saved_tracks}} WHERE added_at > TIMESTAMP '{HIST.start.replace(year=1998)}'")

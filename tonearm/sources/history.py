@@ -42,35 +42,57 @@ def archive_entries(spark: SparkSession, archives: list[str]) -> DataFrame:
 
 
 def array_items(stream, size: int = 1 << 20) -> Iterator[object]:
-    """The items of a JSON array, one at a time, from a stream of UTF-8 bytes; only a piece of the text is held."""
-    decoder, text, at, begun = json.JSONDecoder(), codecs.getincrementaldecoder("utf-8-sig")(), 0, False
-    held, ended = "", False
-    while True:
-        while at < len(held) and held[at] in " \t\r\n,":
-            at += 1
-        if at < len(held) and not begun:
-            if held[at] != "[":
+    """The items of a JSON array, one at a time, from a stream of UTF-8 bytes; only a piece of the text and one item are held.
+
+    Any white space may stand between marks and items. What is no array, or ends within it, raises ValueError.
+    """
+    decoder, text = json.JSONDecoder(), codecs.getincrementaldecoder("utf-8-sig")()
+    held, at, ended = "", 0, False
+    expected = "["  # then "first" (an item or the end), "mark" (, or the end) and "item" in turn
+
+    def more() -> None:
+        nonlocal held, at, ended
+        piece = stream.read(size)
+        ended = not piece
+        held, at = held[at:] + text.decode(piece, final=ended), 0
+
+    def mark() -> str:
+        """The next character that isn't white space, at which at stands then; empty at the end."""
+        nonlocal at
+        while True:
+            at += len(held) - at - len(held[at:].lstrip(" \t\r\n")) if at < len(held) else 0
+            if at < len(held) or ended:
+                return held[at : at + 1]
+            more()
+
+    while now := mark():
+        if expected == "[":
+            if now != "[":
                 raise ValueError("a history file holds a JSON array")
-            begun, at = True, at + 1
-            continue
-        if begun and at < len(held):
-            if held[at] == "]":
-                return
+            expected, at = "first", at + 1
+        elif expected == "mark" and now == ",":
+            expected, at = "item", at + 1
+        elif expected in ("first", "mark") and now == "]":
+            at += 1
+            if mark():
+                raise ValueError("something follows the array of a history file")
+            return
+        elif expected == "mark":
+            raise ValueError("items of a history file aren't parted by commas")
+        else:
             try:
                 item, end = decoder.raw_decode(held, at)
             except json.JSONDecodeError:
                 if ended:
                     raise
-            else:
-                if held[end : end + 64].lstrip()[:1] in {",", "]"}:  # what is cut off may go on
-                    yield item
-                    at = end
-                    continue
-        if ended:
-            raise ValueError("a history file ends within its array")
-        piece = stream.read(size)
-        ended = not piece
-        held, at = held[at:] + text.decode(piece, final=ended), 0
+                more()
+                continue
+            if not ended and now not in '{["' and held[end : end + 1] in ".eE+-0123456789":  # a number that is cut off may go on
+                more()
+                continue
+            yield item
+            expected, at = "mark", end
+    raise ValueError("a history file ends within its array")
 
 
 def _records(most: int):
