@@ -183,14 +183,18 @@ def link_plays(plays: DataFrame, tracks: DataFrame) -> DataFrame:
     return joined.withColumn("track_id", F.coalesce("track_id", F.when(F.col("item_kind") == "track", F.col("found_id")))).select(*plays.columns)
 
 
-def estimate_durations(plays: DataFrame, tracks: DataFrame) -> DataFrame:
+def estimate_durations(plays: DataFrame, tracks: DataFrame, elsewhere: DataFrame | None = None) -> DataFrame:
     """Plays with estimated_ms of polled rows: the gap to the previous play, at most the track's duration.
 
     The previous play of the whole log is found by hours: within an hour by a window, for an hour's first
-    play from a small frame of one row for each hour, so that no task sorts the log.
+    play from a small frame of one row for each hour, so that no task sorts the log. elsewhere: where plays are only
+    spans of a log, played_at of the last play of each other span; no hour is in two spans.
     """
-    keyed = plays.withColumn("_hour", F.call_function("div", epoch_seconds(F.col("played_at")), F.lit(3600)))
+    hour = F.call_function("div", epoch_seconds(F.col("played_at")), F.lit(3600))
+    keyed = plays.withColumn("_hour", hour)
     hours = keyed.groupBy("_hour").agg(F.max("played_at").alias("_last"))
+    if elsewhere is not None:
+        hours = hours.unionByName(elsewhere.select(hour.alias("_hour"), F.col("played_at").alias("_last")))
     before = hours.select("_hour", F.lag("_last").over(Window.orderBy("_hour")).alias("_earlier"))  # a row for each hour
     inside = F.lag("played_at").over(Window.partitionBy("_hour").orderBy("played_at", "id"))
     prior = keyed.withColumn("_inside", inside).join(before, "_hour").withColumn("_prior", F.coalesce("_inside", "_earlier"))

@@ -150,8 +150,8 @@ def import_plays(stored: DataFrame, landed: DataFrame, tracks: DataFrame, import
     polled plays are estimated anew, for an imported one may now stand between two of them. An id is a hash of
     the play's key, so it is the same however often the frames are evaluated.
     """
-    span = landed.agg(F.min("played_at"), F.max("played_at")).first()
-    numbered = landed.withColumns({"id": F.xxhash64("played_at", "item_uri", "ms_played", "entry"), "source": F.lit("extended"), "import_id": F.lit(import_id).cast("long")})
+    span = span_of(landed)
+    numbered = imported_rows(landed, import_id)
     new = merge.new_plays(stored, numbered)
     kinds = {f.name: f.dataType for f in stored.schema.fields}
     shaped = new.select(*((F.col(c) if c in new.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in stored.columns))
@@ -161,6 +161,17 @@ def import_plays(stored: DataFrame, landed: DataFrame, tracks: DataFrame, import
     return derive.estimate_durations(derive.link_plays(whole, tracks), tracks), new
 
 
+def imported_rows(landed: DataFrame, import_id: int) -> DataFrame:
+    """Landed plays as rows of the log."""
+    return landed.withColumns({"id": F.xxhash64("played_at", "item_uri", "ms_played", "entry"), "source": F.lit("extended"), "import_id": F.lit(import_id).cast("long")})
+
+
+def import_into(log, landed: DataFrame, tracks: DataFrame, import_id: int) -> int | None:
+    """Merges an import into a log that is kept in slices (streaming.plays.PlayLog); gives its version. Only the slices of the import's span are read."""
+    span = span_of(landed)
+    return log.merge(imported_rows(landed, import_id), tracks, f"import-{import_id}", span) if span[0] is not None else None
+
+
 def span_of(landed: DataFrame) -> tuple[datetime | None, datetime | None]:
     row = landed.agg(F.min("played_at"), F.max("played_at")).first()
     return row[0], row[1]

@@ -1,23 +1,26 @@
 """The poll as a stream: landed items are merged into the log as they come.
 
-A file-source stream takes the place of the poll's high-water mark. Each micro-batch is merged by
-key, linked, and all polled rows are estimated anew, because an answer may change when a play lands in
-front of one. The log is a chain of versions: batch k reads the newest version below k and writes version k,
-which counts once Spark's commit has marked it, so a batch that runs twice after a failure gives the same
-log. The newest KEPT versions stay, for readers of the last ones.
+A file-source stream takes the place of the poll's high-water mark. The log is kept in slices of time: a micro-batch is
+merged by key and linked in the slices that it falls into, and polled rows are estimated anew there, for an
+answer may change when a play lands in front of one. What an estimate needs from outside is the last play of
+the slices before; it stands in the manifest. A batch's tag makes it count once, however often it is run.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.times import epoch_seconds
 from ..operators import derive, merge
 from ..sources.landed import SCHEMAS, polled_plays
 from ..sources.shared import shared_dir
+from .slices import Slices
 
 PLAYS = (
     "id long, played_at timestamp_ntz, ms_played int, estimated_ms int, item_kind string, item_uri string, track_id string, resolve_attempted_at timestamp_ntz, track_name string, artist_name string, "
@@ -25,61 +28,97 @@ PLAYS = (
 )
 
 
-#: Versions of the log that stay.
-KEPT = 3
+#: Seconds of a slice of the log; whole hours, for the estimate looks back by hours.
+SPAN = 86_400
 
 
-class PlayLog:
-    """A log of plays kept as versions in a folder; version k holds what batches up to k gave."""
+def slice_of(at: Column) -> Column:
+    return F.call_function("div", epoch_seconds(at), F.lit(SPAN).cast("long"))
+
+
+class PlayLog(Slices):
+    """A log of plays in slices of time. A change reads and writes the slices that its plays fall into, and the next one where that begins with an estimate."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder.rstrip("/")
-
-    def _fs(self):
-        jvm, path = self.spark._jvm, self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
-
-    def versions(self) -> list[int]:
-        """Whole versions: those that the commit protocol has marked as done."""
-        fs, path = self._fs()
-        root = path(self.folder)
-        if not fs.exists(root):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(root)]
-        return sorted(int(n[2:]) for n in names if n.startswith("v=") and fs.exists(path(f"{self.folder}/{n}/_SUCCESS")))
-
-    def read(self, before: int | None = None) -> DataFrame:
-        """The newest version, or the newest before a batch."""
-        known = [v for v in self.versions() if before is None or v < before]
-        if not known:
-            return self.spark.createDataFrame([], PLAYS)
-        return self.spark.read.schema(PLAYS).parquet(f"{self.folder}/v={known[-1]}")
-
-    def write(self, rows: DataFrame, version: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.folder}/v={version}")
-        fs, path = self._fs()
-        for v in [v for v in self.versions() if v <= version][:-KEPT]:
-            fs.delete(path(f"{self.folder}/v={v}"), True)
+        open_row = F.col("ms_played").isNull() & (F.col("source") == "recent")
+        facts = {
+            "last": F.max("played_at"), "open_head": F.min_by(open_row, F.struct("played_at", "id")), "polled": F.count_if(F.col("source") == "recent"),
+            "unlinked": F.count_if(F.col("track_id").isNull() & (F.col("item_kind") == "track")),
+        }
+        super().__init__(spark, folder, PLAYS, ["played_at", "id"], facts)
+
+    def window(self, low: datetime, high: datetime) -> DataFrame:
+        """The plays of a half-open window, from the slices that it meets."""
+        first, last = ((t - datetime(1970, 1, 1)) // timedelta(seconds=SPAN) for t in (low, high))
+        return self.read([r["slice"] for r in self.manifest() if first <= r["slice"] <= last]).where((F.col("played_at") >= F.lit(low)) & (F.col("played_at") < F.lit(high)))
+
+    def merge(self, batch: DataFrame, tracks: DataFrame, tag: str, span: tuple[datetime, datetime] | None = None) -> int | None:
+        """The version with a batch of plays: each key once, links resolved, estimates as over the whole log.
+
+        span: of an import, in which polled plays give way. None if the batch has been merged before or changes nothing.
+        """
+        if self.has(tag):
+            return None
+        manifest = self.manifest()
+        path = f"{shared_dir(self.spark)}/tonearm-batch-{uuid.uuid4().hex}"
+        near = [r["slice"] for r in batch.select(slice_of(F.col("played_at")).alias("slice")).distinct().collect()]
+        fresh = merge.new_plays(self.read(near), batch)
+        kinds = {f.name: f.dataType for f in self.spark.createDataFrame([], PLAYS).schema.fields}
+        fresh.select(*((F.col(c) if c in fresh.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items())).write.parquet(path)
+        new = self.spark.read.schema(PLAYS).parquet(path)
+        changed = {r["slice"] for r in new.select(slice_of(F.col("played_at")).alias("slice")).distinct().collect()}
+        if span:
+            low, high = ((t - datetime(1970, 1, 1)) // timedelta(seconds=SPAN) for t in span)
+            changed |= {r["slice"] for r in manifest if r["polled"] and low <= r["slice"] <= high}
+        version = None
+        if changed:
+            old = self.read(changed)
+            rows = (merge.superseded_polls_removed(old.unionByName(new), *span) if span else old.unionByName(new))
+            version = self._settled(rows, changed, tracks, tag, manifest)
+        fs, at = self._fs()
+        fs.delete(at(path), True)
+        return version
+
+    def relink(self, tracks: DataFrame, tag: str) -> int | None:
+        """The version in which plays are linked that the catalog has come to know; slices with unlinked plays are read, those with a find written."""
+        manifest = self.manifest()
+        open_slices = [r["slice"] for r in manifest if r["unlinked"]]
+        rows = self.read(open_slices).where("track_id is null and item_kind = 'track'")
+        found = {r["slice"] for r in derive.link_plays(rows, tracks).where("track_id is not null").select(slice_of(F.col("played_at")).alias("slice")).distinct().collect()}
+        return self._settled(self.read(found), found, tracks, tag, manifest) if found and not self.has(tag) else None
+
+    def _settled(self, rows: DataFrame, changed: set[int], tracks: DataFrame, tag: str, manifest: list) -> int:
+        """Commits the changed slices, and each next one whose first play takes its estimate from the play before it."""
+        others = [r for r in manifest if r["slice"] not in changed]
+        order = sorted(changed | {r["slice"] for r in others})
+        heads = {r["slice"] for r in others if r["open_head"]}
+        follow = {b for a, b in zip(order, order[1:]) if a in changed and b in heads}
+        lasts = self.spark.createDataFrame([(r["last"],) for r in others if r["slice"] not in follow], "played_at timestamp_ntz")  # a row for each slice
+        linked = derive.link_plays(rows, tracks).unionByName(self.read(follow)) if follow else derive.link_plays(rows, tracks)
+        return self.commit(derive.estimate_durations(linked, tracks, lasts).withColumn("slice", slice_of(F.col("played_at"))), changed | follow, tag)
 
 
 def merged(stored: DataFrame, polled: DataFrame, tracks: DataFrame) -> DataFrame:
-    """The log with a batch of polled plays: each key once, links resolved, all polled rows estimated."""
-    key = F.xxhash64("played_at", "item_uri", F.lit("recent"))
-    numbered = polled.withColumn("id", key)
-    new = merge.new_plays(stored, numbered)
+    """A whole log with a batch of polled plays: what PlayLog.merge gives slice by slice."""
+    new = merge.new_plays(stored, with_ids(polled))
     kinds = {f.name: f.dataType for f in stored.schema.fields}
     shaped = new.select(*((F.col(c) if c in new.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in stored.columns))
     return derive.estimate_durations(derive.link_plays(stored.unionByName(shaped), tracks), tracks)
 
 
-def poll_stream(spark: SparkSession, landing: str, log: PlayLog, tracks: DataFrame, checkpoint: str, after: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
-    """Runs all landed files through the log once and stops. after: called with the log, to refresh what hangs on it."""
+def with_ids(polled: DataFrame) -> DataFrame:
+    """Polled plays with a hash of their key as id."""
+    return polled.withColumn("id", F.xxhash64("played_at", "item_uri", F.lit("recent")))
+
+
+def poll_stream(spark: SparkSession, landing: str, log: PlayLog, tracks: DataFrame, checkpoint: str, after: Callable[[int | None], None] | None = None) -> StreamingQuery:
+    """Runs all landed files through the log once and stops. after: called with each batch's version of the log, to refresh what hangs on it."""
     items = spark.readStream.schema(SCHEMAS["recently_played"]).option("maxFilesPerTrigger", 100).json(landing)
 
     def batch(rows: DataFrame, number: int) -> None:
-        log.write(merged(log.read(before=number), polled_plays(rows), tracks), number)
+        version = log.merge(with_ids(polled_plays(rows)), tracks, f"poll-{number}")
         if after:
-            after(log.read())
+            after(version)
 
     return items.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
