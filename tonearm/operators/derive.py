@@ -47,8 +47,8 @@ def first_credits(credits: DataFrame, key: str) -> DataFrame:
     return credits.groupBy(key).agg(F.min_by("artist_id", F.struct("position", "artist_id")).alias("primary_artist_id"))
 
 
-def canonical_tracks(keys: DataFrame, tracks: DataFrame, track_artists: DataFrame, albums: DataFrame, library_tracks: DataFrame) -> DataFrame:
-    """A row for each recording: its representative copy and what its copies sum up to."""
+def copies_of(keys: DataFrame, tracks: DataFrame, albums: DataFrame, library_tracks: DataFrame) -> DataFrame:
+    """The copies of each recording: cid, track_id, rank (the least one's copy stands for all), copy, popularity and release_date_start."""
     held = library_tracks.select("track_id", F.lit(True).alias("held"))
     released = albums.select(F.col("id").alias("album_id"), "album_type", "release_date_start")
     copies = keys.join(tracks.withColumnRenamed("id", "track_id"), "track_id").join(held, "track_id", "left").join(released, "album_id", "left")
@@ -56,10 +56,19 @@ def canonical_tracks(keys: DataFrame, tracks: DataFrame, track_artists: DataFram
         F.col("held").isNull().alias("a"), yes_first(F.col("detail_level") == "full").alias("b"), nulls_last(F.col("popularity"), True).alias("c"),
         yes_first(F.col("album_type") == "album").alias("d"), nulls_last(F.col("release_date_start")).alias("e"), F.col("track_id").alias("f"),
     )
-    chosen = copies.groupBy("cid").agg(
-        F.min_by(F.struct("track_id", "name", "duration_ms", "explicit", "album_id"), rank).alias("rep"),
-        F.max("popularity").alias("max_popularity"), F.count(F.lit(1)).alias("copy_count"), F.min("release_date_start").alias("earliest_release_date"),
+    return copies.select("cid", "track_id", rank.alias("rank"), F.struct("track_id", "name", "duration_ms", "explicit", "album_id").alias("copy"), "popularity", "release_date_start")
+
+
+def canonical_tracks(keys: DataFrame, tracks: DataFrame, track_artists: DataFrame, albums: DataFrame, library_tracks: DataFrame) -> DataFrame:
+    """A row for each recording: its representative copy and what its copies sum up to."""
+    chosen = copies_of(keys, tracks, albums, library_tracks).groupBy("cid").agg(
+        F.min_by("copy", "rank").alias("rep"), F.max("popularity").alias("max_popularity"), F.count(F.lit(1)).alias("copy_count"), F.min("release_date_start").alias("earliest_release_date"),
     )
+    return recordings_of(chosen, track_artists)
+
+
+def recordings_of(chosen: DataFrame, track_artists: DataFrame) -> DataFrame:
+    """Recordings from groups of copies: cid, rep (the copy that stands for all), max_popularity, copy_count and earliest_release_date."""
     coded = F.col("cid").startswith("isrc:")
     flat = chosen.select(
         F.col("cid").alias("id"), F.when(coded, "isrc").otherwise("fallback").alias("kind"), F.when(coded, F.expr("substr(cid, 6)")).alias("isrc"),

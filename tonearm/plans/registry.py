@@ -14,7 +14,7 @@ from ..functions import music, text
 from ..operators import charts, derive, enrichment, entities, genres, library, listening, merge, work
 from ..sources.shared import shared_dir
 from ..streaming import plays as streams
-from . import landing
+from . import landing, upkeep
 from .adhoc import distinct_names
 from .oracle import DEVICE, HEARD, ZONE, iso, name, ragged, statement, title, wall, whole
 from .range import EARLIEST, Range, midnight
@@ -471,6 +471,9 @@ def register() -> None:
         SELECT strftime(m, '%Y-%m') AS period, greatest(0, a - b) AS outside_minutes FROM (SELECT date_trunc('month', {PLAYED}) AS m, {whole(HEARD)} AS a, {whole(f'CASE WHEN l.canonical_track_id IS NOT NULL THEN {HEARD} END')} AS b
            FROM {{plays}} p LEFT JOIN {{tracks}} t ON t.id = p.track_id LEFT JOIN {{library_canonical}} l ON l.canonical_track_id = t.canonical_track_id WHERE {P} GROUP BY 1)""")
     landing.register(add, window, HIST, NOW)
+    for key, (query, same) in upkeep.QUERIES.items():
+        shown = ("first_added_at", "latest_added_at", "first_played_at", "last_played_at", "earliest_release_date")
+        _ENTRIES[key] = (lambda w, query=query: (df := query(w)).withColumns({c: F.col(c).cast("string") for c in shown if c in df.columns}), _ENTRIES[same][1])
     add("c13_trailing_mean", lambda w: charts.trailing_mean(per_day(w), "day", "value"), "day value# trailing_mean~", f"SELECT CAST(d AS VARCHAR) AS day, n AS value, avg(n) OVER (ORDER BY d ROWS 2 PRECEDING) AS trailing_mean FROM ({days})")
 
 

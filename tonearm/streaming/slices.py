@@ -64,8 +64,7 @@ class Slices:
         names, touched = self._names(), set(touched)
         version = names[-1][0] + 1 if names else 0
         data = f"{self.folder}/v={version}"
-        kinds = [f.strip().split()[0] for f in self.schema.split(",")]
-        laid = rows.select(*kinds, "slice").repartitionByRange("slice", *self.order).sortWithinPartitions("slice", *self.order)
+        laid = rows.select(*self.spark.createDataFrame([], self.schema).columns, "slice").repartitionByRange("slice", *self.order).sortWithinPartitions("slice", *self.order)
         laid.write.mode("overwrite").partitionBy("slice").parquet(data)
         # Read with a schema, so that no rows at all are fine too.
         stored = self.spark.read.schema(f"{self.schema}, slice long").parquet(data)
