@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.times import days as day_sequence
+from .selection import gaps, quantiles
 
 
 def nice_step(low: float, high: float, bins: int) -> float:
@@ -24,7 +25,9 @@ def summary(values: DataFrame, column: str, weight: str | None = None) -> DataFr
     """One row: n, low, high, mean and exact median; with weights each value counts so often and is never written out."""
     w = F.col(weight) if weight else F.lit(1)
     mean = F.sum(F.col(column) * w) / F.sum(w)
-    return values.where(F.col(column).isNotNull()).agg(F.coalesce(F.sum(w), F.lit(0)).cast("long").alias("n"), F.min(column).alias("low"), F.max(column).alias("high"), mean.cast("double").alias("mean"), F.percentile(column, F.lit(0.5), w.cast("long")).alias("median"))
+    told = values.where(F.col(column).isNotNull()).agg(F.coalesce(F.sum(w), F.lit(0)).cast("long").alias("n"), F.min(column).alias("low"), F.max(column).alias("high"), mean.cast("double").alias("mean"))
+    middle = quantiles(values, column, [0.5], weight=weight).agg(F.max(F.col("q")[0]).alias("median"))
+    return told.crossJoin(F.broadcast(middle))  # one row each
 
 
 def histogram(values: DataFrame, column: str, low: float, step: float, weight: str | None = None) -> DataFrame:
@@ -58,8 +61,7 @@ def bar_shares(rows: DataFrame, label: str, value: str) -> DataFrame:
 
 def heat_thresholds(days: DataFrame, value: str, steps: int = 5, gamma: float = 0.45) -> DataFrame:
     """One row: the values that part the shades of a calendar, quantiles over days that aren't zero."""
-    at = F.array(*(F.lit((i / steps) ** gamma) for i in range(1, steps)))
-    return days.where(F.col(value) > 0).agg(F.percentile(value, at).alias("thresholds"))
+    return quantiles(days.where(F.col(value) > 0), value, [(i / steps) ** gamma for i in range(1, steps)]).agg(F.max("q").alias("thresholds"))
 
 
 def calendar(days: DataFrame, day: str, value: str, low, high) -> DataFrame:
@@ -77,9 +79,8 @@ def cumulative(rows: DataFrame, by: list[str], order: str, value: str) -> DataFr
 
 
 def median_gap(points: DataFrame, x: str) -> DataFrame:
-    """One row: the median distance of neighbouring points. points: a bounded series."""
-    gaps = points.select((F.col(x) - F.lag(x).over(Window.orderBy(x))).alias("gap"))
-    return gaps.agg(F.percentile("gap", F.lit(0.5)).alias("median_gap"))
+    """One row: the median distance of neighbouring points."""
+    return quantiles(gaps(points, x), "gap", [0.5]).agg(F.max(F.col("q")[0]).alias("median_gap"))
 
 
 def bump_series(ranks: DataFrame, most: int) -> DataFrame:
