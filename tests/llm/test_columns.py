@@ -37,7 +37,7 @@ def test_lines(odd):
 
 
 def test_mixture(odd):
-    got = mixing.mixed_texts(odd, whole=True)
+    got = mixing.mixed_texts(odd)
     assert got.columns == odd.columns and got.count() > 0
     assert got.select("_hash", "_size", "_copy").distinct().collect() == [(4, 5, 6)]
     assert mixing.mix_documents(odd).count() == 5

@@ -123,23 +123,18 @@ MIXING_SQL = rf"""
 WITH RECURSIVE doc AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS no FROM doc GROUP BY source),
 wts AS (SELECT *, CASE no % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0 ELSE 1.0 END AS w FROM src),
-tot AS (SELECT sum(source_size)::DOUBLE AS t, least(2048, CAST(sum(source_size) AS BIGINT) // 16384) AS b0 FROM src),
-blk AS (SELECT greatest(1, b0) AS b, CAST(ceil(t / greatest(1, b0)) AS BIGINT) AS slots FROM tot),
+tot AS (SELECT sum(source_size)::DOUBLE AS t FROM src),
 fill AS (
   SELECT 0 AS step, no, w, source_size, NULL::DOUBLE AS capped FROM wts
   UNION ALL
   SELECT step + 1, no, w, source_size, coalesce(capped, CASE WHEN free * w / unit > 3.0 * source_size THEN 3.0 * source_size END)
   FROM (SELECT *, (SELECT t FROM tot) - sum(coalesce(capped, 0)) OVER () AS free, sum(CASE WHEN capped IS NULL THEN w END) OVER () AS unit FROM fill) WHERE step < 25),
 tgt AS (SELECT no, coalesce(capped, ((SELECT t FROM tot) - sum(coalesce(capped, 0)) OVER ()) * w / sum(CASE WHEN capped IS NULL THEN w END) OVER ()) AS target FROM fill WHERE step = 25),
-edge AS (SELECT no, sum(target) OVER (ORDER BY no) / sum(target) OVER () AS hi, no = max(no) OVER () AS final FROM tgt),
-cut AS (SELECT no, coalesce(lag(hi) OVER (ORDER BY no), 0) AS lo, CASE WHEN final THEN 2.0 ELSE hi END AS hi FROM edge),
-pts AS (SELECT (i * {mixing.GOLDEN} % {mixing.MODULUS}) / {mixing.MODULUS}.0::DOUBLE AS u FROM blk, LATERAL (SELECT unnest(range(slots)) AS i)),
-got AS (SELECT no, count(*) AS n FROM pts JOIN cut ON u >= lo AND u < hi GROUP BY no),
 laid AS (SELECT doc.*, source_size, wts.no, target, sum(size) OVER (PARTITION BY wts.no ORDER BY md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), size, doc_id ROWS UNBOUNDED PRECEDING) - size AS ofs
          FROM doc JOIN wts ON doc.source IS NOT DISTINCT FROM wts.source JOIN tgt ON tgt.no = wts.no)
 SELECT doc_id, size, source_size, target,
-       CAST(coalesce((SELECT sum(greatest(0, least(size, coalesce(n, 0) * b - (e * source_size + ofs)))) FROM (VALUES (0), (1), (2)) v(e)), 0) AS BIGINT) AS taken
-FROM laid CROSS JOIN blk LEFT JOIN got ON got.no = laid.no
+       CAST(coalesce((SELECT sum(greatest(0, least(size, least(CAST(round(target) AS BIGINT), 3 * source_size) - (e * source_size + ofs)))) FROM (VALUES (0), (1), (2)) v(e)), 0) AS BIGINT) AS taken
+FROM laid
 """
 
 
