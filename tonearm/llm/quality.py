@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.selection import quantiles
 from .blocks import Blocks
 from .common import written
 
@@ -38,16 +39,20 @@ CUTOFF = 50.6926
 MEDIANS, INNERS = (0.4549, 1.3863, 2.3660, 3.3567, 4.3515), (5.0239, 7.3778, 9.3484, 11.1433, 12.8325)
 #: A group with fewer documents (about ten for each dimension) is judged by its language, and that by the corpus.
 MIN_GROUP = 60
-#: Only for singular estimates. A dimension whose quartiles are closer than the first (in units of a normal's
-#: standard deviation) is measured in the second. A direction with less variance than LEAST_VARIANCE of a unit's
-#: is one in which the half (nearly) agrees, as where most documents have one line: what differs there is common
-#: to many good documents, so it has a unit's variance and doesn't count in the rank.
-LEAST_SCALE, ITS_SCALE, LEAST_VARIANCE = 0.01, 0.1, 0.01
+#: A dimension whose quartiles are closer than the first (in units of a normal's standard deviation) is measured in a
+#: unit that rises evenly from the second to its own width, so that no unit jumps.
+LEAST_SCALE, ITS_SCALE = 0.02, 0.1
+#: Variance, in a unit's, at which a direction is half drawn to the unit. A direction in which the half (nearly) agrees,
+#: as where most documents have one line, says little: what differs there is common to many good documents.
+#: Its variance goes over to that of the unit, evenly (see drawn()), and as evenly it leaves the rank.
+DRAWN = 0.002
 #: Added to counts of signs, so that a few of them are no surprise where most documents have none.
 SOME_SIGNS = 5
 STARTS = ("box", "signs", "tanh", "all")
 #: A determinant stands still if its logarithm falls by less. A start takes 2 to 15 steps; MOST_STEPS only guards the loop.
-STILL, MOST_STEPS, ACCURACY = 1e-3, 60, 10_000
+STILL, MOST_STEPS = 1e-3, 60
+#: Accuracy of the approximation that brackets a median, and the values that a bracket may hold.
+ACCURACY, BRACKET = 10_000, 1_000_000
 #: Above this many estimates they are joined by a shuffle, below it they are broadcast.
 MAX_BROADCAST_GROUPS = 10_000
 
@@ -139,16 +144,45 @@ def _moments(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *(F.sum(x).alias(f"m{i}") for i, x in enumerate(d)), *(F.sum(d[i] * d[j]).alias(f"m{i}{j}") for i in range(5) for j in range(i, 5)))
 
 
-def estimate(n: int, sums: list[float]) -> tuple[list[float], list[float], float, int]:
-    """Centre, inverse covariance, log determinant and rank from moments; see LEAST_VARIANCE for directions of hardly any variance."""
+def drawn(values: np.ndarray) -> np.ndarray:
+    """How far directions of these variances are drawn to the unit: near 0 for wide ones, 1 for none at all, and in between without a jump."""
+    return DRAWN**2 / (np.maximum(values, 0.0) ** 2 + DRAWN**2)
+
+
+def estimate(n: int, sums: list[float]) -> tuple[list[float], list[float], float, float]:
+    """Centre, inverse covariance, log determinant and rank (not always whole) from moments; see DRAWN for directions of hardly any variance."""
     mean = np.array(sums[:5]) / n
     cov = np.zeros((5, 5))
     cov[np.triu_indices(5)] = np.array(sums[5:]) / n
     cov = cov + np.triu(cov, 1).T - np.outer(mean, mean)
     values, axes = np.linalg.eigh(cov)
-    wide = values > LEAST_VARIANCE
-    logdet = float(np.log(np.maximum(values, LEAST_VARIANCE)).sum())
-    return mean.tolist(), ((axes / np.where(wide, values, 1.0)) @ axes.T).ravel().tolist(), logdet, max(1, int(wide.sum()))
+    to_unit = drawn(values)
+    told = (1 - to_unit) * np.maximum(values, 0.0) + to_unit
+    logdet = float(np.log(np.hypot(values, DRAWN)).sum())
+    return mean.tolist(), ((axes / told) @ axes.T).ravel().tolist(), logdet, float(np.maximum(1.0, (1 - to_unit).sum()))
+
+
+def at_rank(table: tuple[float, ...]) -> Column:
+    """A table for 1 to 5 degrees at the column rank, in proportion between whole ones."""
+    whole = F.least(F.floor("rank"), F.lit(4)).cast("int")
+    low, high = (F.element_at(F.array(*map(F.lit, table)), i) for i in (whole, whole + 1))
+    return low + (high - low) * (F.col("rank") - whole)
+
+
+def _median(rows: DataFrame, side, *keys: str) -> DataFrame:
+    """keys and h: the exact median of d. An approximation brackets it, and the few values within are sorted.
+
+    Should a bracket hold more than BRACKET values, the medians are found by selection, which has no such list.
+    """
+    around = rows.groupBy(*keys).agg(F.percentile_approx("d", [0.4995, 0.5005], ACCURACY).alias("b"), F.count(F.lit(1)).alias("n"))
+    inside = F.col("d").between(F.col("b")[0], F.col("b")[1])
+    met = rows.join(side(around), list(keys)).groupBy(*keys).agg(F.max("n").alias("n"), F.count_if(F.col("d") < F.col("b")[0]).alias("below"), F.count_if(inside).alias("size"), F.collect_list(F.when(inside, F.col("d"))).alias("held"))
+    ranks = [(F.floor((F.col("n") - 1) / 2) - F.col("below")).cast("int"), (F.ceil((F.col("n") - 1) / 2) - F.col("below")).cast("int")]
+    in_order = F.array_sort("held")
+    told = written(met.select(*keys, "size", ((F.get(in_order, ranks[0]) + F.get(in_order, ranks[1])) / 2).alias("h")), "halves")
+    if told.where((F.col("size") > BRACKET) | F.col("h").isNull()).limit(1).count():
+        told = quantiles(rows, "d", [0.5], list(keys)).select(*keys, F.col("q")[0].alias("h"))
+    return told.select(*keys, "h")
 
 
 def _estimates(sums: DataFrame) -> DataFrame:
@@ -159,7 +193,7 @@ def _estimates(sums: DataFrame) -> DataFrame:
             rows = [(m, s, *estimate(n, list(v))) for m, s, n, *v in pdf[["model", "start", "n", *MOMENTS]].itertuples(index=False)]
             yield pd.DataFrame(rows, columns=["model", "start", "centre", "inverse", "logdet", "rank"])
 
-    return sums.mapInPandas(solve, "model string, start string, centre array<double>, inverse array<double>, logdet double, rank int")
+    return sums.mapInPandas(solve, "model string, start string, centre array<double>, inverse array<double>, logdet double, rank double")
 
 
 def _distance() -> Column:
@@ -179,7 +213,7 @@ def _first_estimates(scaled: DataFrame) -> DataFrame:
     # The first two are about the medians, which are 0 here.
     drawn = found.select("model", "start", F.when(F.col("start") == "all", F.col("centre")).otherwise(zero).alias("centre"), "inverse")
     box = found.where("start = 'all'").select("model", F.lit("box").alias("start"), zero.alias("centre"), F.array(*(F.lit(float(i == j)) for i in range(5) for j in range(5))).alias("inverse"))
-    return drawn.union(box).withColumns({"logdet": F.lit(None).cast("double"), "rank": F.lit(5), "steps": F.lit(0)})
+    return drawn.union(box).withColumns({"logdet": F.lit(None).cast("double"), "rank": F.lit(5.0), "steps": F.lit(0)})
 
 
 def concentrated(scaled: DataFrame, side) -> DataFrame:
@@ -191,7 +225,7 @@ def concentrated(scaled: DataFrame, side) -> DataFrame:
     now, done = written(_first_estimates(scaled), "starts"), None
     for step in range(1, MOST_STEPS + 1):
         near = scaled.join(side(now), "model").select("model", "start", *DIMS, _distance().alias("d"))
-        half = written(near.groupBy("model", "start").agg(F.percentile_approx("d", 0.5, ACCURACY).alias("h")), "halves")
+        half = _median(near, side, "model", "start")
         inner = near.join(side(half), ["model", "start"]).where(F.col("d") <= F.col("h"))
         told = ("logdet", "centre", "inverse", "rank", "steps")
         before = now.select("model", "start", F.struct(*told).alias("old"))
@@ -226,16 +260,17 @@ def robust_outliers(stats: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     placed = held.join(g, held["lang"].eqNullSafe(g["g_lang"]) & held["source"].eqNullSafe(g["g_source"]), "left").drop("g_lang", "g_source")
     fed = placed.where(~F.col("base_failed")).select(F.explode("feeds").alias("model"), *x)
     # Distances don't change with a dimension's origin and unit: medians and quartiles make them comparable.
-    quartiles = fed.groupBy("model").agg(F.count(F.lit(1)).alias("size"), *(F.percentile_approx(c, [0.25, 0.5, 0.75], ACCURACY).alias(f"p_{c}") for c in x))
+    by_dim = quantiles(fed.select("model", F.explode(F.array(*(F.struct(F.lit(c).alias("dim"), F.col(c).alias("v")) for c in x))).alias("e")).select("model", "e.*"), "v", [0.25, 0.5, 0.75], ["model", "dim"], bins=8_192)
+    quartiles = by_dim.groupBy("model").agg(F.max("n").alias("size"), *(F.max(F.when(F.col("dim") == c, F.col("q"))).alias(f"p_{c}") for c in x))
     width = {c: (F.col(f"p_{c}")[2] - F.col(f"p_{c}")[0]) / 1.349 for c in x}
-    units = written(quartiles.select("model", "size", *(F.col(f"p_{c}")[1].alias(f"o_{c}") for c in x), *(F.when(width[c] < LEAST_SCALE, ITS_SCALE).otherwise(width[c]).alias(f"u_{c}") for c in x)), "units")
+    units = written(quartiles.select("model", "size", *(F.col(f"p_{c}")[1].alias(f"o_{c}") for c in x), *((width[c] + ITS_SCALE * F.greatest(F.lit(0.0), 1 - width[c] / LEAST_SCALE)).alias(f"u_{c}") for c in x)), "units")
     scale = [((F.col(c) - F.col(f"o_{c}")) / F.col(f"u_{c}")).alias(z) for c, z in zip(x, DIMS)]
     scaled = written(fed.join(side(units), "model").where(F.col("size") >= MIN_GROUP).select("model", *scale), "vectors")
     best = concentrated(scaled, side)
-    median, inner = (F.get(F.array(*map(F.lit, x)), F.col("rank") - 1) for x in (MEDIANS, INNERS))
+    median, inner = at_rank(MEDIANS), at_rank(INNERS)
     for turn in range(2):  # the half's estimate, then that of the documents within the inner quantile
         near = scaled.join(side(best), "model").select("model", *DIMS, _distance().alias("d"))
-        middle = near.groupBy("model").agg(F.percentile_approx("d", 0.5, ACCURACY).alias("middle"))
+        middle = _median(near, side, "model").withColumnRenamed("h", "middle")
         told = written(best.join(middle, "model").withColumn("factor", F.col("middle") / median), "factors")
         if turn == 0:
             within = near.join(side(told.select("model", (inner * F.col("factor")).alias("most"))), "model").where(F.col("d") <= F.col("most")).withColumn("start", F.lit("inner"))
