@@ -79,28 +79,13 @@ def removed(first, second, least=10):
     return out
 
 
-def first_runs(texts, least=10):
-    """Runs (the fewest lines with enough words) of each text, and who has them."""
-    owners = defaultdict(list)
-    for k, t in texts.items():
-        lines = [x for x in t.split("\n") if x.split()]
-        for i in range(len(lines)):
-            for j in range(i + 1, len(lines) + 1):
-                if sum(len(x.split()) for x in lines[i:j]) >= least:
-                    if k not in owners["\n".join(lines[i:j])]:
-                        owners["\n".join(lines[i:j])].append(k)
-                    break
-    return owners
-
-
-def brute(texts, rare=None):
-    """All pairs of documents, or with rare: those that share a run of so many documents, and else each with a run's first."""
-    pairs = {(a, b) for a in texts for b in texts if a < b}
-    if rare is not None:
-        pairs = {(a, b) for own in first_runs(texts).values() for b in own for a in (own if len(own) <= rare else [min(own)]) if a < b}
+def brute(texts):
+    """All pairs of documents."""
     gone = defaultdict(set)
-    for a, b in pairs:
-        gone[b] |= removed(texts[a], texts[b])
+    for b in texts:
+        for a in texts:
+            if a < b:
+                gone[b] |= removed(texts[a], texts[b])
     return {k: "\n".join(x for j, x in enumerate(t.split("\n")) if j not in gone[k]) for k, t in texts.items()}
 
 
@@ -115,7 +100,30 @@ def test_every_pair_is_aligned(spark, seed, n, kinds):
     lines = [" ".join(r.choice("abcdefghij") * 3 for _ in range(r.randint(1, 8))) for _ in range(kinds)]
     texts = {k: "\n".join(r.choice([*lines, ""]) for _ in range(r.randint(0, 25))) for k in range(n)}
     assert dropped(spark, texts, rare=10**6) == brute(texts)
-    assert dropped(spark, texts) == brute(texts, line_dedup.RARE)
+
+
+@pytest.mark.parametrize("seed, n, rare", [(7, 60, 1), (8, 60, 2), (9, 90, 8)])
+def test_runs_of_many_documents_are_lengthened(spark, seed, n, rare):
+    """Texts that keep the order of their lines: then it doesn't matter which of the documents that share most is met."""
+    r = random.Random(seed)
+    lines = [" ".join(r.choice("abcdefghij") * 3 for _ in range(r.randint(1, 8))) + f" {k}" for k in range(40)]
+    texts = {}
+    for k in range(n):
+        i = r.randrange(0, 20)
+        j = r.randrange(i + 1, 40)
+        kept = [x for x in lines[i:j] if r.random() < 0.96]
+        texts[k] = "\n".join([*([f"own {k}"] if r.random() < 0.5 else []), *kept, *([f"tail {k}"] if r.random() < 0.5 else [])])
+    assert dropped(spark, texts, rare=rare) == brute(texts)
+
+
+@pytest.mark.parametrize("others", [0, 7, 5_000])
+def test_how_many_share_less_does_not_matter(spark, others):
+    hot = "a line of eleven words that stands in a great many"
+    texts = {10: f"{hot}\nand more\nfirst", 20: f"{hot}\nand more\nsecond"} | {100 + k: f"{hot}\nother {k}" for k in range(others)}
+    assert dropped(spark, texts) == {10: texts[10], 20: "second"} | {100 + k: f"other {k}" for k in range(others)}
+    # One that comes before all of them shares less with 20 than 10 does.
+    got = dropped(spark, texts | {1: f"{hot}\nnothing else"})
+    assert got[20] == "second" and got[10] == "and more\nfirst"
 
 
 def test_common_lines_dont_break_blocks(spark):

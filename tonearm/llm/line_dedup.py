@@ -2,7 +2,11 @@
 
 Documents are paired by runs of lines: a run is the fewest lines from a line on that hold enough words,
 so each block that may go begins with a run of both documents. A run is rarer than its lines, so a line
-that stands everywhere doesn't pair anything by itself. A pair is then aligned in full, over all lines of
+that stands everywhere doesn't pair anything by itself. The documents of a run that few have are all paired.
+A run that many have is lengthened line by line (in strides of 1, 2, 4, ... lines, from the longest on that an earlier
+document shares, and again from there), until few have it or no earlier document shares more: so each place
+meets a document that shares the most with it, however many share less, and pairs grow with the runs.
+A pair is then aligned in full, over all lines of
 both documents, by patience diff (lines once in both, the longest increasing run of them, then between
 and beside them), and aligned blocks of enough words are deleted from the later document.
 
@@ -20,13 +24,16 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import by_block, column, grouped, numbered, opened, packed
 from .common import HOT_KEYS, joined_hot, new_path, written
+from .substring_dedup import _mixed, _powers, _sums
 
-#: Documents that share a run are all paired if they are at most so many; beyond it, each with the first that has the run.
+#: Places that share a run are all paired if they are at most so many; beyond it, the run is lengthened (see document_pairs()).
 RARE = 8
 #: Aligned blocks with fewer words stay.
 LEAST_WORDS = 10
@@ -144,48 +151,136 @@ def _blocks(aligned: list[tuple[int, int]], words: dict[int, int] | np.ndarray,
     return out
 
 
-def runs(digests: list[bytes], words: list[int], least: int) -> list[int]:
-    """The distinct runs of a document's lines as 64-bit digests."""
-    out, end, held = set(), 0, 0
+def runs(digests: list[bytes], words: list[int], least: int) -> tuple[list[int], list[int]]:
+    """The run that begins at each of a document's first lines, as 64-bit digest, and its number of lines. Later lines begin none."""
+    out, sizes, end, held = [], [], 0, 0
     for start in range(len(words)):
         while end < len(words) and held < least:
             held += words[end]
             end += 1
         if held < least:
             break
-        out.add(int.from_bytes(blake2b(b"".join(digests[start:end]), digest_size=8).digest(), "little", signed=True))
+        out.append(int.from_bytes(blake2b(b"".join(digests[start:end]), digest_size=8).digest(), "little", signed=True))
+        sizes.append(end - start)
         held -= words[start]
-    return list(out)
+    return out, sizes
 
 
-PACKED = "block long, row int, doc_id long, text_key binary, lines binary, words array<int>, runs array<long>"
+PACKED = "block long, row int, doc_id long, text_key binary, lines binary, words array<int>, runs array<long>, sizes array<int>"
 
 
 def _pack(folder: str, id_col: str, text_col: str, least: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each document with an id and a text, after a row for its block."""
+        fs, root = pafs.FileSystem.from_uri(folder)
         for name, table in packed(folder, batches, text_col):
-            rows: list[tuple] = [(name, None, None, None, None, None, None)]
+            rows: list[tuple] = [(name, None, None, None, None, None, None, None)]
             for row, (doc_id, text) in enumerate(zip(column(table, id_col).to_pylist(), column(table, text_col).cast(pa.large_binary()).to_pylist())):
                 if doc_id is None or text is None:
                     continue
                 lines = [x for x in text.split(b"\n") if x and not x.isspace()]
                 words = [len(x.split()) for x in lines]
                 digests = [blake2b(x, digest_size=DIGEST).digest() for x in lines]
-                rows.append((name, row, doc_id, blake2b(text, digest_size=DIGEST).digest(), b"".join(digests), words, runs(digests, words, least)))
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=["block", "row", "doc_id", "text_key", "lines", "words", "runs"])
+                rows.append((name, row, doc_id, blake2b(text, digest_size=DIGEST).digest(), b"".join(digests), words, *runs(digests, words, least)))
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()))
+            columns = [pa.array(x, t) for x, t in zip(zip(*rows), kinds)]
+            with fs.open_output_stream(f"{root}/{name}.lines") as sink, pa.ipc.new_file(sink, pa.schema([("row", pa.int32()), ("lines", pa.binary())])) as out:
+                out.write(pa.RecordBatch.from_arrays([columns[1].slice(1), columns[4].slice(1)], names=["row", "lines"]))
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "row", "doc_id", "text_key", "lines", "words", "runs", "sizes"])
 
     return pack
 
 
+STRIDES = "block long, row int, doc long, doc_id long, start int, len int, stride int, key long"
+
+
+def _strides(folder: str):
+    def strides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each place the keys of its lines with 1, 2, 4, ... more, as far as the document goes."""
+        fs, root = pafs.FileSystem.from_uri(folder)
+        for name, rows in grouped(batches):
+            rows = rows.filter(pa.compute.is_valid(rows.column("row"))).sort_by("row")
+            if not rows.num_rows:
+                continue
+            with fs.open_input_file(f"{root}/{name}.lines") as source:
+                told = pa.ipc.open_file(source).read_all()
+            lines = dict(zip(told.column("row").to_pylist(), told.column("lines").to_pylist()))
+            out: list[tuple] = []
+            sums, held = None, None
+            for row, doc, doc_id, start, length in zip(*(rows.column(c).to_pylist() for c in ("row", "doc", "doc_id", "start", "len"))):
+                if row != held:
+                    held, sums = row, _sums(np.frombuffer(lines[row], np.uint64)[::2])
+                stride = 1
+                while start + length + stride < len(sums):
+                    key = _mixed((sums[start + length + stride : start + length + stride + 1] - sums[start]) * _powers(start)[0][start])
+                    out.append((name, row, doc, doc_id, start, length, stride, int(key.view(np.int64)[0])))
+                    stride *= 2
+            columns = list(zip(*out)) or [()] * 8
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[c.split()[0] for c in STRIDES.split(", ")])
+
+    return strides
+
+
+def _met(held: DataFrame, key: str) -> DataFrame:
+    """Places with the first document that has their key, and how many places have it; keys of one document are left out."""
+    known = held.groupBy(key).agg(F.min(F.struct("doc_id", "doc")).alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("count"))
+    known = written(known.where("first.doc_id < last"), "known")
+    return joined_hot(held, known, key, known.select(key, "count"))
+
+
+def _all_pairs(few: DataFrame, key: str, later: DataFrame) -> DataFrame:
+    """a, doc: each of some later places with the earlier documents of its key. few: places of keys that few have."""
+    return few.select(key, F.col("doc").alias("a"), F.col("doc_id").alias("a_id")).join(later.select(key, "doc", "doc_id"), key).where("a_id < doc_id").select("a", "doc")
+
+
+def document_pairs(firsts: DataFrame, blocks: DataFrame, folder: str, rare: int = RARE) -> DataFrame:
+    """a, doc: two documents, the second with the larger doc_id, that share a run. firsts: doc (its number), block, row, doc_id, runs and sizes.
+
+    Places of a run that few have are all paired. Each other place is paired with the first document that has its run, and then,
+    while an earlier document shares more lines with it, with the first of those that share so much.
+    """
+    runs_of = firsts.select("block", "row", "doc", "doc_id", "sizes", F.posexplode("runs").alias("start", "run"))
+    held = written(runs_of.select("block", "row", "doc", "doc_id", "start", F.get("sizes", F.col("start")).alias("len"), "run"), "runs")
+    met = written(_met(held, "run"), "met")
+    few, many = met.where(F.col("count") <= rare), met.where(F.col("count") > rare)
+    pairs = _all_pairs(few, "run", few)
+    later = F.col("doc_id") > F.col("first.doc_id")
+    found = [pairs, many.where(later).select(F.col("first.doc").alias("a"), "doc")]
+    now = many.select("block", "row", "doc", "doc_id", "start", "len")
+    while True:
+        keyed = written(by_block(now, blocks).mapInArrow(_strides(folder), STRIDES), "strides")
+        if not keyed.limit(1).count():
+            break
+        met = written(_met(keyed, "key"), "met")
+        # The most lines that a place shares with an earlier document; the first document of all has none, but others may meet it.
+        best = met.where(later).groupBy("block", "row", "start", "len").agg(F.max(F.struct("stride", "key", "count", "first")).alias("best"), F.first("doc").alias("doc"), F.first("doc_id").alias("doc_id"))
+        best = written(best.select("doc", "doc_id", "best.*"), "best")
+        found.append(_all_pairs(met.where(F.col("count") <= rare), "key", best.where(F.col("count") <= rare)))
+        found.append(best.where(F.col("count") > rare).select(F.col("first.doc").alias("a"), "doc"))
+        hot = best.where(F.col("count") > rare).select("key").distinct()
+        # All places of a key that is still hot go on, the first document's too, for others may share more with it.
+        going = met.where(F.col("count") > rare).join(hot, "key", "left_semi")
+        now = going.select("block", "row", "doc", "doc_id", "start", (F.col("len") + F.col("stride")).cast("int").alias("len")).distinct()
+    out = found[0]
+    for x in found[1:]:
+        out = out.union(x)
+    return out.distinct()
+
+
 def _align(least: int):
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """From rows sorted by earlier document: its lines come first and are held while its later documents stream by."""
+        held, first = None, {}
         for batch in batches:
             docs, gone = [], []
-            for doc, first, second, words in zip(*(batch.column(c).to_pylist() for c in ("doc", "a_lines", "lines", "words"))):
-                a, b = ({k: x[DIGEST * k : DIGEST * (k + 1)] for k in range(len(x) // DIGEST)} for x in (first, second))
-                found = _blocks(patience_lines(a, b), words, least)
+            for a, doc, lines, words in zip(*(batch.column(c).to_pylist() for c in ("a", "doc", "lines", "words"))):
+                own = {k: lines[DIGEST * k : DIGEST * (k + 1)] for k in range(len(lines) // DIGEST)}
+                if doc is None:
+                    held, first = a, own
+                    continue
+                assert a == held
+                found = _blocks(patience_lines(first, own), words, least)
                 if found:
                     docs.append(doc)
                     gone.append(sorted(set(found)))
@@ -194,34 +289,23 @@ def _align(least: int):
     return align
 
 
-def document_pairs(firsts: DataFrame, rare: int = RARE) -> DataFrame:
-    """a, doc: two documents, the second with the larger doc_id, that share a run. firsts: doc (its number), doc_id, runs.
+def _aligned(pairs: DataFrame, firsts: DataFrame, least: int) -> DataFrame:
+    """doc, gone: places among its lines that each pair takes from its later document.
 
-    The documents of a run are all paired if they are few, and else each with the first that has the run;
-    so a passage of any number of documents is aligned with its first place, and pairs grow with the runs.
+    An earlier document's lines are sent once for all its pairs, or once for each salt if it has many; a later
+    document's once for each pair.
     """
-    held = written(firsts.select("doc", "doc_id", F.explode("runs").alias("run")), "runs")
-    known = held.groupBy("run").agg(F.min(F.struct("doc_id", "doc")).alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("count"))
-    known = written(known.where("first.doc_id < last"), "known")
-    met = written(joined_hot(held, known, "run", known.select("run", "count")), "met")
-    few = met.where(F.col("count") <= rare)
-    both = few.select("run", F.col("doc").alias("a"), F.col("doc_id").alias("a_id")).join(few, "run").where("a_id < doc_id").select("a", "doc")
-    rest = met.where((F.col("count") > rare) & (F.col("doc_id") > F.col("first.doc_id"))).select(F.col("first.doc").alias("a"), "doc")
-    return both.union(rest).distinct()
-
-
-def _aligned(pairs: DataFrame, firsts: DataFrame, least: int) -> DataFrame:
-    """doc, gone: places among its lines that each pair takes from its later document."""
     pairs = written(pairs, "pairs")
     counts = pairs.groupBy("a").count()
     total = pairs.count()
     hot = written(counts.where(F.col("count") * HOT_KEYS > total + 100 * HOT_KEYS).select("a", F.lit(SALTS).alias("salts")), "hot")
-    salted = pairs.join(F.broadcast(hot), "a", "left").select("a", "doc", F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("doc"), F.lit(SALTS))).otherwise(0).cast("int").alias("salt"))
-    earlier = firsts.select(F.col("doc").alias("a"), F.col("lines").alias("a_lines")).join(F.broadcast(hot), "a", "left")  # hot: under HOT_KEYS rows
-    earlier = earlier.select("a", "a_lines", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
-    later = pairs.select("doc").distinct().join(firsts.select("doc", "lines", "words").hint("merge"), "doc")
-    met = salted.join(earlier.hint("merge"), ["a", "salt"]).join(later.hint("merge"), "doc")
-    return met.select("doc", "a_lines", "lines", "words").mapInArrow(_align(least), "doc long, gone array<int>")
+    salt = F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("doc"), F.lit(SALTS))).otherwise(0).cast("int").alias("salt")
+    salted = written(pairs.join(F.broadcast(hot), "a", "left").select("a", "doc", salt), "salted")  # hot: under HOT_KEYS rows
+    earlier = salted.select("a", "salt").distinct().join(firsts.select(F.col("doc").alias("a"), "lines").hint("merge"), "a").select("a", "salt", F.lit(None).cast("long").alias("doc"), "lines", F.lit(None).cast("array<int>").alias("words"))
+    later = salted.join(firsts.select("doc", "lines", "words").hint("merge"), "doc").select("a", "salt", "doc", "lines", "words")
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = earlier.union(later).repartition(n, "a", "salt").sortWithinPartitions("a", "salt", F.col("doc").asc_nulls_first())
+    return met.select("a", "doc", "lines", "words").mapInArrow(_align(least), "doc long, gone array<int>")
 
 
 def _drop(folder: str, text_col: str, names: list[str]):
@@ -278,8 +362,8 @@ def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts = written(told.groupBy("text_key").agg(F.min(own).alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("count")), "texts")
     number = numbered("first.block", "first.row")
     leads = texts.select(F.col("first.block").alias("block"), F.col("first.row").alias("row"), number.alias("doc"))
-    firsts = written(told.join(leads, ["block", "row"]).select("doc", "block", "row", "doc_id", "lines", "words", "runs"), "firsts")
-    gone = _aligned(document_pairs(firsts, rare), firsts, least_words)
+    firsts = written(told.join(leads, ["block", "row"]).select("doc", "block", "row", "doc_id", "lines", "words", "runs", "sizes"), "firsts")
+    gone = _aligned(document_pairs(firsts, blocks, folder, rare), firsts, least_words)
     gone = written(gone.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")), "gone")
     # The first row's lines, those of repeated rows with the same doc_id, and all lines of later copies.
     narrow = told.select("block", "row", "doc_id", "text_key", enough.alias("enough"))
