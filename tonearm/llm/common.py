@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +20,19 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 HOT_KEYS = 10_000
 
 _MADE: list[str] = []
+#: Where a run of its own notes what its operators leave in the shared folder; threads have scopes of their own.
+_SCOPE: ContextVar[list[str] | None] = ContextVar("scope", default=None)
+
+
+@contextmanager
+def scope() -> Iterator[list[str]]:
+    """The paths that operators called within it make, in order; scopes don't see each other's."""
+    own: list[str] = []
+    token = _SCOPE.set(own)
+    try:
+        yield own
+    finally:
+        _SCOPE.reset(token)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,6 +50,8 @@ def shared_dir(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/tonearm-{name}-{uuid.uuid4().hex}"
     _MADE.append(path)
+    if (own := _SCOPE.get()) is not None:
+        own.append(path)
     return path
 
 
@@ -58,17 +76,6 @@ def made() -> tuple[str, ...]:
     return tuple(_MADE)
 
 
-def remove_scratch(keep: tuple[DataFrame, ...] = (), before: tuple[str, ...] = ()) -> None:
-    """Removes what operators of this process left in the shared folder, but for what was made() before and the files that keep reads.
-
-    For the end of a stage whose result is written: frames that still read from the rest fail afterwards.
-    """
-    used = [f for df in keep for f in df.inputFiles()]
-    for path in made():
-        if path not in before and not any(path.rsplit("/", 1)[-1] in f for f in used):
-            remove_folder(path)
-
-
 def text_or_empty(col: str) -> Column:
     return F.coalesce(F.col(f"`{col}`").cast("string"), F.lit(""))
 

@@ -53,6 +53,8 @@ STARTS = ("box", "signs", "tanh", "all")
 STILL, MOST_STEPS = 1e-3, 60
 #: Accuracy of the approximation that brackets a median, and the values that a bracket may hold.
 ACCURACY, BRACKET = 10_000, 1_000_000
+#: Files of a table with a row for each estimate.
+SMALL = 4
 #: Above this many estimates they are joined by a shuffle, below it they are broadcast.
 MAX_BROADCAST_GROUPS = 10_000
 
@@ -179,7 +181,7 @@ def _median(rows: DataFrame, side, *keys: str) -> DataFrame:
     met = rows.join(side(around), list(keys)).groupBy(*keys).agg(F.max("n").alias("n"), F.count_if(F.col("d") < F.col("b")[0]).alias("below"), F.count_if(inside).alias("size"), F.collect_list(F.when(inside, F.col("d"))).alias("held"))
     ranks = [(F.floor((F.col("n") - 1) / 2) - F.col("below")).cast("int"), (F.ceil((F.col("n") - 1) / 2) - F.col("below")).cast("int")]
     in_order = F.array_sort("held")
-    told = written(met.select(*keys, "size", ((F.get(in_order, ranks[0]) + F.get(in_order, ranks[1])) / 2).alias("h")), "halves")
+    told = written(met.select(*keys, "size", ((F.get(in_order, ranks[0]) + F.get(in_order, ranks[1])) / 2).alias("h")).coalesce(SMALL), "halves")
     if told.where((F.col("size") > BRACKET) | F.col("h").isNull()).limit(1).count():
         told = quantiles(rows, "d", [0.5], list(keys)).select(*keys, F.col("q")[0].alias("h"))
     return told.select(*keys, "h")
@@ -230,7 +232,7 @@ def concentrated(scaled: DataFrame, side) -> DataFrame:
         told = ("logdet", "centre", "inverse", "rank", "steps")
         before = now.select("model", "start", F.struct(*told).alias("old"))
         new = _estimates(_moments(inner, "model", "start")).withColumn("steps", F.lit(step)).select("model", "start", F.struct(*told).alias("new"))
-        met = written(new.join(before, ["model", "start"]), "steps")
+        met = written(new.join(before, ["model", "start"]).coalesce(SMALL), "steps")
         open_ = F.col("old.logdet").isNull() | (F.col("old.logdet") - F.col("new.logdet") >= STILL)
         ended = met.where(~open_ | F.lit(step == MOST_STEPS)).select("model", "start", F.when(F.col("old.logdet") < F.col("new.logdet"), F.col("old")).otherwise(F.col("new")).alias("one")).select("model", "start", "one.*")
         done = ended if done is None else done.union(ended)
