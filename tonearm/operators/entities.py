@@ -153,9 +153,15 @@ def playlist_index(t, sort: str = "tracks", direction: str = "desc", limit: int
     lists = filtered(lists, filters, PLAYLIST_FILTERS)
     tracks = t["tracks"].select(F.col("id").alias("track_id"), "duration_ms", "canonical_track_id")
     held = t["library_tracks"].select("track_id", F.col("track_id").alias("held_id"))
-    items = t["playlist_tracks"].select("playlist_id", "track_id", "added_at").join(tracks, "track_id", "left")
-    stored = items.join(held, "track_id", "left").groupBy("playlist_id").agg(F.count("*").alias("tracks"), F.countDistinct("held_id").alias("library_tracks"), total(F.col("duration_ms")).alias("duration_ms"), F.max("added_at").alias("last_added"))
-    rows = lists.join(stored, "playlist_id", "left").join(_plays_over(t, items, "playlist_id"), "playlist_id", "left")
+    # One pass over the items: by playlist and track, then by recording, so that plays count once for each of a playlist's recordings.
+    items = t["playlist_tracks"].groupBy("playlist_id", "track_id").agg(F.count(F.lit(1)).alias("n"), F.max("added_at").alias("added"))
+    by_recording = items.join(tracks, "track_id", "left").join(held, "track_id", "left").groupBy("playlist_id", "canonical_track_id").agg(
+        F.sum("n").alias("n"), F.count("held_id").alias("held"), F.sum(F.col("n") * F.col("duration_ms")).alias("duration"), F.max("added").alias("added")
+    )
+    stored = by_recording.join(_stats(t, "plays", "ms_played"), "canonical_track_id", "left").groupBy("playlist_id").agg(
+        F.sum("n").alias("tracks"), F.sum("held").alias("library_tracks"), total(F.col("duration")).alias("duration_ms"), F.max("added").alias("last_added"), F.sum("plays").alias("plays"), F.sum("ms_played").alias("ms_played")
+    )
+    rows = lists.join(stored, "playlist_id", "left")
     rows = rows.withColumns({**{c: F.coalesce(c, F.lit(0)) for c in ("tracks", "library_tracks", "duration_ms", "plays", "ms_played")}, "owner": F.coalesce("owner_name", "owner_id")})
     page = paged(rows, [sort_key(PLAYLIST_SORTS, sort, direction), F.asc("name"), F.asc("playlist_id")], limit, offset, lists)
     return page.select("total", F.col("playlist_id").alias("id"), "name", "description", "owner_id", "owner_name", "is_owned", "collaborative", "public", "tracks", "library_tracks", "duration_ms", iso(F.col("last_added")).alias("last_added_at"), "plays", "ms_played")

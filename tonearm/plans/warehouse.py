@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.times import ragged_date
@@ -28,9 +28,8 @@ DERIVED: dict[str, Builder] = {
     "canonical_track_artists": lambda t: derive.canonical_track_artists(t["recording_keys"], t["canonical_tracks"], t["track_artists"]),
     "tracks": lambda t: derive.with_recordings(t["tracks_landed"], t["recording_keys"]),
     "library_canonical": lambda t: derive.library_canonical(t["library_tracks"], t["tracks"], t["canonical_tracks"]),
-    "plays_estimated": lambda t: derive.estimate_durations(derive.link_plays(t["plays_landed"], t["tracks"]), t["tracks"]),
     # Each file holds a span of time, so a window reads the files and row groups of that time.
-    "plays": lambda t: t["plays_estimated"].repartitionByRange("played_at").sortWithinPartitions("played_at"),
+    "plays": lambda t: laid_by_time(derive.estimate_durations(derive.link_plays(t["plays_landed"], t["tracks"]), t["tracks"]), t["plays_landed"]),
     "canonical_play_stats": lambda t: derive.play_stats(t["plays"], t["tracks"]),
     "albums_complete": lambda t: derive.album_completeness(t["albums_dated"], t["tracks"]),
     "album_group_keys": lambda t: derive.album_group_keys(t["albums_complete"], t["tracks"]),
@@ -40,6 +39,26 @@ DERIVED: dict[str, Builder] = {
 }
 
 
+#: Plays of a file of the log, at least.
+FILE_PLAYS = 250_000
+
+
+def laid_by_time(plays: DataFrame, landed: DataFrame) -> DataFrame:
+    """plays in files of days that follow each other, about equally many plays each.
+
+    Which days go to which file is told from the counts of landed's days, so plays are computed once and
+    not sampled first.
+    """
+    day = F.col("played_at").cast("date")
+    counts = landed.groupBy(day.alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    total = landed.count()
+    files = max(int(plays.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // FILE_PLAYS))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each day
+    placed = counts.select(F.col("day").alias("_day"), F.floor(before * files / max(1, total)).cast("int").alias("_file"))
+    told = plays.join(F.broadcast(placed), day.eqNullSafe(F.col("_day")), "left")  # a row for each day of a log
+    return told.repartitionById(files, F.coalesce("_file", F.lit(0))).sortWithinPartitions("played_at").drop("_day", "_file")
+
+
 class Warehouse(Mapping):
     """Tables by name over a folder of star-schema Parquet files."""
 
