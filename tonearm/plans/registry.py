@@ -439,7 +439,13 @@ def register() -> None:
     add("f_norm_name", lambda w: w["documents"].select("doc_id", F.md5(text.norm_name(F.col("text"))).alias("digest")), "doc_id# digest", f"SELECT doc_id, md5({name('text')}) AS digest FROM {{documents}}")
     add("f_plain_text", lambda w: w["pages"].select("page_id", F.md5(text.plain_text(F.col("html"), False)).alias("digest")), "page_id# digest", r"""
         SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]*>', '', 'g'), '&lt;', '<', 'gi'), '&gt;', '>', 'gi'), '&quot;', '"', 'gi'), '&apos;', '''', 'gi'), '&nbsp;', ' ', 'gi'), '&amp;', '&', 'gi'), '\s+', ' ', 'g'))) AS digest FROM {pages}""")
-    add("f_plain_text_numeric", lambda w: w["pages"].select("page_id", F.md5(text.plain_text(F.col("html"))).alias("digest")))
+    # Numeric entities: each distinct one of a text is replaced in turn.
+    decoded = r"""
+        SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(list_reduce(list_prepend(bare, list_distinct(regexp_extract_all(bare, '&#(?:x[0-9a-fA-F]+|[0-9]+);'))),
+            lambda t, e: CASE WHEN t = e THEN t ELSE replace(t, e, chr(CAST(CASE WHEN e LIKE '&#x%' THEN '0x' || e[4:-2] ELSE e[3:-2] END AS INT))) END), '&lt;', '<', 'gi'), '&gt;', '>', 'gi'), '&quot;', '"', 'gi'), '&apos;', '''', 'gi'), '&nbsp;', ' ', 'gi'), '&amp;', '&', 'gi'), '\s+', ' ', 'g'))) AS digest
+        FROM (SELECT page_id, regexp_replace(MARKUP, '<[^>]*>', '', 'g') AS bare FROM {pages})"""
+    add("f_plain_text_numeric", lambda w: w["pages"].select("page_id", F.md5(text.plain_text(F.col("html"))).alias("digest")), "page_id# digest", decoded.replace("MARKUP", "html"))
+    add("f_plain_text_coded", lambda w: w["pages"].select("page_id", F.md5(text.plain_text(_coded())).alias("digest")), "page_id# digest", decoded.replace("MARKUP", "html || '&#' || (page_id % 50 + 8364) || '; &amp;&#x' || printf('%X', page_id % 50 + 945) || ';&#38;lt;'"))
     add("f_link_target", lambda w: w["pages"].select("page_id", text.link_target(F.col("url")).alias("target")).select("page_id", F.col("target.kind").alias("kind"), F.col("target.id").alias("id")), "page_id# kind id", r"""
         SELECT page_id, CASE WHEN regexp_matches(url, u) THEN regexp_extract(url, u, 1) WHEN regexp_matches(url, w) THEN regexp_extract(url, w, 1) END AS kind, CASE WHEN regexp_matches(url, u) THEN regexp_extract(url, u, 2) WHEN regexp_matches(url, w) THEN regexp_extract(url, w, 2) END AS id
         FROM (SELECT *, '^spotify:(track|album|artist|playlist|user):([A-Za-z0-9]+)$' AS u, 'open\.spotify\.com/(?:intl-[a-z][a-z]/)?(track|album|artist|playlist|user)/([A-Za-z0-9]+)' AS w FROM {pages})""")
@@ -502,6 +508,11 @@ def _new_credits(w: Warehouse) -> DataFrame:
     return w["track_artists"].where((F.col("track_id").cast("long") % 4 == 1) & (F.col("position") < 3)).withColumn("position", F.col("position") + 1)
 
 
+def _coded():
+    """The pages' markup with numeric entities behind it, one of which spells another entity's first character."""
+    return F.concat("html", F.lit("&#"), (F.col("page_id") % 50 + 8_364).cast("string"), F.lit("; &amp;&#x"), F.hex(F.col("page_id") % 50 + 945), F.lit(";&#38;lt;"))
+
+
 def _takes(w: Warehouse) -> DataFrame:
     number = F.col("id").cast("long")
     return w["tracks_landed"].where("isrc is not null").select("isrc", F.col("id").alias("mbid"), F.when(number % 3 > 0, (1990 + number % 4).cast("string")).alias("first_release_date"), F.col("popularity").alias("length_ms"))
