@@ -2,7 +2,7 @@
 
 The derived tables are built first and timed on their own, as a refresh; each query then runs once to
 warm up and counts by its second run. Beside the sum, "cold" has the first runs and "import" the seconds
-that the log's plays take from four export archives into the log.
+that the log's plays take from export archives (one for each day) into the log.
 """
 
 from __future__ import annotations

@@ -5,10 +5,11 @@ from __future__ import annotations
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from itertools import groupby
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,32 +29,44 @@ def _folder(w: Warehouse, name: str) -> str:
 
 
 def _export(folder: str, zipped: bool):
-    """Writes a task's records as a JSON array, in an archive of its own or as a plain file; gives the file's URI."""
+    """Writes each day's records as a JSON array, in an archive of its own or as a plain file, from rows sorted by day; gives the files' URIs."""
+
+    @contextmanager
+    def opened(fs, root: str, day: str) -> Iterator[Callable[[bytes], object]]:
+        """What writes into the day's file."""
+        entry = f"Streaming_History_Audio_{day}.json"
+        with fs.open_output_stream(f"{root}/export_{day}.zip" if zipped else f"{root}/{entry}") as out:
+            if not zipped:
+                yield out.write
+                return
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr("ReadMe.txt", "x")
+                with z.open(f"My Data/{entry}", "w") as inner:
+                    yield inner.write
 
     def export(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root)
-        rows = [r for b in batches for r in b.column("record").to_pylist()]
-        part = TaskContext.get().partitionId()
-        entry, body = f"Streaming_History_Audio_{part}.json", ("[" + ",\n".join(rows) + "]").encode()
-        with fs.open_output_stream(f"{root}/export_{part}.zip" if zipped else f"{root}/{entry}") as out:
-            if zipped:
-                with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-                    z.writestr("ReadMe.txt", "x")
-                    z.writestr(f"My Data/{entry}", body)
-            else:
-                out.write(body)
-        yield pa.RecordBatch.from_pydict({"uri": [f"{folder}/export_{part}.zip"]})
+        rows = ((day, record) for b in batches for day, record in zip(b.column("day").to_pylist(), b.column("record").to_pylist()))
+        for day, held in groupby(rows, lambda r: r[0]):
+            with opened(fs, root, day) as write:
+                for k, (_, record) in enumerate(held):
+                    write((b",\n" if k else b"[") + record.encode())
+                write(b"]")
+            yield pa.RecordBatch.from_pydict({"uri": [f"{folder}/export_{day}.zip"]})
 
     return export
 
 
 def exported(w: Warehouse, zipped: bool) -> tuple[str, list[str]]:
-    """The imported plays of the log as export files, four of them."""
+    """The imported plays of the log as export files, one for each day, written as they stream by."""
     folder = _folder(w, "export")
     names = ["ms_played", "item_kind", "item_uri", "track_name", "artist_name", "platform", "conn_country", "reason_end", "shuffle"]
-    records = w["plays_landed"].where("source = 'extended'").select(F.to_json(F.struct(F.col("played_at").cast("string").alias("played_at"), *names)).alias("record"))
-    return folder, sorted(r["uri"] for r in records.repartition(4).mapInArrow(_export(folder, zipped), "uri string").collect())
+    at = F.col("played_at").cast("string")
+    records = w["plays_landed"].where("source = 'extended'").select(F.substring(at, 1, 10).alias("day"), "played_at", F.to_json(F.struct(at.alias("played_at"), *names)).alias("record"))
+    n = int(w.spark.conf.get("spark.sql.shuffle.partitions"))
+    laid = records.repartition(n, "day").sortWithinPartitions("day", "played_at").select("day", "record")
+    return folder, sorted(r["uri"] for r in laid.mapInArrow(_export(folder, zipped), "uri string").collect())  # a row for each day
 
 
 def _archived(w: Warehouse) -> DataFrame:
@@ -164,7 +177,9 @@ def _catalog(w: Warehouse) -> DataFrame:
 def register(add: Callable, window: Callable, HIST, NOW) -> None:
     linked = """coalesce(d.id, r.id) AS track_id FROM (SELECT *, CASE WHEN item_kind = 'track' THEN nullif(regexp_extract(item_uri, 'spotify:track:(.+)$', 1), '') END AS raw_id FROM {0}) p
           LEFT JOIN {{tracks}} d ON d.id = raw_id LEFT JOIN (SELECT linked_from_id, min(id) AS id FROM {{tracks}} WHERE linked_from_id IS NOT NULL GROUP BY 1) r ON r.linked_from_id = raw_id"""
-    add("s1_archive_entries", lambda w: history.archive_entries(w.spark, exported(w, True)[1]).groupBy("entry").agg(F.count("*").alias("n"), F.min("size").cast("boolean").alias("filled")), "entry n# filled", "SELECT 'ReadMe.txt' AS entry, 4 AS n, TRUE AS filled UNION ALL SELECT 'My Data/Streaming_History_Audio_' || x || '.json', 1, TRUE FROM range(4) t(x)")
+    add("s1_archive_entries", lambda w: history.archive_entries(w.spark, exported(w, True)[1]).groupBy("entry").agg(F.count("*").alias("n"), F.min("size").cast("boolean").alias("filled")), "entry n# filled", """
+        SELECT 'ReadMe.txt' AS entry, count(DISTINCT CAST(played_at AS DATE)) AS n, TRUE AS filled FROM {plays_landed} WHERE source = 'extended'
+        UNION ALL SELECT DISTINCT 'My Data/Streaming_History_Audio_' || CAST(CAST(played_at AS DATE) AS VARCHAR) || '.json', 1, TRUE FROM {plays_landed} WHERE source = 'extended'""")
     shown = "CAST(played_at AS VARCHAR) AS played_at, ms_played, item_kind, item_uri, track_name, platform, shuffle"
     for name, rows in (("s2_archive_plays", _archived), ("s3_folder_plays", lambda w: history.folder_plays(w.spark, exported(w, False)[0]))):
         add(name, lambda w, rows=rows: rows(w).select("played_at", "ms_played", "item_kind", "item_uri", "track_name", "platform", "shuffle"), "played_at ms_played# item_kind item_uri track_name platform shuffle", f"SELECT {shown} FROM {{plays_landed}} WHERE source = 'extended'")
