@@ -65,21 +65,52 @@ class Warehouse(Mapping):
     def __init__(self, spark: SparkSession, folder: str, tables: Mapping[str, str] = TABLES, derived: Mapping[str, Builder] = DERIVED) -> None:
         self.spark, self.folder, self.texts, self.derived = spark, folder, tables, derived
         self.built: dict[str, DataFrame] = {}
+        #: What the files of the star tables that were read looked like, and which of them each built table comes from.
+        self.files: dict[str, tuple] = {}
+        self.sources: dict[str, set[str]] = {}
+        self._building: list[str] = []
 
     def __getitem__(self, name: str) -> DataFrame:
         if name in STAR:
+            if name not in self.files:
+                self.files[name] = self._listing(name)
+            self._comes_from({name})
             return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         if name not in self.built:
-            if name in self.derived:
-                self.built[name] = kept(self.derived[name](self), name)
-            elif name in self.texts:
-                self.built[name] = kept(self.spark.sql(self.texts[name], **{n: self[n] for n in used(self.texts[name])}), name)
-            elif f"{name}_landed" in self.texts:
-                return self[f"{name}_landed"]
-            else:
+            if name not in self.derived and name not in self.texts:
+                if f"{name}_landed" in self.texts:
+                    return self[f"{name}_landed"]
                 raise KeyError(name)
+            self._building.append(name)
+            self.sources[name] = set()
+            try:
+                rows = self.derived[name](self) if name in self.derived else self.spark.sql(self.texts[name], **{n: self[n] for n in used(self.texts[name])})
+                self.built[name] = kept(rows, name)
+            finally:
+                self._building.pop()
+        self._comes_from(self.sources[name])
         return self.built[name]
 
+    def _comes_from(self, stars: set[str]) -> None:
+        if self._building:
+            self.sources[self._building[-1]] |= stars
+
+    def _listing(self, star: str) -> tuple:
+        """Name, size and time of each file of a star table."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{star}.parquet")
+        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(path)))
+
+    def renew(self) -> list[str]:
+        """Forgets the built tables that come from files which have changed since, and names them; the others stay."""
+        changed = {star for star, seen in self.files.items() if self._listing(star) != seen}
+        gone = [name for name in self.built if self.sources[name] & changed]
+        for name in gone:
+            del self.built[name]
+        for star in changed:
+            del self.files[star]
+        return gone
+
     def __iter__(self):
         return iter([*STAR, *self.texts, *self.derived])
 
@@ -98,10 +129,11 @@ _OPEN: dict[tuple[str, str], Warehouse] = {}
 
 
 def warehouse(spark: SparkSession, folder: str) -> Warehouse:
-    """The session's warehouse over a folder: tables that one query built serve the next."""
+    """The session's warehouse over a folder: tables that one query built serve the next, as long as their files are the same."""
     key = (spark.sparkContext.applicationId, folder)
     if key not in _OPEN:
         _OPEN[key] = Warehouse(spark, folder)
+    _OPEN[key].renew()
     return _OPEN[key]
 
 
