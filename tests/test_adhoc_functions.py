@@ -73,3 +73,14 @@ def test_functions_cannot_be_made_by_a_statement(spark, tables):
     for s in ("create temporary function f() returns int return 1", "create function f as 'x.Y'", "drop temporary function norm_title", "select 1; create temporary function f() returns int return 1; select f()"):
         with pytest.raises(Exception):
             adhoc.run(spark, tables, tables, s)
+
+
+def test_counts_are_kept_for_a_while(spark, tmp_path):
+    folder = str(tmp_path / "t")
+    spark.range(5).write.parquet(folder)
+    first = spark.read.parquet(folder)
+    assert adhoc.counted(first) == 5 and adhoc.counted(spark.range(7)) == 7 and adhoc.counted(spark.range(8)) == 8
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    before = jobs()
+    assert adhoc.counted(first) == 5 and jobs() == before
+    assert adhoc.counted(first, seconds=-1) == 5 and jobs() > before

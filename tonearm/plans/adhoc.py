@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import threading
+import time
 import uuid
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
@@ -17,6 +18,8 @@ from ..functions.listening import COMPLETION_MS
 
 # Rows shown where the caller doesn't say, rows shown at most, and seconds a statement may take.
 DEFAULT_ROWS, MAX_ROWS, MAX_SECONDS = 200, 5_000, 15
+# Fixed value: how long a count of a table is good for.
+COUNT_SECONDS = 60
 #: Nodes that a parsed read is made of; a statement with any other node is refused.
 READS = (
     "Aggregate", "CTERelationDef", "CTERelationRef", "Deduplicate", "Distinct", "Except", "Expand", "Filter", "Generate", "GlobalLimit", "Intersect", "Join", "LateralJoin", "LocalLimit", "LocalRelation",
@@ -303,9 +306,23 @@ def _split(text: str) -> list[str]:
     return [*out, now]
 
 
+#: Counts of tables and when they were taken, by the table's plan over its files.
+_COUNTED: dict[int, tuple[float, int]] = {}
+
+
+def counted(df: DataFrame, seconds: float = COUNT_SECONDS) -> int:
+    """The number of rows, counted again only if the last count of the same files is so many seconds old."""
+    now, key = time.monotonic(), df.semanticHash()
+    for k in [k for k, (at, _) in _COUNTED.items() if now - at > seconds]:
+        del _COUNTED[k]
+    if key not in _COUNTED:
+        _COUNTED[key] = now, df.agg(F.count(F.lit(1))).first()[0]
+    return _COUNTED[key][1]
+
+
 def describe(tables: Mapping[str, DataFrame], names: Iterable[str], counts: bool = True) -> list[dict]:
-    """Name, columns and number of rows of each table."""
-    return [{"table": n, "columns": [{"name": c, "type": t} for c, t in tables[n].dtypes], "rows": tables[n].agg(F.count(F.lit(1))).first()[0] if counts else None} for n in names]
+    """Name, columns and number of rows of each table; see counted()."""
+    return [{"table": n, "columns": [{"name": c, "type": t} for c, t in tables[n].dtypes], "rows": counted(tables[n]) if counts else None} for n in names]
 
 
 def as_text(answer: Answer) -> str:

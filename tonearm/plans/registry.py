@@ -187,6 +187,10 @@ def register() -> None:
         SELECT count(*) OVER () AS total, t.id, t.name, t.duration_ms, t.popularity, t.explicit, {iso('added_at')} AS added_at, t.canonical_track_id, copy_count, al.id AS album_id, al.name AS album_name, coalesce(artists, '') AS artists, coalesce(s.plays, 0) AS plays, coalesce(s.ms_played, 0) AS ms_played
         FROM {{saved_tracks}} v JOIN {{tracks}} t ON t.id = v.track_id LEFT JOIN {{canonical_tracks}} c ON c.id = t.canonical_track_id LEFT JOIN {{canonical_play_stats}} s ON s.canonical_track_id = c.id LEFT JOIN {{albums}} al ON al.id = t.album_id LEFT JOIN {{track_credit_names}} n ON n.track_id = t.id
         WHERE removed_at IS NULL AND NOT t.explicit ORDER BY plays DESC, t.id LIMIT 40 OFFSET 10""")
+    # Pages and searches as a caller may send them: below the first page, beyond the last, no numbers, blank, far too long.
+    sql = _ENTRIES["e01_liked_tracks"][1]
+    for key, page, q, found in (("below", "-3", " " * 500, "LIMIT 50 OFFSET 0"), ("no_number", "two", None, "LIMIT 50 OFFSET 0"), ("third", 3, "  ", "LIMIT 50 OFFSET 100"), ("beyond", 10**12, "", "LIMIT 50 OFFSET 4999950"), ("long", 1, "x" * 500, "LIMIT 0")):
+        _ENTRIES[f"f12_page_{key}"] = (lambda w, page=page, q=q: _liked_page(w, page, q), sql.replace("LIMIT 40 OFFSET 10", found))
     shown = f"canonical_track_id, representative_track_id, title, kind, duration_ms, max_popularity AS popularity, explicit, copy_count, copy_count_in_library, liked, {iso('first_added_at')} AS first_added_at, owned_playlist_count, album_id, album_name, artists, plays, ms_played, {iso('last_played_at')} AS last_played_at"
     add("e02_library_recordings", lambda w: entities.library_recordings(w, "lastPlayed", limit=30, q="widget", filters={"source": "playlist", "copies": "dupes", "played": "played"}), "total# canonical_track_id representative_track_id title kind duration_ms# popularity# explicit copy_count# copy_count_in_library# liked first_added_at owned_playlist_count# album_id album_name artists plays# ms_played# last_played_at", f"""
         SELECT count(*) OVER () AS total, {shown} FROM {{library_rows}} r WHERE (title ILIKE '%widget%' OR artist ILIKE '%widget%' OR album_name ILIKE '%widget%') AND owned_playlist_count > 0 AND copy_count > 1 AND plays > 0 ORDER BY r.last_played_at DESC NULLS LAST, canonical_track_id LIMIT 30""")
@@ -508,6 +512,11 @@ def _new_credits(w: Warehouse) -> DataFrame:
     return w["track_artists"].where((F.col("track_id").cast("long") % 4 == 1) & (F.col("position") < 3)).withColumn("position", F.col("position") + 1)
 
 
+def _liked_page(w: Warehouse, page, q) -> DataFrame:
+    limit, offset, wanted = entities.page_params(page, q)
+    return entities.liked_tracks(w, "plays", limit=limit, offset=offset, q=wanted, filters={"explicit": "no"})
+
+
 def _coded():
     """The pages' markup with numeric entities behind it, one of which spells another entity's first character."""
     return F.concat("html", F.lit("&#"), (F.col("page_id") % 50 + 8_364).cast("string"), F.lit("; &amp;&#x"), F.hex(F.col("page_id") % 50 + 945), F.lit(";&#38;lt;"))
