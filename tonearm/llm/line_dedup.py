@@ -3,7 +3,7 @@
 Documents are paired by runs of lines: a run is the fewest lines from a line on that hold enough words,
 so each block that may go begins with a run of both documents. A run is rarer than its lines, so a line
 that stands everywhere doesn't pair anything by itself. The documents of a run that few have are all paired.
-A run that many have is lengthened line by line (in strides of 1, 2, 4, ... lines, from the longest on that an earlier
+A run that many have is lengthened line by line (in strides of 1, 2, 3, 4, 8, 12, 16, ... lines, from the longest on that an earlier
 document shares, and again from there), until few have it or no earlier document shares more: so each place
 meets a document that shares the most with it, however many share less, and pairs grow with the runs.
 A pair is then aligned in full, over all lines of
@@ -196,37 +196,37 @@ STRIDES = "block long, row int, doc long, doc_id long, start int, len int, strid
 
 def _strides(folder: str):
     def strides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each place the keys of its lines with 1, 2, 4, ... more, as far as the document goes."""
+        """For each place the keys of its lines with 1, 2, 3, 4, 8, 12, 16, ... more, as far as the document goes."""
         fs, root = pafs.FileSystem.from_uri(folder)
         for name, rows in grouped(batches):
-            rows = rows.filter(pa.compute.is_valid(rows.column("row"))).sort_by("row")
+            rows = rows.filter(pa.compute.is_valid(rows.column("row")))
             if not rows.num_rows:
                 continue
             with fs.open_input_file(f"{root}/{name}.lines") as source:
-                told = pa.ipc.open_file(source).read_all()
-            lines = dict(zip(told.column("row").to_pylist(), told.column("lines").to_pylist()))
-            out: list[tuple] = []
-            sums, held = None, None
-            for row, doc, doc_id, start, length in zip(*(rows.column(c).to_pylist() for c in ("row", "doc", "doc_id", "start", "len"))):
-                if row != held:
-                    held, sums = row, _sums(np.frombuffer(lines[row], np.uint64)[::2])
-                stride = 1
-                while start + length + stride < len(sums):
-                    key = _mixed((sums[start + length + stride : start + length + stride + 1] - sums[start]) * _powers(start)[0][start])
-                    out.append((name, row, doc, doc_id, start, length, stride, int(key.view(np.int64)[0])))
-                    stride *= 2
-            columns = list(zip(*out)) or [()] * 8
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[c.split()[0] for c in STRIDES.split(", ")])
+                told = pa.ipc.open_file(source).read_all().combine_chunks()
+            row, start, length = (rows.column(c).to_numpy().astype(np.int64) for c in ("row", "start", "len"))
+            needed, which = np.unique(row, return_inverse=True)
+            lines = told.column("lines").take(pa.array(np.searchsorted(told.column("row").to_numpy(), needed)))
+            # The sums of the block's documents end to end; a document's last one is at its limit.
+            parts = [_sums(np.frombuffer(x.as_buffer(), np.uint64)[::2]) for x in lines]
+            last = np.cumsum([len(x) for x in parts]) - 1
+            first, sums = last + 1 - np.array([len(x) for x in parts]), np.concatenate(parts)
+            begin, limit = first[which] + start, last[which]
+            power, unit = _powers(int(start.max()))[0], 1
+            while len(np.flatnonzero(begin + length + unit <= limit)):
+                for stride in (unit, 2 * unit, 3 * unit):
+                    at = np.flatnonzero(begin + length + stride <= limit)
+                    key = _mixed((sums[(begin + length + stride)[at]] - sums[begin[at]]) * power[start[at]])
+                    own = [column(rows.select([c]).take(pa.array(at)), c) for c in ("row", "doc", "doc_id", "start", "len")]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), name)), *own, pa.array(np.full(len(at), stride, np.int32)), pa.array(key.view(np.int64))], names=[c.split()[0] for c in STRIDES.split(", ")])
+                unit *= 4
 
     return strides
 
 
-def _met(held: DataFrame, key: str) -> DataFrame:
-    """Places with the first document that has their key, and how many places have it; keys of one document are left out."""
-    known = held.groupBy(key).agg(F.min(F.struct("doc_id", "doc")).alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("count"))
-    known = written(known.where("first.doc_id < last"), "known")
-    return joined_hot(held, known, key, known.select(key, "count"))
+def _known(held: DataFrame, key: str) -> DataFrame:
+    """Of each key that several documents have the first one, and how many places have it."""
+    return held.groupBy(key).agg(F.min(F.struct("doc_id", "doc")).alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("count")).where("first.doc_id < last")
 
 
 def _all_pairs(few: DataFrame, key: str, later: DataFrame) -> DataFrame:
@@ -242,7 +242,8 @@ def document_pairs(firsts: DataFrame, blocks: DataFrame, folder: str, rare: int
     """
     runs_of = firsts.select("block", "row", "doc", "doc_id", "sizes", F.posexplode("runs").alias("start", "run"))
     held = written(runs_of.select("block", "row", "doc", "doc_id", "start", F.get("sizes", F.col("start")).alias("len"), "run"), "runs")
-    met = written(_met(held, "run"), "met")
+    known = written(_known(held, "run"), "known")
+    met = written(joined_hot(held, known, "run", known.select("run", "count")), "met")
     few, many = met.where(F.col("count") <= rare), met.where(F.col("count") > rare)
     pairs = _all_pairs(few, "run", few)
     later = F.col("doc_id") > F.col("first.doc_id")
@@ -252,7 +253,8 @@ def document_pairs(firsts: DataFrame, blocks: DataFrame, folder: str, rare: int
         keyed = written(by_block(now, blocks).mapInArrow(_strides(folder), STRIDES), "strides")
         if not keyed.limit(1).count():
             break
-        met = written(_met(keyed, "key"), "met")
+        # Rows are narrow and of few kinds of keys; adaptive execution splits the partition of a hot one.
+        met = written(keyed.join(_known(keyed, "key").hint("merge"), "key"), "met")
         # The most lines that a place shares with an earlier document; the first document of all has none, but others may meet it.
         best = met.where(later).groupBy("block", "row", "start", "len").agg(F.max(F.struct("stride", "key", "count", "first")).alias("best"), F.first("doc").alias("doc"), F.first("doc_id").alias("doc_id"))
         best = written(best.select("doc", "doc_id", "best.*"), "best")
