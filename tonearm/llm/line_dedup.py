@@ -191,7 +191,7 @@ def _pack(folder: str, id_col: str, text_col: str, least: int):
     return pack
 
 
-STRIDES = "block long, row int, doc long, doc_id long, start int, len int, stride int, key long"
+STRIDES = "block long, row int, doc long, doc_id long, start int, len int, seeks boolean, stride int, key long"
 
 
 def _strides(folder: str):
@@ -217,7 +217,7 @@ def _strides(folder: str):
                 for stride in (unit, 2 * unit, 3 * unit):
                     at = np.flatnonzero(begin + length + stride <= limit)
                     key = _mixed((sums[(begin + length + stride)[at]] - sums[begin[at]]) * power[start[at]])
-                    own = [column(rows.select([c]).take(pa.array(at)), c) for c in ("row", "doc", "doc_id", "start", "len")]
+                    own = [column(rows.select([c]).take(pa.array(at)), c) for c in ("row", "doc", "doc_id", "start", "len", "seeks")]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), name)), *own, pa.array(np.full(len(at), stride, np.int32)), pa.array(key.view(np.int64))], names=[c.split()[0] for c in STRIDES.split(", ")])
                 unit *= 4
 
@@ -248,7 +248,7 @@ def document_pairs(firsts: DataFrame, blocks: DataFrame, folder: str, rare: int
     pairs = _all_pairs(few, "run", few)
     later = F.col("doc_id") > F.col("first.doc_id")
     found = [pairs, many.where(later).select(F.col("first.doc").alias("a"), "doc")]
-    now = many.select("block", "row", "doc", "doc_id", "start", "len")
+    now = many.select("block", "row", "doc", "doc_id", "start", "len", F.lit(True).alias("seeks"))
     while True:
         keyed = written(by_block(now, blocks).mapInArrow(_strides(folder), STRIDES), "strides")
         if not keyed.limit(1).count():
@@ -256,14 +256,16 @@ def document_pairs(firsts: DataFrame, blocks: DataFrame, folder: str, rare: int
         # Rows are narrow and of few kinds of keys; adaptive execution splits the partition of a hot one.
         met = written(keyed.join(_known(keyed, "key").hint("merge"), "key"), "met")
         # The most lines that a place shares with an earlier document; the first document of all has none, but others may meet it.
-        best = met.where(later).groupBy("block", "row", "start", "len").agg(F.max(F.struct("stride", "key", "count", "first")).alias("best"), F.first("doc").alias("doc"), F.first("doc_id").alias("doc_id"))
-        best = written(best.select("doc", "doc_id", "best.*"), "best")
+        best = met.where(later & F.col("seeks")).groupBy("block", "row", "start").agg(F.max(F.struct("stride", "key", "count", "first")).alias("best"), F.first("doc").alias("doc"), F.first("doc_id").alias("doc_id"))
+        best = written(best.select("block", "row", "start", "doc", "doc_id", "best.*"), "best")
         found.append(_all_pairs(met.where(F.col("count") <= rare), "key", best.where(F.col("count") <= rare)))
         found.append(best.where(F.col("count") > rare).select(F.col("first.doc").alias("a"), "doc"))
-        hot = best.where(F.col("count") > rare).select("key").distinct()
-        # All places of a key that is still hot go on, the first document's too, for others may share more with it.
-        going = met.where(F.col("count") > rare).join(hot, "key", "left_semi")
-        now = going.select("block", "row", "doc", "doc_id", "start", (F.col("len") + F.col("stride")).cast("int").alias("len")).distinct()
+        hot = best.where(F.col("count") > rare)
+        # All places of a key that is still hot go on, for others may share more with them; those seek that have found it the longest.
+        going = met.join(hot.select("key").distinct(), "key", "left_semi")
+        own = hot.select("block", "row", "start", "key", F.lit(True).alias("found"))
+        now = going.join(own, ["block", "row", "start", "key"], "left").select("block", "row", "doc", "doc_id", "start", (F.col("len") + F.col("stride")).cast("int").alias("len"), F.col("found").isNotNull().alias("seeks"))
+        now = now.groupBy("block", "row", "doc", "doc_id", "start", "len").agg(F.bool_or("seeks").alias("seeks"))
     out = found[0]
     for x in found[1:]:
         out = out.union(x)
