@@ -54,9 +54,9 @@ def matching(t, genres: list[str], match: str = "any") -> DataFrame:
     return edges.select("canonical_track_id").distinct()
 
 
-def _selected(t, genres: list[str], match: str) -> DataFrame:
+def _selected(t, genres: list[str], match: str, matched: DataFrame | None = None) -> DataFrame:
     facts = t["canonical_tracks"].select(F.col("id").alias("canonical_track_id"))
-    return t["library_canonical"].join(facts, "canonical_track_id").join(matching(t, genres, match), "canonical_track_id", "left_semi").join(_stats(t), "canonical_track_id", "left")
+    return t["library_canonical"].join(facts, "canonical_track_id").join(matching(t, genres, match) if matched is None else matched, "canonical_track_id", "left_semi").join(_stats(t), "canonical_track_id", "left")
 
 
 def _sums() -> list[Column]:
@@ -66,9 +66,9 @@ def _sums() -> list[Column]:
     ]
 
 
-def selection_stats(t, genres: list[str], match: str = "any") -> DataFrame:
-    """One row; zeros for an empty selection."""
-    return _selected(t, genres, match).agg(*_sums())
+def selection_stats(t, genres: list[str], match: str = "any", matched: DataFrame | None = None) -> DataFrame:
+    """One row; zeros for an empty selection. matched: the recordings that match, if known otherwise."""
+    return _selected(t, genres, match, matched).agg(*_sums())
 
 
 def genre_summary(t, genre: str) -> DataFrame:
@@ -131,14 +131,19 @@ def _with_genres(t) -> DataFrame:
     return t["genre_collections"].join(genres, "id", "left").withColumn("genres", F.coalesce("genres", F.array().cast("array<string>")))
 
 
-def list_collections(t) -> DataFrame:
-    """Collections with the number of library recordings they resolve to, each under its own mode, by one join over genres."""
+def list_collections(t, counted: DataFrame | None = None) -> DataFrame:
+    """Collections with the number of library recordings they resolve to, each under its own mode. counted: id and track_count, if known otherwise."""
+    counted = _counted(t) if counted is None else counted
+    return _with_genres(t).join(counted, "id", "left").withColumn("track_count", F.coalesce("track_count", F.lit(0)))
+
+
+def _counted(t) -> DataFrame:
+    """id and track_count of the collections that resolve to any, by one join over genres."""
     wanted = t["genre_collection_genres"].select("collection_id", "genre").distinct()
     sizes = wanted.groupBy("collection_id").agg(F.count("*").alias("size"))
     hits = library_edges(t).join(wanted, "genre").groupBy("collection_id", "canonical_track_id").agg(F.count("*").alias("n"))
     modes = t["genre_collections"].select(F.col("id").alias("collection_id"), "match").join(sizes, "collection_id")
-    counted = hits.join(modes, "collection_id").where((F.col("match") != "all") | (F.col("n") == F.col("size"))).groupBy(F.col("collection_id").alias("id")).agg(F.count("*").alias("track_count"))
-    return _with_genres(t).join(counted, "id", "left").withColumn("track_count", F.coalesce("track_count", F.lit(0)))
+    return hits.join(modes, "collection_id").where((F.col("match") != "all") | (F.col("n") == F.col("size"))).groupBy(F.col("collection_id").alias("id")).agg(F.count("*").alias("track_count"))
 
 
 def collection(t, collection_id: str) -> DataFrame:

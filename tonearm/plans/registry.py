@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import music, text
-from ..operators import charts, derive, enrichment, entities, genres, library, listening, merge, work
+from ..operators import bitmaps, charts, derive, enrichment, entities, genres, library, listening, merge, work
 from ..sources.shared import shared_dir
 from ..streaming import plays as streams
 from . import landing, upkeep
@@ -54,6 +54,11 @@ def add(key: str, query: Query, columns: str = "", sql: str | None = None) -> No
     _ENTRIES[key] = (query, statement(sql, columns) if sql else None)
 
 
+def again(key: str, other: str, query: Query) -> None:
+    """A query that gives the rows of another by other means, held against the same statement."""
+    _ENTRIES[key] = (query, _ENTRIES[other][1])
+
+
 def window(column: str, r: Range) -> str:
     return f"{column} >= TIMESTAMP '{r.start}' AND {column} < TIMESTAMP '{r.end}'"
 
@@ -288,6 +293,8 @@ def register() -> None:
     for mode, cond in (("any", any_of), ("all", all_of)):
         add(f"g03_selection_stats_{mode}", lambda w, m=mode: genres.selection_stats(w, PICKED, m), "tracks# liked# artists# duration_ms# plays# ms_played#", f"SELECT {sums} FROM {chosen} WHERE {cond}")
         add(f"g09_matches_{mode}", lambda w, m=mode: genres.matching(w, PICKED, m), "canonical_track_id", f"SELECT id AS canonical_track_id FROM (SELECT id, id AS canonical_track_id FROM {{canonical_tracks}}) WHERE {cond}")
+        again(f"g03_bitmap_stats_{mode}", f"g03_selection_stats_{mode}", lambda w, m=mode: bitmaps.selection_totals(w, PICKED, m))
+        again(f"g09_bitmap_matches_{mode}", f"g09_matches_{mode}", lambda w, m=mode: bitmaps.matching(w, PICKED, m))
     add("g04_genre_summary", lambda w: genres.genre_summary(w, GENRE), "genre tracks# liked# artists# duration_ms# plays# ms_played# albums# first_added_at last_played_at catalog_tracks# top_votes#", f"""
         SELECT '{GENRE}' AS genre, {sums}, count(DISTINCT primary_album_id) AS albums, {iso('min(first_added_at)')} AS first_added_at, {iso('max(last_played_at)')} AS last_played_at, (SELECT count(DISTINCT canonical_track_id) FROM {{track_genres}} WHERE genre = '{GENRE}') AS catalog_tracks,
           (SELECT max(votes) FROM {{track_genres}} WHERE genre = '{GENRE}') AS top_votes FROM {chosen} WHERE {has}""")
@@ -299,6 +306,9 @@ def register() -> None:
     add("g07_list_collections", lambda w: genres.list_collections(w).select("id", "name", "match", "genres", "track_count"), "id name match genres track_count#", f"""
         SELECT c.id, c.name, c.match, coalesce({own}, '') AS genres, coalesce(n, 0) AS track_count FROM {{genre_collections}} c LEFT JOIN (SELECT collection_id, count(*) FILTER (match <> 'all' OR hits = size) AS n FROM
           (SELECT collection_id, match, canonical_track_id, count(DISTINCT e.genre) AS hits, (SELECT count(*) FROM {{genre_collection_genres}} y WHERE y.collection_id = x.collection_id) AS size FROM {{genre_collection_genres}} x JOIN {{genre_collections}} k ON k.id = x.collection_id JOIN {{library_edges}} e ON e.genre = x.genre GROUP BY 1, 2, 3) GROUP BY 1) z ON z.collection_id = c.id""")
+    again("g02_bitmap_coverage", "g02_genre_coverage", bitmaps.coverage)
+    again("g05_bitmap_related_genres", "g05_related_genres", lambda w: bitmaps.related_genres(w, GENRE))
+    again("g07_bitmap_collections", "g07_list_collections", lambda w: bitmaps.collections(w).select("id", "name", "match", "genres", "track_count"))
     add("g08_collection", lambda w: genres.collection(w, "some").select("id", "name", "match", "sort", "track_limit", "genres"), "id name match sort track_limit# genres", f"SELECT c.id, name, match, sort, track_limit, {own} AS genres FROM {{genre_collections}} c WHERE id = 'some'")
     add("g10_resolve_tracks", lambda w: genres.resolve_tracks(w, PICKED, "any", "popularity", 25, 10), "total# rank# canonical_track_id track_id title duration_ms# popularity# explicit liked first_added_at album_id album_name artists genres plays# ms_played#", f"""
         SELECT total, place AS rank, canonical_track_id, representative_track_id AS track_id, title, duration_ms, max_popularity AS popularity, explicit, liked, {iso('first_added_at')} AS first_added_at, album_id, album_name, artists, genres, plays, ms_played

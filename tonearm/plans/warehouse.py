@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.times import ragged_date
-from ..operators import derive
+from ..operators import bitmaps, derive
 from ..sources.driver import STAR, TABLES
 from ..sources.shared import kept
 
@@ -38,6 +38,13 @@ DERIVED: dict[str, Builder] = {
     "track_genres": derive.track_genres,
 }
 
+#: Built when a query first asks for them; a refresh leaves them out.
+INDEXES: dict[str, Builder] = {
+    "recording_numbers": bitmaps.recording_numbers,
+    "genre_bitmaps": bitmaps.genre_bitmaps,
+    "library_genre_bitmaps": bitmaps.library_genre_bitmaps,
+}
+
 
 #: Plays of a file of the log, at least.
 FILE_PLAYS = 250_000
@@ -77,14 +84,15 @@ class Warehouse(Mapping):
             self._comes_from({name})
             return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         if name not in self.built:
-            if name not in self.derived and name not in self.texts:
+            builder = self.derived.get(name) or INDEXES.get(name)
+            if builder is None and name not in self.texts:
                 if f"{name}_landed" in self.texts:
                     return self[f"{name}_landed"]
                 raise KeyError(name)
             self._building.append(name)
             self.sources[name] = set()
             try:
-                rows = self.derived[name](self) if name in self.derived else self.spark.sql(self.texts[name], **{n: self[n] for n in used(self.texts[name])})
+                rows = builder(self) if builder else self.spark.sql(self.texts[name], **{n: self[n] for n in used(self.texts[name])})
                 self.built[name] = kept(rows, name)
             finally:
                 self._building.pop()
