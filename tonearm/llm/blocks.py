@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, written
+from .common import new_path, tidy, written
 
 BLOCK_BYTES = 6 * 2**20
 #: Bits of a row's number in its block, and of a block's number in its task.
@@ -140,6 +140,7 @@ class Blocks:
 
 
 def _marked(folder: str, text: str, mark, kept: list[str], own: list[str]):
+    @tidy
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, table in packed(folder, batches, text):
             for at in range(0, table.num_rows, 2_000):
@@ -152,6 +153,7 @@ def _marked(folder: str, text: str, mark, kept: list[str], own: list[str]):
 
 
 def _taken(folder: str, names: list[str], extra: list[str]):
+    @tidy
     def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, rows in grouped(batches):
             table = opened(folder, name)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import text_or_empty, tidy
 
 #: Pieces and words whose ids a task keeps at most.
 CACHE_PIECES, CACHE_WORDS = 200_000, 300_000
@@ -206,6 +206,7 @@ def _byte_alphabet() -> dict[str, int]:
 
 
 def _encode(path: str):
+    @tidy
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ByteBpe, path)
         for batch in batches:
@@ -233,6 +234,7 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -
 
 
 def _decode(path: str, ids_col: str):
+    @tidy
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ByteDecoder, path)
         for batch in batches:

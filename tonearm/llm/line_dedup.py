@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import by_block, column, grouped, numbered, opened, packed
-from .common import HOT_KEYS, joined_hot, new_path, written
+from .common import HOT_KEYS, joined_hot, new_path, tidy, written
 from .substring_dedup import _mixed, _powers, _sums
 
 #: Places that share a run are all paired if they are at most so many; beyond it, the run is lengthened (see document_pairs()).
@@ -170,6 +170,7 @@ PACKED = "block long, row int, doc_id long, text_key binary, lines binary, words
 
 
 def _pack(folder: str, id_col: str, text_col: str, least: int):
+    @tidy
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each document with an id and a text, after a row for its block."""
         fs, root = pafs.FileSystem.from_uri(folder)
@@ -195,6 +196,7 @@ STRIDES = "block long, row int, doc long, doc_id long, start int, len int, seeks
 
 
 def _strides(folder: str):
+    @tidy
     def strides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each place the keys of its lines with 1, 2, 3, 4, 8, 12, 16, ... more, as far as the document goes."""
         fs, root = pafs.FileSystem.from_uri(folder)
@@ -273,6 +275,7 @@ def document_pairs(firsts: DataFrame, blocks: DataFrame, folder: str, rare: int
 
 
 def _align(least: int):
+    @tidy
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """From rows sorted by earlier document: its lines come first and are held while its later documents stream by."""
         held, first = None, {}
@@ -313,6 +316,7 @@ def _aligned(pairs: DataFrame, firsts: DataFrame, least: int) -> DataFrame:
 
 
 def _drop(folder: str, text_col: str, names: list[str]):
+    @tidy
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, found in grouped(batches):
             table = opened(folder, name)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..operators.selection import quantiles
 from .blocks import Blocks
-from .common import written
+from .common import tidy, written
 
 SYMBOLS = "#*$%&|<>"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -94,6 +94,7 @@ def _counted(texts: list[bytes | None]) -> list[pa.Array]:
     return [pa.array(stats[:, k]) for k in range(stats.shape[1])]
 
 
+@tidy
 def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         names = [n for n in batch.schema.names if n != "text"]
@@ -190,6 +191,7 @@ def _median(rows: DataFrame, side, *keys: str) -> DataFrame:
 def _estimates(sums: DataFrame) -> DataFrame:
     """model, start, centre, inverse, logdet and rank, a row for each row of moments."""
 
+    @tidy
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [(m, s, *estimate(n, list(v))) for m, s, n, *v in pdf[["model", "start", "n", *MOMENTS]].itertuples(index=False)]
