@@ -35,9 +35,10 @@ def yes_first(c: Column) -> Column:
 
 def recording_keys(tracks: DataFrame, track_artists: DataFrame, overrides: DataFrame) -> DataFrame:
     """track_id and cid of each track that isn't a local file: its override, else its code, else the fallback key."""
-    listed = track_artists.groupBy("track_id").agg(F.array_sort(F.collect_list("artist_id")).alias("ids"))
-    fixed = overrides.select("track_id", F.col("canonical_track_id").alias("fixed"))
     coded = F.when(F.col("isrc") != "", F.concat(F.lit("isrc:"), "isrc"))
+    uncoded = tracks.where(~F.col("is_local") & coded.isNull()).select(F.col("id").alias("track_id"))  # only their keys are told by artists
+    listed = track_artists.join(uncoded, "track_id", "left_semi").groupBy("track_id").agg(F.array_sort(F.collect_list("artist_id")).alias("ids"))
+    fixed = overrides.select("track_id", F.col("canonical_track_id").alias("fixed"))
     joined = tracks.where(~F.col("is_local")).withColumnRenamed("id", "track_id").join(fixed, "track_id", "left").join(listed, "track_id", "left")
     return joined.select("track_id", F.coalesce("fixed", coded, fallback_key(F.col("name"), F.col("duration_ms"), F.col("ids"), F.col("track_id"))).alias("cid"))
 

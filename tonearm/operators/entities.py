@@ -91,16 +91,21 @@ def artist_index(t, sort: str = "tracks", direction: str = "desc", limit: int =
         artists = artists.where(any_contains(q, F.col("name")))
     if genre:
         artists = artists.join(t["artist_genres"].where(F.col("genre") == genre).select("artist_id"), "artist_id", "left_semi")
-    credits = t["canonical_track_artists"].select("canonical_track_id", "artist_id", "on_representative")
+    followed = t["followed_artists"].where("removed_at is null").select("artist_id", F.lit(True).alias("followed"))
+    artists = artists.join(followed, "artist_id", "left").withColumn("followed", F.coalesce("followed", F.lit(False)))
+    artists = filtered(artists, filters, {"followed": FOLLOWED})
+    credits = t["canonical_track_artists"].select("canonical_track_id", "artist_id", "on_representative")  # one row for a recording and an artist
+    if q or genre or filters:
+        credits = credits.join(artists.select("artist_id"), "artist_id", "left_semi")
     held = credits.join(t["library_canonical"].select("canonical_track_id", "primary_album_id", "duration_ms"), "canonical_track_id")
-    counted = held.groupBy("artist_id").agg(F.countDistinct("canonical_track_id").alias("tracks"), F.countDistinct("primary_album_id").alias("albums"), total(F.col("duration_ms")).alias("duration_ms"))
+    # By artist and album first: a count of distinct albums is then one of groups.
+    by_album = held.groupBy("artist_id", "primary_album_id").agg(F.count(F.lit(1)).alias("n"), F.sum("duration_ms").alias("ms"))
+    counted = by_album.groupBy("artist_id").agg(F.sum("n").alias("tracks"), F.count("primary_album_id").alias("albums"), total(F.col("ms")).alias("duration_ms"))
     played = credits.where("on_representative").join(_stats(t, "plays", "ms_played"), "canonical_track_id").groupBy("artist_id").agg(F.sum("plays").alias("plays"), F.sum("ms_played").alias("ms_played"))
     genres = t["artist_genres"].groupBy("artist_id").agg(F.min("genre").alias("genre"))
-    followed = t["followed_artists"].where("removed_at is null").select("artist_id", F.lit(True).alias("followed"))
-    rows = artists.join(counted, "artist_id").join(played, "artist_id", "left").join(genres, "artist_id", "left").join(followed, "artist_id", "left")
-    rows = rows.withColumns({"plays": F.coalesce("plays", F.lit(0)), "ms_played": F.coalesce("ms_played", F.lit(0)), "followed": F.coalesce("followed", F.lit(False))})
-    rows = filtered(rows, filters, {"followed": FOLLOWED})
-    counted = None if filters else artists.join(held.select("artist_id"), "artist_id", "left_semi")
+    rows = artists.join(counted, "artist_id").join(played, "artist_id", "left").join(genres, "artist_id", "left")
+    rows = rows.withColumns({"plays": F.coalesce("plays", F.lit(0)), "ms_played": F.coalesce("ms_played", F.lit(0))})
+    counted = artists.join(held.select("artist_id"), "artist_id", "left_semi")
     page = paged(rows, [sort_key(ARTIST_SORTS, sort, direction), F.asc("name"), F.asc("artist_id")], limit, offset, counted)
     return page.select("total", F.col("artist_id").alias("id"), "name", "popularity", "followers_total", "tracks", "albums", "duration_ms", "genre", "followed", "plays", "ms_played")
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.times import ragged_date
 from ..operators import bitmaps, derive
-from ..sources.driver import STAR, TABLES
+from ..sources.driver import PLANS, STAR, TABLES
 from ..sources.shared import kept
 
 Builder = Callable[[Mapping[str, DataFrame]], DataFrame]
@@ -85,6 +85,8 @@ class Warehouse(Mapping):
             return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         if name not in self.built:
             builder = self.derived.get(name) or INDEXES.get(name)
+            if builder is None and name in PLANS and self.texts.get(name) == TABLES[name]:
+                builder = PLANS[name]
             if builder is None and name not in self.texts:
                 if f"{name}_landed" in self.texts:
                     return self[f"{name}_landed"]

@@ -6,6 +6,9 @@ and the SQL it is held against begin at the same rows.
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
 STAR = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 DATED = "CROSS JOIN (SELECT min(o_orderdate) AS first_day, max(o_orderdate) AS last_day FROM {orders}) AS dated"
 ALBUM_OF = "CASE WHEN p_size = 50 THEN 'solo/' || CAST(p_partkey AS STRING) ELSE p_brand || '/' || CAST(p_partkey % 8 AS STRING) END"
@@ -110,3 +113,14 @@ TABLES = {
         SELECT CAST(n_regionkey AS BIGINT) AS run_id, n_name AS key, CASE n_nationkey % 3 WHEN 0 THEN 'completed' WHEN 1 THEN 'running' ELSE 'skipped' END AS status, n_nationkey AS done, n_nationkey * 2 AS total, first_day AS started_at,
           CASE WHEN n_nationkey % 3 = 0 THEN last_day END AS finished_at, last_day AS updated_at FROM {nation} """ + DATED,
 }
+
+
+def track_artists(t) -> DataFrame:
+    """The rows of TABLES["track_artists"] from one shuffle: lines meet by part, and are made distinct and numbered there."""
+    pairs = t["lineitem"].select("l_partkey", "l_suppkey").repartition("l_partkey").distinct()
+    place = F.row_number().over(Window.partitionBy("l_partkey").orderBy("l_suppkey")) - 1
+    return pairs.select(F.col("l_partkey").cast("string").alias("track_id"), F.col("l_suppkey").cast("string").alias("artist_id"), place.cast("int").alias("position"))
+
+
+#: The same rows as the texts of these names give, by plans that shuffle less.
+PLANS = {"track_artists": track_artists}
