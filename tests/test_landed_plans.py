@@ -44,9 +44,11 @@ def shuffled(spark):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_a_warehouse_shuffles_lines_once(spark, shuffled, monkeypatch):
+def test_a_warehouse_shuffles_lines_by_order_only(spark, shuffled, monkeypatch):
     monkeypatch.setattr(warehouse, "kept", lambda df, name: df)
     w = warehouse.Warehouse(spark, SF)
+    lines = [x for x in plan(w["playlist_tracks"]).splitlines() if "Exchange hashpartitioning" in x]
+    assert len(lines) == 5 and sum("o_custkey" in x for x in lines) == 1  # lines, their numbers, orders by key, by customer and by key again
     assert plan(w["track_artists"]).count("Exchange") == 1
 
 

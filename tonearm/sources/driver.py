@@ -122,5 +122,25 @@ def track_artists(t) -> DataFrame:
     return pairs.select(F.col("l_partkey").cast("string").alias("track_id"), F.col("l_suppkey").cast("string").alias("artist_id"), place.cast("int").alias("position"))
 
 
+def playlist_tracks(t) -> DataFrame:
+    """The rows of TABLES["playlist_tracks"], with lines shuffled by order only.
+
+    A line's place is that in its order, after all lines of its customer's earlier orders; those are summed over
+    narrow rows of orders, so no line is sorted among all of a customer's.
+    """
+    sizes = t["lineitem"].groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"))
+    order = ["o_custkey", "o_orderdate", "o_orderkey"]
+    upto = F.sum("n").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    own = F.sum("n").over(Window.partitionBy(*order))  # orders of one key, date and customer, if there are several
+    begun = t["orders"].select(*order).join(sizes, "o_orderkey").select(*order, (upto - own).alias("before"))
+    inside = F.row_number().over(Window.partitionBy(*order).orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"))
+    lines = t["lineitem"].join(begun, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("position", (F.col("before") + inside - 1).cast("int"))
+    part, local = F.col("l_partkey").cast("string"), F.col("l_orderkey") % 82 == 0
+    return lines.select(
+        F.col("o_custkey").cast("string").alias("playlist_id"), "position", F.when(F.col("l_orderkey") % 41 != 0, part).alias("track_id"), F.when(F.col("l_linenumber") != 7, F.col("o_orderdate")).alias("added_at"),
+        (F.col("l_suppkey") % 25).cast("string").alias("added_by_id"), (F.col("l_orderkey") % 43 == 0).alias("is_local"), F.when(local, F.concat(F.lit("Local "), part)).alias("local_name"), F.when(local, F.lit("Somebody")).alias("local_artist"),
+    )
+
+
 #: The same rows as the texts of these names give, by plans that shuffle less.
-PLANS = {"track_artists": track_artists}
+PLANS = {"track_artists": track_artists, "playlist_tracks": playlist_tracks}
