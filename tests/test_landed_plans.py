@@ -72,3 +72,8 @@ def test_artists_are_chosen_before_their_credits_are_counted(spark):
     want = [r for k, r in whole.items() if k in asia and not r["followed"]]
     got = page.collect()
     assert got and all(r["total"] == len(want) for r in got) and all(r.asDict() | {"total": 0} == whole[r["id"]].asDict() | {"total": 0} for r in got)
+
+
+def test_playlists_are_chosen_before_their_items_are_counted(spark):
+    w = warehouse.warehouse(spark, SF)
+    assert "LeftSemi" in plan(entities.playlist_index(w, "listened", q="THE", filters={"access": "private"}))

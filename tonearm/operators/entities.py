@@ -159,7 +159,7 @@ def playlist_index(t, sort: str = "tracks", direction: str = "desc", limit: int
     tracks = t["tracks"].select(F.col("id").alias("track_id"), "duration_ms", "canonical_track_id")
     held = t["library_tracks"].select("track_id", F.col("track_id").alias("held_id"))
     # One pass over the items: by playlist and track, then by recording, so that plays count once for each of a playlist's recordings.
-    items = t["playlist_tracks"].groupBy("playlist_id", "track_id").agg(F.count(F.lit(1)).alias("n"), F.max("added_at").alias("added"))
+    items = t["playlist_tracks"].join(lists.select("playlist_id"), "playlist_id", "left_semi").groupBy("playlist_id", "track_id").agg(F.count(F.lit(1)).alias("n"), F.max("added_at").alias("added"))
     by_recording = items.join(tracks, "track_id", "left").join(held, "track_id", "left").groupBy("playlist_id", "canonical_track_id").agg(
         F.sum("n").alias("n"), F.count("held_id").alias("held"), F.sum(F.col("n") * F.col("duration_ms")).alias("duration"), F.max("added").alias("added")
     )
