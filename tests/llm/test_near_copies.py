@@ -105,3 +105,14 @@ def test_pages_of_one_template_are_not_all_compared(spark, monkeypatch, n):
     docs = spark.createDataFrame([(k, t, "en", "web", len(t)) for k, t in enumerate(texts)], DOCS)
     kept = {x["doc_id"] for x in near_copies.one_of_each(docs).select("doc_id").collect()}
     assert kept == set(range(n)) and sum(seen) < 20 * n
+
+
+def test_fingerprints_link_near_copies(spark):
+    """The grid over fingerprints gives candidates of its own: texts that differ in a word at the end, of one fingerprint or within two bits."""
+    texts = [" ".join(f"w{k}x{n}" for k in range(400)) for n in range(20)]
+    texts += [f"{t} more" for t in texts]
+    marks = near_copies.packed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).marks.select("uid", "fp")
+    prints = {r["uid"]: r["fp"] % 2**64 for r in marks.collect()}
+    want = {(u, v) for u in prints for v in prints if u < v and (prints[u] ^ prints[v]).bit_count() <= 2}
+    got = {(r["u"], r["v"]) for r in near_copies.by_fingerprint(marks).collect()}
+    assert got == want and len(want) > 10

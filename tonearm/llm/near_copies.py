@@ -1,9 +1,11 @@
 """Near copies by Jaccard similarity of word shingles.
 
-Two texts are linked if their sets of 5-word shingles have a Jaccard similarity of 0.8 or more. Bits of
-a 64-bit fingerprint are too coarse to find those pairs (at 0.8 they differ in about ten), so candidates
-share one of 32 bands of five least hashes: a pair at 0.8 is missed with a chance of 0.8**5 not met 32
-times (3 in a million), a closer one more rarely. Each candidate is then verified exactly on its texts.
+Two texts are linked if their sets of 5-word shingles have a Jaccard similarity of 0.8 or more. Candidates come
+from SimHash fingerprints of those shingles first: texts of one fingerprint, and fingerprints that the grid over
+segment bit counts (see simhash.py) links within two bits. A 64-bit fingerprint is too coarse to find all pairs (at
+0.8 they differ in about ten bits), so texts are also candidates if they share one of 32 bands of five least
+hashes: a pair at 0.8 is missed with a chance of 0.8**5 not met 32 times (3 in a million), a closer one more
+rarely. Each candidate is then verified exactly on its texts.
 
 Cells with many texts aren't paired at first: hubs are compared with their cell, a third of the bands in each
 round, and cells whose texts are all connected are done. What is left are cells of texts that have much in common, as
@@ -25,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import simhash
 from .blocks import Blocks
 from .common import joined_hot, tidy, written
 from .simhash import SEED, components
@@ -52,11 +55,14 @@ def jaccard(a: set, b: set) -> float:
     return both / (len(a) + len(b) - both) if a or b else 1.0
 
 
-def band_keys(found: set[bytes]) -> list[int]:
-    """A key for each band, equal for two texts if the band's least hashes are."""
+def hashes(found: set[bytes]) -> np.ndarray:
     from xxhash import xxh64_intdigest
 
-    h = np.fromiter((xxh64_intdigest(s, SEED) for s in found), np.uint64, len(found))
+    return np.fromiter((xxh64_intdigest(s, SEED) for s in found), np.uint64, len(found))
+
+
+def band_keys(h: np.ndarray) -> list[int]:
+    """A key for each band, equal for two texts if the band's least hashes of shingles are."""
     least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
     for k in range(0, len(h), 1024):
         mixed = (h[None, k : k + 1024] ^ XORS) * (FACTORS | np.uint64(1))
@@ -66,20 +72,22 @@ def band_keys(found: set[bytes]) -> list[int]:
 
 
 def _marks(texts: list[bytes | None]) -> list[pa.Array]:
-    """uid (of the text in lower case, its words parted by one space), distinct shingles, and a key for each band."""
+    """uid (of the text in lower case, its words parted by one space), distinct shingles, fingerprint, and a key for each band."""
     from xxhash import xxh64_intdigest
 
-    uids, sizes, keys = [], [], []
+    uids, sizes, prints, keys = [], [], [], []
     for text in texts:
         found = shingles(text or b"")
         uids.append(xxh64_intdigest(b" ".join((text or b"").lower().split()), SEED + 1) - 2**63)
         sizes.append(len(found))
-        keys.append(band_keys(found) if found else [])
-    return [pa.array(uids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+        h = hashes(found)
+        prints.append(simhash.majority(h) if found else 0)
+        keys.append(band_keys(h) if found else [])
+    return [pa.array(uids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
 
 
 def packed(docs: DataFrame, text_col: str = "text") -> Blocks:
-    return Blocks(docs, text_col, _marks, "uid long, size long, keys array<long>")
+    return Blocks(docs, text_col, _marks, "uid long, size long, fp long, keys array<long>")
 
 
 def _verify(least: float):
@@ -112,11 +120,9 @@ def _verified(pairs: DataFrame, blocks: Blocks, firsts: DataFrame, least: float)
 @tidy
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A 64-bit hash of each distinct shingle of each text."""
-    from xxhash import xxh64_intdigest
-
     for batch in batches:
         for uid, text in zip(batch.column("uid").to_pylist(), batch.column("text").to_pylist()):
-            h = np.fromiter((xxh64_intdigest(s, SEED) for s in shingles(text.encode())), np.uint64)
+            h = hashes(shingles(text.encode()))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), uid)), pa.array(h.view(np.int64))], names=["uid", "h"])
 
 
@@ -136,16 +142,28 @@ def _by_rare_shingles(open_: DataFrame, blocks: Blocks, firsts: DataFrame, least
     return rare.join(other, "h").where((F.col("uid") < F.col("other")) & (F.col("label") != F.col("other_label")) & near).select(F.col("uid").alias("u"), F.col("other").alias("v"))
 
 
+def by_fingerprint(firsts: DataFrame) -> DataFrame:
+    """u, v: a text of each fingerprint with the others of it, and with one of each fingerprint that the grid links to it. firsts: uid and fp."""
+    heads = written(firsts.groupBy("fp").agg(F.min("uid").alias("head"), F.count(F.lit(1)).alias("n")), "heads")
+    several = heads.where("n > 1").select("fp", "head", F.col("n").alias("count"))
+    same = joined_hot(firsts.select("uid", "fp"), several.select("fp", "head"), "fp", several.select("fp", "count")).where(F.col("uid") != F.col("head")).select("head", F.col("uid").alias("other"))
+    met = simhash.links(heads.select("fp"))
+    one, two = heads.select(F.col("fp").alias("u"), F.col("head")), heads.select(F.col("fp").alias("v"), F.col("head").alias("other"))
+    near = met.join(one, "u").join(two, "v").select("head", "other")
+    return same.union(near).select(F.least("head", "other").alias("u"), F.greatest("head", "other").alias("v"))
+
+
 def links(blocks: Blocks, least: float = LEAST) -> DataFrame:
     """u, v: links that connect all texts which candidates connect."""
     # Of equal texts one stands for all; their sizes and keys are equal too.
-    firsts = written(blocks.marks.where("size > 0").groupBy("uid").agg(F.min(F.struct("block", "row", "size", "keys")).alias("first")).select("uid", "first.*"), "firsts")
+    firsts = written(blocks.marks.where("size > 0").groupBy("uid").agg(F.min(F.struct("block", "row", "size", "fp", "keys")).alias("first")).select("uid", "first.*"), "firsts")
     placed = firsts.select("uid", "size", F.posexplode("keys").alias("band", "cell"))
     cells = written(placed.join(placed.groupBy("band", "cell").count().where("count > 1"), ["band", "cell"]), "cells")
     near = (F.col("size") >= least * F.col("other_size")) & (F.col("other_size") >= least * F.col("size"))  # needed for that similarity
     few = cells.where(F.col("count") <= PAIRED_CELL)
     other = few.select("band", "cell", F.col("uid").alias("other"), F.col("size").alias("other_size"))
     pairs = few.join(other, ["band", "cell"]).where((F.col("uid") < F.col("other")) & near).select(F.col("uid").alias("u"), F.col("other").alias("v"))
+    pairs = pairs.union(by_fingerprint(firsts.select("uid", "fp")))
     dense, found = cells.where(F.col("count") > PAIRED_CELL), None
     # Dense cells: hubs first, and at last pairs by rare shingles.
     for turn in range(HUB_ROUNDS + 1):
@@ -172,7 +190,7 @@ def links(blocks: Blocks, least: float = LEAST) -> DataFrame:
 def groups(blocks: Blocks, least: float = LEAST) -> DataFrame:
     """The marks (but for keys) with group, a long that is equal for texts which links connect. Texts without words are one group."""
     roots = written(components(links(blocks, least)).withColumnRenamed("node", "uid"), "roots")
-    marks = blocks.marks.drop("size", "keys")
+    marks = blocks.marks.drop("size", "fp", "keys")
     # Equal texts, and all empty ones, have one uid; only those with a link are joined, the hot ones by broadcast.
     met = joined_hot(marks, roots, "uid", marks.join(roots, "uid", "left_semi").groupBy("uid").count()).withColumnRenamed("root", "group")
     return met.unionByName(marks.join(roots, "uid", "left_anti").withColumn("group", F.col("uid")))

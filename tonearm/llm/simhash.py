@@ -39,7 +39,11 @@ def fingerprint(text: bytes) -> int:
         return 0
     if len(words) < SHINGLE:
         return xxh64_intdigest(b" ".join(words), SEED)
-    h = np.array([xxh64_intdigest(b"%b %b %b" % s, SEED) for s in zip(words, words[1:], words[2:])], np.uint64)
+    return majority(np.array([xxh64_intdigest(b"%b %b %b" % s, SEED) for s in zip(words, words[1:], words[2:])], np.uint64))
+
+
+def majority(h: np.ndarray) -> int:
+    """The 64 bits that over half the hashes have."""
     counts = np.bincount((h.view(np.uint8).reshape(-1, 8) + np.arange(0, 2048, 256)).ravel(), minlength=2048).reshape(8, 256) @ BITS
     return int(np.packbits((2 * counts > len(h)).ravel(), bitorder="little").view(np.uint64)[0])
 
