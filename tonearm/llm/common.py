@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -58,8 +60,27 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Seconds between two clearings of the driver, at least.
+CLEARED_EVERY = 15
+_CLEARED = [0.0]
+
+
+def clear_driver(spark: SparkSession) -> None:
+    """Lets the driver's heap shrink to what is still used: plans that no frame refers to any longer, and their broadcasts.
+
+    The heap of a driver that runs many small jobs grows to its limit before it is collected.
+    """
+    if time.monotonic() - _CLEARED[0] >= CLEARED_EVERY:
+        gc.collect()  # frames hold their plans until Python gives them up
+        spark._jvm.java.lang.System.gc()
+        give_back()
+        _CLEARED[0] = time.monotonic()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table of the shared folder: cuts lineage, survives the loss of any executor."""
+    if _SCOPE.get() is not None:  # a run of several stages
+        clear_driver(df.sparkSession)
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
