@@ -33,6 +33,14 @@ def yes_first(c: Column) -> Column:
 # --- recordings (D1, D8)
 
 
+def coded_recordings(tracks: DataFrame, overrides: DataFrame) -> DataFrame:
+    """id and isrc of the recordings that have a code, as canonical_tracks has them. No credits are needed: a fallback key is never a code."""
+    fixed = overrides.select("track_id", F.col("canonical_track_id").alias("fixed"))
+    told = tracks.where(~F.col("is_local")).select(F.col("id").alias("track_id"), F.when(F.col("isrc") != "", F.concat(F.lit("isrc:"), "isrc")).alias("coded"))
+    ids = told.join(fixed, "track_id", "left").select(F.coalesce("fixed", "coded").alias("id")).where(F.col("id").startswith("isrc:")).distinct()
+    return ids.withColumn("isrc", F.expr("substr(id, 6)"))
+
+
 def recording_keys(tracks: DataFrame, track_artists: DataFrame, overrides: DataFrame) -> DataFrame:
     """track_id and cid of each track that isn't a local file: its override, else its code, else the fallback key."""
     coded = F.when(F.col("isrc") != "", F.concat(F.lit("isrc:"), "isrc"))

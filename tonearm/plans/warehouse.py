@@ -7,6 +7,7 @@ what each function asks for: recordings, library, plays, statistics, albums.
 
 from __future__ import annotations
 
+from collections import ChainMap
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -35,7 +36,8 @@ DERIVED: dict[str, Builder] = {
     "album_group_keys": lambda t: derive.album_group_keys(t["albums_complete"], t["tracks"]),
     "albums": lambda t: derive.with_groups(t["albums_complete"], t["album_group_keys"]),
     "album_groups": lambda t: derive.album_groups(t["album_group_keys"], t["albums_complete"], t["album_artists"], t["saved_albums"]),
-    "track_genres": derive.track_genres,
+    # Only recordings with codes have genres; they are told from tracks, without credits and the library.
+    "track_genres": lambda t: derive.track_genres(ChainMap({"canonical_tracks": derive.coded_recordings(t["tracks_landed"], t["canonical_overrides"])}, t)),
 }
 
 #: Built when a query first asks for them; a refresh leaves them out.
