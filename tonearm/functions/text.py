@@ -6,10 +6,8 @@ import html
 import re
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 
 def _accents() -> tuple[str, str]:
@@ -89,19 +87,31 @@ def link_target(link: Column) -> Column:
     return F.when(link.rlike(URI), both[0]).when(link.rlike(WEB), both[1])
 
 
-@F.pandas_udf(StringType())
-def _numeric_entities(text: pd.Series) -> pd.Series:
-    def shown(m: re.Match) -> str:
-        code = int(m[1][1:], 16) if m[1][0] in "xX" else int(m[1])
-        return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else m[0]
+#: A numeric entity, and the greatest code point.
+NUMERIC, LAST_CODE = r"&#(x[0-9a-fA-F]+|[0-9]+);", 0x10FFFF
 
-    return text.str.replace(re.compile(r"&#(x[0-9a-fA-F]+|\d+);"), shown, regex=True)
+
+def _numeric_entities(text: Column) -> Column:
+    """Each numeric entity replaced once, in one pass: what stands between entities, and their characters. Codes that are no characters stay."""
+
+    def shown(entity: Column) -> Column:
+        digits = F.regexp_extract(entity, "^&#x?0*([0-9a-fA-F]*);$", 1)
+        short = F.when(F.length(digits) <= 7, digits)  # longer ones are beyond the last code
+        hexed = F.when(entity.startswith("&#x"), short).otherwise(F.hex(short.try_cast("long")))
+        code = F.conv(hexed, 16, 10).cast("long")
+        known = (code <= LAST_CODE) & ~code.between(0xD800, 0xDFFF)
+        return F.coalesce(F.when(known, F.decode(F.unhex(F.concat(F.lit("0000FEFF"), F.lpad(F.when(hexed == "", "0").otherwise(hexed), 8, "0"))), "UTF-32")), entity)
+
+    found = F.regexp_extract_all(text, F.lit(NUMERIC), F.lit(0))
+    between = F.split(text, NUMERIC, -1)
+    joined = F.array_join(F.zip_with(between, found, lambda t, e: F.concat(t, F.coalesce(shown(e), F.lit("")))), "")
+    return F.when(text.contains("&#"), joined).otherwise(text)
 
 
 def plain_text(markup: Column, numeric: bool = True) -> Column:
     """Text without tags, entities resolved once, white space folded. Null is empty.
 
-    Numeric entities have no built-in; with numeric=False they stay and no Python runs.
+    With numeric=False numeric entities stay.
     """
     text = F.regexp_replace(F.coalesce(markup, F.lit("")), "<[^>]*>", "")
     if numeric:
