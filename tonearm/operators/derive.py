@@ -41,11 +41,15 @@ def coded_recordings(tracks: DataFrame, overrides: DataFrame) -> DataFrame:
     return ids.withColumn("isrc", F.expr("substr(id, 6)"))
 
 
+def uncoded(tracks: DataFrame) -> DataFrame:
+    """track_id of the tracks without a code: only their keys are told by artists."""
+    return tracks.where(~F.col("is_local") & F.coalesce(F.col("isrc") == "", F.lit(True))).select(F.col("id").alias("track_id"))
+
+
 def recording_keys(tracks: DataFrame, track_artists: DataFrame, overrides: DataFrame) -> DataFrame:
     """track_id and cid of each track that isn't a local file: its override, else its code, else the fallback key."""
     coded = F.when(F.col("isrc") != "", F.concat(F.lit("isrc:"), "isrc"))
-    uncoded = tracks.where(~F.col("is_local") & coded.isNull()).select(F.col("id").alias("track_id"))  # only their keys are told by artists
-    listed = track_artists.join(uncoded, "track_id", "left_semi").groupBy("track_id").agg(F.array_sort(F.collect_list("artist_id")).alias("ids"))
+    listed = track_artists.join(uncoded(tracks), "track_id", "left_semi").groupBy("track_id").agg(F.array_sort(F.collect_list("artist_id")).alias("ids"))
     fixed = overrides.select("track_id", F.col("canonical_track_id").alias("fixed"))
     joined = tracks.where(~F.col("is_local")).withColumnRenamed("id", "track_id").join(fixed, "track_id", "left").join(listed, "track_id", "left")
     return joined.select("track_id", F.coalesce("fixed", coded, fallback_key(F.col("name"), F.col("duration_ms"), F.col("ids"), F.col("track_id"))).alias("cid"))
@@ -188,12 +192,21 @@ def library_canonical(library: DataFrame, tracks: DataFrame, recordings: DataFra
     return grouped.join(facts, "canonical_track_id")
 
 
+def library_dates(library: DataFrame, keys: DataFrame) -> DataFrame:
+    """canonical_track_id and first_added_at of library_canonical, without the facts of recordings."""
+    known = keys.select("track_id", F.col("cid").alias("canonical_track_id"))
+    return library.join(known, "track_id").groupBy("canonical_track_id").agg(F.min("first_added_at").alias("first_added_at"))
+
+
 # --- plays (D5, D6, D7)
 
 
-def link_plays(plays: DataFrame, tracks: DataFrame) -> DataFrame:
-    """Plays with the track that their URI names: by its id, else as the id it was relinked from (the least such track)."""
-    open_uris = plays.where("track_id is null and item_kind = 'track'").select("item_uri").distinct().withColumn("raw_id", track_id_of_uri(F.col("item_uri"))).where("raw_id is not null")
+def link_plays(plays: DataFrame, tracks: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """Plays with the track that their URI names: by its id, else as the id it was relinked from (the least such track).
+
+    seen: rows with all URIs of plays, where those are cheaper to read.
+    """
+    open_uris = (plays if seen is None else seen).where("track_id is null and item_kind = 'track'").select("item_uri").distinct().withColumn("raw_id", track_id_of_uri(F.col("item_uri"))).where("raw_id is not null")
     direct = tracks.select(F.col("id").alias("raw_id"), F.col("id").alias("direct_id"))
     relinked = tracks.where("linked_from_id is not null").groupBy(F.col("linked_from_id").alias("raw_id")).agg(F.min("id").alias("relinked_id"))
     found = open_uris.join(direct, "raw_id", "left").join(relinked, "raw_id", "left").select("item_uri", F.coalesce("direct_id", "relinked_id").alias("found_id")).where("found_id is not null")
@@ -201,8 +214,8 @@ def link_plays(plays: DataFrame, tracks: DataFrame) -> DataFrame:
     return joined.withColumn("track_id", F.coalesce("track_id", F.when(F.col("item_kind") == "track", F.col("found_id")))).select(*plays.columns)
 
 
-def estimate_durations(plays: DataFrame, tracks: DataFrame, elsewhere: DataFrame | None = None) -> DataFrame:
-    """Plays with estimated_ms of polled rows: the gap to the previous play, at most the track's duration.
+def with_prior(plays: DataFrame, elsewhere: DataFrame | None = None) -> DataFrame:
+    """Plays with _prior, played_at of the previous play; plays without a time are left out.
 
     The previous play of the whole log is found by hours: within an hour by a window, for an hour's first
     play from a small frame of one row for each hour, so that no task sorts the log. elsewhere: where plays are only
@@ -216,12 +229,33 @@ def estimate_durations(plays: DataFrame, tracks: DataFrame, elsewhere: DataFrame
     before = hours.select("_hour", F.lag("_last").over(Window.orderBy("_hour")).alias("_earlier"))  # a row for each hour
     inside = F.lag("played_at").over(Window.partitionBy("_hour").orderBy("played_at", "id"))
     prior = keyed.withColumn("_inside", inside).join(before, "_hour").withColumn("_prior", F.coalesce("_inside", "_earlier"))
+    return prior.select(*plays.columns, "_prior")
+
+
+def polled() -> Column:
+    """Whether a play was polled without a time heard, so that it gets an estimate."""
+    return F.coalesce((F.col("source") == "recent") & F.col("ms_played").isNull(), F.lit(False))
+
+
+def guessed(prior: DataFrame, tracks: DataFrame) -> DataFrame:
+    """Plays with _prior get estimated_ms and lose _prior."""
     lasts = tracks.select(F.col("id").alias("track_id"), F.col("duration_ms").alias("_duration"))
     joined = prior.join(lasts, "track_id", "left")
     gap = (epoch_seconds(F.col("played_at")) - epoch_seconds(F.col("_prior"))) * 1000
     guess = F.when((gap > 0) & (gap <= F.col("_duration") + BREAK_MS), F.least(F.col("_duration").cast("long"), gap).cast("int"))
-    polled = (F.col("source") == "recent") & F.col("ms_played").isNull()
-    return joined.withColumn("estimated_ms", F.when(polled, guess).otherwise(F.col("estimated_ms"))).select(*plays.columns)
+    return joined.withColumn("estimated_ms", F.when(polled(), guess).otherwise(F.col("estimated_ms"))).drop("_prior", "_duration")
+
+
+def estimate_durations(plays: DataFrame, tracks: DataFrame, elsewhere: DataFrame | None = None) -> DataFrame:
+    """Plays with estimated_ms of polled rows: the gap to the previous play, at most the track's duration. elsewhere: see with_prior()."""
+    return guessed(with_prior(plays, elsewhere), tracks).select(*plays.columns)
+
+
+def heard_plays(plays: DataFrame, tracks: DataFrame) -> DataFrame:
+    """What estimate_durations() gives after link_plays(), but for item_uri and track_id: only plays that get an estimate meet tracks."""
+    names = [c for c in plays.columns if c not in ("item_uri", "track_id")]
+    linked = link_plays(with_prior(plays).where(polled()), tracks, plays.where(polled()))
+    return plays.where(F.col("played_at").isNotNull() & ~polled()).select(*names).unionByName(guessed(linked, tracks).select(*names))
 
 
 def play_stats(plays: DataFrame, tracks: DataFrame) -> DataFrame:

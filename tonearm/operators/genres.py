@@ -36,6 +36,11 @@ def _stats(t) -> DataFrame:
     return t["canonical_play_stats"].select("canonical_track_id", "plays", "ms_played", "last_played_at")
 
 
+def sizes(t) -> DataFrame:
+    """genre and tracks of vocabulary(), without plays."""
+    return library_edges(t).groupBy("genre").agg(F.count("*").alias("tracks"))
+
+
 def vocabulary(t) -> DataFrame:
     """Tracks, plays and time heard of each genre of the library."""
     return library_edges(t).join(_stats(t), "canonical_track_id", "left").groupBy("genre").agg(F.count("*").alias("tracks"), total(F.col("plays")).alias("plays"), total(F.col("ms_played")).alias("ms_played"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections import ChainMap
 from collections.abc import Callable
 from datetime import date, datetime
 
@@ -18,7 +19,7 @@ from . import landing, upkeep
 from .adhoc import distinct_names
 from .oracle import DEVICE, HEARD, ZONE, iso, name, ragged, statement, title, wall, whole
 from .range import EARLIEST, Range, midnight
-from .warehouse import Warehouse, warehouse
+from .warehouse import Warehouse, heard_plays, library_dates, raw_plays, warehouse
 
 LIB = Range(midnight("1996-03-15", ZONE), midnight("2000-06-30", ZONE, 1), ZONE)
 HIST = Range(midnight("2024-01-03", ZONE), midnight("2024-01-27", ZONE, 1), ZONE)
@@ -59,6 +60,11 @@ def again(key: str, other: str, query: Query) -> None:
     _ENTRIES[key] = (query, _ENTRIES[other][1])
 
 
+def _since(w: Warehouse) -> ChainMap:
+    """The warehouse for queries that ask of the library only which recordings it has, and since when."""
+    return ChainMap({"library_canonical": library_dates(w)}, w)
+
+
 def window(column: str, r: Range) -> str:
     return f"{column} >= TIMESTAMP '{r.start}' AND {column} < TIMESTAMP '{r.end}'"
 
@@ -97,8 +103,8 @@ def register() -> None:
           count(DISTINCT primary_album_id) FILTER (primary_album_id IN (SELECT id FROM {{albums}} WHERE album_type IS DISTINCT FROM 'compilation')) AS albums,
           avg(CASE WHEN liked THEN 1.0::DOUBLE ELSE 0 END) AS liked_share, avg(CASE WHEN explicit THEN 1.0::DOUBLE ELSE 0 END) AS explicit_share, {iso('min(first_added_at)')} AS first_added, {iso('max(first_added_at)')} AS last_added
         FROM {{library_canonical}} WHERE {L}""")
-    add("q02_additions_by_day", lambda w: library.additions_by_day(w, LIB), "day value#", f"SELECT CAST(CAST({ADDED} AS DATE) AS VARCHAR) AS day, count(*) AS value FROM {{library_canonical}} WHERE {L} GROUP BY 1")
-    add("q03_growth", lambda w: library.growth(w, LIB), "period added# cumulative#", f"""
+    add("q02_additions_by_day", lambda w: library.additions_by_day(_since(w), LIB), "day value#", f"SELECT CAST(CAST({ADDED} AS DATE) AS VARCHAR) AS day, count(*) AS value FROM {{library_canonical}} WHERE {L} GROUP BY 1")
+    add("q03_growth", lambda w: library.growth(_since(w), LIB), "period added# cumulative#", f"""
         SELECT strftime(m, '%Y-%m') AS period, coalesce(n, 0) AS added, sum(coalesce(n, 0)) OVER (ORDER BY m) + (SELECT count(*) FROM {{library_canonical}} WHERE first_added_at < TIMESTAMP '{LIB.start}') AS cumulative
         FROM ({spine(LIB)}) s LEFT JOIN (SELECT date_trunc('month', {ADDED}) AS m, count(*) AS n FROM {{library_canonical}} WHERE {L} GROUP BY 1) a USING (m)""")
     yearly = f"SELECT year({ADDED}) AS yr, artist_id, count(*) AS n FROM {{library_canonical}} JOIN {{canonical_track_artists}} USING (canonical_track_id) WHERE on_representative AND position = 0 AND {window('first_added_at', BACK)} GROUP BY 1, 2"
@@ -127,7 +133,7 @@ def register() -> None:
         SELECT canonical_track_id, title, {iso('first_added_at')} AS added_at, liked, r.album_id, album_name, cover, artists FROM {{library_rows}} r LEFT JOIN {{covers}} c ON c.album_id = r.primary_album_id WHERE {L} ORDER BY first_added_at DESC, title, canonical_track_id LIMIT 12""")
     add("q10_release_years", lambda w: library.release_years(w, LIB), "bucket# count#", f"SELECT year(earliest_release_date) AS bucket, count(*) AS count FROM {{library_rows}} WHERE earliest_release_date IS NOT NULL AND {L} GROUP BY 1")
     add("q11_track_durations", lambda w: library.track_durations(w, LIB), "bucket# count#", f"SELECT duration_ms // 30000 * 30 AS bucket, count(*) AS count FROM {{library_canonical}} WHERE duration_ms BETWEEN 1 AND 1800000 AND {L} GROUP BY 1")
-    add("q12_add_time_heatmap", lambda w: library.add_time_heatmap(w, LIB), "weekday# hour# count#", f"SELECT isodow({ADDED}) AS weekday, hour({ADDED}) AS hour, count(*) AS count FROM {{library_canonical}} WHERE {L} GROUP BY 1, 2")
+    add("q12_add_time_heatmap", lambda w: library.add_time_heatmap(_since(w), LIB), "weekday# hour# count#", f"SELECT isodow({ADDED}) AS weekday, hour({ADDED}) AS hour, count(*) AS count FROM {{library_canonical}} WHERE {L} GROUP BY 1, 2")
     add("q13_discovery_lag", lambda w: library.discovery_lag(w, LIB), "year# median_days# p25# p75# n#", f"""
         SELECT year, round_even(quantile_cont(days, 0.5), 0) AS median_days, round_even(quantile_cont(days, 0.25), 0) AS p25, round_even(quantile_cont(days, 0.75), 0) AS p75, count(*) AS n
         FROM (SELECT year({ADDED}) AS year, CAST({ADDED} AS DATE) - earliest_release_date AS days FROM {{library_rows}} WHERE earliest_release_date IS NOT NULL AND {L}) WHERE days >= 0 GROUP BY 1""")
@@ -137,7 +143,7 @@ def register() -> None:
     add("q15_duplicates", lambda w: library.duplicates(w, LIB), "canonical_track_id title artist artist_id copies# names", f"""
         SELECT r.canonical_track_id, r.title, artist, CASE WHEN artist IS NOT NULL THEN primary_artist_id END AS artist_id, copy_count AS copies, names FROM {{library_rows}} r
           JOIN (SELECT canonical_track_id, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM {{tracks}} GROUP BY 1) n USING (canonical_track_id) WHERE copy_count > 1 AND {L} ORDER BY copies DESC, title, canonical_track_id LIMIT 20""")
-    add("q16_streaks", lambda w: library.streaks(w, LIB, TODAY), "longest# longest_end current# busiest_day busiest_count# active_days#", streak(f"SELECT CAST({ADDED} AS DATE) AS d, count(*) AS n FROM {{library_canonical}} WHERE {L} GROUP BY 1", "busiest_count", ", coalesce(any_value(days), 0) AS active_days"))
+    add("q16_streaks", lambda w: library.streaks(_since(w), LIB, TODAY), "longest# longest_end current# busiest_day busiest_count# active_days#", streak(f"SELECT CAST({ADDED} AS DATE) AS d, count(*) AS n FROM {{library_canonical}} WHERE {L} GROUP BY 1", "busiest_count", ", coalesce(any_value(days), 0) AS active_days"))
     add("q17_popularity_distribution", lambda w: library.popularity_distribution(w, LIB), "bucket# count#", f"SELECT max_popularity // 5 * 5 AS bucket, count(*) AS count FROM {{library_rows}} WHERE max_popularity IS NOT NULL AND {L} GROUP BY 1")
 
     # --- listening
@@ -484,7 +490,7 @@ def register() -> None:
     add("c8_median_gap", lambda w: charts.median_gap(library.release_years(w, LIB), "bucket"), "median_gap~", f"SELECT median(gap) AS median_gap FROM (SELECT b - lag(b) OVER (ORDER BY b) AS gap FROM (SELECT DISTINCT year(earliest_release_date) AS b FROM {{library_rows}} WHERE earliest_release_date IS NOT NULL AND {L}))")
     add("c9_bump_series", lambda w: charts.bump_series(library.top_artists_by_year(w, LIB), 5).select("period", "key", "rank", "place"), "period# key rank# place#", f"""
         WITH s AS (SELECT * FROM ({ranks(yearly, LIB)}) WHERE rank <= 5), f AS (SELECT key, min(period * 1000 + rank) AS first FROM s GROUP BY 1) SELECT period, key, rank, place FROM s JOIN (SELECT key, row_number() OVER (ORDER BY first, key) AS place FROM f) USING (key)""")
-    add("c10_sparkline", lambda w: charts.sparkline(library.growth(w, LIB), "period", "cumulative"), "first# last# points# change~", f"""
+    add("c10_sparkline", lambda w: charts.sparkline(library.growth(_since(w), LIB), "period", "cumulative"), "first# last# points# change~", f"""
         SELECT arg_min(c, period) AS first, arg_max(c, period) AS last, count(*) AS points, (arg_max(c, period) - arg_min(c, period)) * 100.0::DOUBLE / arg_min(c, period) AS change FROM (SELECT strftime(m, '%Y-%m') AS period, (SELECT count(*) FROM {{library_canonical}} WHERE first_added_at < least(TIMESTAMP '{LIB.end}', (m + INTERVAL 1 MONTH)::TIMESTAMP AT TIME ZONE '{ZONE}' AT TIME ZONE 'UTC')) AS c FROM ({spine(LIB)}) ORDER BY m DESC LIMIT 24)""")
     add("c11_chip_sizes", lambda w: charts.chip_sizes(genres.vocabulary(w), "genre", "tracks"), "label size~", "SELECT genre AS label, sqrt(n / (max(n) OVER ())::DOUBLE) AS size FROM (SELECT genre, count(*) AS n FROM {library_edges} GROUP BY 1)")
     add("c12_outside_minutes", lambda w: charts.history_figures(listening.listening_by_month(w, HIST), listening.listening_totals(w, HIST))[0], "period outside_minutes#", f"""

@@ -15,16 +15,56 @@ from pyspark.sql import functions as F
 
 from ..functions.times import ragged_date
 from ..operators import bitmaps, derive
-from ..sources.driver import PLANS, STAR, TABLES
+from ..sources.driver import PLANS, STAR, TABLES, credits_of, playlist_items
 from ..sources.shared import kept
 
 Builder = Callable[[Mapping[str, DataFrame]], DataFrame]
 
+
+
+def _planned(t, name: str) -> bool:
+    """Whether a table isn't built yet and would be built from the star tables, so that a part of it can be had without it."""
+    return isinstance(t, Warehouse) and name not in t.built and t.texts.get(name) == TABLES[name]
+
+
+def own_items(t: Mapping[str, DataFrame]) -> DataFrame:
+    """playlist_tracks of one's own playlists at least."""
+    if not _planned(t, "playlist_tracks"):
+        return t["playlist_tracks"]
+    return playlist_items(t, t["playlists"].where("is_owned and removed_at is null").select(F.col("id").alias("playlist_id")))
+
+
+def some_credits(t: Mapping[str, DataFrame], wanted: DataFrame) -> DataFrame:
+    """track_artists of some tracks at least. wanted: track_id."""
+    return credits_of(t, wanted) if _planned(t, "track_artists") else t["track_artists"]
+
+
+def library_dates(t: Mapping[str, DataFrame]) -> DataFrame:
+    """canonical_track_id and first_added_at of library_canonical, without the facts of recordings where those aren't built yet."""
+    if isinstance(t, Warehouse) and "library_canonical" not in t.built:
+        return derive.library_dates(t["library_tracks"], t["recording_keys"])
+    return t["library_canonical"]
+
+
+def raw_plays(t: Mapping[str, DataFrame]) -> DataFrame:
+    """Plays, for queries that need neither tracks nor estimates."""
+    if isinstance(t, Warehouse) and "plays" not in t.built:
+        return t.scan("plays_landed")
+    return t["plays"]
+
+
+def heard_plays(t: Mapping[str, DataFrame]) -> DataFrame:
+    """Plays without item_uri and track_id, for queries that need estimates but not tracks; the columns a query leaves out aren't computed."""
+    if isinstance(t, Warehouse) and "plays" not in t.built:
+        return derive.heard_plays(t.scan("plays_landed"), t["tracks_landed"])
+    return t["plays"]
+
+
 #: Derived tables. A table named x_landed is what a source gave, x is what queries read.
 DERIVED: dict[str, Builder] = {
     "albums_dated": lambda t: t["albums_landed"].withColumns({"release_date_start": ragged_date(F.col("release_date")), "available_markets": F.split("markets", ",")}).drop("markets"),
-    "library_tracks": lambda t: derive.library_tracks(t["saved_tracks"], t["playlists"], t["playlist_tracks"]),
-    "recording_keys": lambda t: derive.recording_keys(t["tracks_landed"], t["track_artists"], t["canonical_overrides"]),
+    "library_tracks": lambda t: derive.library_tracks(t["saved_tracks"], t["playlists"], own_items(t)),
+    "recording_keys": lambda t: derive.recording_keys(t["tracks_landed"], some_credits(t, derive.uncoded(t["tracks_landed"])), t["canonical_overrides"]),
     "canonical_tracks": lambda t: derive.canonical_tracks(t["recording_keys"], t["tracks_landed"], t["track_artists"], t["albums_dated"], t["library_tracks"]),
     "canonical_track_artists": lambda t: derive.canonical_track_artists(t["recording_keys"], t["canonical_tracks"], t["track_artists"]),
     "tracks": lambda t: derive.with_recordings(t["tracks_landed"], t["recording_keys"]),
@@ -103,6 +143,12 @@ class Warehouse(Mapping):
         self._comes_from(self.sources[name])
         return self.built[name]
 
+    def scan(self, name: str) -> DataFrame:
+        """A landed table as its text gives it, not kept unless it is already."""
+        if name in self.built or name not in self.texts:
+            return self[name]
+        return self.spark.sql(self.texts[name], **{n: self[n] for n in used(self.texts[name])})
+
     def _comes_from(self, stars: set[str]) -> None:
         if self._building:
             self.sources[self._building[-1]] |= stars

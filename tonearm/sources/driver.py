@@ -142,5 +142,21 @@ def playlist_tracks(t) -> DataFrame:
     )
 
 
+def credits_of(t, wanted: DataFrame) -> DataFrame:
+    """track_id and artist_id of TABLES["track_artists"] for some tracks only, unnumbered. wanted: track_id."""
+    pairs = t["lineitem"].select(F.col("l_partkey").cast("string").alias("track_id"), F.col("l_suppkey").cast("string").alias("artist_id"))
+    return pairs.join(wanted, "track_id", "left_semi").distinct()
+
+
+def playlist_items(t, playlists: DataFrame) -> DataFrame:
+    """Items of TABLES["playlist_tracks"] in some playlists only, unnumbered, so that lines needn't be sorted. playlists: playlist_id."""
+    some = t["orders"].select("o_orderkey", "o_orderdate", F.col("o_custkey").cast("string").alias("playlist_id")).join(playlists, "playlist_id", "left_semi")
+    lines = t["lineitem"].select("l_orderkey", "l_linenumber", "l_partkey").join(some, F.col("l_orderkey") == F.col("o_orderkey"))
+    return lines.select(
+        "playlist_id", F.when(F.col("l_orderkey") % 41 != 0, F.col("l_partkey").cast("string")).alias("track_id"),
+        F.when(F.col("l_linenumber") != 7, F.col("o_orderdate")).alias("added_at"), (F.col("l_orderkey") % 43 == 0).alias("is_local"),
+    )
+
+
 #: The same rows as the texts of these names give, by plans that shuffle less.
 PLANS = {"track_artists": track_artists, "playlist_tracks": playlist_tracks}
