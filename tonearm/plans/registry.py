@@ -158,8 +158,8 @@ def register() -> None:
           (SELECT date_trunc('month', {PLAYED}) AS m, {whole(HEARD)} AS minutes, count(*) AS plays, {whole(f'CASE WHEN l.canonical_track_id IS NOT NULL THEN {HEARD} END')} AS library_minutes
            FROM {{plays}} p LEFT JOIN {{tracks}} t ON t.id = p.track_id LEFT JOIN {{library_canonical}} l ON l.canonical_track_id = t.canonical_track_id WHERE {P} GROUP BY 1) USING (m)""")
     add("p4_listening_clock", lambda w: listening.listening_clock(w, HIST), "weekday# hour# minutes#", f"SELECT isodow({PLAYED}) AS weekday, hour({PLAYED}) AS hour, {whole(HEARD)} AS minutes FROM {{plays}} WHERE {P} GROUP BY 1, 2")
-    add("p5_device_share", lambda w: listening.device_share(w, HIST), "label value#", f"SELECT {DEVICE} AS label, {whole(HEARD)} AS value FROM {{plays}} WHERE {P} GROUP BY 1 HAVING sum({HEARD}) > 0")
-    add("p6_country_share", lambda w: listening.country_share(w, HIST), "label value#", f"SELECT coalesce(nullif(conn_country, 'ZZ'), 'Unknown') AS label, {whole(HEARD)} AS value FROM {{plays}} WHERE {P} GROUP BY 1 HAVING sum({HEARD}) > 0 ORDER BY value DESC, label LIMIT 8")
+    add("p5_device_share", lambda w: listening.device_share({"plays": heard_plays(w)}, HIST), "label value#", f"SELECT {DEVICE} AS label, {whole(HEARD)} AS value FROM {{plays}} WHERE {P} GROUP BY 1 HAVING sum({HEARD}) > 0")
+    add("p6_country_share", lambda w: listening.country_share({"plays": heard_plays(w)}, HIST), "label value#", f"SELECT coalesce(nullif(conn_country, 'ZZ'), 'Unknown') AS label, {whole(HEARD)} AS value FROM {{plays}} WHERE {P} GROUP BY 1 HAVING sum({HEARD}) > 0 ORDER BY value DESC, label LIMIT 8")
     add("p7_end_reasons", lambda w: listening.end_reasons(w, HIST), "label value#", f"SELECT reason_end AS label, count(*) AS value FROM {{plays}} WHERE reason_end IS NOT NULL AND {P} GROUP BY 1 ORDER BY value DESC, label LIMIT 8")
     add("p8_completion_buckets", lambda w: listening.completion_buckets(w, HIST), "bucket# count#", f"SELECT least(10, {HEARD} * 10 // c.duration_ms) * 10 AS bucket, count(*) AS count FROM {PLAYS_R} JOIN {{canonical_tracks}} c ON c.id = t.canonical_track_id WHERE {HEARD} IS NOT NULL AND c.duration_ms > 0 AND {P} GROUP BY 1")
     for key, flag in (("", None), ("_in_library", True), ("_elsewhere", False)):
@@ -482,7 +482,7 @@ def register() -> None:
     add("c3_donut", lambda w: charts.donut(genres.vocabulary(w), "genre", "tracks", 5), "label value# place# share~", """
         WITH v AS (SELECT genre, count(*) AS tracks FROM {library_edges} GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY tracks DESC, genre) AS k FROM v)
         SELECT CASE WHEN k > 5 THEN 'Other (' || (SELECT count(*) - 5 FROM v) || ')' ELSE genre END AS label, sum(tracks) AS value, least(6, min(k)) AS place, sum(tracks) / (SELECT sum(tracks) FROM v)::DOUBLE AS share FROM r GROUP BY 1""")
-    add("c4_bar_shares", lambda w: charts.bar_shares(listening.device_share(w, HIST), "label", "value"), "label value# share~", f"SELECT label, value, value / (sum(value) OVER ())::DOUBLE AS share FROM (SELECT {DEVICE} AS label, {whole(HEARD)} AS value FROM {{plays}} WHERE {P} GROUP BY 1 HAVING sum({HEARD}) > 0)")
+    add("c4_bar_shares", lambda w: charts.bar_shares(listening.device_share({"plays": heard_plays(w)}, HIST), "label", "value"), "label value# share~", f"SELECT label, value, value / (sum(value) OVER ())::DOUBLE AS share FROM (SELECT {DEVICE} AS label, {whole(HEARD)} AS value FROM {{plays}} WHERE {P} GROUP BY 1 HAVING sum({HEARD}) > 0)")
     add("c5_heat_thresholds", lambda w: charts.heat_thresholds(per_day(w), "value").select(F.size("thresholds").alias("steps"), F.round(F.col("thresholds")[3], 6).alias("top")), "steps# top~", f"SELECT 4 AS steps, round(quantile_cont(n, pow(0.8, 0.45)), 6) AS top FROM ({days}) WHERE n > 0")
     add("c6_calendar", lambda w: charts.calendar(per_day(w), "day", "value", "2024-01-01", "2024-02-04"), "day value# week# weekday#", f"""
         SELECT CAST(s.d AS VARCHAR) AS day, coalesce(n, 0) AS value, (s.d - DATE '2024-01-01') // 7 AS week, isodow(s.d) - 1 AS weekday FROM (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-02-04', INTERVAL 1 DAY)) AS DATE) AS d) s LEFT JOIN ({days}) x ON x.d = s.d""")
