@@ -160,7 +160,7 @@ def register() -> None:
     add("p4_listening_clock", lambda w: listening.listening_clock(w, HIST), "weekday# hour# minutes#", f"SELECT isodow({PLAYED}) AS weekday, hour({PLAYED}) AS hour, {whole(HEARD)} AS minutes FROM {{plays}} WHERE {P} GROUP BY 1, 2")
     add("p5_device_share", lambda w: listening.device_share({"plays": heard_plays(w)}, HIST), "label value#", f"SELECT {DEVICE} AS label, {whole(HEARD)} AS value FROM {{plays}} WHERE {P} GROUP BY 1 HAVING sum({HEARD}) > 0")
     add("p6_country_share", lambda w: listening.country_share({"plays": heard_plays(w)}, HIST), "label value#", f"SELECT coalesce(nullif(conn_country, 'ZZ'), 'Unknown') AS label, {whole(HEARD)} AS value FROM {{plays}} WHERE {P} GROUP BY 1 HAVING sum({HEARD}) > 0 ORDER BY value DESC, label LIMIT 8")
-    add("p7_end_reasons", lambda w: listening.end_reasons(w, HIST), "label value#", f"SELECT reason_end AS label, count(*) AS value FROM {{plays}} WHERE reason_end IS NOT NULL AND {P} GROUP BY 1 ORDER BY value DESC, label LIMIT 8")
+    add("p7_end_reasons", lambda w: listening.end_reasons({"plays": raw_plays(w)}, HIST), "label value#", f"SELECT reason_end AS label, count(*) AS value FROM {{plays}} WHERE reason_end IS NOT NULL AND {P} GROUP BY 1 ORDER BY value DESC, label LIMIT 8")
     add("p8_completion_buckets", lambda w: listening.completion_buckets(w, HIST), "bucket# count#", f"SELECT least(10, {HEARD} * 10 // c.duration_ms) * 10 AS bucket, count(*) AS count FROM {PLAYS_R} JOIN {{canonical_tracks}} c ON c.id = t.canonical_track_id WHERE {HEARD} IS NOT NULL AND c.duration_ms > 0 AND {P} GROUP BY 1")
     for key, flag in (("", None), ("_in_library", True), ("_elsewhere", False)):
         side = {None: "", True: "AND l.canonical_track_id IS NOT NULL", False: "AND l.canonical_track_id IS NULL"}[flag]
