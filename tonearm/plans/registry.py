@@ -428,7 +428,7 @@ def register() -> None:
     add("r4_minute_counters", lambda w: streams.minute_counters(_calls(w)), "bucket requests# errors# rate_limited#", "SELECT CAST(date_trunc('minute', ts) AS VARCHAR) AS bucket, count(*) AS requests, count(*) FILTER (event_type IN ('error', 'click')) AS errors, count(*) FILTER (event_type = 'click') AS rate_limited FROM {events} GROUP BY 1")
     add("r5_recent_rate", lambda w: streams.recent_rate(streams.minute_counters(_calls(w)), datetime(2024, 1, 15, 12)).select(F.round("rate", 9).alias("rate")), "rate~", """
         SELECT round(sum(n) / (count(*) * 60.0::DOUBLE), 9) AS rate FROM (SELECT date_trunc('minute', ts) AS m, count(*) AS n FROM {events} WHERE ts >= TIMESTAMP '2024-01-15 10:01:00' GROUP BY 1 ORDER BY 1 DESC LIMIT 3)""")
-    add("r7_listening_sessions", lambda w: streams.listening_sessions(w["plays"]), "started_at ended_at plays#", """
+    add("r7_listening_sessions", lambda w: streams.listening_sessions(raw_plays(w)), "started_at ended_at plays#", """
         SELECT CAST(min(played_at) AS VARCHAR) AS started_at, CAST(max(played_at) + INTERVAL 30 MINUTE AS VARCHAR) AS ended_at, count(*) AS plays FROM
           (SELECT played_at, sum(CASE WHEN gap < INTERVAL 30 MINUTE THEN 0 ELSE 1 END) OVER (ORDER BY played_at, id) AS run FROM (SELECT id, played_at, played_at - lag(played_at) OVER (ORDER BY played_at, id) AS gap FROM {plays})) GROUP BY run""")
 
