@@ -479,7 +479,7 @@ def register() -> None:
     add("c1_summary", lambda w: charts.summary(w["canonical_tracks"], "duration_ms"), "n# low# high# mean~ median~", "SELECT count(*) AS n, min(duration_ms) AS low, max(duration_ms) AS high, avg(duration_ms) AS mean, median(duration_ms) AS median FROM {canonical_tracks}")
     add("c1_histogram", lambda w: charts.histogram(w["canonical_tracks"], "duration_ms", 0.0, 20000.0), "bin~ count#", "SELECT duration_ms // 20000 * 20000 AS bin, count(*) AS count FROM {canonical_tracks} GROUP BY 1")
     add("c2_weighted_summary", lambda w: charts.summary(library.track_durations(w, LIB), "bucket", "count"), "n# low# high# mean~ median~", f"SELECT count(*) AS n, min(b) AS low, max(b) AS high, avg(b) AS mean, median(b) AS median FROM (SELECT duration_ms // 30000 * 30 AS b FROM {{library_canonical}} WHERE duration_ms BETWEEN 1 AND 1800000 AND {L})")
-    add("c3_donut", lambda w: charts.donut(genres.vocabulary(w), "genre", "tracks", 5), "label value# place# share~", """
+    add("c3_donut", lambda w: charts.donut(genres.sizes(_since(w)), "genre", "tracks", 5), "label value# place# share~", """
         WITH v AS (SELECT genre, count(*) AS tracks FROM {library_edges} GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY tracks DESC, genre) AS k FROM v)
         SELECT CASE WHEN k > 5 THEN 'Other (' || (SELECT count(*) - 5 FROM v) || ')' ELSE genre END AS label, sum(tracks) AS value, least(6, min(k)) AS place, sum(tracks) / (SELECT sum(tracks) FROM v)::DOUBLE AS share FROM r GROUP BY 1""")
     add("c4_bar_shares", lambda w: charts.bar_shares(listening.device_share({"plays": heard_plays(w)}, HIST), "label", "value"), "label value# share~", f"SELECT label, value, value / (sum(value) OVER ())::DOUBLE AS share FROM (SELECT {DEVICE} AS label, {whole(HEARD)} AS value FROM {{plays}} WHERE {P} GROUP BY 1 HAVING sum({HEARD}) > 0)")
