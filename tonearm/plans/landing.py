@@ -28,14 +28,18 @@ def _folder(w: Warehouse, name: str) -> str:
     return f"{shared_dir(w.spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Plays of an export file, about; a day with more is exported in several.
+FILE_PLAYS = 50_000
+
+
 def _export(folder: str, zipped: bool):
-    """Writes each day's records as a JSON array, in an archive of its own or as a plain file, from rows sorted by day; gives the files' URIs."""
+    """Writes each file's records as a JSON array, in an archive of its own or as a plain file, from rows sorted by file; gives the files' URIs."""
 
     @contextmanager
-    def opened(fs, root: str, day: str) -> Iterator[Callable[[bytes], object]]:
-        """What writes into the day's file."""
-        entry = f"Streaming_History_Audio_{day}.json"
-        with fs.open_output_stream(f"{root}/export_{day}.zip" if zipped else f"{root}/{entry}") as out:
+    def opened(fs, root: str, file: str) -> Iterator[Callable[[bytes], object]]:
+        """What writes into the file."""
+        entry = f"Streaming_History_Audio_{file}.json"
+        with fs.open_output_stream(f"{root}/export_{file}.zip" if zipped else f"{root}/{entry}") as out:
             if not zipped:
                 yield out.write
                 return
@@ -47,26 +51,31 @@ def _export(folder: str, zipped: bool):
     def export(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root)
-        rows = ((day, record) for b in batches for day, record in zip(b.column("day").to_pylist(), b.column("record").to_pylist()))
-        for day, held in groupby(rows, lambda r: r[0]):
-            with opened(fs, root, day) as write:
+        rows = ((file, record) for b in batches for file, record in zip(b.column("file").to_pylist(), b.column("record").to_pylist()))
+        for file, held in groupby(rows, lambda r: r[0]):
+            with opened(fs, root, file) as write:
                 for k, (_, record) in enumerate(held):
                     write((b",\n" if k else b"[") + record.encode())
                 write(b"]")
-            yield pa.RecordBatch.from_pydict({"uri": [f"{folder}/export_{day}.zip"]})
+            yield pa.RecordBatch.from_pydict({"uri": [f"{folder}/export_{file}.zip"]})
 
     return export
 
 
-def exported(w: Warehouse, zipped: bool) -> tuple[str, list[str]]:
-    """The imported plays of the log as export files, one for each day, written as they stream by."""
+def exported(w: Warehouse, zipped: bool, whole: bool = False) -> tuple[str, list[str]]:
+    """The imported plays of the log as export files, written as they stream by: one for each day, or several where a day has more than FILE_PLAYS. whole: one in any case."""
     folder = _folder(w, "export")
     names = ["ms_played", "item_kind", "item_uri", "track_name", "artist_name", "platform", "conn_country", "reason_end", "shuffle"]
-    at = F.col("played_at").cast("string")
-    records = w["plays_landed"].where("source = 'extended'").select(F.substring(at, 1, 10).alias("day"), "played_at", F.to_json(F.struct(at.alias("played_at"), *names)).alias("record"))
+    plays, at = w["plays_landed"].where("source = 'extended'"), F.col("played_at").cast("string")
+    file = F.substring(at, 1, 10)
+    if not whole:
+        days = plays.groupBy(file.alias("_day")).agg(F.ceil(F.count(F.lit(1)) / FILE_PLAYS).alias("_files"))
+        plays = plays.join(F.broadcast(days), file.eqNullSafe(F.col("_day")))  # a row for each day
+        file = F.when(F.col("_files") == 1, file).otherwise(F.concat_ws("_", file, F.pmod(F.xxhash64("id"), "_files")))
+    records = plays.select(file.alias("file"), "played_at", F.to_json(F.struct(at.alias("played_at"), *names)).alias("record"))
     n = int(w.spark.conf.get("spark.sql.shuffle.partitions"))
-    laid = records.repartition(n, "day").sortWithinPartitions("day", "played_at").select("day", "record")
-    return folder, sorted(r["uri"] for r in laid.mapInArrow(_export(folder, zipped), "uri string").collect())  # a row for each day
+    laid = records.repartition(n, "file").sortWithinPartitions("file", "played_at").select("file", "record")
+    return folder, sorted(r["uri"] for r in laid.mapInArrow(_export(folder, zipped), "uri string").collect())  # a row for each file
 
 
 def _archived(w: Warehouse) -> DataFrame:
@@ -177,7 +186,7 @@ def _catalog(w: Warehouse) -> DataFrame:
 def register(add: Callable, window: Callable, HIST, NOW) -> None:
     linked = """coalesce(d.id, r.id) AS track_id FROM (SELECT *, CASE WHEN item_kind = 'track' THEN nullif(regexp_extract(item_uri, 'spotify:track:(.+)$', 1), '') END AS raw_id FROM {0}) p
           LEFT JOIN {{tracks}} d ON d.id = raw_id LEFT JOIN (SELECT linked_from_id, min(id) AS id FROM {{tracks}} WHERE linked_from_id IS NOT NULL GROUP BY 1) r ON r.linked_from_id = raw_id"""
-    add("s1_archive_entries", lambda w: history.archive_entries(w.spark, exported(w, True)[1]).groupBy("entry").agg(F.count("*").alias("n"), F.min("size").cast("boolean").alias("filled")), "entry n# filled", """
+    add("s1_archive_entries", lambda w: history.archive_entries(w.spark, exported(w, True, whole=True)[1]).groupBy("entry").agg(F.count("*").alias("n"), F.min("size").cast("boolean").alias("filled")), "entry n# filled", """
         SELECT 'ReadMe.txt' AS entry, count(DISTINCT CAST(played_at AS DATE)) AS n, TRUE AS filled FROM {plays_landed} WHERE source = 'extended'
         UNION ALL SELECT DISTINCT 'My Data/Streaming_History_Audio_' || CAST(CAST(played_at AS DATE) AS VARCHAR) || '.json', 1, TRUE FROM {plays_landed} WHERE source = 'extended'""")
     shown = "CAST(played_at AS VARCHAR) AS played_at, ms_played, item_kind, item_uri, track_name, platform, shuffle"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import codecs
 import json
+import re
 import zipfile
 from collections.abc import Iterator
 from datetime import datetime
@@ -19,6 +20,7 @@ from ..operators import derive, merge
 # Names of the files that hold plays, and of those of the short export, which can't be used.
 LONG_FORM, SHORT_FORM = r"Streaming_History_Audio_[^/]*\.json$", r"StreamingHistory[^/]*\.json$"
 MAX_ENTRY_BYTES = 512 * 2**20
+BLANK = re.compile("[ \t\r\n]*")
 
 PLAY = (
     "played_at timestamp_ntz, ms_played int, item_kind string, item_uri string, track_name string, artist_name string, album_name string, episode_name string, show_name string, "
@@ -37,7 +39,8 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def archive_entries(spark: SparkSession, archives: list[str]) -> DataFrame:
     """archive, entry and size (unpacked) of all files in zip archives, from their directories alone. archives: URIs."""
-    paths = spark.createDataFrame([(a,) for a in archives], "archive string").repartition(max(1, len(archives)))
+    tasks = min(len(archives), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    paths = spark.createDataFrame([(a,) for a in archives], "archive string").repartition(max(1, tasks))
     return paths.mapInArrow(_entries, "archive string, entry string, size long")
 
 
@@ -60,7 +63,7 @@ def array_items(stream, size: int = 1 << 20) -> Iterator[object]:
         """The next character that isn't white space, at which at stands then; empty at the end."""
         nonlocal at
         while True:
-            at += len(held) - at - len(held[at:].lstrip(" \t\r\n")) if at < len(held) else 0
+            at = BLANK.match(held, at).end()
             if at < len(held) or ended:
                 return held[at : at + 1]
             more()
@@ -112,12 +115,12 @@ def _records(most: int):
 
 
 def archive_plays(entries: DataFrame, most: int = MAX_ENTRY_BYTES) -> DataFrame:
-    """archive, entry and the plays of the history files among the entries, one task for each file.
+    """archive, entry and the plays of the history files among the entries; a file is read by one task, and tasks have about equally many.
 
     An entry over the byte limit fails the read, as an upload over its ceiling does.
     """
     files = entries.where(F.col("entry").rlike(LONG_FORM))
-    spread = files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "archive", "entry")
+    spread = files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     parsed = spread.mapInArrow(_records(most), "archive string, entry string, record string")
     return parsed.select("archive", "entry", F.from_json("record", PLAY).alias("play")).select("archive", "entry", "play.*")
 
