@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import deltas, derive
+from ..sources.shared import kept as stored
 from ..sources.shared import shared_dir
 from ..streaming import plays as streams
-from .warehouse import Warehouse
+from .warehouse import Warehouse, first_credits
 
 
 def _folder(w: Warehouse, name: str) -> str:
@@ -21,6 +22,7 @@ def _folder(w: Warehouse, name: str) -> str:
 def followed(w: Warehouse, name: str, rows: DataFrame, row: str, fold: deltas.Fold, altered: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Groups of rows that were first known in part and in part otherwise: a third comes late, some were other than they are, some shouldn't be there."""
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    rows = stored(rows, f"{name}-rows")  # read many times below; the joins behind them run once
     h = F.pmod(F.xxhash64(row), F.lit(30))
     odd = altered(rows.where(h.between(10, 14)))
     extra = rows.where(h.between(15, 17)).withColumn(row, F.concat(F.lit("-"), F.col(row).cast("string")).cast(rows.schema[row].dataType))
@@ -41,7 +43,8 @@ def recordings(w: Warehouse) -> DataFrame:
     rows = derive.copies_of(w["recording_keys"], w["tracks_landed"], w["albums_dated"], w["library_tracks"])
     rank = F.col("rank").withField("c", F.struct(F.lit(False).alias("none"), F.lit(-1_000).alias("value")))  # so that it stands for its recording
     other = lambda df: df.withColumns({"rank": rank.cast(df.schema["rank"].dataType), "popularity": F.lit(1_000).cast(df.schema["popularity"].dataType), "release_date_start": F.lit("1900-01-01").cast("date")})
-    return deltas.recordings(followed(w, "recordings", rows, "track_id", deltas.RECORDINGS, other), w["track_artists"])
+    groups = followed(w, "recordings", rows, "track_id", deltas.RECORDINGS, other)
+    return deltas.recordings(groups, first_credits(w, groups.select(F.col("best.copy.track_id").alias("track_id"))))
 
 
 def library_canonical(w: Warehouse) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.times import ragged_date
 from ..operators import bitmaps, derive
-from ..sources.driver import PLANS, STAR, TABLES, credits_of, playlist_items
+from ..sources.driver import PLANS, STAR, TABLES, credits_of, first_credits_of, playlist_items
 from ..sources.shared import kept
 
 Builder = Callable[[Mapping[str, DataFrame]], DataFrame]
@@ -39,6 +39,11 @@ def some_credits(t: Mapping[str, DataFrame], wanted: DataFrame) -> DataFrame:
     return credits_of(t, wanted) if _planned(t, "track_artists") else t["track_artists"]
 
 
+def first_credits(t: Mapping[str, DataFrame], wanted: DataFrame) -> DataFrame:
+    """Rows of track_artists, the first ones of some tracks at least. wanted: track_id."""
+    return first_credits_of(t, wanted) if _planned(t, "track_artists") else t["track_artists"]
+
+
 def library_dates(t: Mapping[str, DataFrame]) -> DataFrame:
     """canonical_track_id and first_added_at of library_canonical, without the facts of recordings where those aren't built yet."""
     if isinstance(t, Warehouse) and "library_canonical" not in t.built:

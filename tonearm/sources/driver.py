@@ -148,6 +148,13 @@ def credits_of(t, wanted: DataFrame) -> DataFrame:
     return pairs.join(wanted, "track_id", "left_semi").distinct()
 
 
+def first_credits_of(t, wanted: DataFrame) -> DataFrame:
+    """The rows of TABLES["track_artists"] with position 0 for some tracks: their least artists, so no line is made distinct or numbered. wanted: track_id."""
+    lines = t["lineitem"].select(F.col("l_partkey").cast("string").alias("track_id"), "l_suppkey").join(wanted, "track_id", "left_semi")
+    least = lines.groupBy("track_id").agg(F.min(F.struct("l_suppkey")).alias("least"))  # a null is least, as in the text's order
+    return least.select("track_id", F.col("least.l_suppkey").cast("string").alias("artist_id"), F.lit(0).alias("position"))
+
+
 def playlist_items(t, playlists: DataFrame) -> DataFrame:
     """Items of TABLES["playlist_tracks"] in some playlists only, unnumbered, so that lines needn't be sorted. playlists: playlist_id."""
     some = t["orders"].select("o_orderkey", "o_orderdate", F.col("o_custkey").cast("string").alias("playlist_id")).join(playlists, "playlist_id", "left_semi")
