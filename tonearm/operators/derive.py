@@ -214,21 +214,22 @@ def link_plays(plays: DataFrame, tracks: DataFrame, seen: DataFrame | None = Non
     return joined.withColumn("track_id", F.coalesce("track_id", F.when(F.col("item_kind") == "track", F.col("found_id")))).select(*plays.columns)
 
 
-def with_prior(plays: DataFrame, elsewhere: DataFrame | None = None) -> DataFrame:
+def with_prior(plays: DataFrame, elsewhere: DataFrame | None = None, times: DataFrame | None = None) -> DataFrame:
     """Plays with _prior, played_at of the previous play; plays without a time are left out.
 
     The previous play of the whole log is found by hours: within an hour by a window, for an hour's first
     play from a small frame of one row for each hour, so that no task sorts the log. elsewhere: where plays are only
-    spans of a log, played_at of the last play of each other span; no hour is in two spans.
+    spans of a log, played_at of the last play of each other span; no hour is in two spans. times: rows with played_at of
+    all plays, where those are cheaper to read. Plays leave as they met, by hour.
     """
     hour = F.call_function("div", epoch_seconds(F.col("played_at")), F.lit(3600))
     keyed = plays.withColumn("_hour", hour)
-    hours = keyed.groupBy("_hour").agg(F.max("played_at").alias("_last"))
+    hours = (keyed if times is None else times.select("played_at", hour.alias("_hour"))).groupBy("_hour").agg(F.max("played_at").alias("_last"))
     if elsewhere is not None:
         hours = hours.unionByName(elsewhere.select(hour.alias("_hour"), F.col("played_at").alias("_last")))
     before = hours.select("_hour", F.lag("_last").over(Window.orderBy("_hour")).alias("_earlier"))  # a row for each hour
     inside = F.lag("played_at").over(Window.partitionBy("_hour").orderBy("played_at", "id"))
-    prior = keyed.withColumn("_inside", inside).join(before, "_hour").withColumn("_prior", F.coalesce("_inside", "_earlier"))
+    prior = keyed.withColumn("_inside", inside).join(F.broadcast(before), "_hour").withColumn("_prior", F.coalesce("_inside", "_earlier"))
     return prior.select(*plays.columns, "_prior")
 
 
@@ -237,13 +238,32 @@ def polled() -> Column:
     return F.coalesce((F.col("source") == "recent") & F.col("ms_played").isNull(), F.lit(False))
 
 
-def guessed(prior: DataFrame, tracks: DataFrame) -> DataFrame:
-    """Plays with _prior get estimated_ms and lose _prior."""
-    lasts = tracks.select(F.col("id").alias("track_id"), F.col("duration_ms").alias("_duration"))
-    joined = prior.join(lasts, "track_id", "left")
+def _with_durations(plays: DataFrame, tracks: DataFrame) -> DataFrame:
+    return plays.join(tracks.select(F.col("id").alias("track_id"), F.col("duration_ms").alias("_duration")), "track_id", "left")
+
+
+def _estimated(prior: DataFrame) -> DataFrame:
+    """Plays with _prior and _duration get estimated_ms and lose both."""
     gap = (epoch_seconds(F.col("played_at")) - epoch_seconds(F.col("_prior"))) * 1000
     guess = F.when((gap > 0) & (gap <= F.col("_duration") + BREAK_MS), F.least(F.col("_duration").cast("long"), gap).cast("int"))
-    return joined.withColumn("estimated_ms", F.when(polled(), guess).otherwise(F.col("estimated_ms"))).drop("_prior", "_duration")
+    return prior.withColumn("estimated_ms", F.when(polled(), guess).otherwise(F.col("estimated_ms"))).drop("_prior", "_duration")
+
+
+def guessed(prior: DataFrame, tracks: DataFrame) -> DataFrame:
+    """Plays with _prior get estimated_ms and lose _prior."""
+    return _estimated(_with_durations(prior, tracks))
+
+
+def settled_plays(plays: DataFrame, linked: DataFrame, tracks: DataFrame, elsewhere: DataFrame | None = None) -> DataFrame:
+    """What estimate_durations() gives after link_plays() of plays, beside others that are linked; rows leave by hour.
+
+    Only plays that lack a link or get an estimate meet tracks, and the whole rows meet once.
+    """
+    lacking = polled() | F.coalesce(F.col("track_id").isNull() & (F.col("item_kind") == "track"), F.lit(False))
+    near = _with_durations(link_plays(plays.where(lacking), tracks).unionByName(linked.where(polled())), tracks)
+    rest = plays.where(~lacking).unionByName(linked.where(~polled())).withColumn("_duration", F.lit(None).cast(tracks.schema["duration_ms"].dataType))
+    times = plays.select("played_at").unionByName(linked.select("played_at"))
+    return _estimated(with_prior(near.unionByName(rest), elsewhere, times)).select(*plays.columns)
 
 
 def estimate_durations(plays: DataFrame, tracks: DataFrame, elsewhere: DataFrame | None = None) -> DataFrame:

@@ -94,8 +94,8 @@ class PlayLog(Slices):
         heads = {r["slice"] for r in others if r["open_head"]}
         follow = {b for a, b in zip(order, order[1:]) if a in changed and b in heads}
         lasts = self.spark.createDataFrame([(r["last"],) for r in others if r["slice"] not in follow], "played_at timestamp_ntz")  # a row for each slice
-        linked = derive.link_plays(rows, tracks).unionByName(self.read(follow)) if follow else derive.link_plays(rows, tracks)
-        return self.commit(derive.estimate_durations(linked, tracks, lasts).withColumn("slice", slice_of(F.col("played_at"))), changed | follow, tag)
+        settled = derive.settled_plays(rows, self.read(follow) if follow else rows.limit(0), tracks, lasts)
+        return self.commit(settled.withColumn("slice", slice_of(F.col("played_at"))), changed | follow, tag, laid=True)
 
 
 def merged(stored: DataFrame, polled: DataFrame, tracks: DataFrame) -> DataFrame:

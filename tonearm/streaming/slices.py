@@ -59,13 +59,17 @@ class Slices:
         found = self.paths(slices, version)
         return self.spark.read.schema(self.schema).parquet(*found) if found else self.spark.createDataFrame([], self.schema)
 
-    def commit(self, rows: DataFrame, touched: Iterable[int], tag: str) -> int:
-        """A new version: rows (with the column slice) take the place of all rows of the touched slices."""
+    def commit(self, rows: DataFrame, touched: Iterable[int], tag: str, laid: bool = False) -> int:
+        """A new version: rows (with the column slice) take the place of all rows of the touched slices.
+
+        laid: rows are partitioned so that a slice is in few partitions, and are only sorted there; others are laid by ranges.
+        """
         names, touched = self._names(), set(touched)
         version = names[-1][0] + 1 if names else 0
         data = f"{self.folder}/v={version}"
-        laid = rows.select(*self.spark.createDataFrame([], self.schema).columns, "slice").repartitionByRange("slice", *self.order).sortWithinPartitions("slice", *self.order)
-        laid.write.mode("overwrite").partitionBy("slice").parquet(data)
+        rows = rows.select(*self.spark.createDataFrame([], self.schema).columns, "slice")
+        placed = rows if laid else rows.repartitionByRange("slice", *self.order)
+        placed.sortWithinPartitions("slice", *self.order).write.mode("overwrite").partitionBy("slice").parquet(data)
         # Read with a schema, so that no rows at all are fine too.
         stored = self.spark.read.schema(f"{self.schema}, slice long").parquet(data)
         fresh = stored.groupBy("slice").agg(F.count(F.lit(1)).alias("rows"), *(c.alias(n) for n, c in self.facts.items())).withColumn("version", F.lit(version).cast("long"))
