@@ -148,3 +148,51 @@ def test_hot_copies_and_clashing_columns(spark):
     held = {(r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in got.collect()}
     want = {(0, text, 2, 0), (None, text, 2, 0), (7, None, 0, 0)} | {(k, "", 2, 2) for k in range(1, 400)} | {(k, f"own {k}", 3, 2) for k in range(1000, 1400)}
     assert held == want and got.count() == len(rows)
+
+
+def watched(monkeypatch, *names):
+    """The tables of these names that line dedup writes."""
+    seen, real = {x: [] for x in names}, line_dedup.written
+
+    def written(df, name):
+        out = real(df, name)
+        if name in seen:
+            seen[name].append(out)
+        return out
+
+    monkeypatch.setattr(line_dedup, "written", written)
+    return seen
+
+
+def test_rows_of_a_group_grow_with_its_places(spark, monkeypatch):
+    """Texts that share a beginning, each one of another length."""
+    lines = [f"one two three four five six seven eight nine ten {k}" for k in range(60)]
+    texts = {k: "\n".join([f"head {k}", *lines[: 2 + 17 * k % 59], f"tail {k}"]) for k in range(24)}
+    seen = watched(monkeypatch, "strides")
+    assert dropped(spark, texts) == brute(texts)
+    rows = [x.count() for x in seen["strides"]]
+    assert sum(rows) < 4 * rows[0]
+
+
+def test_longest_shared_runs_pair_all_that_few_have(spark, monkeypatch):
+    """A place that several runs lead to counts once, so what few have isn't taken for what many have."""
+    r = random.Random(2)
+    lines = [f"one two three four five six seven eight nine ten {k}" for k in range(40)]
+    texts = {k: [f"head {k}", *(x if r.random() < 0.96 else f"{x} own {k}" for x in lines)] for k in range(40)}
+    seen = watched(monkeypatch, "firsts", "pairs")
+    dropped(spark, {k: "\n".join(t) for k, t in texts.items()})
+    ids = {x["doc"]: x["doc_id"] for x in seen["firsts"][0].select("doc", "doc_id").collect()}
+    pairs = {(ids[x["a"]], ids[x["doc"]]) for x in seen["pairs"][0].collect()}
+    holders = defaultdict(list)
+    for k, t in texts.items():
+        for i in range(len(t)):
+            for j in range(i + 1, len(t) + 1):
+                holders[tuple(t[i:j])].append(k)
+    want = set()
+    for k, t in texts.items():
+        for i in range(len(t)):
+            shared = [x for j in range(i + 1, len(t) + 1) if min(x := holders[tuple(t[i:j])]) < k]
+            if shared:
+                have = shared[-1]
+                want |= {(a, k) for a in have if a < k} if len(have) <= line_dedup.RARE else {(min(have), k)}
+    assert want <= pairs

@@ -192,13 +192,16 @@ def _pack(folder: str, id_col: str, text_col: str, least: int):
     return pack
 
 
-STRIDES = "block long, row int, doc long, doc_id long, start int, len int, seeks boolean, stride int, key long"
+STRIDES = "block long, row int, doc long, doc_id long, start int, len int, seeks boolean, last long, places long, stride int, unit int, key long, far long"
 
 
 def _strides(folder: str):
     @tidy
     def strides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each place the keys of its lines with 1, 2, 3, 4, 8, 12, 16, ... more, as far as the document goes."""
+        """For each place the keys of its lines with 1, 2, 3, 4, 8, 12, 16, ... more, below its limit and as far as the document goes.
+
+        unit: lines from a stride to the next one, far: the key with those too, null where the document ends before.
+        """
         fs, root = pafs.FileSystem.from_uri(folder)
         for name, rows in grouped(batches):
             rows = rows.filter(pa.compute.is_valid(rows.column("row")))
@@ -206,7 +209,7 @@ def _strides(folder: str):
                 continue
             with fs.open_input_file(f"{root}/{name}.lines") as source:
                 told = pa.ipc.open_file(source).read_all().combine_chunks()
-            row, start, length = (rows.column(c).to_numpy().astype(np.int64) for c in ("row", "start", "len"))
+            row, start, length, below = (rows.column(c).to_numpy().astype(np.int64) for c in ("row", "start", "len", "below"))
             needed, which = np.unique(row, return_inverse=True)
             lines = told.column("lines").take(pa.array(np.searchsorted(told.column("row").to_numpy(), needed)))
             # The sums of the block's documents end to end; a document's last one is at its limit.
@@ -214,21 +217,28 @@ def _strides(folder: str):
             last = np.cumsum([len(x) for x in parts]) - 1
             first, sums = last + 1 - np.array([len(x) for x in parts]), np.concatenate(parts)
             begin, limit = first[which] + start, last[which]
+            rest = limit - begin - length  # lines that follow
             power, unit = _powers(int(start.max()))[0], 1
-            while len(np.flatnonzero(begin + length + unit <= limit)):
+
+            def keys(at: np.ndarray, stride: int) -> np.ndarray:
+                ends = np.minimum((begin + length + stride)[at], limit[at])
+                return _mixed((sums[ends] - sums[begin[at]]) * power[start[at]]).view(np.int64)
+
+            while (np.minimum(rest, below - 1) >= unit).any():
                 for stride in (unit, 2 * unit, 3 * unit):
-                    at = np.flatnonzero(begin + length + stride <= limit)
-                    key = _mixed((sums[(begin + length + stride)[at]] - sums[begin[at]]) * power[start[at]])
-                    own = [column(rows.select([c]).take(pa.array(at)), c) for c in ("row", "doc", "doc_id", "start", "len", "seeks")]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), name)), *own, pa.array(np.full(len(at), stride, np.int32)), pa.array(key.view(np.int64))], names=[c.split()[0] for c in STRIDES.split(", ")])
+                    at = np.flatnonzero(np.minimum(rest, below - 1) >= stride)
+                    own = [column(rows.select([c]).take(pa.array(at)), c) for c in ("row", "doc", "doc_id", "start", "len", "seeks", "last", "places")]
+                    found = [pa.array(np.full(len(at), stride, np.int32)), pa.array(np.full(len(at), unit, np.int32)), pa.array(keys(at, stride)), pa.array(keys(at, stride + unit), mask=rest[at] < stride + unit)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), name)), *own, *found], names=[c.split()[0] for c in STRIDES.split(", ")])
                 unit *= 4
 
     return strides
 
 
 def _known(held: DataFrame, key: str) -> DataFrame:
-    """Of each key that several documents have the first one, and how many places have it."""
-    return held.groupBy(key).agg(F.min(F.struct("doc_id", "doc")).alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("count")).where("first.doc_id < last")
+    """Of each key that several documents have the first one, and how many places have it. last, places: the largest doc_id of those a row stands for, and how many."""
+    found = held.groupBy(key).agg(F.min(F.struct("doc_id", "doc")).alias("first"), F.max("last").alias("final"), F.sum("places").alias("count"))
+    return found.where("first.doc_id < final").drop("final")
 
 
 def _all_pairs(few: DataFrame, key: str, later: DataFrame) -> DataFrame:
@@ -236,6 +246,18 @@ def _all_pairs(few: DataFrame, key: str, later: DataFrame) -> DataFrame:
     return few.select(key, F.col("doc").alias("a"), F.col("doc_id").alias("a_id")).join(later.select(key, "doc", "doc_id"), key).where("a_id < doc_id").select("a", "doc")
 
 
+def _fewer(going: DataFrame, rare: int) -> DataFrame:
+    """going with one place for those that don't seek and are alike up to the next stride, where they are many: that of the first document.
+
+    They have the same keys until then, which stay hot by them, so nothing is told of any but the first one and their number.
+    """
+    rest = going.where("not seeks and far is not null")
+    place = F.struct("doc_id", "doc", "block", "row", "start", "len", "below")
+    alike = written(rest.groupBy("far").agg(F.min(place).alias("place"), F.max("last").alias("last"), F.sum("places").alias("places")).where(F.col("places") > rare), "alike")
+    others = going.where("seeks or far is null").unionByName(rest.join(alike.select("far").hint("merge"), "far", "left_anti"))
+    return others.drop("far").unionByName(alike.select("place.*", F.lit(False).alias("seeks"), "last", "places"))
+
+
 def document_pairs(firsts: DataFrame, blocks: DataFrame, folder: str, rare: int = RARE) -> DataFrame:
     """a, doc: two documents, the second with the larger doc_id, that share a run. firsts: doc (its number), block, row, doc_id, runs and sizes.
 
@@ -244,13 +266,14 @@ def document_pairs(firsts: DataFrame, blocks: DataFrame, folder: str, rare: int
     """
     runs_of = firsts.select("block", "row", "doc", "doc_id", "sizes", F.posexplode("runs").alias("start", "run"))
     held = written(runs_of.select("block", "row", "doc", "doc_id", "start", F.get("sizes", F.col("start")).alias("len"), "run"), "runs")
-    known = written(_known(held, "run"), "known")
+    known = written(_known(held.withColumns({"last": F.col("doc_id"), "places": F.lit(1)}), "run"), "known")
     met = written(joined_hot(held, known, "run", known.select("run", "count")), "met")
     few, many = met.where(F.col("count") <= rare), met.where(F.col("count") > rare)
     pairs = _all_pairs(few, "run", few)
     later = F.col("doc_id") > F.col("first.doc_id")
     found = [pairs, many.where(later).select(F.col("first.doc").alias("a"), "doc")]
-    now = many.select("block", "row", "doc", "doc_id", "start", "len", F.lit(True).alias("seeks"))
+    # below: a stride that a place need not try, for no earlier document shares so much with those that seek.
+    now = many.select("block", "row", "doc", "doc_id", "start", "len", F.lit(True).alias("seeks"), F.lit(2**31 - 1).alias("below"), F.col("doc_id").alias("last"), F.lit(1).cast("long").alias("places"))
     while True:
         keyed = written(by_block(now, blocks).mapInArrow(_strides(folder), STRIDES), "strides")
         if not keyed.limit(1).count():
@@ -258,16 +281,18 @@ def document_pairs(firsts: DataFrame, blocks: DataFrame, folder: str, rare: int
         # Rows are narrow and of few kinds of keys; adaptive execution splits the partition of a hot one.
         met = written(keyed.join(_known(keyed, "key").hint("merge"), "key"), "met")
         # The most lines that a place shares with an earlier document; the first document of all has none, but others may meet it.
-        best = met.where(later & F.col("seeks")).groupBy("block", "row", "start").agg(F.max(F.struct("stride", "key", "count", "first")).alias("best"), F.first("doc").alias("doc"), F.first("doc_id").alias("doc_id"))
+        best = met.where(later & F.col("seeks")).groupBy("block", "row", "start").agg(F.max(F.struct("stride", "unit", "key", "count", "first")).alias("best"), F.first("doc").alias("doc"), F.first("doc_id").alias("doc_id"))
         best = written(best.select("block", "row", "start", "doc", "doc_id", "best.*"), "best")
         found.append(_all_pairs(met.where(F.col("count") <= rare), "key", best.where(F.col("count") <= rare)))
         found.append(best.where(F.col("count") > rare).select(F.col("first.doc").alias("a"), "doc"))
-        hot = best.where(F.col("count") > rare)
+        # No earlier document shares the next stride, so only what lies between is left, and nothing where that is the next line.
+        hot = best.where((F.col("count") > rare) & (F.col("unit") > 1))
         # All places of a key that is still hot go on, for others may share more with them; those seek that have found it the longest.
         going = met.join(hot.select("key").distinct(), "key", "left_semi")
         own = hot.select("block", "row", "start", "key", F.lit(True).alias("found"))
-        now = going.join(own, ["block", "row", "start", "key"], "left").select("block", "row", "doc", "doc_id", "start", (F.col("len") + F.col("stride")).cast("int").alias("len"), F.col("found").isNotNull().alias("seeks"))
-        now = now.groupBy("block", "row", "doc", "doc_id", "start", "len").agg(F.bool_or("seeks").alias("seeks"))
+        going = going.join(own, ["block", "row", "start", "key"], "left")
+        now = written(going.select("block", "row", "doc", "doc_id", "start", (F.col("len") + F.col("stride")).cast("int").alias("len"), F.col("found").isNotNull().alias("seeks"), F.col("unit").alias("below"), "last", "places", "far"), "going")
+        now = _fewer(now, rare)
     out = found[0]
     for x in found[1:]:
         out = out.union(x)
